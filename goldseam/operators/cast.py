@@ -270,7 +270,8 @@ def materialize_check(df: DataFrame, casts: Sequence[Cast]) -> DataFrame:
         value = rules.converted(original, kind, cast.normalized)
         was_null = rules.is_null(original, kind)
         same = rules.cast_back_equals(original, value, data_type, cast.normalized)
-        now_null = rules.is_null(value, kind) if cast.normalized == "object" else value.isNull()
+        widened = cast.normalized == "object" and kind != "string"
+        now_null = rules.is_null(value, "variant") if widened else value.isNull()
         aggregates += [
             F.count_if(was_null).alias(f"nulls_before_{i}"),
             F.count_if(now_null).alias(f"nulls_after_{i}"),
@@ -385,3 +386,23 @@ def stale_decisions(plans: DataFrame, stored: DataFrame, fresh: DataFrame) -> Da
         .otherwise("CURRENT")
     )
     return left.select("dataset", "action", outcome.alias("outcome"))
+
+
+def cast_values(df: DataFrame, cast: Cast, key: Sequence[str]) -> DataFrame:
+    """Key, reason (null when the cast keeps the value) and cast value of every row."""
+    data_type = _field(df, cast.column).dataType
+    kind = rules.source_kind(data_type)
+    value = _quoted(cast.column)
+    keys = [_quoted(k) for k in key]
+    result = rules.converted(value, kind, cast.normalized).alias("value")
+    native = rules.reason(value, data_type, cast.normalized).alias("reason")
+    if not _needs_long_text_branch(data_type, cast):
+        return df.select(*keys, native, result)
+    is_long = F.coalesce(rules.is_long_decimal_text(value), F.lit(False))
+    return (
+        df.where(~is_long)
+        .select(*keys, native, result)
+        .unionByName(
+            df.where(is_long).select(*keys, rules.long_decimal_reason(value).alias("reason"), result)
+        )
+    )
