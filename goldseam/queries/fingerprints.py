@@ -1 +1,276 @@
-"""Queries."""
+"""Queries on row encodings and fingerprints."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from goldseam.operators import fingerprint as ops
+from goldseam.queries import register
+from goldseam.queries.fixtures import DOUBLES, GOLD, GOLD_SQL, Fixture, duck, table, with_sql
+from goldseam.queries.profiling import TABLE_COLUMNS
+
+_TAG = {"int64": "i", "float64": "f", "object": "s", "datetime": "t"}
+
+
+def cell_sql(name: str, dtype: str) -> str:
+    text = f"CAST({name} AS VARCHAR)"
+    framed = f"concat('{_TAG[dtype]}', length({text}), ':', {text})"
+    if dtype == "float64":
+        return (
+            f"CASE WHEN {name} IS NULL OR isnan({name}) THEN 'N' WHEN {name} = 'inf' THEN 'fp' "
+            f"WHEN {name} = '-inf' THEN 'fm' ELSE {framed} END"
+        )
+    return f"CASE WHEN {name} IS NULL THEN 'N' ELSE {framed} END"
+
+
+def row_sql(columns) -> str:
+    return " || ".join(cell_sql(n, d) for n, d in columns)
+
+
+def header_sql(columns) -> str:
+    listed = ",".join(f'["{n}","{d}"]' for n, d in columns)
+    return f'["cells-v1",[{listed}]]'
+
+
+def fingerprint_sql(dataset: str, source: str, columns) -> str:
+    lanes = ", ".join(
+        f"coalesce(sum(CAST(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT) AS HUGEINT)), 0) AS l{i}"
+        for i in range(4)
+    )
+    return (
+        f"SELECT '{dataset}' AS dataset, row_count, sha256(concat_ws('|', '{header_sql(columns)}', "
+        f"row_count, l0, l1, l2, l3)) AS data_fingerprint FROM (SELECT count(*) AS row_count, {lanes} "
+        f"FROM (SELECT sha256({row_sql(columns)}) AS h FROM {source}))"
+    )
+
+
+def _union(frames):
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+@register(
+    "row_encoding",
+    f"SELECT o_orderkey, {row_sql(TABLE_COLUMNS['orders'])} AS row_text FROM orders",
+)
+def row_encoding(spark, sf_dir):
+    return ops.row_encoding(table(spark, sf_dir, "orders"), ["o_orderkey"])
+
+
+@register(
+    "dataset_fingerprint",
+    " UNION ALL ".join(fingerprint_sql(t, t, c) for t, c in TABLE_COLUMNS.items()),
+)
+def dataset_fingerprint(spark, sf_dir):
+    return _union(ops.dataset_fingerprint(table(spark, sf_dir, t), t) for t in TABLE_COLUMNS)
+
+
+_DOUBLE_COLUMNS = [("o_orderkey", "int64"), ("o_custkey", "int64"), ("v", "float64")]
+
+
+@register(
+    "dataset_fingerprint_nulls",
+    with_sql(
+        fingerprint_sql("drifted", "f", _DOUBLE_COLUMNS).replace("CAST(v AS VARCHAR)",
+        "CASE WHEN v > 1e7 THEN '9.223372036854776E18' ELSE CAST(v AS VARCHAR) END"),
+        f=DOUBLES,
+    ),
+)
+def dataset_fingerprint_nulls(spark, sf_dir):
+    return ops.dataset_fingerprint(DOUBLES.frame(spark, sf_dir), "drifted")
+
+
+_LEAF = 1000
+
+
+def _merkle_sql(dataset: str, columns) -> str:
+    depth = f"CASE WHEN n <= {_LEAF} THEN 0 WHEN n <= {_LEAF * 16} THEN 1 WHEN n <= {_LEAF * 256} THEN 2 ELSE 3 END"
+    return (
+        f"SELECT '{dataset}' AS dataset, row_count, sha256(concat_ws('|', '{header_sql(columns)}', "
+        f"row_count, digest)) AS data_fingerprint FROM (SELECT CAST(sum(n) AS BIGINT) AS row_count, "
+        f"CASE WHEN max(d) = 0 THEN max(digest) ELSE "
+        f"sha256(string_agg(prefix || '=' || digest, ',' ORDER BY prefix)) END AS digest FROM "
+        f"(SELECT prefix, max(d) AS d, sum(c) AS n, sha256(string_agg(h || 'x' || c, ',' ORDER BY h)) AS digest "
+        f"FROM (SELECT h, c, d, substr(h, 1, d) AS prefix FROM (SELECT sha256({row_sql(columns)}) AS h, "
+        f"count(*) AS c FROM {dataset} GROUP BY 1), (SELECT {depth} AS d FROM (SELECT count(*) AS n "
+        f"FROM {dataset}))) GROUP BY prefix))"
+    )
+
+
+_MERKLE = ("orders", "lineitem", "customer")
+
+
+@register(
+    "dataset_fingerprint_merkle",
+    " UNION ALL ".join(_merkle_sql(t, TABLE_COLUMNS[t]) for t in _MERKLE),
+)
+def dataset_fingerprint_merkle(spark, sf_dir):
+    frames = [(t, table(spark, sf_dir, t)) for t in _MERKLE]
+    return _union(ops.merkle_fingerprint(df, t, df.count(), _LEAF) for t, df in frames)
+
+
+@register(
+    "gold_fingerprint",
+    with_sql(
+        "SELECT dataset, sha256(concat('{\"columns\":[', string_agg(concat('{\"dtype\":\"', dtype, "
+        "'\",\"name\":\"', \"column\", '\"}'), ',' ORDER BY ordinal), '],\"format_version\":1}')) AS fingerprint "
+        "FROM g GROUP BY dataset",
+        g=GOLD_SQL,
+    ),
+)
+def gold_fingerprint(spark, sf_dir):
+    columns = F.transform(
+        F.array_sort(F.collect_list(F.struct("ordinal", "column", "dtype"))),
+        lambda c: F.struct(c["column"].alias("name"), c["dtype"].alias("dtype"), c["ordinal"].alias("note")),
+    )
+    versions = GOLD.frame(spark, sf_dir).groupBy("dataset").agg(columns.alias("columns"))
+    return ops.gold_fingerprint(versions.withColumn("format_version", F.lit(1))).select(
+        "dataset", "fingerprint"
+    )
+
+
+_METADATA = Fixture(
+    "orders",
+    [
+        "concat('ds_', CAST(o_orderkey AS STRING)) AS dataset",
+        "CAST(pos AS INT) AS ordinal",
+        "concat('c', CAST(pos AS STRING), '\"', o_orderstatus) AS column_name",
+        "CASE (pos + o_custkey) % 4 WHEN 0 THEN 'bigint' WHEN 1 THEN 'numeric' "
+        "WHEN 2 THEN 'character varying' ELSE 'timestamp without time zone' END AS data_type",
+        "CASE (pos + o_custkey) % 4 WHEN 0 THEN 64 WHEN 1 THEN 20 END AS numeric_precision",
+        "CASE (pos + o_custkey) % 4 WHEN 0 THEN 0 WHEN 1 THEN 9 END AS numeric_scale",
+        "CASE (pos + o_custkey) % 4 WHEN 3 THEN 6 END AS datetime_precision",
+        "CASE WHEN pos = 1 THEN 'NO' ELSE 'YES' END AS is_nullable",
+        "CASE (pos + o_custkey) % 4 WHEN 2 THEN 20 END AS character_maximum_length",
+        "'pg_catalog' AS udt_schema",
+        "'t' AS udt_name",
+        "CAST(NULL AS STRING) AS domain_schema",
+        "CAST(NULL AS STRING) AS domain_name",
+        "CASE (pos + o_custkey) % 4 WHEN 2 THEN 'C' END AS collation_name",
+    ],
+    repeat=4,
+)
+
+
+def _attribute_sql(name: str) -> str:
+    number = name.startswith(("numeric", "datetime", "character"))
+    text = f"CAST({name} AS VARCHAR)" if number else f"CAST(to_json({name}) AS VARCHAR)"
+    return f"CASE WHEN {name} IS NULL THEN 'null' ELSE {text} END"
+
+
+@register(
+    "schema_fingerprint",
+    with_sql(
+        "SELECT dataset, sha256(concat('[', string_agg(concat('[', "
+        + ", ',', ".join(_attribute_sql(a) for a in ops.METADATA_ATTRIBUTES)
+        + ", ']'), ',' ORDER BY ordinal), ']')) AS schema_fingerprint FROM m GROUP BY dataset",
+        m=_METADATA,
+    ),
+)
+def schema_fingerprint(spark, sf_dir):
+    return ops.schema_fingerprint(_METADATA.frame(spark, sf_dir))
+
+
+_PROVENANCE = Fixture(
+    "orders",
+    [
+        "o_orderkey AS run_id",
+        "CASE WHEN k = 0 THEN 'id,id' WHEN k = 1 THEN '1d' WHEN k = 6 THEN 'id,line' ELSE 'id' END AS key_text",
+        "CASE WHEN k = 2 THEN -1 ELSE o_custkey END AS source_row_count",
+        "CASE WHEN k = 3 THEN upper(concat(md5(o_orderpriority), md5('s'))) "
+        "ELSE concat(md5(o_orderpriority), md5('s')) END AS source_schema_fingerprint",
+        "CASE WHEN k = 4 THEN concat(md5(CAST(o_orderkey AS STRING)), md5('d'), chr(10)) "
+        "WHEN k = 5 THEN md5('short') ELSE concat(md5(CAST(o_orderkey AS STRING)), md5('d')) END "
+        "AS source_dataset_fingerprint",
+    ],
+    inner=["o_orderkey % 9 AS k"],
+)
+
+
+@register(
+    "provenance_fingerprint",
+    with_sql(
+        "SELECT run_id, coalesce(error, 'none') AS provenance_error, CASE WHEN error IS NULL THEN sha256(concat("
+        "'{\"format_version\":1,\"source_dataset_fingerprint\":\"', source_dataset_fingerprint, "
+        "'\",\"source_primary_key\":[\"', replace(key_text, ',', '\",\"'), '\"],\"source_row_count\":', "
+        "source_row_count, ',\"source_schema_fingerprint\":\"', source_schema_fingerprint, '\"}')) ELSE 'none' END "
+        "AS provenance_fingerprint FROM (SELECT *, CASE WHEN key_text IN ('id,id', '1d') THEN 'INVALID_PRIMARY_KEY' "
+        "WHEN source_row_count < 0 THEN 'INVALID_ROW_COUNT' "
+        "WHEN NOT regexp_full_match(source_schema_fingerprint, '[0-9a-f]{64}') THEN 'INVALID_SCHEMA_FINGERPRINT' "
+        "WHEN NOT regexp_full_match(source_dataset_fingerprint, '[0-9a-f]{64}') THEN 'INVALID_DATASET_FINGERPRINT' END "
+        "AS error FROM f)",
+        f=_PROVENANCE,
+    ),
+)
+def provenance_fingerprint(spark, sf_dir):
+    runs = _PROVENANCE.frame(spark, sf_dir).withColumn("source_primary_key", F.split("key_text", ","))
+    return ops.provenance_fingerprint(runs).select(
+        "run_id",
+        F.coalesce("provenance_error", F.lit("none")).alias("provenance_error"),
+        F.coalesce("provenance_fingerprint", F.lit("none")).alias("provenance_fingerprint"),
+    )
+
+
+_PAYLOADS = Fixture(
+    "events",
+    [
+        "event_id AS payload_id",
+        "event_id % 8 AS k",
+        "CASE WHEN event_id % 17 = 0 THEN 3 WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS version",
+        "concat('{\"format_version\":', CASE WHEN event_id % 17 = 0 THEN '3' WHEN event_id % 3 = 0 THEN '1' ELSE '2' END, "
+        "',\"column_order\":[\"a\",\"b\"],\"dtypes\":{\"a\":\"int64\",\"b\":\"object\"},\"data\":{\"a\":[', "
+        "CAST(event_id AS STRING), ',null],\"b\":[', CASE event_id % 8 "
+        "WHEN 0 THEN '{\"__type__\":\"decimal\",\"value\":\"1.50\"}' "
+        "WHEN 1 THEN '{\"__type__\":\"date\",\"value\":\"2024-02-30\"}' "
+        "WHEN 2 THEN '{\"__type__\":\"uuid\",\"value\":\"00000000-0000-0000-0000-00000000000a\"}' "
+        "WHEN 3 THEN '{\"__type__\":\"raw_json\",\"value\":{\"x\":1}}' "
+        "WHEN 4 THEN '{\"__type__\":\"positive_infinity\"}' "
+        "WHEN 5 THEN '{\"__type__\":\"python_datetime\",\"value\":\"2024-01-01T10:00:00\"}' "
+        "WHEN 6 THEN concat('\"', event_type, '\"') ELSE props END, ']}}') AS payload",
+    ],
+)
+_B_KIND = (
+    "CASE k WHEN 0 THEN 'decimal' WHEN 1 THEN 'date' WHEN 2 THEN CASE WHEN version = 1 THEN 'object' ELSE 'uuid' END "
+    "WHEN 3 THEN CASE WHEN version = 1 THEN 'object' ELSE 'raw_json' END WHEN 4 THEN 'positive_infinity' "
+    "WHEN 5 THEN 'python_datetime' WHEN 6 THEN 'string' ELSE 'object' END"
+)
+
+
+@register(
+    "decode_payloads",
+    with_sql(
+        "SELECT payload_id, 'a' AS column_name, 0 AS \"row\", 'int64' AS dtype, 'integer' AS kind, "
+        "CAST(payload_id AS VARCHAR) AS text, true AS intact FROM f WHERE version < 3 UNION ALL "
+        "SELECT payload_id, 'a', 1, 'int64', 'null', 'none', true FROM f WHERE version < 3 UNION ALL "
+        f"SELECT payload_id, 'b', 0, 'object', {_B_KIND}, CASE k WHEN 0 THEN '1.50' WHEN 1 THEN '2024-02-30' "
+        "WHEN 2 THEN CASE WHEN version = 1 THEN '{\"__type__\":\"uuid\",\"value\":\"00000000-0000-0000-0000-00000000000a\"}' "
+        "ELSE '00000000-0000-0000-0000-00000000000a' END "
+        "WHEN 3 THEN CASE WHEN version = 1 THEN '{\"__type__\":\"raw_json\",\"value\":{\"x\":1}}' ELSE '{\"x\":1}' END "
+        "WHEN 4 THEN 'inf' WHEN 5 THEN '2024-01-01T10:00:00' WHEN 6 THEN event_type ELSE replace(props, ': ', ':') END, "
+        "k <> 1 FROM (SELECT f.*, e.event_type, e.props FROM f JOIN events e ON e.event_id = f.payload_id) WHERE version < 3 "
+        "UNION ALL SELECT payload_id, 'none', -1, 'none', 'UNSUPPORTED_VERSION', 'none', false FROM f WHERE version = 3",
+        f=_PAYLOADS,
+    ),
+)
+def decode_payloads(spark, sf_dir):
+    cells = ops.decode_payloads(_PAYLOADS.frame(spark, sf_dir).select("payload_id", "payload"))
+    return cells.select(
+        "payload_id",
+        F.coalesce("column", F.lit("none")).alias("column_name"),
+        F.coalesce("row", F.lit(-1)).alias("row"),
+        F.coalesce("dtype", F.lit("none")).alias("dtype"),
+        "kind",
+        F.coalesce("text", F.lit("none")).alias("text"),
+        "intact",
+    )
+
+
+@register(
+    "encode_payload_cells",
+    "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CAST(to_json(c_name) AS VARCHAR) AS c_name, "
+    "CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal, "
+    "CAST(to_json(c_mktsegment) AS VARCHAR) AS c_mktsegment FROM customer",
+)
+def encode_payload_cells(spark, sf_dir):
+    return ops.encode_payload_cells(table(spark, sf_dir, "customer"))
