@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -34,9 +34,9 @@ def _framed(tag: str, text: Column) -> Column:
     return F.concat(F.lit(tag), F.length(text).cast("string"), F.lit(":"), text)
 
 
-def cell_text(field: T.StructField) -> Column:
+def cell_text(field: T.StructField, value: Column | None = None) -> Column:
     """``N`` for null, otherwise tag, length, colon and text."""
-    value = _quoted(field.name)
+    value = _quoted(field.name) if value is None else value
     dtype = logical_dtype(field)
     tag = TAGS.get(dtype, "s")
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
@@ -58,10 +58,14 @@ def cell_text(field: T.StructField) -> Column:
     return F.coalesce(text, F.lit("N"))
 
 
-def row_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
-    """All cells of a row, in the given column order."""
+def row_text(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    at: Callable[[str], Column] = _quoted,
+) -> Column:
+    """All cells of a row, in the given column order; ``at`` says where a column is found."""
     fields = {f.name: f for f in df.schema.fields}
-    return F.concat(*[cell_text(fields[name]) for name in (columns or df.columns)])
+    return F.concat(*[cell_text(fields[name], at(name)) for name in (columns or df.columns)])
 
 
 def schema_header(df: DataFrame, columns: Sequence[str] | None = None) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from goldseam import constants as C
 from goldseam.functions.actions import is_identifier
@@ -20,7 +20,21 @@ def row_encoding(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.select(*key, row_text(df).alias("row_text"))
 
 
-def fingerprint_aggregates(df: DataFrame, columns: Sequence[str] | None = None) -> list[Column]:
+def _lane_sums(text: Column, prefix: str) -> list[Column]:
+    digest = F.sha2(text, 256)
+    parts = [
+        F.conv(F.substring(digest, 1 + _LANE_HEX * lane, _LANE_HEX), 16, 10).cast("decimal(28,0)")
+        for lane in range(_LANES)
+    ]
+    return [
+        F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").alias(f"{prefix}lane_{i}")
+        for i, part in enumerate(parts)
+    ]
+
+
+def fingerprint_aggregates(
+    df: DataFrame, columns: Sequence[str] | None = None, prefix: str = "", text: Column | None = None
+) -> list[Column]:
     """Aggregates behind a dataset fingerprint, to be fused with others over the same scan.
 
     Each row is hashed with SHA-256 over its typed cells and four 60-bit parts of the hash are
@@ -28,25 +42,18 @@ def fingerprint_aggregates(df: DataFrame, columns: Sequence[str] | None = None)
     folds in every task, so no row is shuffled, whatever the size of the table, and repeated rows
     still count. ``merkle_fingerprint`` is the form for input that somebody may have crafted.
     """
-    digest = F.sha2(row_text(df, columns), 256)
-    parts = [
-        F.conv(F.substring(digest, 1 + _LANE_HEX * lane, _LANE_HEX), 16, 10).cast("decimal(28,0)")
-        for lane in range(_LANES)
-    ]
-    return [F.count(F.lit(1)).alias("row_count")] + [
-        F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").alias(f"lane_{i}")
-        for i, part in enumerate(parts)
-    ]
+    row = row_text(df, columns) if text is None else text
+    return [F.count(F.lit(1)).alias(f"{prefix}row_count"), *_lane_sums(row, prefix)]
 
 
-def fingerprint_digest(header: str) -> Column:
+def fingerprint_digest(header: str, prefix: str = "") -> Column:
     """The fingerprint from the columns that ``fingerprint_aggregates`` produced."""
     return F.sha2(
         F.concat_ws(
             "|",
             F.lit(header),
-            F.col("row_count").cast("string"),
-            *[F.col(f"lane_{i}").cast("string") for i in range(_LANES)],
+            F.col(f"{prefix}row_count").cast("string"),
+            *[F.col(f"{prefix}lane_{i}").cast("string") for i in range(_LANES)],
         ),
         256,
     )
@@ -326,8 +333,6 @@ def encode_payload_cells(df: DataFrame, tag_key: str = "__type__") -> DataFrame:
 
     The counterpart of ``decode_payloads`` per row; a stored dataset itself is a Parquet folder.
     """
-    from pyspark.sql import types as T
-
     def tagged(kind: str, text: Column) -> Column:
         return F.to_json(F.struct(F.lit(kind).alias(tag_key), text.alias("value")))
 

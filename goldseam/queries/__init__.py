@@ -36,6 +36,7 @@ def load_all() -> dict[str, Registered]:
         fingerprints,
         governance,
         ledgers,
+        migrations,
         profiling,
         repairs,
         schemas,
