@@ -26,42 +26,47 @@ TAGS = {
 }
 
 
-def _quoted(name: str) -> Column:
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and blanks included."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
 def _framed(tag: str, text: Column) -> Column:
+    """For text that may hold anything: its length says where it ends."""
     return F.concat(F.lit(tag), F.length(text).cast("string"), F.lit(":"), text)
 
 
+def _closed(tag: str, text: Column) -> Column:
+    """For numbers and times, whose text never holds a semicolon."""
+    return F.concat(F.lit(tag), text, F.lit(";"))
+
+
 def cell_text(field: T.StructField, value: Column | None = None) -> Column:
-    """``N`` for null, otherwise tag, length, colon and text."""
-    value = _quoted(field.name) if value is None else value
-    dtype = logical_dtype(field)
-    tag = TAGS.get(dtype, "s")
-    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+    """``N`` for null, otherwise a type tag and the text, with its length or an end mark."""
+    value = quoted(field.name) if value is None else value
+    kind = field.dataType
+    tag = TAGS.get(logical_dtype(field), "s")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
         number = value.cast("double")
-        text = (
-            F.when(number == float("inf"), F.lit("fp"))
-            .when(number == float("-inf"), F.lit("fm"))
-            .when(~F.isnan(number), _framed(tag, number.cast("string")))
-        )
-    elif isinstance(field.dataType, T.TimestampType):
+        text = F.when(~F.isnan(number), _closed(tag, number.cast("string")))
+    elif isinstance(kind, T.TimestampType):
         # Micros since the epoch: independent of the session time zone.
-        text = _framed(tag, F.unix_micros(value).cast("string"))
-    elif isinstance(field.dataType, T.VariantType):
+        text = _closed(tag, F.unix_micros(value).cast("string"))
+    elif isinstance(kind, T.VariantType):
         text = _framed(tag, F.to_json(value))
-    elif isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+    elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
         text = _framed(tag, F.to_json(F.parse_json(F.to_json(value))))
+    elif isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
+        text = _framed(tag, value)
     else:
-        text = _framed(tag, value.cast("string"))
+        text = _closed(tag, value.cast("string"))
     return F.coalesce(text, F.lit("N"))
 
 
 def row_text(
     df: DataFrame,
     columns: Sequence[str] | None = None,
-    at: Callable[[str], Column] = _quoted,
+    at: Callable[[str], Column] = quoted,
 ) -> Column:
     """All cells of a row, in the given column order; ``at`` says where a column is found."""
     fields = {f.name: f for f in df.schema.fields}

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from goldseam import constants as C
 from goldseam.functions import cast_rules as rules
 from goldseam.functions.dtypes import logical_dtype, normalize_target_name
+from goldseam.functions.encoding import quoted
 
 
 @dataclass(frozen=True)
@@ -44,10 +45,6 @@ def _field(df: DataFrame, name: str) -> T.StructField:
     raise MissingColumnError(f"Cast source column not found: {name}.")
 
 
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def _needs_long_text_branch(data_type: T.DataType, cast: Cast) -> bool:
     return cast.normalized == "float64" and rules.source_kind(data_type) == "string"
 
@@ -62,7 +59,7 @@ def verdicts(df: DataFrame, casts: Sequence[Cast], keep: Sequence[str] = ()) ->
     native, long_branches = [], []
     for cast_id, cast in enumerate(casts):
         data_type = _field(df, cast.column).dataType
-        value = _quoted(cast.column)
+        value = quoted(cast.column)
         reason = (
             rules.reason(value, data_type, cast.normalized)
             if cast.supported
@@ -79,7 +76,7 @@ def verdicts(df: DataFrame, casts: Sequence[Cast], keep: Sequence[str] = ()) ->
             identity = F.when(~is_long, identity)
             long_branches.append(
                 df.where(is_long).select(
-                    *[_quoted(name) for name in keep],
+                    *[quoted(name) for name in keep],
                     F.lit(cast_id).alias("cast_id"),
                     rules.long_decimal_reason(value).alias("reason"),
                     F.lit(False).alias("is_null"),
@@ -89,7 +86,7 @@ def verdicts(df: DataFrame, casts: Sequence[Cast], keep: Sequence[str] = ()) ->
         native.append(
             F.struct(identity.alias("cast_id"), *[c.alias(n) for n, c in fields.items()])
         )
-    kept = [_quoted(name) for name in keep]
+    kept = [quoted(name) for name in keep]
     if len(native) == 1:
         tall = df.select(*kept, native[0].alias("v"))
     else:
@@ -103,7 +100,7 @@ def verdicts(df: DataFrame, casts: Sequence[Cast], keep: Sequence[str] = ()) ->
 
 
 def _first_key(keys: Sequence[str]) -> Column:
-    return _quoted(keys[0]) if len(keys) == 1 else F.struct(*[_quoted(k) for k in keys])
+    return quoted(keys[0]) if len(keys) == 1 else F.struct(*[quoted(k) for k in keys])
 
 
 def cast_decision(
@@ -207,7 +204,7 @@ def cast_diagnostics(df: DataFrame, casts: Sequence[Cast], key: Sequence[str]) -
             verdicts(df, known, keep=key)
             .where(F.col("reason").isNotNull())
             .select(
-                *[_quoted(k) for k in key],
+                *[quoted(k) for k in key],
                 F.element_at(names, at).alias("column"),
                 F.col("value_type").alias("source_value_type"),
                 F.element_at(targets, at).alias("target_dtype"),
@@ -248,12 +245,12 @@ def with_cast(df: DataFrame, cast: Cast) -> DataFrame:
     """The column replaced by its cast value, at the same position. Only valid after SAFE."""
     field = _field(df, cast.column)
     value = rules.converted(
-        _quoted(cast.column), rules.source_kind(field.dataType), cast.normalized
+        quoted(cast.column), rules.source_kind(field.dataType), cast.normalized
     )
     metadata = {"logical": "object"} if cast.normalized == "object" else {}
     return df.select(
         *[
-            value.alias(name, metadata=metadata) if name == cast.column else _quoted(name)
+            value.alias(name, metadata=metadata) if name == cast.column else quoted(name)
             for name in df.columns
         ]
     )
@@ -266,7 +263,7 @@ def materialize_check(df: DataFrame, casts: Sequence[Cast]) -> DataFrame:
     for i, cast in enumerate(casts):
         data_type = _field(df, cast.column).dataType
         kind = rules.source_kind(data_type)
-        original = _quoted(cast.column)
+        original = quoted(cast.column)
         value = rules.converted(original, kind, cast.normalized)
         was_null = rules.is_null(original, kind)
         same = rules.cast_back_equals(original, value, data_type, cast.normalized)
@@ -298,7 +295,7 @@ def materialize_check(df: DataFrame, casts: Sequence[Cast]) -> DataFrame:
 
 def null_rules(df: DataFrame, column: str, key: Sequence[str]) -> DataFrame:
     """How each target treats the column's nulls (NaN included): kept, or rejected with a reason."""
-    null = rules.is_null(_quoted(column), rules.source_kind(_field(df, column).dataType))
+    null = rules.is_null(quoted(column), rules.source_kind(_field(df, column).dataType))
     counted = df.agg(F.count(F.lit(1)).alias("total_count"), F.count_if(null).alias("null_count"))
     targets = F.array(*[F.lit(t) for t in C.CAST_TARGETS])
     rejects = F.col("target_dtype").isin(*C.NULL_REJECTING_TARGETS)
@@ -392,8 +389,8 @@ def cast_values(df: DataFrame, cast: Cast, key: Sequence[str]) -> DataFrame:
     """Key, reason (null when the cast keeps the value) and cast value of every row."""
     data_type = _field(df, cast.column).dataType
     kind = rules.source_kind(data_type)
-    value = _quoted(cast.column)
-    keys = [_quoted(k) for k in key]
+    value = quoted(cast.column)
+    keys = [quoted(k) for k in key]
     result = rules.converted(value, kind, cast.normalized).alias("value")
     native = rules.reason(value, data_type, cast.normalized).alias("reason")
     if not _needs_long_text_branch(data_type, cast):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from goldseam.constants import DATABASE_TYPE_TO_DTYPE
 from goldseam.functions import cast_rules as rules
 from goldseam.functions.dtypes import UnsupportedTypeError, logical_dtype
+from goldseam.functions.encoding import quoted
 
 OBSERVED_SCHEMA = (
     "dataset string, ordinal int, column string, dtype string, "
@@ -17,10 +18,6 @@ OBSERVED_SCHEMA = (
 _LONG_TEXT = 64
 
 
-def quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def canonical_json(value: Column, data_type: T.DataType) -> Column:
     """JSON text with sorted keys, so that objects equal up to key order have one text.
 

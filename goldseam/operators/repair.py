@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 from goldseam import constants as C
 from goldseam.functions.actions import parse_action
 from goldseam.functions.dtypes import logical_dtype
-from goldseam.functions.encoding import schema_header
+from goldseam.functions.encoding import quoted
 from goldseam.operators.cast import Cast, cast_decision, with_cast
-from goldseam.operators.fingerprint import fingerprint_aggregates, fingerprint_digest
-from goldseam.operators.profile import quoted
+from goldseam.operators.fingerprint import measure
 from goldseam.session import case_sensitive
 
 
@@ -70,10 +69,8 @@ def preservation_proof(before: DataFrame, after: DataFrame, order: Sequence[str]
     sides = []
     for name, df in (("before", before), ("after", after)):
         sides.append(
-            df.agg(*fingerprint_aggregates(df, columns)).select(
-                F.lit(name).alias("side"),
-                "row_count",
-                fingerprint_digest(schema_header(df, columns)).alias("digest"),
+            measure(df, columns).select(
+                F.lit(name).alias("side"), "row_count", F.col("data_fingerprint").alias("digest")
             )
         )
     return (
@@ -253,10 +250,10 @@ def healing_manifest(
         **({"type_repair": decision.policy_version} if decision is not None else {}),
         **({"column_order": C.REORDER_POLICY_VERSION} if reorder_tried else {}),
     }
-    measured = after.agg(*fingerprint_aggregates(after)).select(
+    measured = measure(after).select(
         F.lit(1).alias("run"),
         F.col("row_count").alias("final_row_count"),
-        fingerprint_digest(schema_header(after)).alias("fingerprint"),
+        F.col("data_fingerprint").alias("fingerprint"),
     )
     originals = before.agg(F.count(F.lit(1)).alias("original_row_count")).select(
         F.lit(1).alias("run"), "original_row_count"

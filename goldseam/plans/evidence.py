@@ -16,10 +16,13 @@ from goldseam import constants as C
 from goldseam.functions import cast_rules as rules
 from goldseam.functions.actions import parse_action
 from goldseam.functions.dtypes import logical_dtype
-from goldseam.functions.encoding import row_text, schema_header
+from goldseam.functions.encoding import quoted, schema_header
 from goldseam.operators.cast import Cast, cast_decision, with_cast
-from goldseam.operators.fingerprint import fingerprint_aggregates, fingerprint_digest
-from goldseam.operators.profile import quoted
+from goldseam.operators.fingerprint import (
+    fingerprint_aggregates,
+    fingerprint_digest,
+    row_digest,
+)
 from goldseam.operators.repair import RepairRefused, rename_column, reorder_columns
 
 _REASONS = {
@@ -74,34 +77,30 @@ def gather(df: DataFrame, action: str, key: Sequence[str]) -> Evidence:
     """Prove one action on one table, in one scan."""
     plan = typed_action(df, action)
     corrected, cast, outcome = corrected_frame(df, plan)
-    aggregates = fingerprint_aggregates(df, prefix="s_")
-    digests = [fingerprint_digest(schema_header(df), "s_").alias("source")]
-    scan = df
+    # First every original column, next to the cast value; then the digests of both forms of the
+    # row; then the aggregates. Each step uses the one before, so nothing is computed twice.
+    places = {n: f"_b{i}" for i, n in enumerate(df.columns)}
+    fields = [quoted(n).alias(place) for n, place in places.items()]
+    if cast is not None and corrected is not None:
+        kind = rules.source_kind(df.schema[cast.column].dataType)
+        fields.append(rules.converted(quoted(cast.column), kind, cast.normalized).alias("_v"))
+    rows = df.select(*fields)
+    parts = [row_digest(df, at=lambda n: F.col(places[n])).alias("_source")]
+    aggregates = fingerprint_aggregates("_source", "s_")
+    prints = [fingerprint_digest(schema_header(df), "s_").alias("source")]
     if corrected is not None:
-        # Both forms of a row side by side; columns the repair leaves alone cost nothing twice.
-        before = [quoted(n).alias(f"_b{i}") for i, n in enumerate(df.columns)]
-        places = {n: f"_b{i}" for i, n in enumerate(df.columns)}
         after = _places_after(corrected, plan, places)
-        value = []
-        if cast is not None:
-            kind = rules.source_kind(df.schema[cast.column].dataType)
-            value = [rules.converted(quoted(cast.column), kind, cast.normalized).alias("_v")]
-        scan = df.select(*before, *value)
-        aggregates = [
-            *fingerprint_aggregates(
-                df, prefix="s_", text=row_text(df, at=lambda n: F.col(places[n]))
-            ),
-            *fingerprint_aggregates(
-                corrected, prefix="o_", text=row_text(corrected, at=lambda n: F.col(after[n]))
-            ),
-        ]
-        digests.append(fingerprint_digest(schema_header(corrected), "o_").alias("output"))
-        if cast is not None:
-            aggregates += _cast_aggregates(df, cast, F.col(places[cast.column]), key, places)
-    row = scan.agg(*aggregates).select("*", *digests).first()
+        parts.append(row_digest(corrected, at=lambda n: F.col(after[n])).alias("_output"))
+        aggregates += fingerprint_aggregates("_output", "o_")
+        prints.append(fingerprint_digest(schema_header(corrected), "o_").alias("output"))
+    if cast is not None and corrected is not None:
+        proof, counts = _cast_aggregates(df, cast, F.col(places[cast.column]), key, places)
+        parts += proof
+        aggregates += counts
+    row = rows.select(*parts).agg(*aggregates).select("*", *prints).first()
     decision = None
     if cast is not None:
-        decision = _decision(df, cast, key, row)
+        decision = _decision(df, cast, key, row if corrected is not None else None)
         outcome = f"CAST_{decision.status}"
         if decision.status != "SAFE":
             corrected = None
@@ -129,21 +128,24 @@ def _cast_aggregates(df, cast, value, key, places):
     first = (
         F.col(places[key[0]]) if len(key) == 1 else F.struct(*[F.col(places[k]) for k in key])
     )
-    aggregates = [F.count_if(null).alias("nulls")]
+    parts = [null.alias("_null")]
+    aggregates = [F.count_if(F.col("_null")).alias("nulls")]
     if cast.normalized in _REASONS:
-        reason = rules.reason(value, data_type, cast.normalized)
+        parts += [rules.reason(value, data_type, cast.normalized).alias("_reason"), first.alias("_key")]
         for i, code in enumerate(_REASONS[cast.normalized]):
-            aggregates.append(F.count_if(reason == code).alias(f"n_{i}"))
-            aggregates.append(F.min(F.when(reason == code, first)).alias(f"k_{i}"))
+            hit = F.col("_reason") == code
+            aggregates.append(F.count_if(hit).alias(f"n_{i}"))
+            aggregates.append(F.min(F.when(hit, F.col("_key"))).alias(f"k_{i}"))
     if cast.normalized == "float64" and rules.source_kind(data_type) == "string":
-        aggregates.append(F.count_if(rules.is_long_decimal_text(value)).alias("long_texts"))
-    return aggregates
+        parts.append(rules.is_long_decimal_text(value).alias("_long"))
+        aggregates.append(F.count_if(F.col("_long")).alias("long_texts"))
+    return parts, aggregates
 
 
 def _decision(df: DataFrame, cast: Cast, key: Sequence[str], row: Row | None) -> Row:
     """The decision from the scan's aggregates, or a proof of its own where they cannot tell."""
-    told = row.asDict()
-    if cast.normalized not in _REASONS or told.get("long_texts"):
+    told = {} if row is None else row.asDict()
+    if row is None or cast.normalized not in _REASONS or told.get("long_texts"):
         return cast_decision(df, [cast], key).first()
     codes = _REASONS[cast.normalized]
     seen = sorted(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -11,18 +12,20 @@ from goldseam.queries import register
 from goldseam.queries.fixtures import DOUBLES, GOLD, GOLD_SQL, Fixture, duck, table, with_sql
 from goldseam.queries.profiling import TABLE_COLUMNS
 
-_TAG = {"int64": "i", "float64": "f", "object": "s", "datetime": "t"}
+_TAG = {"int64": "i", "float64": "f", "datetime": "t"}
 
 
 def cell_sql(name: str, dtype: str) -> str:
     text = f"CAST({name} AS VARCHAR)"
-    framed = f"concat('{_TAG[dtype]}', length({text}), ':', {text})"
+    if dtype == "object":
+        return f"CASE WHEN {name} IS NULL THEN 'N' ELSE concat('s', length({name}), ':', {name}) END"
+    closed = f"concat('{_TAG[dtype]}', {text}, ';')"
     if dtype == "float64":
         return (
-            f"CASE WHEN {name} IS NULL OR isnan({name}) THEN 'N' WHEN {name} = 'inf' THEN 'fp' "
-            f"WHEN {name} = '-inf' THEN 'fm' ELSE {framed} END"
+            f"CASE WHEN {name} IS NULL OR isnan({name}) THEN 'N' WHEN {name} = 'inf' THEN 'fInfinity;' "
+            f"WHEN {name} = '-inf' THEN 'f-Infinity;' ELSE {closed} END"
         )
-    return f"CASE WHEN {name} IS NULL THEN 'N' ELSE {framed} END"
+    return f"CASE WHEN {name} IS NULL THEN 'N' ELSE {closed} END"
 
 
 def row_sql(columns) -> str:
@@ -34,15 +37,27 @@ def header_sql(columns) -> str:
     return f'["cells-v1",[{listed}]]'
 
 
+def _crc32_sql(bits: str) -> str:
+    """CRC-32 of the four bytes of a number below 2^32, big end first.
+
+    It is linear in the bits: the value at zero, changed by one constant for each bit that is set.
+    """
+    zero = zlib.crc32(bytes(4))
+    text = str(zero)
+    for i in range(32):
+        change = zlib.crc32((1 << i).to_bytes(4, "big")) ^ zero
+        text = f"xor({text}, (({bits} >> {i}) & 1) * {change})"
+    return text
+
+
 def fingerprint_sql(dataset: str, source: str, columns) -> str:
-    lanes = ", ".join(
-        f"coalesce(sum(CAST(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT) AS HUGEINT)), 0) AS l{i}"
-        for i in range(4)
-    )
     return (
         f"SELECT '{dataset}' AS dataset, row_count, sha256(concat_ws('|', '{header_sql(columns)}', "
-        f"row_count, l0, l1, l2, l3)) AS data_fingerprint FROM (SELECT count(*) AS row_count, {lanes} "
-        f"FROM (SELECT sha256({row_sql(columns)}) AS h FROM {source}))"
+        f"row_count, sums)) AS data_fingerprint FROM (SELECT count(*) AS row_count FROM {source}), "
+        f"(SELECT string_agg(s, '|' ORDER BY lane) AS sums FROM (SELECT lane, "
+        f"sum(CAST({_crc32_sql('v')} AS HUGEINT)) AS s FROM (SELECT lane, "
+        f"CAST('0x' || substr(h, 1 + 8 * lane, 8) AS BIGINT) AS v FROM (SELECT sha256({row_sql(columns)}) AS h, "
+        f"unnest(range(0, 8)) AS lane FROM {source})) GROUP BY lane))"
     )
 
 

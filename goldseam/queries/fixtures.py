@@ -83,7 +83,7 @@ _PRICE_TEXT = (
     "CASE o_orderkey % 6 WHEN 0 THEN CAST(o_totalprice AS STRING) "
     "WHEN 1 THEN concat('-', CAST(o_orderkey AS STRING), CASE o_custkey % 4 WHEN 0 THEN '.5' "
     "WHEN 1 THEN '.250' WHEN 2 THEN '.125' ELSE '.3' END) "
-    "WHEN 2 THEN CAST(o_orderkey * 300239975158033 AS STRING) "
+    "WHEN 2 THEN concat(CAST(o_orderkey AS STRING), '00000000000000000') "
     "WHEN 3 THEN '1267650600228229401496703205376.0000000000' "
     "WHEN 4 THEN '1267650600228229401496703205377.0000000000' "
     "ELSE concat(CAST(o_custkey AS STRING), '.0') END"

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from goldseam.constants import DTYPE_TO_DATABASE_TYPE, MAX_IDENTIFIER_LENGTH, VERSION_SUFFIX_HEX
 from goldseam.functions.dtypes import canonical_spark_type, logical_dtype
+from goldseam.functions.encoding import quoted
 from goldseam.operators.ledger import latest_marker
-from goldseam.operators.profile import quoted
 from goldseam.sources.tables import require_identifier
 
 MARKER_SCHEMA = (

@@ -6,12 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from goldseam.functions.encoding import schema_header
-from goldseam.operators.fingerprint import (
-    dataset_fingerprint,
-    fingerprint_aggregates,
-    fingerprint_digest,
-)
+from goldseam.operators.fingerprint import measure
 
 _KEY = ["dataset_id", "provenance_fingerprint"]
 
@@ -53,10 +48,10 @@ def load_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 def replay_check(stored: DataFrame, dataset: str, row_count: int, fingerprint: str) -> DataFrame:
     """One row: whether the stored data still has the count and fingerprint on record."""
-    measured = stored.agg(*fingerprint_aggregates(stored)).select(
+    measured = measure(stored).select(
         F.lit(dataset).alias("dataset"),
         F.col("row_count").alias("replay_row_count"),
-        fingerprint_digest(schema_header(stored)).alias("replay_fingerprint"),
+        F.col("data_fingerprint").alias("replay_fingerprint"),
     )
     return measured.select(
         "dataset",
@@ -84,8 +79,8 @@ def load_verified(
     return stored
 
 
-def capture(df: DataFrame, dataset: str, folder: str) -> tuple[int, str]:
+def capture(df: DataFrame, folder: str) -> tuple[int, str]:
     """Store a snapshot and return its row count and fingerprint, measured on what was stored."""
     write_snapshot(df, folder)
-    row = dataset_fingerprint(load_snapshot(df.sparkSession, folder), dataset).first()
+    row = measure(load_snapshot(df.sparkSession, folder)).first()
     return row.row_count, row.data_fingerprint

@@ -9,12 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from goldseam.constants import DTYPE_TO_DATABASE_TYPE, IDENTIFIER
 from goldseam.functions.dtypes import logical_dtype
-from goldseam.functions.encoding import schema_header
-from goldseam.operators.fingerprint import (
-    fingerprint_aggregates,
-    fingerprint_digest,
-    schema_fingerprint,
-)
+from goldseam.operators.fingerprint import dataset_fingerprint, schema_fingerprint
 from goldseam.operators.profile import key_proof
 
 
@@ -110,10 +105,7 @@ def trusted_read(df: DataFrame, dataset: str, key: Sequence[str]) -> DataFrame:
     Count and data fingerprint come from one aggregate over the scan. Only the key proof shuffles,
     and it reads the key columns alone.
     """
-    data = df.agg(*fingerprint_aggregates(df)).select(
-        F.lit(dataset).alias("dataset"),
-        fingerprint_digest(schema_header(df)).alias("data_fingerprint"),
-    )
+    data = dataset_fingerprint(df, dataset).drop("row_count")
     schema = schema_fingerprint(column_metadata(df, dataset))
     proof = key_proof(df, dataset, key).select(
         "dataset", "primary_key", "row_count", F.col("proved").alias("key_proved")
