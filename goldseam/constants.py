@@ -113,9 +113,9 @@ REORDER_OUTCOMES = (
 )
 
 COMPONENT_VERSIONS = {
-    "inspector": "1.0",
-    "consultant": "1.2",
-    "surgeon": "2.2",
+    "profile": "1.0",
+    "governance": "1.0",
+    "repair": "1.0",
 }
 REORDER_POLICY_VERSION = "phase3.3-policy-v1"
 

@@ -111,16 +111,25 @@ def cast_decision(
     Reason codes come in first-seen order, which for keyed data means by the smallest key that
     has each of them. Without ``by`` an empty table still gives its (SAFE) decision rows.
     """
-    spark = df.sparkSession
     groups = list(by)
     found = verdicts(df, casts, keep=[*groups, *[k for k in key if k not in groups]])
+    failing = F.col("reason").isNotNull()
     per_reason = found.groupBy(*groups, "cast_id", "reason").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("is_null")).alias("nulls"),
-        F.min(F.when(F.col("reason").isNotNull(), _first_key(key))).alias("first_key"),
+        F.min(F.when(failing, _first_key(key))).alias("first_key"),
     )
-    failing = F.col("reason").isNotNull()
-    per_cast = per_reason.groupBy(*groups, "cast_id").agg(
+    if not groups:
+        # A row of zeros per cast, so that an empty table has decisions too.
+        zeros = df.sparkSession.range(len(casts)).select(
+            F.col("id").cast("int").alias("cast_id"),
+            F.lit(None).cast("string").alias("reason"),
+            F.lit(0).cast("bigint").alias("n"),
+            F.lit(0).cast("bigint").alias("nulls"),
+            F.lit(None).cast(per_reason.schema["first_key"].dataType).alias("first_key"),
+        )
+        per_reason = per_reason.unionByName(zeros)
+    joined = per_reason.groupBy(*groups, "cast_id").agg(
         F.sum("n").alias("total"),
         F.sum("nulls").alias("nulls"),
         F.sum(F.when(failing, F.col("n")).otherwise(0)).alias("failing"),
@@ -130,25 +139,24 @@ def cast_decision(
             F.collect_list(F.when(failing, F.struct("first_key", "reason")))
         ).alias("reasons"),
     )
-    requested = spark.createDataFrame(
-        [
-            (i, c.column, logical_dtype(_field(df, c.column)), c.normalized, c.supported)
-            for i, c in enumerate(casts)
-        ],
-        "cast_id int, column_name string, source_dtype string, target_dtype string, "
-        "supported boolean",
+
+    def of_cast(values: Sequence[str | bool]) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("cast_id") + 1)
+
+    joined = joined.withColumns(
+        {
+            "column_name": of_cast([c.column for c in casts]),
+            "source_dtype": of_cast([logical_dtype(_field(df, c.column)) for c in casts]),
+            "target_dtype": of_cast([c.normalized for c in casts]),
+            "supported": of_cast([c.supported for c in casts]),
+        }
     )
-    joined = requested.join(per_cast, "cast_id", "inner" if groups else "left")
-    total = F.coalesce("total", F.lit(0))
-    nulls = F.coalesce("nulls", F.lit(0))
-    failing_count = F.coalesce("failing", F.lit(0))
+    total, nulls, failing_count = F.col("total"), F.col("nulls"), F.col("failing")
     non_null = total - nulls
     whole_column = ~F.col("supported") | (
         (F.col("target_dtype") == "object") & (failing_count > 0)
     )
-    reasons = F.coalesce(
-        F.transform("reasons", lambda r: r["reason"]), F.array().cast("array<string>")
-    )
+    reasons = F.transform("reasons", lambda r: r["reason"])
     return joined.select(
         *groups,
         "column_name",
@@ -161,8 +169,7 @@ def cast_decision(
         F.lit(C.POLICY_VERSION).alias("policy_version"),
         total.alias("total_count"),
         nulls.alias("null_count"),
-        F.when(whole_column, 0).otherwise(F.coalesce("passing", F.lit(0))).cast("bigint")
-        .alias("converted_count"),
+        F.when(whole_column, 0).otherwise(F.col("passing")).cast("bigint").alias("converted_count"),
         F.when(whole_column, non_null).otherwise(failing_count).alias("failed_count"),
         F.when(whole_column, 1).otherwise(failing_count).cast("bigint")
         .alias("diagnostic_count"),

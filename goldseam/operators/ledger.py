@@ -414,36 +414,48 @@ def latest_marker(markers: DataFrame) -> DataFrame:
     )
 
 
-def operation_outcome(executions: DataFrame, markers: DataFrame) -> DataFrame:
-    """completed, identity_mismatch or not_committed for each (execution, operation).
+def _with_marks(executions: DataFrame, markers: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Outcome of each (execution, operation) and the version its matching marker names.
 
-    ``executions``: execution_id, operation, target_id. An operation is completed when one of its
-    markers names the same target, missing ids being equal to each other only.
+    Markers are folded per target first, so repeats of one operation do not pile up in the join.
     """
-    marks = markers.select(
-        "execution_id", "operation", F.col("target_id").alias("marker_target"),
-        F.lit(True).alias("marked"),
+    marks = (
+        markers.groupBy("execution_id", "operation", "target_id")
+        .agg(F.min_by("physical_table", F.struct("recorded_at", "marker_id")).alias("marked_table"))
+        .withColumnRenamed("target_id", "marker_target")
+        .withColumn("marked", F.lit(True))
     )
+    same = F.col("marked") & F.col("marker_target").eqNullSafe(F.col("target_id"))
     return (
         executions.join(marks, ["execution_id", "operation"], "left")
-        .groupBy("execution_id", "operation")
+        .groupBy("execution_id", "operation", *keep)
         .agg(
-            F.bool_or(
-                F.col("marked") & F.col("marker_target").eqNullSafe(F.col("target_id"))
-            ).alias("same"),
+            F.bool_or(same).alias("same"),
             F.count("marked").alias("n"),
+            F.max(F.when(same, F.col("marked_table"))).alias("physical_table"),
         )
         .select(
             "execution_id",
             "operation",
+            *keep,
             F.when(F.coalesce("same", F.lit(False)), "completed")
             .when(F.col("n") > 0, "identity_mismatch")
             .otherwise("not_committed")
             .alias("outcome"),
+            "physical_table",
         )
     )
 
 
+def operation_outcome(executions: DataFrame, markers: DataFrame) -> DataFrame:
+    """completed, identity_mismatch or not_committed for each (execution, operation).
+
+    ``executions``: execution_id, operation, target_id. An operation is completed when one of its
+    markers names the same target, missing ids being equal to each other only.
+    """
+    return _with_marks(executions, markers, []).drop("physical_table")
+
+
 def rollback_staleness(executions: DataFrame, markers: DataFrame) -> DataFrame:
     """Whether each COMPLETED execution may still be rolled back.
 
@@ -500,38 +512,19 @@ def reconcile(
             "operation", F.when(F.col("status") == "RUNNING", "PUBLISH").otherwise("ROLLBACK")
         )
     )
-    published = markers.groupBy("execution_id", "operation", "target_id").agg(
-        F.min_by("physical_table", F.struct("recorded_at", "marker_id")).alias("physical_table")
-    )
-    outcomes = operation_outcome(stuck, markers)
     running = F.col("status") == "RUNNING"
     settled = (
         F.when(F.col("outcome") == "completed", F.when(running, "COMPLETED").otherwise("ROLLED_BACK"))
         .when((F.col("outcome") == "not_committed") & running, "FAILED")
         .otherwise(F.col("status"))
     )
-    return (
-        stuck.join(outcomes, ["execution_id", "operation"])
-        .join(
-            published.select(
-                F.col("execution_id").alias("p_execution"),
-                F.col("operation").alias("p_operation"),
-                F.col("target_id").alias("p_target"),
-                "physical_table",
-            ),
-            (F.col("p_execution") == F.col("execution_id"))
-            & (F.col("p_operation") == F.col("operation"))
-            & F.col("p_target").eqNullSafe(F.col("target_id")),
-            "left",
-        )
-        .select(
-            "execution_id",
-            F.col("status").alias("old_status"),
-            "outcome",
-            settled.alias("new_status"),
-            F.when(settled == "COMPLETED", F.col("physical_table")).alias("physical_table"),
-            (settled == F.col("status")).alias("needs_review"),
-        )
+    return _with_marks(stuck, markers, ["status"]).select(
+        "execution_id",
+        F.col("status").alias("old_status"),
+        "outcome",
+        settled.alias("new_status"),
+        F.when(settled == "COMPLETED", F.col("physical_table")).alias("physical_table"),
+        (settled == F.col("status")).alias("needs_review"),
     )
 
 

@@ -60,16 +60,11 @@ def _lane_type(data_type: T.DataType) -> str:
     return data_type.simpleString()
 
 
-def _columns_frame(df: DataFrame, dataset: str, dtypes: Sequence[str]) -> DataFrame:
-    rows = [(dataset, i, n, d) for i, (n, d) in enumerate(zip(df.columns, dtypes, strict=True))]
-    return df.sparkSession.createDataFrame(
-        rows, "dataset string, ordinal int, column string, dtype string"
-    )
-
-
 def column_counts(df: DataFrame) -> DataFrame:
     """Per column position: null count (NaN included) and exact distinct count, in one scan.
 
+    Every position has a row, also where the table is empty.
+
     Columns are turned into rows of (position, value), with one value field per type so that
     values keep their types. Grouping by value first lets every task fold its repeats, so a
     value that fills a third of a column leaves each task as one row. The width of a row does
@@ -93,6 +88,12 @@ def column_counts(df: DataFrame) -> DataFrame:
     tall = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
     names = list(lanes.values())
     per_value = tall.groupBy("ordinal", *names).agg(F.count(F.lit(1)).alias("n"))
+    zeros = df.sparkSession.range(len(fields)).select(
+        F.col("id").cast("int").alias("ordinal"),
+        *[F.lit(None).cast(lane_type).alias(lane) for lane_type, lane in lanes.items()],
+        F.lit(0).cast("bigint").alias("n"),
+    )
+    per_value = per_value.unionByName(zeros)
     any_value = F.lit(False)
     for name in names:
         any_value = any_value | F.col(name).isNotNull()
@@ -103,17 +104,16 @@ def column_counts(df: DataFrame) -> DataFrame:
 
 
 def _observed(df: DataFrame, dataset: str, dtypes: Sequence[str]) -> DataFrame:
-    return (
-        _columns_frame(df, dataset, dtypes)
-        .join(column_counts(df), "ordinal", "left")
-        .select(
-            "dataset",
-            "ordinal",
-            "column",
-            "dtype",
-            F.coalesce("null_count", F.lit(0)).cast("bigint").alias("null_count"),
-            F.coalesce("unique_count", F.lit(0)).cast("bigint").alias("unique_count"),
-        )
+    def at(values: Sequence[str]) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("ordinal") + 1)
+
+    return column_counts(df).select(
+        F.lit(dataset).alias("dataset"),
+        "ordinal",
+        at(df.columns).alias("column"),
+        at(dtypes).alias("dtype"),
+        "null_count",
+        "unique_count",
     )
 
 

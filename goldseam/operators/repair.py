@@ -251,14 +251,12 @@ def healing_manifest(
         **({"column_order": C.REORDER_POLICY_VERSION} if reorder_tried else {}),
     }
     measured = measure(after).select(
-        F.lit(1).alias("run"),
-        F.col("row_count").alias("final_row_count"),
-        F.col("data_fingerprint").alias("fingerprint"),
+        F.col("row_count").alias("final_row_count"), F.col("data_fingerprint").alias("fingerprint")
     )
-    originals = before.agg(F.count(F.lit(1)).alias("original_row_count")).select(
-        F.lit(1).alias("run"), "original_row_count"
+    originals = before.agg(F.count(F.lit(1)).alias("original_row_count"))
+    row = measured.unionByName(originals, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in ("original_row_count", "final_row_count", "fingerprint")]
     )
-    row = measured.join(originals, "run")
     b, a = F.col("original_row_count"), F.col("final_row_count")
     decision_json = (
         F.to_json(F.struct(*[F.lit(decision[f]).alias(f) for f in C.DECISION_FIELDS]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -105,11 +106,13 @@ def trusted_read(df: DataFrame, dataset: str, key: Sequence[str]) -> DataFrame:
     Count and data fingerprint come from one aggregate over the scan. Only the key proof shuffles,
     and it reads the key columns alone.
     """
-    data = dataset_fingerprint(df, dataset).drop("row_count")
-    schema = schema_fingerprint(column_metadata(df, dataset))
-    proof = key_proof(df, dataset, key).select(
-        "dataset", "primary_key", "row_count", F.col("proved").alias("key_proved")
-    )
-    return proof.join(data, "dataset").join(schema, "dataset").select(
-        "dataset", "primary_key", "key_proved", "row_count", "schema_fingerprint", "data_fingerprint"
-    )
+    parts = [
+        key_proof(df, dataset, key).select(
+            "dataset", "primary_key", F.col("proved").alias("key_proved"), "row_count"
+        ),
+        schema_fingerprint(column_metadata(df, dataset)),
+        dataset_fingerprint(df, dataset).drop("row_count"),
+    ]
+    facts = ("primary_key", "key_proved", "row_count", "schema_fingerprint", "data_fingerprint")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.groupBy("dataset").agg(*[F.first(f, ignorenulls=True).alias(f) for f in facts])
