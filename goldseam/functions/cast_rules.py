@@ -16,7 +16,7 @@ from pyspark.sql import Column, functions as F, types as T
 from goldseam import constants as C
 
 MAX_NATIVE_TEXT = 38
-_TWO_53 = 2**53
+MAX_BIGINT_TEXT = 18
 _TWO_64 = float(2**64)
 _TWO_32 = float(2**32)
 _WIDE = T.DecimalType(38, 0)
@@ -126,27 +126,26 @@ def _whole_double_as_decimal(x: Column) -> Column:
 def _short_text_is_exact(text: Column) -> Column:
     """Whether decimal text of at most 38 characters is exactly a binary64 value.
 
-    With k digits after the point (trailing zeros dropped) the text is N / 10^k. For k = 0 the
-    nearest double is compared digit for digit. Otherwise N has no factor 10, so the text is
-    exact iff 5^k divides N and the odd quotient fits in 53 bits.
+    With k digits after the point the text is N / 10^k. Let m be its nearest double times 2^k,
+    which is an exact scaling. The text is exact iff m is whole and m * 5^k = N. Text of up to 18
+    characters needs bigint arithmetic only.
     """
-    unsigned = F.ltrim(text, F.lit("+-"))
-    has_point = F.instr(unsigned, ".") > 0
-    whole = F.substring_index(unsigned, ".", 1)
-    fraction = F.when(
-        has_point, F.rtrim(F.substring_index(unsigned, ".", -1), F.lit("0"))
-    ).otherwise(F.lit(""))
-    k = F.length(fraction)
-    digits = F.concat(whole, fraction).try_cast(_WIDE)
-    powers = [5**i for i in range(MAX_NATIVE_TEXT)]
-    limits = [min(5**i * _TWO_53, 10**38 - 1) for i in range(MAX_NATIVE_TEXT)]
-    power = F.element_at(F.array(*[F.lit(Decimal(p)).cast(_WIDE) for p in powers]), k + 1)
-    limit = F.element_at(F.array(*[F.lit(Decimal(p)).cast(_WIDE) for p in limits]), k + 1)
-    whole_exact = (digits < F.lit(Decimal(_TWO_53)).cast(_WIDE)) | (
-        _whole_double_as_decimal(whole.try_cast("double")) == digits
+    point = F.instr(text, ".")
+    k = F.when(point > 0, F.length(text) - point).otherwise(F.lit(0))
+    digits = F.translate(text, "+-.", "")
+    scaled = F.abs(text.try_cast("double")) * F.element_at(
+        F.array(*[F.lit(float(2**i)) for i in range(MAX_NATIVE_TEXT)]), k + 1
     )
-    fraction_exact = ((digits % power) == F.lit(Decimal(0)).cast(_WIDE)) & (digits < limit)
-    return F.when(k == 0, whole_exact).otherwise(fraction_exact)
+    narrow = F.array(*[F.lit(5**i) for i in range(MAX_BIGINT_TEXT)])
+    wide = F.array(*[F.lit(Decimal(5**i)).cast(_WIDE) for i in range(MAX_NATIVE_TEXT)])
+    by_bigint = F.try_multiply(
+        scaled.try_cast("bigint"), F.element_at(narrow, k + 1)
+    ) == digits.try_cast("bigint")
+    by_decimal = F.try_multiply(
+        _whole_double_as_decimal(scaled), F.element_at(wide, k + 1)
+    ).cast(_WIDE) == digits.try_cast(_WIDE)
+    equal = F.when(F.length(text) <= MAX_BIGINT_TEXT, by_bigint).otherwise(by_decimal)
+    return (F.rint(scaled) == scaled) & F.coalesce(equal, F.lit(False))
 
 
 def _float64_from_string(text: Column) -> Column:

@@ -13,13 +13,18 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def build_session(app: str = "goldseam", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the engine expects; cluster settings win when present."""
+    """A session with the settings the engine expects; ``conf`` overrides them.
+
+    The method limit is HotSpot's own: generated methods above it are never compiled, and wide
+    proofs would run interpreted. Spark then generates smaller methods instead.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.session.timeZone": "UTC",
         **conf,
     }
