@@ -3,7 +3,7 @@
 State is folded from rows, never updated. Folds are aggregates wherever order allows it, so a
 busy ticket, target or execution is reduced in every task before it is shuffled. The two places
 that need neighbours or numbers in sequence (``register_versions``, ``execution_transitions``)
-work per day first and join the days up afterwards, so one key's history is not one task's work.
+work per hour first and join the hours up afterwards, so one key's history is not one task's work.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def register_versions(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     ``candidates``: candidate_id, schema_name, format_version, columns, created_by, submitted_at;
     ``existing``: schema_name, version_number, fingerprint. Candidates count in order of
     (submitted_at, candidate_id); of equal definitions the first is registered. Numbers go on from
-    the family's highest: counted per family and day, then offset by the days before.
+    the family's highest: counted per family and hour, then offset by the hours before.
     """
     checked = gold_fingerprint(
         candidates.withColumn("error", definition_error(candidates))
@@ -67,27 +67,27 @@ def register_versions(candidates: DataFrame, existing: DataFrame) -> DataFrame:
         "fingerprint",
         F.col("moment.candidate_id").alias("candidate_id"),
         F.col("moment.submitted_at").alias("submitted_at"),
-        F.to_date("moment.submitted_at").alias("day"),
+        F.date_trunc("hour", "moment.submitted_at").alias("hour"),
     )
     highest = existing.groupBy("schema_name").agg(F.max("version_number").alias("highest"))
-    earlier_days = Window.partitionBy("schema_name").orderBy("day").rowsBetween(
+    earlier_hours = Window.partitionBy("schema_name").orderBy("hour").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = (
-        fresh.groupBy("schema_name", "day")
+        fresh.groupBy("schema_name", "hour")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(earlier_days), F.lit(0)))
+        .withColumn("before", F.coalesce(F.sum("n").over(earlier_hours), F.lit(0)))
         .join(highest, "schema_name", "left")
         .select(
             "schema_name",
-            "day",
+            "hour",
             (F.coalesce("highest", F.lit(0)) + F.col("before")).alias("offset"),
         )
     )
-    within_day = Window.partitionBy("schema_name", "day").orderBy("submitted_at", "candidate_id")
+    within_hour = Window.partitionBy("schema_name", "hour").orderBy("submitted_at", "candidate_id")
     numbered = (
-        fresh.withColumn("place", F.row_number().over(within_day))
-        .join(offsets, ["schema_name", "day"])
+        fresh.withColumn("place", F.row_number().over(within_hour))
+        .join(offsets, ["schema_name", "hour"])
         .select("candidate_id", (F.col("offset") + F.col("place")).alias("version_number"))
     )
     return checked.join(numbered, "candidate_id", "left").select(
@@ -590,26 +590,26 @@ def execution_transitions(events: DataFrame) -> DataFrame:
     """Each event with the status before it and whether the step is legal.
 
     ``events``: execution_id, event_id, recorded_at, status. The status before is the previous
-    event of the same day, or else the last one of the nearest earlier day; so a long history is
-    sorted day by day, not in one piece.
+    event of the same hour, or else the last one of the nearest earlier hour; so a long history
+    is sorted hour by hour, not in one piece.
     """
-    dated = events.withColumn("day", F.to_date("recorded_at"))
-    within_day = Window.partitionBy("execution_id", "day").orderBy("recorded_at", "event_id")
-    over_days = Window.partitionBy("execution_id").orderBy("day")
+    dated = events.withColumn("hour", F.date_trunc("hour", "recorded_at"))
+    within_hour = Window.partitionBy("execution_id", "hour").orderBy("recorded_at", "event_id")
+    over_hours = Window.partitionBy("execution_id").orderBy("hour")
     closing = (
-        dated.groupBy("execution_id", "day")
+        dated.groupBy("execution_id", "hour")
         .agg(F.max_by("status", F.struct("recorded_at", "event_id")).alias("last_status"))
         .select(
-            "execution_id", "day", F.lag("last_status").over(over_days).alias("opening_status")
+            "execution_id", "hour", F.lag("last_status").over(over_hours).alias("opening_status")
         )
     )
-    previous = F.coalesce("same_day", "opening_status")
+    previous = F.coalesce("same_hour", "opening_status")
     legal = F.when(previous.isNull(), F.col("status").isin("PENDING", "RUNNING"))
     for before, after in _LEGAL.items():
         legal = legal.when(previous == before, F.col("status").isin(*after))
     return (
-        dated.withColumn("same_day", F.lag("status").over(within_day))
-        .join(closing, ["execution_id", "day"])
+        dated.withColumn("same_hour", F.lag("status").over(within_hour))
+        .join(closing, ["execution_id", "hour"])
         .select(
             "execution_id",
             "event_id",

@@ -1,17 +1,13 @@
-"""Repairs as projections, the proof that they kept the data, and what they report."""
+"""Repairs as projections, the proof that they kept the data, and the risk they carry."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from goldseam import constants as C
-from goldseam.functions.actions import parse_action
-from goldseam.functions.dtypes import logical_dtype
 from goldseam.functions.encoding import quoted
-from goldseam.operators.cast import Cast, cast_decision, with_cast
 from goldseam.operators.fingerprint import measure
 from goldseam.session import case_sensitive
 
@@ -134,150 +130,3 @@ def drop_invalid_blocked(plans: DataFrame) -> DataFrame:
     return plans.where(F.contains("action", F.lit(C.DROP_INVALID_MARKER))).withColumn(
         "outcome", F.lit("DROP_INVALID_FORBIDDEN")
     )
-
-
-# --- one repair, all or nothing ---------------------------------------------------------
-@dataclass(frozen=True)
-class RepairResult:
-    """What a repair gave: the data (unchanged when not applied) and its audit row."""
-
-    data: DataFrame
-    applied: bool
-    outcome: str
-    decision: Row | None
-    manifest: DataFrame
-
-
-def _typed_action(df: DataFrame, action: str) -> Row:
-    return (
-        df.sparkSession.createDataFrame([(action,)], "action string")
-        .select(parse_action(F.col("action")).alias("a"))
-        .select("a.*")
-        .first()
-    )
-
-
-def apply_repair(
-    df: DataFrame,
-    action: str,
-    gold_columns: Sequence[tuple[str, str]],
-    key: Sequence[str],
-    *,
-    mode: str = "sandbox",
-    operator: str = "system",
-    as_of: str,
-    allowed_pairs: Sequence[tuple[str, str]] | None = None,
-) -> RepairResult:
-    """Run one repair action against the data.
-
-    The driver sees schemas and aggregate rows only. Whatever fails leaves the data untouched and
-    is reported with a stable outcome code. In live mode a cast must be on the allowlist.
-    """
-    gold_order = [name for name, _ in gold_columns]
-    plan = _typed_action(df, action)
-    data, applied, decision, outcome = df, False, None, "NOT_APPLIED"
-    if plan.error is not None:
-        outcome = plan.error
-    elif plan.kind == "RENAME":
-        try:
-            data, applied, outcome = rename_column(df, plan.column, plan.target), True, "RENAMED"
-        except RepairRefused:
-            outcome = "RENAME_REFUSED"
-    elif plan.kind == "CAST":
-        data, applied, decision, outcome = _apply_cast(df, plan, key, mode, allowed_pairs)
-    else:
-        data, applied, outcome = _apply_reorder(df, plan.target_order, gold_columns)
-    if applied and list(data.columns) != gold_order:
-        outcome = f"{outcome}_WITH_SCHEMA_MISMATCH"
-    manifest = healing_manifest(
-        df, data, action, applied, outcome, decision, gold_order, mode, operator, as_of,
-        reorder_tried=plan.kind == "REORDER",
-    )
-    return RepairResult(data, applied, outcome, decision, manifest)
-
-
-def _apply_cast(
-    df: DataFrame,
-    plan: Row,
-    key: Sequence[str],
-    mode: str,
-    allowed_pairs: Sequence[tuple[str, str]] | None,
-) -> tuple[DataFrame, bool, Row | None, str]:
-    if plan.drop_invalid:
-        return df, False, None, "DROP_INVALID_FORBIDDEN"
-    field = next((f for f in df.schema.fields if f.name == plan.column), None)
-    if field is None:
-        return df, False, None, "CAST_SOURCE_MISSING"
-    cast = Cast(plan.column, plan.target)
-    if mode == "live" and (logical_dtype(field), cast.normalized) not in set(allowed_pairs or ()):
-        return df, False, None, "CAST_PAIR_NOT_ALLOWED"
-    decision = cast_decision(df, [cast], key).first()
-    if decision.status != "SAFE":
-        return df, False, decision, f"CAST_{decision.status}"
-    return with_cast(df, cast), True, decision, "CAST_SAFE"
-
-
-def _apply_reorder(
-    df: DataFrame, target_order: Sequence[str], gold_columns: Sequence[tuple[str, str]]
-) -> tuple[DataFrame, bool, str]:
-    gold_order = [name for name, _ in gold_columns]
-    if list(target_order) != gold_order:
-        return df, False, "TARGET_NOT_GOLD_ORDER"
-    seen = {f.name: logical_dtype(f) for f in df.schema.fields}
-    if seen != dict(gold_columns) or list(df.columns) == gold_order:
-        return df, False, "NOT_REORDER_ONLY"
-    candidate = reorder_columns(df, target_order)
-    proof = preservation_proof(df, candidate, target_order).first().outcome
-    return (candidate, True, "REORDERED") if proof == "PRESERVED" else (df, False, proof)
-
-
-def healing_manifest(
-    before: DataFrame,
-    after: DataFrame,
-    action: str,
-    applied: bool,
-    outcome: str,
-    decision: Row | None,
-    gold_order: Sequence[str],
-    mode: str,
-    operator: str,
-    as_of: str,
-    reorder_tried: bool = False,
-) -> DataFrame:
-    """The audit row of one execution, with the fingerprint of the corrected data."""
-    versions: Mapping[str, str] = {
-        **C.COMPONENT_VERSIONS,
-        **({"type_repair": decision.policy_version} if decision is not None else {}),
-        **({"column_order": C.REORDER_POLICY_VERSION} if reorder_tried else {}),
-    }
-    measured = measure(after).select(
-        F.col("row_count").alias("final_row_count"), F.col("data_fingerprint").alias("fingerprint")
-    )
-    originals = before.agg(F.count(F.lit(1)).alias("original_row_count"))
-    row = measured.unionByName(originals, allowMissingColumns=True).agg(
-        *[F.max(c).alias(c) for c in ("original_row_count", "final_row_count", "fingerprint")]
-    )
-    b, a = F.col("original_row_count"), F.col("final_row_count")
-    decision_json = (
-        F.to_json(F.struct(*[F.lit(decision[f]).alias(f) for f in C.DECISION_FIELDS]))
-        if decision is not None
-        else F.lit(None).cast("string")
-    )
-    return row.select(
-        F.lit(as_of).cast("timestamp_ntz").alias("recorded_at"),
-        F.lit(action).alias("action"),
-        F.lit(applied).alias("applied"),
-        F.lit(applied and list(after.columns) == list(gold_order)).alias("matches_gold_order"),
-        F.lit(outcome).alias("outcome"),
-        F.lit(mode).alias("execution_mode"),
-        F.lit(operator).alias("operator"),
-        F.create_map(*[F.lit(x) for pair in versions.items() for x in pair]).alias(
-            "component_versions"
-        ),
-        "original_row_count",
-        "final_row_count",
-        integrity_status(b, a).alias("integrity_status"),
-        risk_level(F.lit(applied), b, a).alias("risk_level"),
-        decision_json.alias("conversion_outcome"),
-        F.col("fingerprint").alias("corrected_output_fingerprint"),
-    )

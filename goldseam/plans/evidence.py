@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 
 from goldseam import constants as C
 from goldseam.functions import cast_rules as rules
@@ -44,6 +44,7 @@ class Evidence:
     outcome: str
     decision: Row | None
     corrected: DataFrame | None
+    output_row_count: int | None
     output_fingerprint: str | None
 
 
@@ -73,10 +74,14 @@ def corrected_frame(df: DataFrame, plan: Row) -> tuple[DataFrame | None, Cast |
     return with_cast(df, cast), cast, "CAST_PENDING"
 
 
-def gather(df: DataFrame, action: str, key: Sequence[str]) -> Evidence:
-    """Prove one action on one table, in one scan."""
+def gather(
+    df: DataFrame, action: str, key: Sequence[str], refusal: str | None = None
+) -> Evidence:
+    """Prove one action on one table, in one scan. A refused action is measured, not proved."""
     plan = typed_action(df, action)
-    corrected, cast, outcome = corrected_frame(df, plan)
+    corrected, cast, outcome = (
+        (None, None, refusal) if refusal is not None else corrected_frame(df, plan)
+    )
     # First every original column, next to the cast value; then the digests of both forms of the
     # row; then the aggregates. Each step uses the one before, so nothing is computed twice.
     places = {n: f"_b{i}" for i, n in enumerate(df.columns)}
@@ -102,7 +107,10 @@ def gather(df: DataFrame, action: str, key: Sequence[str]) -> Evidence:
     if cast is not None:
         decision = _decision(df, cast, key, row if corrected is not None else None)
         outcome = f"CAST_{decision.status}"
-        if decision.status != "SAFE":
+        if decision.status == "SAFE" and (row.changed or row.moved):
+            # The values that would be written are not the ones that were proved.
+            outcome = "CAST_ERROR"
+        if outcome != "CAST_SAFE":
             corrected = None
     return Evidence(
         row.s_row_count,
@@ -110,6 +118,7 @@ def gather(df: DataFrame, action: str, key: Sequence[str]) -> Evidence:
         outcome,
         decision,
         corrected,
+        row.o_row_count if corrected is not None else None,
         row.output if corrected is not None else None,
     )
 
@@ -128,8 +137,19 @@ def _cast_aggregates(df, cast, value, key, places):
     first = (
         F.col(places[key[0]]) if len(key) == 1 else F.struct(*[F.col(places[k]) for k in key])
     )
-    parts = [null.alias("_null")]
-    aggregates = [F.count_if(F.col("_null")).alias("nulls")]
+    widened = cast.normalized == "object" and not isinstance(data_type, T.StringType)
+    gone = rules.is_null(F.col("_v"), "variant") if widened else F.col("_v").isNull()
+    back = rules.cast_back_equals(value, F.col("_v"), data_type, cast.normalized)
+    parts = [
+        null.alias("_null"),
+        (null != gone).alias("_moved"),
+        (~null & ~F.coalesce(back, F.lit(False))).alias("_changed"),
+    ]
+    aggregates = [
+        F.count_if(F.col("_null")).alias("nulls"),
+        F.count_if(F.col("_moved")).alias("moved"),
+        F.count_if(F.col("_changed")).alias("changed"),
+    ]
     if cast.normalized in _REASONS:
         parts += [rules.reason(value, data_type, cast.normalized).alias("_reason"), first.alias("_key")]
         for i, code in enumerate(_REASONS[cast.normalized]):

@@ -302,7 +302,8 @@ def execute_live(
     if approval.output_fingerprint != evidence.output_fingerprint:
         return Execution(False, "OUTPUT_MISMATCH")
     version, previous = publisher.publish(
-        target, evidence.corrected, execution_id, approval.row_count, ticket.gold, as_of, target_id
+        target, evidence.corrected, execution_id, approval.row_count, ticket.gold, as_of, target_id,
+        approval.output_fingerprint,
     )
     return Execution(True, "PUBLISHED", version, previous)
 

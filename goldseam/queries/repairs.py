@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from goldseam.operators import repair as ops
 from goldseam.operators.cast import Cast, with_cast
+from goldseam.plans.repairs import apply_repair
 from goldseam.queries import register
 from goldseam.queries.fixtures import SAFE_TEXTS, Fixture, table, with_sql
 from goldseam.queries.fingerprints import fingerprint_sql
@@ -37,7 +38,7 @@ def repair_cast(spark, sf_dir):
         ("o_orderkey", "int64"), ("count_text", "int64"), ("amount_text", "object"),
         ("flag_text", "object"), ("maybe_count", "int64"), ("o_totalprice", "float64"),
     ]
-    result = ops.apply_repair(
+    result = apply_repair(
         df, "CAST_COLUMN count_text TO int64", gold, ["o_orderkey"], as_of=_AS_OF
     )
     return result.data.withColumn("maybe_count", F.coalesce("maybe_count", F.lit(-1)))
@@ -46,7 +47,7 @@ def repair_cast(spark, sf_dir):
 @register("repair_reorder", "SELECT c_custkey, c_name FROM customer")
 def repair_reorder(spark, sf_dir):
     action = 'REORDER_COLUMNS TO ["c_custkey","c_name"]'
-    return ops.apply_repair(
+    return apply_repair(
         _REVERSED.frame(spark, sf_dir), action, _CUSTOMER_GOLD, ["c_custkey"], as_of=_AS_OF
     ).data
 
@@ -204,7 +205,7 @@ def risk_tier(spark, sf_dir):
 def healing_manifest(spark, sf_dir):
     df = SAFE_TEXTS.frame(spark, sf_dir).select("o_orderkey", "count_text")
     gold = [("o_orderkey", "int64"), ("count_text", "int64")]
-    manifest = ops.apply_repair(
+    manifest = apply_repair(
         df, "CAST_COLUMN count_text TO int64", gold, ["o_orderkey"], as_of=_AS_OF
     ).manifest
     return manifest.select(

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -52,14 +52,6 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/goldseam/{purpose}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_folder(spark, purpose)
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def case_sensitive(spark: SparkSession) -> Iterator[None]:
     """Column names differ by case here; the caller's setting is restored afterwards."""

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from goldseam.constants import DTYPE_TO_DATABASE_TYPE, MAX_IDENTIFIER_LENGTH, VERSION_SUFFIX_HEX
 from goldseam.functions.dtypes import canonical_spark_type, logical_dtype
 from goldseam.functions.encoding import quoted
+from goldseam.operators.fingerprint import measure
 from goldseam.operators.ledger import latest_marker
 from goldseam.sources.tables import require_identifier
 
@@ -95,10 +96,13 @@ class Publisher:
         gold_columns: Sequence[tuple[str, str]],
         as_of: str,
         target_id: str | None = None,
+        expected_fingerprint: str | None = None,
     ) -> tuple[str, str | None]:
         """Write a version, check it, repoint the view, append the marker.
 
         Returns the new and the previous version. Types come from Gold, never from the values.
+        With ``expected_fingerprint`` the stored rows themselves must be the approved ones, so a
+        source that changed between proof and write is caught before the view moves.
         """
         require_identifier(target, "logical target")
         for name in df.columns:
@@ -122,7 +126,13 @@ class Publisher:
         physical_table = version_table(target, execution_id)
         folder = self.version_folder(physical_table)
         canonical.write.mode("errorifexists").parquet(folder)
-        written = self.spark.read.parquet(folder).count()
+        stored = self.spark.read.parquet(folder)
+        if expected_fingerprint is None:
+            written = stored.count()
+        else:
+            written, fingerprint = measure(stored).first()
+            if fingerprint != expected_fingerprint:
+                raise PublicationRefused("The stored rows are not the approved ones.")
         if written != expected_rows:
             raise PublicationRefused(f"{written} rows written, {expected_rows} expected.")
         self._repoint(target, physical_table, df.columns)

@@ -9,6 +9,7 @@ from conftest import rows
 from goldseam.operators import repair
 from goldseam.operators.fingerprint import measure
 from goldseam.plans import evidence
+from goldseam.plans.repairs import apply_repair
 from goldseam.plans.migration import Table, TicketRefused, approve, execute_live, open_ticket, simulate
 from goldseam.session import shared_folder
 from goldseam.sources import publish, snapshots
@@ -24,7 +25,7 @@ def texts(spark):
 
 
 def repaired(df, action, gold=GOLD, **kw):
-    return repair.apply_repair(df, action, gold, ["id"], as_of=AS_OF, **kw)
+    return apply_repair(df, action, gold, ["id"], as_of=AS_OF, **kw)
 
 
 def test_safe_cast_changes_only_its_column(texts):
@@ -79,7 +80,7 @@ def test_reorder_keeps_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([("x", 1.5, None), (None, float("nan"), 2)], "o string, n double, i bigint")
     gold = [("i", "int64"), ("n", "float64"), ("o", "object")]
     for frame in (df, df.limit(0)):
-        result = repair.apply_repair(frame, 'REORDER_COLUMNS TO ["i","n","o"]', gold, ["i"], as_of=AS_OF)
+        result = apply_repair(frame, 'REORDER_COLUMNS TO ["i","n","o"]', gold, ["i"], as_of=AS_OF)
         assert result.outcome == "REORDERED" and result.data.columns == ["i", "n", "o"]
         assert repair.exact_difference(frame, result.data).count() == 0
 
@@ -105,6 +106,13 @@ def test_evidence_of_one_scan_equals_separate_proofs(texts, action, expected):
         ).first()
 
 
+def test_values_that_differ_from_their_proof_are_not_applied(texts, monkeypatch):
+    real = evidence.rules.converted
+    monkeypatch.setattr(evidence.rules, "converted", lambda *a: real(*a) + 1)
+    result = repaired(texts, "CAST_COLUMN amount TO int64")
+    assert (result.applied, result.outcome) == (False, "CAST_ERROR")
+
+
 def test_evidence_falls_back_for_long_text(spark):
     df = spark.createDataFrame([(1, str(2**130 + 1)), (2, "1")], "id bigint, amount string")
     found = evidence.gather(df, "CAST_COLUMN amount TO float64", ["id"])
@@ -186,6 +194,8 @@ def test_refused_publications_leave_the_view(spark, site):
         publisher.publish(target, df, "6" * 32, 2, GOLD, "2024-01-02 00:00:00")
     with pytest.raises(publish.PublicationRefused):
         publisher.publish(target, df.withColumn("amount", F.lit("x")), "7" * 32, 1, GOLD, "2024-01-02 00:00:00")
+    with pytest.raises(publish.PublicationRefused, match="approved"):
+        publisher.publish(target, df, "b" * 32, 1, GOLD, "2024-01-02 00:00:00", expected_fingerprint="0" * 64)
     with pytest.raises(Exception, match="ALREADY_EXISTS"):
         publisher.publish(target, df, "4" * 32, 1, GOLD, "2024-01-02 00:00:00")
     assert rows(spark.table(target)) == [(1, 10)] and publisher.markers().count() == 1
