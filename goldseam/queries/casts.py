@@ -386,10 +386,9 @@ def stale_decision(spark, sf_dir):
         "dataset",
         F.when(F.col("k") == 4, "RENAME_COLUMN v -> w").otherwise("CAST_COLUMN v TO int64").alias("action"),
     )
-    stored = kept.where(
-        (F.col("k") != 3) & ((F.col("k") != 4) | (F.col("total_count") % 2 == 0))
-    ).select(
-        "dataset",
+    has_one = (F.col("k") != 3) & ((F.col("k") != 4) | (F.col("total_count") % 2 == 0))
+    stored = kept.select(
+        F.when(has_one, F.col("dataset")).otherwise(F.concat(F.lit("gone_"), "dataset")).alias("dataset"),
         F.lit("v").alias("column_name"),
         F.when(F.col("k") == 2, "UNSAFE").otherwise("SAFE").alias("status"),
         F.lit("object").alias("source_dtype"),

@@ -148,12 +148,12 @@ _SEEN = Fixture(
 _KNOWN = Fixture(
     "customer",
     [
-        "concat('sys_', CAST(c_custkey % 5 AS STRING)) AS source_system",
+        "CASE WHEN c_custkey % 3 = 0 THEN concat('sys_', CAST(c_custkey % 5 AS STRING)) "
+        "ELSE 'retired' END AS source_system",
         "'finance' AS source_schema",
         "concat('t_', CAST(c_custkey AS STRING)) AS source_table",
         "md5(CAST(c_custkey AS STRING)) AS source_dataset_id",
     ],
-    where="c_custkey % 3 = 0",
 )
 _FRAMED = "concat(length(source_system), ':', source_system, length(source_schema), ':', source_schema, length(source_table), ':', source_table)"
 
@@ -530,14 +530,14 @@ _MARKERS = Fixture(
     "events",
     [
         "event_id AS marker_id",
-        "event_id + CASE WHEN event_id % 6 = 5 THEN 1 ELSE 0 END AS execution_id",
+        "CASE event_id % 12 WHEN 3 THEN -1 - event_id WHEN 7 THEN -1 - event_id WHEN 11 THEN event_id + 1 "
+        "WHEN 5 THEN event_id + 1 ELSE event_id END AS execution_id",
         "concat('target_', CAST(user_id AS STRING)) AS logical_target",
         "CASE WHEN event_type = 'view' THEN NULL ELSE concat('v_', CAST(event_id AS STRING)) END AS physical_table",
         "CASE WHEN event_type = 'error' THEN 'ROLLBACK' ELSE 'PUBLISH' END AS operation",
         "ts AS recorded_at",
         "CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id END AS target_id",
     ],
-    where="event_id % 4 <> 3",
 )
 _EXECUTIONS = Fixture(
     "events",
@@ -734,12 +734,11 @@ _LINKS = Fixture(
 _LINKED = Fixture(
     "orders",
     [
-        "o_orderkey AS execution_id",
+        "CASE WHEN o_orderkey % 17 = 0 THEN -1 - o_orderkey ELSE o_orderkey END AS execution_id",
         "CASE WHEN o_orderkey % 11 = 0 THEN 'COMPLETED' ELSE 'RUNNING' END AS status",
         "CASE WHEN o_orderkey % 12 = 0 THEN NULL ELSE o_custkey * 2 END AS simulation_run_id",
         "CASE WHEN o_orderkey % 13 = 0 THEN o_custkey + 1 WHEN o_orderkey % 13 = 1 THEN o_custkey END AS revalidation_run_id",
     ],
-    where="o_orderkey % 17 <> 0",
 )
 _LINK_RUNS = Fixture(
     "customer",

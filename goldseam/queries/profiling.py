@@ -175,14 +175,14 @@ _CONSTRAINTS = Fixture(
 _KEY_USAGE = Fixture(
     "orders",
     [
-        "concat('pk_', CAST(o_orderkey % 100 AS STRING)) AS constraint_name",
+        "concat(CASE WHEN pos <= 1 + o_orderkey % 3 THEN 'pk_' ELSE 'ix_' END, "
+        "CAST(o_orderkey % 100 AS STRING)) AS constraint_name",
         "o_orderstatus AS constraint_schema",
         "o_orderstatus AS table_schema",
         "concat('t_', CAST(o_orderkey AS STRING)) AS table_name",
         "concat('c', CAST((o_custkey + 7 * pos) % 10 AS STRING)) AS column_name",
         "CAST(pos AS INT) AS ordinal_position",
     ],
-    where="pos <= 1 + o_orderkey % 3",
     repeat=3,
 )
 
@@ -262,12 +262,11 @@ _APPLIED = Fixture(
     "orders",
     [
         "concat('ds_', CAST(o_orderkey AS STRING)) AS dataset",
-        "CASE WHEN o_orderkey % 4 = 0 THEN 'RENAME' ELSE 'CAST' END AS kind",
+        "CASE o_orderkey % 4 WHEN 0 THEN 'RENAME' WHEN 3 THEN 'NONE' ELSE 'CAST' END AS kind",
         "'Amount' AS `column`",
         "CASE WHEN o_orderkey % 4 = 0 THEN 'amount' ELSE 'object' END AS target",
         "o_orderkey % 4 <> 2 AS applied",
     ],
-    where="o_orderkey % 4 < 3",
 )
 
 

@@ -116,11 +116,11 @@ _STORED = Fixture(
     "customer",
     [
         "c_custkey AS dataset_id",
-        "md5(CAST(c_custkey % 4 AS STRING)) AS provenance_fingerprint",
+        "CASE WHEN c_custkey % 2 = 0 THEN md5(CAST(c_custkey % 4 AS STRING)) ELSE md5('other') END "
+        "AS provenance_fingerprint",
         "CASE WHEN c_custkey % 5 = 0 THEN 'id2' ELSE 'id' END AS source_primary_key",
         "c_custkey % 4 AS source_row_count",
     ],
-    where="c_custkey % 2 = 0",
 )
 
 
