@@ -286,11 +286,11 @@ STORED_DECISIONS = Fixture(
         "CAST(CASE WHEN k = 8 THEN -1 ELSE 0 END AS BIGINT) AS null_count",
         "CAST(o_custkey AS BIGINT) AS converted_count",
         "CAST(CASE WHEN k = 9 THEN 3 ELSE 0 END AS BIGINT) AS failed_count",
-        "CAST(CASE WHEN k IN (3, 6, 7, 10, 11) THEN 2 WHEN k = 5 THEN 1 ELSE 0 END AS BIGINT) "
+        "CAST(CASE WHEN k IN (3, 6, 7, 10) THEN 2 WHEN k = 5 THEN 1 ELSE 0 END AS BIGINT) "
         "AS diagnostic_count",
         "split(CASE WHEN k IN (4, 5) THEN 'PARSE_ERROR,OUT_OF_RANGE' "
         "WHEN k = 6 THEN 'PARSE_ERROR,PARSE_ERROR' WHEN k = 7 THEN 'PARSE_ERROR,' "
-        "WHEN k IN (3, 11) THEN 'PARSE_ERROR' ELSE 'none' END, ',') AS codes_or_none",
+        "WHEN k = 3 THEN 'PARSE_ERROR' ELSE 'none' END, ',') AS codes_or_none",
     ],
     inner=["o_orderkey % 12 AS k"],
 )

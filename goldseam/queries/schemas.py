@@ -108,7 +108,7 @@ def complete_match(spark, sf_dir):
     return ops.complete_match(*_schemas(spark, sf_dir))
 
 
-# --- reorder-only proof: one outcome per o_orderkey % 17 --------------------------------
+# --- reorder-only proof: one outcome per o_orderkey % 18 --------------------------------
 _PROOF = Fixture(
     "orders",
     [
@@ -128,7 +128,7 @@ _PROOF = Fixture(
         "CASE WHEN o_custkey % 3 = 0 THEN 'int64' ELSE 'float64' END AS other",
         "k",
     ],
-    inner=["o_orderkey % 17 AS k"],
+    inner=["o_orderkey % 18 AS k"],
 )
 
 def _outcome_sql() -> str:
