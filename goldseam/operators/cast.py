@@ -16,6 +16,7 @@ from goldseam import constants as C
 from goldseam.functions import cast_rules as rules
 from goldseam.functions.dtypes import logical_dtype, normalize_target_name
 from goldseam.functions.encoding import quoted
+from goldseam.session import exact_names
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,7 @@ def _needs_long_text_branch(data_type: T.DataType, cast: Cast) -> bool:
     return cast.normalized == "float64" and rules.source_kind(data_type) == "string"
 
 
+@exact_names
 def verdicts(df: DataFrame, casts: Sequence[Cast], keep: Sequence[str] = ()) -> DataFrame:
     """One row per input row and cast: ``keep`` columns, cast_id, reason, is_null, value_type.
 
@@ -103,6 +105,7 @@ def _first_key(keys: Sequence[str]) -> Column:
     return quoted(keys[0]) if len(keys) == 1 else F.struct(*[quoted(k) for k in keys])
 
 
+@exact_names
 def cast_decision(
     df: DataFrame, casts: Sequence[Cast], key: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
@@ -195,6 +198,7 @@ def _message(reason: Column, target: Column) -> Column:
     )
 
 
+@exact_names
 def cast_diagnostics(df: DataFrame, casts: Sequence[Cast], key: Sequence[str]) -> DataFrame:
     """Every failing row by key: column, value type, target, reason, redacted message.
 
@@ -248,6 +252,7 @@ def cast_diagnostics(df: DataFrame, casts: Sequence[Cast], key: Sequence[str]) -
     return result.withColumn("message", _message(F.col("reason_code"), F.col("target_dtype")))
 
 
+@exact_names
 def with_cast(df: DataFrame, cast: Cast) -> DataFrame:
     """The column replaced by its cast value, at the same position. Only valid after SAFE."""
     field = _field(df, cast.column)
@@ -263,6 +268,7 @@ def with_cast(df: DataFrame, cast: Cast) -> DataFrame:
     )
 
 
+@exact_names
 def materialize_check(df: DataFrame, casts: Sequence[Cast]) -> DataFrame:
     """After SAFE, before the write: counts, null places and every value rechecked in one pass."""
     spark = df.sparkSession
@@ -300,6 +306,7 @@ def materialize_check(df: DataFrame, casts: Sequence[Cast]) -> DataFrame:
     return measured.select(F.explode(rows).alias("r")).select("r.*")
 
 
+@exact_names
 def null_rules(df: DataFrame, column: str, key: Sequence[str]) -> DataFrame:
     """How each target treats the column's nulls (NaN included): kept, or rejected with a reason."""
     null = rules.is_null(quoted(column), rules.source_kind(_field(df, column).dataType))
@@ -392,6 +399,7 @@ def stale_decisions(plans: DataFrame, stored: DataFrame, fresh: DataFrame) -> Da
     return left.select("dataset", "action", outcome.alias("outcome"))
 
 
+@exact_names
 def cast_values(df: DataFrame, cast: Cast, key: Sequence[str]) -> DataFrame:
     """Key, reason (null when the cast keeps the value) and cast value of every row."""
     data_type = _field(df, cast.column).dataType

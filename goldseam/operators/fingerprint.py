@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from goldseam import constants as C
 from goldseam.functions.actions import is_identifier
 from goldseam.functions.encoding import quoted, row_text, schema_header
+from goldseam.session import exact_names
 
 _LANES = 8
 
 
 # --- data ----------------------------------------------------------------------
+@exact_names
 def row_encoding(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Key columns and the canonical text of each row."""
     return df.select(*key, row_text(df).alias("row_text"))
@@ -66,6 +68,7 @@ def dataset_fingerprint(
     )
 
 
+@exact_names
 def measure(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row: row_count and data_fingerprint."""
     sums = df.select(row_digest(df, columns).alias("_digest")).agg(
@@ -84,6 +87,7 @@ def merkle_depth(row_count: int, bucket_rows: int = 100_000) -> int:
     return depth
 
 
+@exact_names
 def merkle_fingerprint(
     df: DataFrame, dataset: str, row_count: int, bucket_rows: int = 100_000
 ) -> DataFrame:
@@ -334,6 +338,7 @@ def decode_payloads(payloads: DataFrame, tag_key: str = "__type__") -> DataFrame
     )
 
 
+@exact_names
 def encode_payload_cells(df: DataFrame, tag_key: str = "__type__") -> DataFrame:
     """Each column as the JSON text of its stored cells (version 2), one field per column.
 

@@ -10,6 +10,7 @@ from goldseam.constants import DATABASE_TYPE_TO_DTYPE
 from goldseam.functions import cast_rules as rules
 from goldseam.functions.dtypes import UnsupportedTypeError, logical_dtype
 from goldseam.functions.encoding import quoted
+from goldseam.session import exact_names
 
 OBSERVED_SCHEMA = (
     "dataset string, ordinal int, column string, dtype string, "
@@ -60,6 +61,7 @@ def _lane_type(data_type: T.DataType) -> str:
     return data_type.simpleString()
 
 
+@exact_names
 def column_counts(df: DataFrame) -> DataFrame:
     """Per column position: null count (NaN included) and exact distinct count, in one scan.
 
@@ -122,6 +124,7 @@ def observe_schema(df: DataFrame, dataset: str) -> DataFrame:
     return _observed(df, dataset, [logical_dtype(f) for f in df.schema.fields])
 
 
+@exact_names
 def observe_schema_trusted(
     df: DataFrame, dataset: str, column_types: Mapping[str, str]
 ) -> DataFrame:
@@ -144,6 +147,7 @@ def observe_schema_trusted(
     return _observed(shaped, dataset, dtypes)
 
 
+@exact_names
 def observe_nulls(df: DataFrame, dataset: str) -> DataFrame:
     """Order, logical type and null count only: no distinct count, so no shuffle of values."""
     fields = df.schema.fields
@@ -168,6 +172,7 @@ def observe_nulls(df: DataFrame, dataset: str) -> DataFrame:
     return counted.select(F.explode(rows).alias("r")).select("r.*")
 
 
+@exact_names
 def json_unique_count(df: DataFrame, column: str) -> DataFrame:
     """Distinct JSON values: objects equal up to key order count once."""
     field = next(f for f in df.schema.fields if f.name == column)
@@ -203,6 +208,7 @@ def discover_keys(constraints: DataFrame, key_usage: DataFrame) -> DataFrame:
     )
 
 
+@exact_names
 def key_proof(df: DataFrame, dataset: str, key: Sequence[str]) -> DataFrame:
     """Whether the declared key is unique and non-null; one row.
 

@@ -9,29 +9,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 from goldseam import constants as C
 from goldseam.functions.encoding import quoted
 from goldseam.operators.fingerprint import measure
-from goldseam.session import case_sensitive
+from goldseam.session import exact_names
 
 
 class RepairRefused(ValueError):
     """The repair cannot be applied; the input stays as it was."""
 
 
+@exact_names
 def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
     """Rename one column, exactly as spelled. A missing source or a taken name is refused."""
     if old not in df.columns:
         raise RepairRefused(f"Rename source column not found: {old}.")
     if new in df.columns:
         raise RepairRefused(f"Rename target column already exists: {new}.")
-    with case_sensitive(df.sparkSession):
-        return df.select(*[quoted(c).alias(new if c == old else c) for c in df.columns])
+    return df.select(*[quoted(c).alias(new if c == old else c) for c in df.columns])
 
 
+@exact_names
 def reorder_columns(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Columns in the given order, which must hold exactly the columns there are."""
     if len(set(order)) != len(order) or sorted(order) != sorted(df.columns):
         raise RepairRefused("The target order does not hold exactly the columns of the data.")
-    with case_sensitive(df.sparkSession):
-        return df.select(*[quoted(c) for c in order])
+    return df.select(*[quoted(c) for c in order])
 
 
 def preservation_proof(before: DataFrame, after: DataFrame, order: Sequence[str]) -> DataFrame:

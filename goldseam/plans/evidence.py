@@ -24,6 +24,7 @@ from goldseam.operators.fingerprint import (
     row_digest,
 )
 from goldseam.operators.repair import RepairRefused, rename_column, reorder_columns
+from goldseam.session import exact_names
 
 _REASONS = {
     "int64": (
@@ -74,6 +75,7 @@ def corrected_frame(df: DataFrame, plan: Row) -> tuple[DataFrame | None, Cast |
     return with_cast(df, cast), cast, "CAST_PENDING"
 
 
+@exact_names
 def gather(
     df: DataFrame, action: str, key: Sequence[str], refusal: str | None = None
 ) -> Evidence:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -62,3 +63,17 @@ def case_sensitive(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def exact_names(operator: Callable) -> Callable:
+    """For operators that name columns of user data: ``Id`` and ``id`` are two columns there.
+
+    Names are resolved when an operator builds its plan, so the setting matters only inside.
+    """
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **kwargs):
+        with case_sensitive(df.sparkSession):
+            return operator(df, *args, **kwargs)
+
+    return run

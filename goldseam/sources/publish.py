@@ -19,6 +19,7 @@ from goldseam.functions.dtypes import canonical_spark_type, logical_dtype
 from goldseam.functions.encoding import quoted
 from goldseam.operators.fingerprint import measure
 from goldseam.operators.ledger import latest_marker
+from goldseam.session import exact_names
 from goldseam.sources.tables import require_identifier
 
 MARKER_SCHEMA = (
@@ -45,6 +46,18 @@ def signature(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, DTYPE_TO_DATABASE_TYPE[logical_dtype(f)]) for f in df.schema.fields]
 
 
+@exact_names
+def _canonical(df: DataFrame) -> DataFrame:
+    return df.select(
+        *[
+            quoted(f.name)
+            .cast(canonical_spark_type(f))
+            .alias(f.name, metadata={"logical": logical_dtype(f)})
+            for f in df.schema.fields
+        ]
+    )
+
+
 @dataclass(frozen=True)
 class Publisher:
     """Versions and markers below one folder; views in the session's current database."""
@@ -111,14 +124,7 @@ class Publisher:
             raise PublicationRefused("The data does not have exactly the Gold columns and types.")
         latest = self._latest(target)
         previous = latest.physical_table if latest else None
-        canonical = df.select(
-            *[
-                quoted(f.name)
-                .cast(canonical_spark_type(f))
-                .alias(f.name, metadata={"logical": logical_dtype(f)})
-                for f in df.schema.fields
-            ]
-        )
+        canonical = _canonical(df)
         if previous is not None:
             published = self.spark.read.parquet(self.version_folder(previous))
             if signature(published) != signature(canonical):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from goldseam.operators import repair
+from goldseam.operators import profile, repair
 from goldseam.operators.fingerprint import measure
 from goldseam.plans import evidence
 from goldseam.plans.repairs import apply_repair
@@ -76,6 +76,20 @@ def test_rename_by_case_only(spark):
     assert repair.rename_column(df, "Customer_ID", "customer_id").columns == ["customer_id", "name"]
 
 
+def test_names_that_differ_by_case_are_two_columns(spark):
+    df = spark.createDataFrame([(1, "5", None)], "id bigint, Amount string, amount string")
+    observed = rows(profile.observe_schema(df, "d"), "column", "null_count", "unique_count")
+    assert observed == [("Amount", 0, 1), ("amount", 1, 0), ("id", 0, 1)]
+    assert profile.key_proof(df, "d", ["id"]).first().proved
+    found = evidence.gather(df, "CAST_COLUMN Amount TO int64", ["id"])
+    assert found.outcome == "CAST_SAFE" and found.source_fingerprint == measure(df).first().data_fingerprint
+    assert found.corrected.first() == (1, 5, None)
+    assert evidence.gather(df, "CAST_COLUMN amount TO int64", ["id"]).outcome == "CAST_UNSAFE"
+    renamed = repair.rename_column(df, "Amount", "total")
+    assert renamed.columns == ["id", "total", "amount"]
+    assert spark.conf.get("spark.sql.caseSensitive") == "false"
+
+
 def test_reorder_keeps_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([("x", 1.5, None), (None, float("nan"), 2)], "o string, n double, i bigint")
     gold = [("i", "int64"), ("n", "float64"), ("o", "object")]
