@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldseam.llm import decontaminate, packed_ids, prefix_bpe, simhash, token_counts
+from goldseam.llm import (
+    decontaminate,
+    line_dedup,
+    oracles,
+    packed_ids,
+    prefix_bpe,
+    quality,
+    shards,
+    simhash,
+    token_counts,
+    url_filter,
+)
 from goldseam.llm.common import table
 from goldseam.session import shared_folder
 
@@ -15,6 +26,13 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 CONTEXT_TOKENS = 1024
 END_ID = 0
+SHARDS = 16
+URL_RULES = [
+    url_filter.UrlRule("block", "net", "/"),
+    url_filter.UrlRule("allow", "example.net", "/en/"),
+    url_filter.UrlRule("block", "example.com", "/de/"),
+    url_filter.UrlRule("allow", "org", "/fr/"),
+]
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +53,21 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_shared", "n_item", "containment")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page."""
+    return url_filter.judged(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and verdict of every document; cutoffs from all labels."""
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every line with a word, and whether it is the one that stays."""
+    return line_dedup.line_classes(table(spark, sf_dir, "documents")).drop("place")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -50,12 +83,36 @@ def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.read_packed(spark, path)
 
 
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to shuffled shards and read back."""
+    docs = table(spark, sf_dir, "documents")
+    path = shared_folder(spark, "shards")
+    shards.write_shards(docs, path, SHARDS)
+    text, doc_id = F.col("record.text"), F.col("record.doc_id")
+    return shards.read_shards(spark, path, docs.schema).select(
+        doc_id.alias("doc_id"),
+        shards.size_of(text).alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit(shards.LAW).alias("law"),
+        "shard",
+        "slot",
+        shards.shard_of(doc_id, SHARDS + 1).alias("grown_shard"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_prefix_bpe": op3_prefix_bpe,
     "op4_decontaminate": op4_decontaminate,
+    "op5_url_filter": op5_url_filter,
+    "op6_quality": op6_quality,
+    "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
     "op9_packed_ids": op9_packed_ids,
+    "op10_shards": op10_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": oracles.url_filter(URL_RULES),
+    "op6_quality": oracles.quality(),
+}
