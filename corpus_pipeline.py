@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from goldseam.llm import decontaminate, prefix_bpe, simhash
+from goldseam.llm import decontaminate, line_dedup, prefix_bpe, quality, simhash
 from goldseam.llm.common import staged, table
 from goldseam.llm.queries import WORD_BPE
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, with cutoffs learnt from the labels of these documents."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that an earlier line is similar to."""
+    return line_dedup.without_repeated_lines(docs)
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component."""
     return simhash.keep_one_per_component(docs)
@@ -25,6 +35,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", good_documents),
+    ("line_dedup", first_lines),
     ("simhash_dedup", one_of_each_group),
     ("decontaminate", without_benchmark),
     ("encode", encode),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from goldseam.session import shared_folder
@@ -40,26 +40,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def blocked_running_sum(
-    df: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = 4096
+    df: DataFrame, keys: list[str], order: list[str], value: str, out: str, block: int = 4096
 ) -> DataFrame:
-    """Exclusive running sum of ``value`` within ``keys`` in the order of the long ``order`` column.
+    """Exclusive running sum of ``value`` within ``keys`` in the order of ``order``, as column ``out``.
 
-    A plain window would put a whole key into one task. Here rows are summed per (key, block of
-    ``order`` values); only the block totals of a key meet in one window, and within a block the
-    window sees at most the rows of ``block`` consecutive order values. (key, order) should be unique:
-    rows that tie are taken in no particular order.
+    The first order column is a long without nulls. A plain window would put a whole key into one task.
+    Here rows are summed per (key, block of values of that column); only block totals of a key meet in
+    one window, and inside a block a window sees the rows of ``block`` consecutive values.
     """
-    from pyspark.sql import Window
-
-    b, base = fresh(df.columns, "_block"), fresh(df.columns, "_base")
-    cut = df.withColumn(b, F.floor(F.col(order) / F.lit(block)))
+    b, base, own = (fresh([*df.columns, out], x) for x in ("_block", "_base", "_own"))
+    cut = df.withColumn(b, F.floor(F.col(order[0]) / F.lit(block)))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*keys, b).agg(F.sum(value).alias(base))
-    totals = totals.withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0)))
-    inside = Window.partitionBy(*keys, b).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = cut.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    on = [summed[k].eqNullSafe(totals[k]) for k in (*keys, b)]
-    joined = summed.join(totals, on, "inner")
-    return joined.select(
-        *[summed[c] for c in df.columns], (summed[out] + totals[base]).cast("long").alias(out)
+    totals = cut.groupBy(*keys, b).agg(F.sum(value).alias(own))
+    totals = totals.withColumn(base, F.coalesce(F.sum(own).over(before), F.lit(0))).drop(own)
+    inside = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = cut.withColumn(own, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    s, t = summed.alias("s"), totals.alias("t")
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in (*keys, b)]
+    return s.join(t, same, "inner").select(
+        *[F.col(f"s.{c}") for c in df.columns], (F.col(f"s.{own}") + F.col(f"t.{base}")).alias(out)
     )

@@ -77,3 +77,46 @@ cutoffs AS (SELECT stratum, {cuts} FROM last GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
   CASE WHEN base_failed THEN false ELSE NOT ({above}) END AS kept
 FROM b LEFT JOIN cutoffs USING (stratum)"""
+
+
+def quotation_linking() -> str:
+    return r"""
+WITH RECURSIVE msg AS (
+  SELECT row_number() OVER () AS place, conv_id, turn, coalesce(turn, -1) AS tick, role, text
+  FROM conversations),
+raw AS (SELECT place, conv_id, tick, unnest(string_split(text, chr(10))) AS l,
+    generate_subscripts(string_split(text, chr(10)), 1) AS i FROM msg),
+line AS (SELECT place, conv_id, tick, i, l,
+    length(regexp_replace(regexp_extract(l, '^(?:[ \t]{0,3}>)+'), '[^>]', '', 'g')) AS level,
+    CASE WHEN regexp_matches(l, '^(?:[ \t]{0,3}>)') THEN regexp_replace(l, '^(?:[ \t]{0,3}>)+[ \t]?', '')
+      ELSE l END AS body FROM raw),
+mark AS (SELECT *, CASE WHEN level = lag(level) OVER w THEN 0 ELSE 1 END AS new FROM line
+  WINDOW w AS (PARTITION BY place ORDER BY i)),
+run AS (SELECT *, sum(new) OVER (PARTITION BY place ORDER BY i) AS r FROM mark),
+piece AS (
+  SELECT place, conv_id, tick, level, string_agg(body, ' ' ORDER BY i) AS body FROM run
+    GROUP BY place, conv_id, tick, level, r
+  UNION ALL SELECT place, conv_id, tick, level, body FROM line),
+unit AS (SELECT DISTINCT place, conv_id, tick, level,
+    lower(trim(regexp_replace(body, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS norm FROM piece),
+said AS (SELECT conv_id, norm, min(tick) AS orig FROM unit WHERE level = 0 AND norm <> '' GROUP BY ALL),
+link AS (SELECT u.place, u.level, s.orig, sum(len(string_split(u.norm, ' '))) AS words, count(*) AS n
+  FROM unit u JOIN said s ON s.conv_id IS NOT DISTINCT FROM u.conv_id AND s.norm = u.norm
+  WHERE u.level > 0 AND s.orig < u.tick GROUP BY ALL),
+reply AS (SELECT place, arg_max(orig, struct_pack(a := -level, b := words, c := orig)) AS reply_to,
+    sum(n)::BIGINT AS n_linked FROM link GROUP BY place),
+parent AS (SELECT conv_id, tick, min(reply_to) AS up FROM msg JOIN reply USING (place) GROUP BY conv_id, tick),
+climb AS (
+  SELECT conv_id, tick, tick AS top FROM (SELECT DISTINCT conv_id, tick FROM msg)
+  UNION ALL
+  SELECT c.conv_id, c.tick, p.up FROM climb c JOIN parent p
+    ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.tick = c.top),
+root AS (SELECT conv_id, tick, min(top) AS thread_turn FROM climb GROUP BY conv_id, tick),
+body AS (SELECT place, string_agg(body, chr(10) ORDER BY i) FILTER (WHERE level = 0) AS body,
+    count(*) FILTER (WHERE level > 0) AS n_quoted_lines FROM line GROUP BY place)
+SELECT m.conv_id, m.turn, m.role, root.thread_turn, reply.reply_to,
+  row_number() OVER (PARTITION BY m.conv_id ORDER BY root.thread_turn, m.tick, m.place) - 1 AS position,
+  coalesce(n_quoted_lines, 0) AS n_quoted_lines, coalesce(n_linked, 0) AS n_linked,
+  trim(coalesce(body.body, ''), chr(10) || chr(13) || chr(9) || ' ') AS body
+FROM msg m JOIN root ON root.conv_id IS NOT DISTINCT FROM m.conv_id AND root.tick = m.tick
+LEFT JOIN reply ON reply.place = m.place LEFT JOIN body ON body.place = m.place"""

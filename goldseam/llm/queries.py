@@ -14,6 +14,7 @@ from goldseam.llm import (
     packed_ids,
     prefix_bpe,
     quality,
+    quotes,
     shards,
     simhash,
     token_counts,
@@ -35,6 +36,11 @@ URL_RULES = [
 ]
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotes, with the message it replies to and its place in reply order."""
+    return quotes.linked_messages(table(spark, sf_dir, "conversations"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts.with_token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, CONTEXT_TOKENS)
@@ -101,6 +107,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quotation_linking": op1_quotation_linking,
     "op2_token_counts": op2_token_counts,
     "op3_prefix_bpe": op3_prefix_bpe,
     "op4_decontaminate": op4_decontaminate,
@@ -113,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quotation_linking": oracles.quotation_linking(),
     "op5_url_filter": oracles.url_filter(URL_RULES),
     "op6_quality": oracles.quality(),
 }
