@@ -199,12 +199,13 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that the rules keep; cutoffs are learnt from ``docs`` itself."""
-    names = docs.columns
+    """The rows of ``docs``, all columns, that the rules keep; cutoffs are learnt from ``docs`` itself.
+
+    The rows are written once with their features, so that each text is looked at once.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     features = staged(
-        with_features(docs.select("doc_id", "text", "lang")).drop("text"), "quality-features"
+        with_features(docs.select(row, "doc_id", "text", "lang")).drop("text"), "quality-rows"
     )
-    cutoffs = learn_cutoffs(features, labels)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "text", "lang")
-    kept = with_verdicts(with_features(held), cutoffs).where("kept")
-    return kept.select("_row.*")
+    cutoffs = learn_cutoffs(features.drop("_row"), labels)
+    return with_verdicts(features, cutoffs).where("kept").select("_row.*")
