@@ -176,18 +176,18 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     An empty table gives an empty table; other columns are not read.
     """
     rows = staged(with_fingerprints(docs, words_per_shingle), "simhash-fingerprints")
-    return rows.join(component_ids(rows), "fp")
+    return rows.join(component_ids(rows).drop("root"), "fp")
 
 
 def component_ids(rows: DataFrame) -> DataFrame:
-    """(fp, component_id) for every different fingerprint of ``rows``."""
+    """(fp, root, component_id) for every different fingerprint of ``rows``; root names its component."""
     distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     linked = components(fingerprint_links(distinct.select("fp")), "simhash-components")
     rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "least"
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
@@ -206,8 +206,7 @@ def keep_one_per_component(docs: DataFrame, words_per_shingle: int = 3) -> DataF
     first = (
         known.join(groups.withColumnRenamed("fp", fp), fp)
         .where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-        # null ids of different components share the null component_id, so the fingerprint's root decides
-        .groupBy(F.coalesce("component_id", fp), F.col("component_id").isNull())
+        .groupBy("root")  # rows of one doc_id may be in different components
         .agg(F.min(place).alias(place))
         .select(place)
     )
