@@ -4,24 +4,30 @@ Lines are compared as their 7-character shingles (after trimming ASCII white spa
 shingle). Lines whose shingle sets have a Jaccard similarity of 0.8 or more are linked, links are followed,
 and of each component the first line stays, by (doc_id, line number). Everything is DataFrame operations.
 
-Signature. One hash per shingle; the hash range is cut into BANDS * ROWS bins, the least hash of a bin is
-its MinHash value, and an empty bin takes that of the next filled one. ROWS bins make a band; lines
-that agree in a band are candidates. At similarity 0.8 twelve bands of four miss about two pairs in a
-thousand, and fewer above it.
-
-Long lines are signed by a part of their shingles: those that begin a piece, where a piece starts behind
-a space and at every character beyond ASCII. That choice follows the content, so the sampled sets of two
-lines are as similar as the lines. Lines near the boundary get both signatures, and a long line
-with few pieces is signed in full.
-
-Candidates. Within a bucket every line is first compared with one pivot, the line with the most copies:
-in a group of near copies that is the original, and one comparison per line connects the group. Only
-lines that are still in different components after that are compared with each other.
+Signature. One hash per shingle; the hash range is cut into bins, the least hash of a bin is its MinHash
+value, and an empty bin takes that of the next filled one. A few bins make a band; lines that agree in a
+band are candidates. At similarity 0.8 two lines agree in one of fourteen bands of four, or of ten bands of
+three, all but once in a thousand times, in two of them all but about seven times; above it, more surely.
+
+Long lines are signed by a part of their character shingles: those that reach from the beginning of one
+word to the end of the next. That choice follows the content, so the sampled sets of two lines are about as
+similar as the lines, at a sixth of the work; and such shingles are longer and so rarer, so three per band
+do. Lines near the boundary get both signatures, and a long line with few spaces is signed in full.
+What is linked is decided by the 7-character shingles alone.
+
+A line's id is 64 bits of hash of its text. Two different lines share one with a chance of 1 in 37
+for a corpus of 10^9 different lines; they would count as copies.
+
+Candidates agree in two bands: two bands hold hardly a line that is not similar, however common the
+shingles of one band are. First every line is compared with a pivot that it meets in two buckets, a bucket's
+pivot being its line with the most copies: in a group of near copies that is the original, and one
+comparison per line connects the group. Then lines that agree in two bands and are still in different
+components are compared with each other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from goldseam.llm.common import fresh, if_small, staged
@@ -30,29 +36,25 @@ from goldseam.llm.components import components
 SHINGLE = 7
 #: Linked from this similarity on, in percent.
 SIMILARITY = 80
-BANDS, ROWS = 12, 4
-#: Lines up to FULL characters are signed in full, lines from SAMPLED on by pieces; SAMPLED / FULL < 0.8.
+#: (bands, bins of a band) of the signatures by word and in full.
+BY_WORD, IN_FULL = (10, 3), (14, 4)
+#: Lines up to FULL characters are signed in full, lines from SAMPLED on by words; SAMPLED / FULL < 0.8.
 FULL, SAMPLED = 200, 156
-#: A long line is signed by pieces only if it has one per so many characters.
-PIECE_EVERY = 24
+#: A long line is signed by words only if it has one per so many characters.
+WORD_EVERY = 24
 
 _BLANKS = " \t\x0b\f\r"
 _MARK = "\x01"
-_BINS = BANDS * ROWS
 
 
 def document_lines(docs: DataFrame, place: str) -> DataFrame:
-    """(place, doc_id, line_no, line, k1, k2) of every line with a word; line_no counts all lines from 0.
+    """(place, doc_id, line_no, id, line) of every line with a word; line_no counts all lines from 0.
 
-    ``line`` is trimmed; (k1, k2) are 128 bits of hash that stand for its text.
+    ``line`` is trimmed, and ``id`` a hash that stands for its text.
     """
     split = docs.select(place, "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    line = F.translate(F.btrim("line", F.lit(_BLANKS)), _MARK, " ")
-    return (
-        split.withColumn("line", line)
-        .where("line != ''")
-        .withColumns({"k1": F.xxhash64(F.lit(71), "line"), "k2": F.xxhash64(F.lit(72), "line")})
-    )
+    line = F.replace(F.btrim("line", F.lit(_BLANKS)), F.lit(_MARK), F.lit(" "))
+    return split.withColumn("line", line).where("line != ''").withColumn("id", F.xxhash64("line"))
 
 
 def shingles(line: str) -> Column:
@@ -67,57 +69,57 @@ def _hash(*parts) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 1)
 
 
-def _by_piece(pieces: str) -> Column:
-    """Hashes of the shingles that begin a piece; as many pieces as a shingle can reach over are joined."""
-
-    def shingle(x: Column, i: Column) -> Column:
-        reach = F.substring(F.array_join(F.slice(pieces, i + 1, SHINGLE), ""), 1, SHINGLE)
-        return _hash(F.when(F.length(x) >= SHINGLE, F.substring(x, 1, SHINGLE)).otherwise(reach))
-
-    return F.transform(pieces, shingle)
+def _signature_sets(lines: DataFrame) -> DataFrame:
+    """(id, copies, kind, hashes): of every line the hashes by word (kind 0), in full (1), or both."""
+    length = F.length("line")
+    split = lines.withColumn("words", F.when(length >= SAMPLED, F.split("line", " ")))
+    rich = F.size("words") * WORD_EVERY >= length
+    pairs = F.transform("words", lambda x, i: _hash(x, F.get("words", i + 1)))
+    signed = split.select("id", "copies", "line", F.when(rich, pairs).alias("by_word"))
+    in_full = (F.length("line") <= FULL) | F.col("by_word").isNull()
+    whole = F.when(in_full, F.transform(shingles("line"), lambda x: _hash(x)))
+    kinds = F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("by_word").alias("hashes")),
+        F.struct(F.lit(1).alias("kind"), whole.alias("hashes")),
+    )
+    return signed.select("id", "copies", F.inline(kinds)).where("hashes IS NOT NULL AND size(hashes) > 0")
 
 
-def _with_band_keys(rows: DataFrame, hashes: str, kind: int, out: str) -> DataFrame:
-    """``rows`` with the BANDS keys of the array ``hashes``; an empty array where that is null or empty."""
-    names = rows.columns
-    order, least, full = (fresh(names, x) for x in ("_order", "_least", "_full"))
-    bin_of = f"cast(shiftright(shiftright(%s, 39) * {_BINS}, 24) as int)"
-    here, earlier = bin_of % "x", bin_of % f"{order}[i - 1]"
-    rows = rows.withColumn(order, F.sort_array(hashes))
-    rows = rows.withColumn(least, F.expr(f"filter({order}, (x, i) -> i = 0 OR {here} != {earlier})"))
+def band_keys(sets: DataFrame) -> DataFrame:
+    """(id, copies, band): the keys under which the lines of ``sets`` meet their candidates."""
+    bits = [(bands * rows - 1).bit_length() for bands, rows in (BY_WORD, IN_FULL)]
+    rows = sets.select(
+        "id", "copies", "kind",
+        F.when(F.col("kind") == 0, 63 - bits[0]).otherwise(63 - bits[1]).alias("shift"),
+        F.sort_array("hashes").alias("ordered"),
+    )
+    here, earlier = "shiftright(x, shift)", "shiftright(ordered[i - 1], shift)"
+    rows = rows.select(
+        "id", "copies", "kind", "shift",
+        F.expr(f"filter(ordered, (x, i) -> i = 0 OR {here} != {earlier})").alias("least"),
+    )
     # a value fills its own bin and the empty ones before it, the first also those behind the last
-    prior, last = bin_of % f"{least}[i - 1]", bin_of % f"{least}[size({least}) - 1]"
+    prior = "shiftright(least[i - 1], shift)"
+    behind = "shiftleft(1L, 63 - shift) - 1 - shiftright(least[size(least) - 1], shift)"
     filled = (
-        f"concat(flatten(transform({least}, (x, i) -> array_repeat(x, {here} - if(i = 0, -1, {prior})))),"
-        f" array_repeat({least}[0], {_BINS - 1} - {last}))"
-    )
-    rows = rows.withColumn(full, F.when(F.size(least) > 0, F.expr(filled)))
-    values = ", ".join(f"{full}[b * {ROWS} + {r}]" for r in range(ROWS))
-    bands = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64({kind}, b, {values}))")
-    none = F.array().cast("array<bigint>")
-    return rows.withColumn(out, F.when(F.col(full).isNotNull(), bands).otherwise(none)).drop(
-        order, least, full
+        f"concat(flatten(transform(least, (x, i) -> array_repeat(x, cast({here} - if(i = 0, -1L, {prior}) as int)))),"
+        f" array_repeat(least[0], cast({behind} as int)))"
     )
+    rows = rows.select("id", "copies", "kind", F.expr(filled).alias("full"))
 
+    def keys(kind: int, shape: tuple[int, int]) -> str:
+        values = ", ".join(f"full[b * {shape[1]} + {r}]" for r in range(shape[1]))
+        return f"transform(sequence(0, {shape[0] - 1}), b -> xxhash64({kind}, b, {values}))"
 
-def with_bands(lines: DataFrame) -> DataFrame:
-    """``lines`` (place, doc_id, line_no, line, k1, k2) with ``bands``: the keys of a line's buckets."""
-    length = F.length("line")
-    pieces = F.split("line", "(?<=[ ])|(?=[^\\x00-\\x7F])")
-    rows = lines.withColumn("pieces", F.when(length >= SAMPLED, pieces))
-    rich = F.size("pieces") * PIECE_EVERY >= length
-    rows = rows.withColumn("by_piece", F.when(rich, _by_piece("pieces")))
-    whole = (length <= FULL) | F.col("by_piece").isNull()
-    rows = rows.withColumn("whole", F.when(whole, F.transform(shingles("line"), lambda x: _hash(x))))
-    rows = _with_band_keys(rows, "by_piece", 1, "bands_1")
-    rows = _with_band_keys(rows, "whole", 2, "bands_2")
-    return rows.withColumn("bands", F.concat("bands_1", "bands_2")).drop(
-        "pieces", "by_piece", "whole", "bands_1", "bands_2"
-    )
+    both = f"if(kind = 0, {keys(0, BY_WORD)}, {keys(1, IN_FULL)})"
+    return rows.select("id", "copies", F.explode(F.expr(both)).alias("band"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose lines are similar; ``texts`` has id and line of every line in a pair."""
+    """The ``pairs`` (a, b) whose lines are similar; ``texts`` has id and line of every line in a pair.
+
+    All shingles of both lines are compared, as 64-bit hashes.
+    """
     one = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
     two = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
     sets = (
@@ -125,8 +127,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         .join(two, "b")
         .select(
             "a", "b",
-            F.array_distinct(shingles("line_a")).alias("sa"),
-            F.array_distinct(shingles("line_b")).alias("sb"),
+            F.array_distinct(F.transform(shingles("line_a"), lambda x: F.xxhash64(x))).alias("sa"),
+            F.array_distinct(F.transform(shingles("line_b"), lambda x: F.xxhash64(x))).alias("sb"),
         )
     )
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -134,36 +136,42 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sets.where(similar).select("a", "b")
 
 
-def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, line) of the lines whose id is in the written table ``wanted``."""
-    own = lines.select(F.struct("k1", "k2").alias("id"), "line")
-    return own.join(if_small(wanted, 40), "id", "left_semi").dropDuplicates(["id"])
-
-
-def line_links(signed: DataFrame, lines: DataFrame) -> DataFrame:
-    """(node, root) of all lines that are linked to another; a line is its id (k1, k2).
+def _buckets(lines: DataFrame) -> DataFrame:
+    """(band, id, pivot, members) of every line in a bucket with another one.
 
-    ``signed`` is a written table of the lines with bands, ``lines`` gives the texts of candidates.
     Copies of a line are folded first, so a line with a third of all rows is one member of its buckets.
+    The pivot is the line with the most copies. Rows of a band are sorted, not gathered.
     """
-    distinct = signed.groupBy(F.struct("k1", "k2").alias("id")).agg(
-        F.count("*").alias("copies"), F.first("bands").alias("bands")
-    )
-    keyed = distinct.select(F.explode("bands").alias("band"), "id", "copies")
-    buckets = (
-        keyed.groupBy("band")
-        .agg(F.count("*").alias("members"), F.max(F.struct("copies", "id")).alias("top"))
+    distinct = lines.groupBy("id").agg(F.first("line").alias("line"), F.count("*").alias("copies"))
+    keyed = band_keys(_signature_sets(distinct))
+    by_copies = Window.partitionBy("band").orderBy(F.desc("copies"), "id")
+    whole = Window.partitionBy("band")
+    return (
+        keyed.withColumn("pivot", F.first("id").over(by_copies))
+        .withColumn("members", F.count("*").over(whole))
         .where("members > 1")
-        .select("band", "members", F.col("top.id").alias("pivot"))
+        .select("band", "id", "pivot", "members")
     )
-    shared = staged(keyed.drop("copies").join(buckets, "band"), "line-buckets")
+
+
+def line_links(lines: DataFrame) -> DataFrame:
+    """(node, root) of the ids of all lines that are linked to another; ``lines`` is a written table."""
+    shared = staged(_buckets(lines), "line-buckets")
     first = staged(
         shared.where("id != pivot")
-        .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        .distinct(),
+        .groupBy(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+        .agg(F.count("*").alias("bands"))
+        .where("bands > 1")
+        .select("a", "b"),
         "line-pairs",
     )
-    texts = staged(_texts(lines, staged(shared.select("id").distinct(), "line-members")), "line-texts")
+    members = staged(
+        shared.groupBy("id").agg(F.count("*").alias("bands")).where("bands > 1").select("id"), "line-members"
+    )
+    texts = staged(
+        lines.select("id", "line").join(if_small(members, 24), "id", "left_semi").dropDuplicates(["id"]),
+        "line-texts",
+    )
     links = staged(_verified(first, texts), "line-links")
     roots = components(links, "line-components")
     # what the pivots did not connect: pairs of a bucket that are still in different components
@@ -173,10 +181,17 @@ def line_links(signed: DataFrame, lines: DataFrame) -> DataFrame:
         .select("band", "id", F.coalesce("root", "id").alias("root"))
     )
     split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    rest = staged(placed.join(split.where("low != high").select("band"), "band", "left_semi"), "line-rest")
-    other = rest.select("band", F.col("id").alias("b"), F.col("root").alias("root_b"))
+    rest = placed.join(split.where("low != high").select("band"), "band", "left_semi")
+    listed = rest.groupBy("id", "root").agg(F.sort_array(F.collect_set("band")).alias("bands"))
+    twice = F.expr(
+        "flatten(transform(bands, (x, i) -> transform(slice(bands, i + 2, size(bands)), y -> xxhash64(x, y))))"
+    )
+    double = staged(
+        listed.where("size(bands) > 1").select(F.explode(twice).alias("band"), "id", "root"), "line-rest"
+    )
+    other = double.select("band", F.col("id").alias("b"), F.col("root").alias("root_b"))
     second = (
-        rest.join(other, "band")
+        double.join(other, "band")
         .where("id < b AND root != root_b")
         .select(F.col("id").alias("a"), "b")
         .distinct()
@@ -196,11 +211,12 @@ def line_classes(docs: DataFrame, place: str | None = None) -> DataFrame:
     table; other columns are not read.
     """
     number = F.col(place) if place else F.monotonically_increasing_id()
-    lines = document_lines(docs.select(number.alias("place"), "doc_id", "text"), "place")
-    signed = staged(with_bands(lines).drop("line"), "line-signatures")
-    roots = line_links(signed, lines)
+    lines = staged(
+        document_lines(docs.select(number.alias("place"), "doc_id", "text"), "place"), "lines"
+    )
+    roots = line_links(lines)
     known = (
-        signed.select("place", "doc_id", "line_no", F.struct("k1", "k2").alias("id"))
+        lines.select("place", "doc_id", "line_no", "id")
         .join(roots, F.col("id") == F.col("node"), "left")
         .select("place", "doc_id", "line_no", F.coalesce("root", "id").alias("root"))
     )
