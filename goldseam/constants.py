@@ -81,16 +81,13 @@ DTYPE_TO_DATABASE_TYPE = {
     "json": "jsonb",
 }
 
-# Extra dtype spellings a Gold schema may declare besides the logical ones.
-REGISTRABLE_FRAME_DTYPES = (
-    "int8", "int16", "int32", "int64",
-    "uint8", "uint16", "uint32", "uint64",
-    "float16", "float32", "float64",
-    "bool", "object", "string", "category",
-    "Int8", "Int16", "Int32", "Int64",
-    "UInt8", "UInt16", "UInt32", "UInt64",
-    "Float32", "Float64", "boolean",
-    "datetime64[ns]", "timedelta64[ns]",
+# Dtype spellings a Gold schema may declare besides the logical ones: families of one width each,
+# and times with a unit and, for points in time, a zone.
+REGISTRABLE_FRAME_DTYPE = (
+    r"^(u?int(8|16|32|64)|U?Int(8|16|32|64)|float(16|32|64)|Float(32|64)"
+    r"|complex(64|128)|bool|boolean|object|str|string|string\[(python|pyarrow)\]|category"
+    r"|timedelta64\[(s|ms|us|ns)\]"
+    r"|datetime64\[(s|ms|us|ns)(, ?[A-Za-z][A-Za-z0-9_+/:-]*)?\])\z"
 )
 
 # --- plans and governance ------------------------------------------------------
@@ -103,15 +100,6 @@ APPROVAL_THRESHOLD = 0.80
 REORDER_PREFIX = "REORDER_COLUMNS TO "
 DROP_INVALID_MARKER = "WITH_DROP_INVALID"
 
-REORDER_OUTCOMES = (
-    "INVALID_DELTA", "NOT_REORDER_EVENT", "MISSING_COLUMNS", "NEW_COLUMNS",
-    "TYPE_MISMATCHES", "INVALID_OBSERVED_ORDER", "DUPLICATE_OBSERVED_COLUMN",
-    "INVALID_GOLD_ORDER", "DUPLICATE_GOLD_COLUMN", "ALREADY_ORDERED",
-    "COLUMN_COUNT_MISMATCH", "COLUMN_MEMBERSHIP_MISMATCH",
-    "OBSERVED_SCHEMA_INCONSISTENT", "GOLD_SCHEMA_INCONSISTENT",
-    "DTYPE_MISMATCH", "ELIGIBLE",
-)
-
 COMPONENT_VERSIONS = {
     "profile": "1.0",
     "governance": "1.0",
@@ -128,13 +116,9 @@ FINGERPRINT = r"^[0-9a-f]{64}\z"
 FAILURE_CODE = r"^[A-Z][A-Z0-9_]{1,63}\z"
 GOLD_FORMAT_VERSION = 1
 PROVENANCE_FORMAT_VERSION = 1
-PAYLOAD_FORMAT_VERSION = 2
 FAILURE_REASON_MAX_LENGTH = 1000
 
 RUN_PURPOSES = ("SIMULATION", "LIVE_REVALIDATION")
-EXECUTION_STATUSES = (
-    "PENDING", "RUNNING", "COMPLETED", "FAILED", "ROLLING_BACK", "ROLLED_BACK",
-)
 TICKET_TAKEN_STATUSES = (
     "PENDING", "RUNNING", "COMPLETED", "ROLLING_BACK", "ROLLED_BACK",
 )

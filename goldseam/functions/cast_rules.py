@@ -14,7 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from goldseam import constants as C
+from goldseam.functions.dtypes import as_variant, has_odd_keys
 
+# What decimal(38,0) and bigint hold. Texts up to the second are decided by cheaper arithmetic with
+# the same verdict; texts beyond the first, without the zeros at the end of a fraction, by Python's.
 MAX_NATIVE_TEXT = 38
 MAX_BIGINT_TEXT = 18
 _TWO_64 = float(2**64)
@@ -105,9 +108,26 @@ def _float64_from_integer(value: Column) -> Column:
     return F.when(~survives, _reject(C.PRECISION_LOSS))
 
 
+def _trimmed(text: Column) -> Column:
+    """Decimal text without zeros at the end of the fraction; short text is left as it is."""
+    zeros = r"^([+-]?[0-9]+)(?:[.]0+|([.][0-9]*[1-9])0*)?\z"
+    return F.when(
+        F.length(text) > MAX_NATIVE_TEXT, F.regexp_replace(text, zeros, "$1$2")
+    ).otherwise(text)
+
+
 def is_long_decimal_text(text: Column) -> Column:
     """Decimal text that may have more digits than native decimals hold."""
-    return (F.length(text) > MAX_NATIVE_TEXT) & text.rlike(C.DECIMAL_TEXT)
+    return (
+        (F.length(text) > MAX_NATIVE_TEXT)
+        & text.rlike(C.DECIMAL_TEXT)
+        & (F.length(_trimmed(text)) > MAX_NATIVE_TEXT)
+    )
+
+
+def is_exact_text(text: Column) -> Column:
+    """Whether decimal text that is not long is exactly a binary64 value."""
+    return _short_text_is_exact(_trimmed(text))
 
 
 def _whole_double_as_decimal(x: Column) -> Column:
@@ -153,13 +173,13 @@ def _float64_from_string(text: Column) -> Column:
     return F.when(
         text.rlike(C.DECIMAL_TEXT),
         F.when(
-            (F.length(text) <= MAX_NATIVE_TEXT) & ~_short_text_is_exact(text),
+            (F.length(_trimmed(text)) <= MAX_NATIVE_TEXT) & ~is_exact_text(text),
             _reject(C.PRECISION_LOSS),
         ),
     ).otherwise(_non_finite_or_parse_error(text))
 
 
-def _long_decimal_is_exact(text: Column) -> Column:
+def long_decimal_is_exact(text: Column) -> Column:
     # Defined inside, so that workers get the function itself and need no copy of this package.
     def exact(batch: pd.Series) -> pd.Series:
         return batch.map(lambda s: Decimal(float(s)) == Decimal(s), na_action="ignore")
@@ -170,7 +190,7 @@ def _long_decimal_is_exact(text: Column) -> Column:
 def long_decimal_reason(text: Column) -> Column:
     return F.when(
         _is_infinite(text.try_cast("double")), _reject(C.NON_FINITE_NUMBER)
-    ).when(~_long_decimal_is_exact(text), _reject(C.PRECISION_LOSS))
+    ).when(~long_decimal_is_exact(text), _reject(C.PRECISION_LOSS))
 
 
 def _float64_from_float(value: Column) -> Column:
@@ -248,16 +268,18 @@ def _non_null_reason(value: Column, data_type: T.DataType, target: str) -> Colum
     return chain.otherwise(_reject(C.UNSUPPORTED_SOURCE_VALUE))
 
 
-def converted(value: Column, kind: str, target: str) -> Column:
+def converted(value: Column, data_type: T.DataType, target: str) -> Column:
     """The cast value. Meaningful only where ``reason`` is null; null elsewhere."""
+    kind = source_kind(data_type)
     spark_type = {"int64": "bigint", "float64": "double", "bool": "boolean"}.get(target)
     if target == "object":
-        return value if kind in ("string", "variant") else value.cast("variant")
+        return value if kind == "string" else as_variant(value, data_type)
     if kind == "variant":
         by_type = _variant_type(value)
         chain = None
-        for inner, names, inner_type in _VARIANT_KINDS:
-            branch = converted(F.try_variant_get(value, "$", inner_type), inner, target)
+        for _, names, inner_type in _VARIANT_KINDS:
+            plain = F.try_variant_get(value, "$", inner_type)
+            branch = converted(plain, T.DataType.fromDDL(inner_type), target)
             test = by_type.isin(*names)
             chain = F.when(test, branch) if chain is None else chain.when(test, branch)
         return chain
@@ -277,24 +299,52 @@ def converted(value: Column, kind: str, target: str) -> Column:
     return F.lit(None).cast(spark_type)
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.MapType):
+        return True
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, T.StructType) and any(_has_map(f.dataType) for f in kind.fields)
+
+
 def object_round_trips(value: Column, data_type: T.DataType) -> Column:
     """Whether widening to ``object`` can be undone without a change."""
     if source_kind(data_type) in ("string", "variant"):
         return F.lit(True)
-    widened = value.cast("variant")
-    if isinstance(data_type, T.MapType):
-        # Maps cannot be compared, so their JSON text is.
-        return F.to_json(widened).eqNullSafe(F.to_json(F.parse_json(F.to_json(value))))
+    if has_odd_keys(data_type):
+        return F.lit(False)  # such keys become text and cannot be told from text afterwards
+    widened = as_variant(value, data_type)
+    if _has_map(data_type):
+        # Maps cannot be compared, so the JSON of both is, which parsing puts into one key order.
+        back = F.try_variant_get(widened, "$", data_type.simpleString())
+        return F.to_json(F.parse_json(F.to_json(back))).eqNullSafe(
+            F.to_json(F.parse_json(F.to_json(value)))
+        )
     return F.try_variant_get(widened, "$", data_type.simpleString()).eqNullSafe(value)
 
 
 def cast_back_equals(
     original: Column, value: Column, data_type: T.DataType, target: str
 ) -> Column:
-    """Independent recheck after a SAFE verdict: undo the cast and compare with the original."""
-    if target == "object":
-        return object_round_trips(original, data_type)
+    """Recheck after a SAFE verdict: whether the cast value, taken back, is the original.
+
+    The inverse is not the cast itself: decimal text must be exactly the double it became, which is
+    shown without the cast (text too long for that is left to ``long_decimal_is_exact``), and a
+    value that saturates on the way back does not count as unchanged.
+    """
     kind = source_kind(data_type)
+    if target == "object":
+        return object_round_trips(original, data_type) & (
+            F.lit(True) if kind == "string" else F.to_json(value).isNotNull()
+        )
+    if kind == "variant":
+        by_type = _variant_type(original)
+        chain = F.when(is_null(original, kind), value.isNull())
+        for _, names, inner_type in _VARIANT_KINDS:
+            plain = F.try_variant_get(original, "$", inner_type)
+            back = cast_back_equals(plain, value, T.DataType.fromDDL(inner_type), target)
+            chain = chain.when(by_type.isin(*names), back)
+        return chain.otherwise(F.lit(False))
     if kind == "string" and target == "int64":
         unsigned = F.regexp_replace(original, r"^\+", "")
         return value.cast("string").eqNullSafe(
@@ -306,16 +356,26 @@ def cast_back_equals(
             token.isin(*C.FALSE_TOKENS) | original.isNull()
         )
     if kind == "string":
-        return value.eqNullSafe(original.try_cast("double"))
+        same = value.eqNullSafe(original.try_cast("double"))
+        exact = is_long_decimal_text(original) | is_exact_text(original)
+        return F.when(original.isNull(), value.isNull()).otherwise(
+            same & original.rlike(C.DECIMAL_TEXT) & exact
+        )
     if kind == "integer" and target == "bool":
         return value.cast("int").cast("bigint").eqNullSafe(original.cast("bigint"))
+    if kind == "integer" and target == "float64":
+        return F.when(original.isNull(), value.isNull()).otherwise(
+            (value < F.lit(C.INT64_HIGH)) & value.try_cast("bigint").eqNullSafe(original.cast("bigint"))
+        )
     if kind == "integer":
-        return value.try_cast("bigint").eqNullSafe(original.cast("bigint"))
+        return value.eqNullSafe(original.cast("bigint"))
     if kind == "float":
         return value.cast("double").eqNullSafe(
             F.when(~F.isnan(original), original.cast("double"))
-        )
-    return value.eqNullSafe(converted(original, kind, target))
+        ) & (F.lit(True) if target != "int64" else F.coalesce(original < F.lit(C.INT64_HIGH), F.lit(True)))
+    if kind == "boolean" and target == "bool":
+        return value.eqNullSafe(original)
+    return value.isNull() & original.isNull()
 
 
 def value_type_name(value: Column, data_type: T.DataType) -> Column:

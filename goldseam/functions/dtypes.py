@@ -9,7 +9,7 @@ from goldseam.constants import (
     DATABASE_TYPE_TO_DTYPE,
     DTYPE_TO_DATABASE_TYPE,
     EXTENDED_DTYPES,
-    REGISTRABLE_FRAME_DTYPES,
+    REGISTRABLE_FRAME_DTYPE,
 )
 
 
@@ -45,9 +45,9 @@ def logical_dtype(field: T.StructField) -> str:
 
 
 def canonical_spark_type(field: T.StructField) -> T.DataType:
-    """The type a column is published with."""
+    """The type a column is published with; an ``object`` column of variants keeps its types."""
     dtype = logical_dtype(field)
-    if dtype == "decimal":
+    if dtype == "decimal" or isinstance(field.dataType, T.VariantType):
         return field.dataType
     return {
         "int64": T.LongType(),
@@ -62,6 +62,32 @@ def canonical_spark_type(field: T.StructField) -> T.DataType:
     }[dtype]
 
 
+def has_odd_keys(kind: T.DataType) -> bool:
+    """Whether there is a map with keys that are no text, which variants do not have."""
+    if isinstance(kind, T.MapType):
+        return not isinstance(kind.keyType, T.StringType) or has_odd_keys(kind.valueType)
+    if isinstance(kind, T.ArrayType):
+        return has_odd_keys(kind.elementType)
+    return isinstance(kind, T.StructType) and any(has_odd_keys(f.dataType) for f in kind.fields)
+
+
+def as_variant(value: Column, kind: T.DataType) -> Column:
+    """A value as a variant, nested ones included."""
+    if isinstance(kind, T.VariantType):
+        return value
+    if has_odd_keys(kind):
+        return F.parse_json(F.to_json(value))
+    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_variant_object(value)
+    return value.cast("variant")
+
+
+def as_published(value: Column, field: T.StructField) -> Column:
+    """A column in its published type."""
+    target = canonical_spark_type(field)
+    return as_variant(value, field.dataType) if isinstance(target, T.VariantType) else value.cast(target)
+
+
 def _lookup(key: Column, table: dict[str, str]) -> Column:
     literal = F.create_map(*[F.lit(part) for pair in table.items() for part in pair])
     return F.try_element_at(literal, key)
@@ -90,4 +116,4 @@ def normalize_target_name(target: str) -> str:
 
 def is_registrable(column: Column) -> Column:
     """Whether a Gold schema may declare this dtype."""
-    return column.isin(*REGISTRABLE_FRAME_DTYPES, *EXTENDED_DTYPES)
+    return column.isin(*EXTENDED_DTYPES) | column.rlike(REGISTRABLE_FRAME_DTYPE)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from goldseam.functions.dtypes import logical_dtype
 
-FORMAT = "cells-v1"
+FORMAT = "cells-v2"
 
 # One tag per logical type, so that equal text of different types differs.
 TAGS = {
@@ -41,6 +41,21 @@ def _closed(tag: str, text: Column) -> Column:
     return F.concat(F.lit(tag), text, F.lit(";"))
 
 
+def _variant_text(value: Column) -> Column:
+    """Type and text of a variant: equal text of different scalar types differs.
+
+    A time is written as micros since the epoch, so the session time zone has no part in it. Of a
+    nested value, the schema of its elements is part of the text; where one array mixes types,
+    Spark's schema calls them variants, and they are told apart by their JSON text.
+    """
+    shape = F.schema_of_variant(value)
+    body = F.when(
+        shape == "TIMESTAMP", F.unix_micros(F.try_variant_get(value, "$", "timestamp")).cast("string")
+    ).otherwise(F.to_json(value))
+    scalar = F.regexp_replace(shape, r"^DECIMAL.*", "DECIMAL")
+    return F.concat(scalar, F.lit("="), body)
+
+
 def cell_text(field: T.StructField, value: Column | None = None) -> Column:
     """``N`` for null, otherwise a type tag and the text, with its length or an end mark."""
     value = quoted(field.name) if value is None else value
@@ -53,7 +68,7 @@ def cell_text(field: T.StructField, value: Column | None = None) -> Column:
         # Micros since the epoch: independent of the session time zone.
         text = _closed(tag, F.unix_micros(value).cast("string"))
     elif isinstance(kind, T.VariantType):
-        text = _framed(tag, F.to_json(value))
+        text = _framed(tag, _variant_text(value))
     elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
         text = _framed(tag, F.to_json(F.parse_json(F.to_json(value))))
     elif isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):

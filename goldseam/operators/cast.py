@@ -256,9 +256,7 @@ def cast_diagnostics(df: DataFrame, casts: Sequence[Cast], key: Sequence[str]) -
 def with_cast(df: DataFrame, cast: Cast) -> DataFrame:
     """The column replaced by its cast value, at the same position. Only valid after SAFE."""
     field = _field(df, cast.column)
-    value = rules.converted(
-        quoted(cast.column), rules.source_kind(field.dataType), cast.normalized
-    )
+    value = rules.converted(quoted(cast.column), field.dataType, cast.normalized)
     metadata = {"logical": "object"} if cast.normalized == "object" else {}
     return df.select(
         *[
@@ -268,16 +266,35 @@ def with_cast(df: DataFrame, cast: Cast) -> DataFrame:
     )
 
 
+def _with_long_texts(df: DataFrame, casts: Sequence[Cast], measured: DataFrame) -> DataFrame:
+    """``measured`` with the long decimal texts counted as changed that are no exact double.
+
+    Only casts of text to float64 need it; their long texts alone go through Python, in a scan of
+    their own per such cast.
+    """
+    for i, cast in enumerate(casts):
+        if not _needs_long_text_branch(_field(df, cast.column).dataType, cast):
+            continue
+        text, found = quoted(cast.column), f"changed_{i}"
+        inexact = (
+            df.where(rules.is_long_decimal_text(text))
+            .select(rules.long_decimal_is_exact(text).alias("exact"))
+            .agg(F.count_if(~F.col("exact")).alias(found))
+        )
+        both = measured.unionByName(inexact, allowMissingColumns=True)
+        measured = both.agg(*[F.sum(c).alias(c) for c in measured.columns])
+    return measured
+
+
 @exact_names
 def materialize_check(df: DataFrame, casts: Sequence[Cast]) -> DataFrame:
     """After SAFE, before the write: counts, null places and every value rechecked in one pass."""
-    spark = df.sparkSession
     aggregates: list[Column] = [F.count(F.lit(1)).alias("total_count")]
     for i, cast in enumerate(casts):
         data_type = _field(df, cast.column).dataType
         kind = rules.source_kind(data_type)
         original = quoted(cast.column)
-        value = rules.converted(original, kind, cast.normalized)
+        value = rules.converted(original, data_type, cast.normalized)
         was_null = rules.is_null(original, kind)
         same = rules.cast_back_equals(original, value, data_type, cast.normalized)
         widened = cast.normalized == "object" and kind != "string"
@@ -288,7 +305,7 @@ def materialize_check(df: DataFrame, casts: Sequence[Cast]) -> DataFrame:
             F.count_if(was_null != now_null).alias(f"null_moves_{i}"),
             F.count_if(~was_null & ~F.coalesce(same, F.lit(False))).alias(f"changed_{i}"),
         ]
-    measured = df.agg(*aggregates)
+    measured = _with_long_texts(df, casts, df.agg(*aggregates))
     rows = F.array(
         *[
             F.struct(
@@ -403,10 +420,9 @@ def stale_decisions(plans: DataFrame, stored: DataFrame, fresh: DataFrame) -> Da
 def cast_values(df: DataFrame, cast: Cast, key: Sequence[str]) -> DataFrame:
     """Key, reason (null when the cast keeps the value) and cast value of every row."""
     data_type = _field(df, cast.column).dataType
-    kind = rules.source_kind(data_type)
     value = quoted(cast.column)
     keys = [quoted(k) for k in key]
-    result = rules.converted(value, kind, cast.normalized).alias("value")
+    result = rules.converted(value, data_type, cast.normalized).alias("value")
     native = rules.reason(value, data_type, cast.normalized).alias("reason")
     if not _needs_long_text_branch(data_type, cast):
         return df.select(*keys, native, result)

@@ -79,33 +79,29 @@ def measure(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     )
 
 
-def merkle_depth(row_count: int, bucket_rows: int = 100_000) -> int:
-    """Hex digits of the leaf prefix, so that a leaf holds about ``bucket_rows`` hashes."""
-    depth = 0
-    while row_count > bucket_rows * 16**depth:
-        depth += 1
-    return depth
+# Hex digits of a leaf's prefix: 16.7 million leaves, whatever the table, so equal rows have equal trees.
+MERKLE_DEPTH = 6
 
 
 @exact_names
-def merkle_fingerprint(
-    df: DataFrame, dataset: str, row_count: int, bucket_rows: int = 100_000
-) -> DataFrame:
+def merkle_fingerprint(df: DataFrame, dataset: str) -> DataFrame:
     """Collision-resistant form: a tree of SHA-256 over sorted row hashes.
 
     Leaves are prefixes of the row hash, so they fill evenly whatever the keys look like. Equal
-    rows are folded to one hash with a count before they move. Inner levels join at most 4096
-    children, so no task ever holds more than one leaf or one node.
+    rows are folded to one hash with a count before they move; hashes travel as 32 bytes. The depth
+    is fixed, so the result depends on the rows alone. Inner levels join at most 4096 children, so
+    no task ever holds more than one leaf or one node; a leaf of a table of 10^12 rows has 60,000.
     """
-    depth = merkle_depth(row_count, bucket_rows)
+    depth = MERKLE_DEPTH
     hashed = (
-        df.select(F.sha2(row_text(df), 256).alias("h"))
+        df.select(F.unhex(F.sha2(row_text(df), 256)).alias("h"))
         .groupBy("h")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    digits = F.lower(F.hex("h"))
     nodes = hashed.select(
-        F.substring("h", 1, depth).alias("prefix"),
-        F.concat("h", F.lit("x"), F.col("n").cast("string")).alias("item"),
+        F.substring(digits, 1, depth).alias("prefix"),
+        F.concat(digits, F.lit("x"), F.col("n").cast("string")).alias("item"),
         "n",
     )
     while True:
@@ -252,6 +248,10 @@ TAGS_V1 = (
 TAGS_V2 = (*TAGS_V1, "uuid", "raw_json")
 
 
+# Any number of digits, an exponent, or one of the special values.
+_DECIMAL = r"(?i)^\s*[+-]?(([0-9]+([.][0-9]*)?|[.][0-9]+)(e[+-]?[0-9]+)?|inf(inity)?|s?nan[0-9]*)\s*\z"
+
+
 def decode_payloads(payloads: DataFrame, tag_key: str = "__type__") -> DataFrame:
     """Stored payload texts as typed cells: payload_id, column, row, dtype, kind, text, intact.
 
@@ -304,7 +304,7 @@ def decode_payloads(payloads: DataFrame, tag_key: str = "__type__") -> DataFrame
         .when(~F.col("kind").isin("null", "UNSUPPORTED_VERSION"), cell.cast("string"))
     )
     as_kind = (
-        F.when(F.col("kind") == "decimal", F.col("text").try_cast("decimal(38,18)").isNotNull())
+        F.when(F.col("kind") == "decimal", F.col("text").rlike(_DECIMAL))
         .when(F.col("kind") == "date", F.col("text").try_cast("date").isNotNull())
         .when(
             F.col("kind").isin("pandas_timestamp", "python_datetime"),

@@ -21,6 +21,7 @@ from goldseam.functions.dtypes import (
     normalize_target,
 )
 from goldseam.operators.delta import wide_delta
+from goldseam.operators.joining import left_join_known
 
 
 # --- types ------------------------------------------------------------------------
@@ -171,17 +172,34 @@ def select_plan(plans: DataFrame) -> DataFrame:
 def plan_route(selected: DataFrame, decisions: DataFrame) -> DataFrame:
     """Where each selected plan goes.
 
-    ``selected``: dataset, kind, confidence, source_backed; ``decisions``: dataset, status. A cast
-    is never approved without a human, and without a SAFE proof gets no ticket at all.
+    ``selected``: dataset, kind, column, target, confidence, source_backed; ``decisions``: dataset,
+    column_name, target_dtype, status. A cast is never approved without a human, and without a SAFE
+    proof of its own column and target it gets no ticket at all. If that was proved several times,
+    every proof must be SAFE.
     """
-    proof = decisions.select("dataset", "status")
+    proof = decisions.groupBy(
+        F.col("dataset").alias("_dataset"),
+        F.col("column_name").alias("_column"),
+        F.col("target_dtype").alias("_to"),
+    ).agg(F.max_by("status", F.col("status") != "SAFE").alias("status"))
     is_cast = F.col("kind") == "CAST"
     route = (
         F.when(is_cast & ~F.col("status").eqNullSafe(F.lit("SAFE")), "BLOCKED_BY_CONVERSION_SAFETY")
         .when(is_cast | F.col("source_backed"), "REQUIRES_HUMAN_APPROVAL")
         .otherwise(governance_decision(F.col("confidence")))
     )
-    return selected.join(proof, "dataset", "left").withColumn("route", route)
+    wanted = selected.withColumn("_target", normalize_target(F.col("target")))
+    same = (
+        (F.col("kind") == "CAST")
+        & (F.col("dataset") == F.col("_dataset"))
+        & (F.col("column") == F.col("_column"))
+        & (F.col("_target") == F.col("_to"))
+    )
+    return (
+        wanted.join(proof, same, "left")
+        .withColumn("route", route)
+        .drop("_target", "_dataset", "_column", "_to")
+    )
 
 
 # --- cast allowlist -----------------------------------------------------------------
@@ -283,8 +301,17 @@ def safety_gates(
 
 
 def output_match(manifests: DataFrame, executions: DataFrame) -> DataFrame:
-    """Whether each execution recomputed exactly what was approved. No approved print, no match."""
-    approved = manifests.select("ticket_id", F.col("output_fingerprint").alias("approved"))
+    """Whether each execution recomputed exactly what was approved. No approved print, no match.
+
+    ``manifests``: manifest_id, ticket_id, recorded_at, output_fingerprint. Of a ticket's manifests the
+    latest counts. Executions without a ticket, which would all meet in one task, are not joined.
+    """
+    newest = F.struct("recorded_at", "manifest_id")
+    approved = (
+        manifests.where(F.col("ticket_id").isNotNull())
+        .groupBy("ticket_id")
+        .agg(F.max_by("output_fingerprint", newest).alias("approved"))
+    )
     fresh = executions.select(
         "execution_id", "ticket_id", F.col("output_fingerprint").alias("recomputed")
     )
@@ -293,7 +320,7 @@ def output_match(manifests: DataFrame, executions: DataFrame) -> DataFrame:
         .when(~F.col("approved").eqNullSafe(F.col("recomputed")), "MISMATCH")
         .otherwise("MATCH")
     )
-    return fresh.join(approved, "ticket_id", "left").select(
+    return left_join_known(fresh, approved, "ticket_id").select(
         "execution_id", "ticket_id", outcome.alias("outcome")
     )
 

@@ -16,6 +16,7 @@ from goldseam import constants as C
 from goldseam.functions.actions import is_identifier
 from goldseam.functions.dtypes import is_registrable
 from goldseam.operators.fingerprint import gold_fingerprint
+from goldseam.operators.joining import left_join_known
 
 
 def _blank(column: Column) -> Column:
@@ -52,12 +53,16 @@ def register_versions(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
     ``candidates``: candidate_id, schema_name, format_version, columns, created_by, submitted_at;
     ``existing``: schema_name, version_number, fingerprint. Candidates count in order of
-    (submitted_at, candidate_id); of equal definitions the first is registered. Numbers go on from
-    the family's highest: counted per family and hour, then offset by the hours before.
+    (submitted_at, candidate_id); of equal definitions the first is registered. One that is valid but
+    has no time cannot be ordered: NO_SUBMISSION_TIME. Numbers go on from the family's highest:
+    counted per family and hour, then offset by the hours before.
     """
-    checked = gold_fingerprint(
-        candidates.withColumn("error", definition_error(candidates))
-    ).withColumn("moment", F.struct("submitted_at", "candidate_id"))
+    error = F.coalesce(
+        definition_error(candidates), F.when(F.col("submitted_at").isNull(), "NO_SUBMISSION_TIME")
+    )
+    checked = gold_fingerprint(candidates.withColumn("error", error)).withColumn(
+        "moment", F.struct("submitted_at", "candidate_id")
+    )
     valid = checked.where(F.col("error").isNull())
     firsts = valid.groupBy("schema_name", "fingerprint").agg(F.min("moment").alias("moment"))
     fresh = firsts.join(
@@ -221,10 +226,11 @@ def check_runs(
         .when(F.col("requested_by").isNotNull() & _blank(F.col("requested_by")), "BLANK_REQUESTER")
     )
     return (
-        runs.join(dataset, "dataset_id", "left")
-        .join(snapshot, "snapshot_id", "left")
-        .join(baseline, "baseline_run_id", "left")
-        .select(*[F.col(c) for c in runs.columns], violation.alias("violation"))
+        left_join_known(
+            left_join_known(runs.join(dataset, "dataset_id", "left"), snapshot, "snapshot_id"),
+            baseline,
+            "baseline_run_id",
+        ).select(*[F.col(c) for c in runs.columns], violation.alias("violation"))
     )
 
 
@@ -299,11 +305,9 @@ def ticket_lineage(
         F.struct(*_PROVENANCE).alias("s"),
     )
     version = gold_versions.select("schema_version_id", F.col("columns").alias("registered"))
-    joined = (
-        tickets.join(run, "run_id", "left")
-        .join(snapshot, "run_snapshot", "left")
-        .join(version, "schema_version_id", "left")
-    )
+    joined = left_join_known(tickets, run, "run_id")
+    joined = left_join_known(joined, snapshot, "run_snapshot")
+    joined = left_join_known(joined, version, "schema_version_id")
     mismatches = F.array_compact(
         F.array(
             *[F.when(~F.col(c).eqNullSafe(F.col(f"s.{c}")), F.lit(c)) for c in _PROVENANCE]
@@ -591,9 +595,19 @@ def execution_transitions(events: DataFrame) -> DataFrame:
 
     ``events``: execution_id, event_id, recorded_at, status. The status before is the previous
     event of the same hour, or else the last one of the nearest earlier hour; so a long history
-    is sorted hour by hour, not in one piece.
+    is sorted hour by hour, not in one piece. An event without a time has no place in the history:
+    it is listed as illegal and precedes no other.
     """
-    dated = events.withColumn("hour", F.date_trunc("hour", "recorded_at"))
+    undated = events.where(F.col("recorded_at").isNull()).select(
+        "execution_id",
+        "event_id",
+        F.lit(None).cast("string").alias("previous_status"),
+        "status",
+        F.lit(False).alias("legal"),
+    )
+    dated = events.where(F.col("recorded_at").isNotNull()).withColumn(
+        "hour", F.date_trunc("hour", "recorded_at")
+    )
     within_hour = Window.partitionBy("execution_id", "hour").orderBy("recorded_at", "event_id")
     over_hours = Window.partitionBy("execution_id").orderBy("hour")
     closing = (
@@ -617,12 +631,13 @@ def execution_transitions(events: DataFrame) -> DataFrame:
             "status",
             legal.otherwise(F.lit(False)).alias("legal"),
         )
+        .unionByName(undated)
     )
 
 
 def execution_state(events: DataFrame) -> DataFrame:
-    """Latest status of each execution."""
-    return events.groupBy("execution_id").agg(
+    """Latest status of each execution; events without a time say nothing about that."""
+    return events.where(F.col("recorded_at").isNotNull()).groupBy("execution_id").agg(
         F.max_by("status", F.struct("recorded_at", "event_id")).alias("status"),
         F.max("recorded_at").alias("recorded_at"),
     )

@@ -247,16 +247,19 @@ _VALUE_TYPES = ("bool", "decimal", "datetime_tz", "datetime", "date", "json", "i
 
 
 def infer_logical_type(
-    values: DataFrame, groups: Sequence[str], value: str, order: str
+    values: DataFrame, groups: Sequence[str], value: str, order: str, parsed_json: bool = True
 ) -> DataFrame:
     """Logical type of each group from its first non-null value, in ``order``.
 
-    ``value`` is a variant. Types travel as small codes, which keeps the aggregation a hash one.
+    ``value`` is a variant. Spark parses the JSON number 1.5 to a decimal; JSON has no decimals, so in
+    values that were parsed from JSON it counts as a double. Give ``parsed_json=False`` for variants
+    that were made from typed columns. Types travel as small codes, which keeps the aggregation a
+    hash one.
     """
     kind = F.schema_of_variant(quoted(value))
     names = (
         F.when(kind == "BOOLEAN", "bool")
-        .when(kind.startswith("DECIMAL"), "decimal")
+        .when(kind.startswith("DECIMAL"), "float64" if parsed_json else "decimal")
         .when(kind == "TIMESTAMP", "datetime_tz")
         .when(kind == "TIMESTAMP_NTZ", "datetime")
         .when(kind == "DATE", "date")

@@ -89,8 +89,8 @@ def gather(
     places = {n: f"_b{i}" for i, n in enumerate(df.columns)}
     fields = [quoted(n).alias(place) for n, place in places.items()]
     if cast is not None and corrected is not None:
-        kind = rules.source_kind(df.schema[cast.column].dataType)
-        fields.append(rules.converted(quoted(cast.column), kind, cast.normalized).alias("_v"))
+        data_type = df.schema[cast.column].dataType
+        fields.append(rules.converted(quoted(cast.column), data_type, cast.normalized).alias("_v"))
     rows = df.select(*fields)
     parts = [row_digest(df, at=lambda n: F.col(places[n])).alias("_source")]
     aggregates = fingerprint_aggregates("_source", "s_")

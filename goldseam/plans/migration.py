@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
@@ -64,7 +64,9 @@ def simulate(
     proofs = (
         reduce(lambda a, b: a.unionByName(b), decisions)
         if decisions
-        else spark.createDataFrame([], "dataset string, status string")
+        else spark.createDataFrame(
+            [], "dataset string, column_name string, target_dtype string, status string"
+        )
     )
     backed = spark.createDataFrame(
         [(n, t.source_backed) for n, t in tables.items()], "dataset string, source_backed boolean"
@@ -87,7 +89,7 @@ def simulate(
 
 def _decide(table: Table, plan: Row) -> DataFrame:
     return cast_decision(table.data, [Cast(plan.column, plan.target)], table.key).select(
-        F.lit(plan.dataset).alias("dataset"), "status"
+        F.lit(plan.dataset).alias("dataset"), "column_name", "target_dtype", "status"
     )
 
 
@@ -306,8 +308,3 @@ def execute_live(
         approval.output_fingerprint,
     )
     return Execution(True, "PUBLISHED", version, previous)
-
-
-def with_legacy_source(ticket: Ticket) -> Ticket:
-    """A ticket made on inline data: it may be approved but never executed live."""
-    return replace(ticket, live_eligible=False)

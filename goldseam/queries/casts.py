@@ -348,6 +348,114 @@ def cast_materialize_check(spark, sf_dir):
     return ops.materialize_check(SAFE_TEXTS.frame(spark, sf_dir), casts)
 
 
+def _failures(column: str, target: str, changed: str, lost: str) -> str:
+    return (
+        f"SELECT '{column}' AS column_name, '{target}' AS target_dtype, count(*) AS total_count, "
+        f"count(*) - count({column}) AS nulls_before, count(*) FILTER ({column} IS NULL OR {lost}) AS nulls_after, "
+        f"count(*) FILTER ({changed}) AS changed_values, count(*) FILTER ({changed}) = 0 AS verified FROM f"
+    )
+
+
+@register(
+    "cast_materialize_failures",
+    with_sql(
+        " UNION ALL ".join(
+            (
+                _failures("as_int", "int64", "event_id % 10 IN (0, 1, 2, 3, 4, 6)", "event_id % 10 IN (2, 3, 4)"),
+                _failures("as_bool", "bool", "event_id % 8 IN (3, 5, 7)", "event_id % 8 IN (3, 5, 7)"),
+                _failures("as_float", "float64", "event_id % 8 IN (1, 2, 3, 4, 7)", "false"),
+            )
+        ),
+        f=EVENT_TEXTS,
+    ),
+)
+def cast_materialize_failures(spark, sf_dir):
+    """The recheck on columns that no proof would call safe: it finds every changed value itself."""
+    casts = [Cast("as_int", "int64"), Cast("as_bool", "bool"), Cast("as_float", "float64")]
+    return ops.materialize_check(EVENT_TEXTS.frame(spark, sf_dir), casts)
+
+
+@register(
+    "cast_materialize_long_texts",
+    with_sql(
+        "SELECT 'v' AS column_name, 'float64' AS target_dtype, count(*) AS total_count, count(*) - count(v) AS nulls_before, "
+        "count(*) - count(v) AS nulls_after, count(*) FILTER (k = 1) AS changed_values, "
+        "count(*) FILTER (k = 1) = 0 AS verified FROM f",
+        f="SELECT o_orderkey % 4 AS k, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE o_orderkey END AS v FROM orders",
+    ),
+)
+def cast_materialize_long_texts(spark, sf_dir):
+    """Texts of over 38 characters: with zeros at the end, inexact, and exact beyond decimal(38)."""
+    k = F.col("o_orderkey") % 4
+    text = (
+        F.when(k == 0, F.concat(F.col("o_orderkey").cast("string"), F.lit(".5" + "0" * 60)))
+        .when(k == 1, F.concat(F.col("o_orderkey").cast("string"), F.lit(".5" + "0" * 60 + "1")))
+        .when(k == 2, F.concat(F.lit("-"), F.lit(str(2**140)), F.lit("." + "0" * 9)))
+    )
+    df = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("v"))
+    return ops.materialize_check(df, [Cast("v", "float64")])
+
+
+_NESTED = ("as_struct", "as_array", "as_map", "as_mixed")
+
+
+@register(
+    "cast_object_nested",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, 'SAFE' AS status, count(*) AS total_count, count(*) FILTER (o_orderkey % 5 = 0) "
+        f"AS null_count, count(*) FILTER (o_orderkey % 5 <> 0) AS converted_count FROM orders"
+        for c in _NESTED
+    ),
+)
+def cast_object_nested(spark, sf_dir):
+    """Structs, arrays and maps widen to variants that can be taken back."""
+    part = F.struct(F.col("o_custkey").alias("a"), F.array("o_orderstatus").alias("b"))
+    values = (
+        part,
+        F.array(part, part),
+        F.create_map("o_orderstatus", F.col("o_totalprice")),
+        F.array(F.create_map("o_orderpriority", part)),
+    )
+    kept = F.col("o_orderkey") % 5 != 0
+    df = table(spark, sf_dir, "orders").select(
+        "o_orderkey", *[F.when(kept, v).alias(n) for v, n in zip(values, _NESTED, strict=True)]
+    )
+    return ops.cast_decision(df, [Cast(c, "object") for c in _NESTED], ["o_orderkey"]).select(
+        "column_name", "status", "total_count", "null_count", "converted_count"
+    )
+
+
+_DECISION_JSON = (
+    "'\"column_name\":\"a\",\"status\":\"SAFE\",\"source_dtype\":\"object\",\"target_dtype\":\"int64\","
+    "\"policy_version\":\"p\",\"total_count\":1,\"null_count\":0,\"converted_count\":1,\"failed_count\":0,"
+    "\"diagnostic_count\":0'"
+)
+_STORED_JSON = Fixture(
+    "orders",
+    [
+        "o_orderkey",
+        f"CASE o_orderkey % 5 WHEN 0 THEN concat(chr(123), {_DECISION_JSON}, ',\"reason_codes\":[]', chr(125)) "
+        f"WHEN 1 THEN concat(chr(123), {_DECISION_JSON}, chr(125)) "
+        f"WHEN 2 THEN concat(chr(123), {_DECISION_JSON}, ',\"reason_codes\":[],\"note\":', CAST(o_custkey AS STRING), chr(125)) "
+        "WHEN 3 THEN '[1]' ELSE NULL END AS decision",
+    ],
+)
+
+
+@register(
+    "decision_field_errors",
+    with_sql(
+        "SELECT o_orderkey, CASE WHEN decision IS NULL OR decision = '[1]' THEN 'NOT_AN_OBJECT' "
+        "WHEN NOT contains(decision, 'reason_codes') THEN 'MISSING_FIELDS' ELSE 'UNKNOWN_FIELDS' END AS field_error FROM d "
+        "WHERE decision IS NULL OR decision = '[1]' OR NOT contains(decision, 'reason_codes') OR contains(decision, 'note')",
+        d=_STORED_JSON,
+    ),
+)
+def decision_field_errors(spark, sf_dir):
+    errors = ops.decision_field_errors(_STORED_JSON.frame(spark, sf_dir), "decision")
+    return errors.select("o_orderkey", "field_error")
+
+
 # Per user: a plan and a stored decision that is missing, unsafe, stale or current.
 _STALE_EVENTS = Fixture(
     "events",

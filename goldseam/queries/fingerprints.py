@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from goldseam.functions.encoding import cell_text
 from goldseam.operators import fingerprint as ops
 from goldseam.queries import register
 from goldseam.queries.fixtures import DOUBLES, GOLD, GOLD_SQL, Fixture, duck, table, with_sql
@@ -34,7 +35,7 @@ def row_sql(columns) -> str:
 
 def header_sql(columns) -> str:
     listed = ",".join(f'["{n}","{d}"]' for n, d in columns)
-    return f'["cells-v1",[{listed}]]'
+    return f'["cells-v2",[{listed}]]'
 
 
 def _crc32_sql(bits: str) -> str:
@@ -96,20 +97,20 @@ def dataset_fingerprint_nulls(spark, sf_dir):
     return ops.dataset_fingerprint(DOUBLES.frame(spark, sf_dir), "drifted")
 
 
-_LEAF = 1000
-
-
 def _merkle_sql(dataset: str, columns) -> str:
-    depth = f"CASE WHEN n <= {_LEAF} THEN 0 WHEN n <= {_LEAF * 16} THEN 1 WHEN n <= {_LEAF * 256} THEN 2 ELSE 3 END"
+    """Leaves by six digits of the hash, then nodes by three, then the root."""
+    leaves = (
+        f"SELECT substr(h, 1, 6) AS prefix, sum(c) AS n, sha256(string_agg(h || 'x' || c, ',' ORDER BY h)) AS digest "
+        f"FROM (SELECT sha256({row_sql(columns)}) AS h, count(*) AS c FROM {dataset} GROUP BY 1) GROUP BY 1"
+    )
+    nodes = (
+        "SELECT substr(prefix, 1, 3) AS prefix, sum(n) AS n, "
+        f"sha256(string_agg(prefix || '=' || digest, ',' ORDER BY prefix)) AS digest FROM ({leaves}) GROUP BY 1"
+    )
     return (
         f"SELECT '{dataset}' AS dataset, row_count, sha256(concat_ws('|', '{header_sql(columns)}', "
         f"row_count, digest)) AS data_fingerprint FROM (SELECT CAST(sum(n) AS BIGINT) AS row_count, "
-        f"CASE WHEN max(d) = 0 THEN max(digest) ELSE "
-        f"sha256(string_agg(prefix || '=' || digest, ',' ORDER BY prefix)) END AS digest FROM "
-        f"(SELECT prefix, max(d) AS d, sum(c) AS n, sha256(string_agg(h || 'x' || c, ',' ORDER BY h)) AS digest "
-        f"FROM (SELECT h, c, d, substr(h, 1, d) AS prefix FROM (SELECT sha256({row_sql(columns)}) AS h, "
-        f"count(*) AS c FROM {dataset} GROUP BY 1), (SELECT {depth} AS d FROM (SELECT count(*) AS n "
-        f"FROM {dataset}))) GROUP BY prefix))"
+        f"sha256(string_agg(prefix || '=' || digest, ',' ORDER BY prefix)) AS digest FROM ({nodes}))"
     )
 
 
@@ -122,7 +123,47 @@ _MERKLE = ("orders", "lineitem", "customer")
 )
 def dataset_fingerprint_merkle(spark, sf_dir):
     frames = [(t, table(spark, sf_dir, t)) for t in _MERKLE]
-    return _union(ops.merkle_fingerprint(df, t, df.count(), _LEAF) for t, df in frames)
+    return _union(ops.merkle_fingerprint(df, t) for t, df in frames)
+
+
+_KINDS = ("date", "text", "timestamp", "timestamp_ntz", "decimal", "integer", "double", "boolean")
+_PAIRS = [(a, b) for i, a in enumerate(_KINDS) for b in _KINDS[i + 1 :]]
+
+
+@register(
+    "variant_kinds",
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS one, '{b}' AS other, count(*) AS row_count, CAST(0 AS BIGINT) AS equal_rows FROM orders"
+        for a, b in _PAIRS
+    ),
+)
+def variant_kinds(spark, sf_dir):
+    """Row texts of variants that look alike and differ by type: of no pair of types any are equal."""
+    day = F.col("o_orderdate").cast("date")
+    values = {
+        "date": day,
+        "text": day.cast("string"),
+        "timestamp": day.cast("timestamp"),
+        "timestamp_ntz": day.cast("timestamp_ntz"),
+        "decimal": (F.col("o_orderkey") % 2).cast("decimal(10,1)"),
+        "integer": F.col("o_orderkey") % 2,
+        "double": (F.col("o_orderkey") % 2).cast("double"),
+        "boolean": F.col("o_orderkey") % 2 == 1,
+    }
+    df = table(spark, sf_dir, "orders").select(*[v.cast("variant").alias(k) for k, v in values.items()])
+    texts = df.select(*[cell_text(df.schema[k]).alias(k) for k in _KINDS])
+    counted = texts.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col(a) == F.col(b)).alias(f"{a}_{b}") for a, b in _PAIRS],
+    )
+    listed = [
+        F.struct(
+            F.lit(a).alias("one"), F.lit(b).alias("other"),
+            F.col("n").alias("row_count"), F.col(f"{a}_{b}").alias("equal_rows"),
+        )
+        for a, b in _PAIRS
+    ]
+    return counted.select(F.inline(F.array(*listed)))
 
 
 @register(

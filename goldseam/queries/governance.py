@@ -247,6 +247,7 @@ _ROUTED = Fixture(
         "user_id",
         "event_id",
         "CASE WHEN user_id % 4 = 1 AND event_id % 50 = 0 THEN 'x' ELSE CAST(event_id AS STRING) END AS v",
+        "CASE WHEN event_id % 3 = 0 THEN 'x' ELSE CAST(event_id AS STRING) END AS w",
     ],
 )
 
@@ -266,10 +267,14 @@ _ROUTED = Fixture(
 )
 def plan_route(spark, sf_dir):
     events = _ROUTED.frame(spark, sf_dir)
-    decisions = cast_decision(events, [Cast("v", "int64")], ["event_id"], by=["dataset"])
+    # the proof of another column, which mostly fails, must not decide
+    casts = [Cast("v", "int64"), Cast("w", "int64"), Cast("v", "bool")]
+    decisions = cast_decision(events, casts, ["event_id"], by=["dataset"])
     user = F.min("user_id")
     selected = events.groupBy("dataset").agg(
         F.when(user % 4 < 2, "CAST").otherwise("RENAME").alias("kind"),
+        F.lit("v").alias("column"),
+        F.when(user % 4 < 2, "int64").otherwise("w").alias("target"),
         (user % 3 == 0).alias("source_backed"),
         F.when(user % 5 == 0, 0.95).otherwise(0.85).alias("confidence"),
     )
@@ -282,13 +287,15 @@ _ALLOWED = "object->int64,int64->float64"
 
 @register(
     "cast_allowlist",
-    _with_plans(
-        "SELECT p.dataset, p.action, concat(o.dtype, '->', g.dtype) AS pair, "
-        "CASE WHEN contains(p.action, 'WITH_DROP_INVALID') THEN 'DROP_INVALID_FORBIDDEN' "
-        "WHEN concat(o.dtype, '->', g.dtype) IN ('object->int64', 'int64->float64') THEN 'ALLOWED' "
-        "ELSE 'PAIR_NOT_ALLOWED' END AS outcome FROM p JOIN o ON o.dataset = p.dataset "
-        "AND split_part(p.action, ' ', 2) = o.\"column\" JOIN g ON g.dataset = p.dataset "
-        "AND g.\"column\" = o.\"column\" WHERE p.kind = 'CAST'"
+    with_sql(
+        "SELECT dataset, concat('CAST_COLUMN ', name, ' TO ', gold, suffix) AS action, "
+        "concat(seen, '->', gold) AS pair, CASE WHEN suffix <> '' THEN 'DROP_INVALID_FORBIDDEN' "
+        "WHEN concat(seen, '->', gold) IN ('object->int64', 'int64->float64') THEN 'ALLOWED' "
+        "ELSE 'PAIR_NOT_ALLOWED' END AS outcome FROM (SELECT o.dataset, o.\"column\" AS name, o.dtype AS seen, "
+        "g.dtype AS gold FROM o JOIN g ON g.dataset = o.dataset AND g.\"column\" = o.\"column\" "
+        "WHERE g.dtype <> o.dtype), (VALUES (''), (' WITH_DROP_INVALID')) s(suffix)",
+        o=OBSERVED_SQL,
+        g=GOLD_SQL,
     ),
 )
 def cast_allowlist(spark, sf_dir):
@@ -346,15 +353,20 @@ def safety_gates(spark, sf_dir):
 _APPROVED = Fixture(
     "customer",
     [
-        "c_custkey AS ticket_id",
-        "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE md5(CAST(c_custkey AS STRING)) END AS output_fingerprint",
+        "c_custkey * 2 + pos AS manifest_id",
+        "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey END AS ticket_id",
+        "CASE WHEN pos = 1 THEN DATE '2024-01-01' WHEN c_custkey % 2 = 0 THEN DATE '2024-01-01' "
+        "ELSE DATE '2024-01-02' END AS recorded_at",
+        "CASE WHEN pos = 1 THEN md5('superseded') WHEN c_custkey % 5 = 0 THEN NULL "
+        "ELSE md5(CAST(c_custkey AS STRING)) END AS output_fingerprint",
     ],
+    repeat=2,
 )
 _RECOMPUTED = Fixture(
     "orders",
     [
         "o_orderkey AS execution_id",
-        "o_custkey AS ticket_id",
+        "CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_custkey END AS ticket_id",
         "md5(CAST(o_custkey + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS STRING)) AS output_fingerprint",
     ],
 )
@@ -363,15 +375,17 @@ _RECOMPUTED = Fixture(
 @register(
     "output_match",
     with_sql(
-        "SELECT e.execution_id, e.ticket_id, CASE WHEN m.output_fingerprint IS NULL "
+        "SELECT e.execution_id, coalesce(e.ticket_id, -1) AS ticket_id, CASE WHEN m.output_fingerprint IS NULL "
         "THEN 'NO_APPROVED_FINGERPRINT' WHEN m.output_fingerprint <> e.output_fingerprint THEN 'MISMATCH' "
-        "ELSE 'MATCH' END AS outcome FROM e LEFT JOIN m USING (ticket_id)",
+        "ELSE 'MATCH' END AS outcome FROM e LEFT JOIN (SELECT * FROM m QUALIFY row_number() OVER "
+        "(PARTITION BY ticket_id ORDER BY recorded_at DESC, manifest_id DESC) = 1) m USING (ticket_id)",
         m=_APPROVED,
         e=_RECOMPUTED,
     ),
 )
 def output_match(spark, sf_dir):
-    return ops.output_match(_APPROVED.frame(spark, sf_dir), _RECOMPUTED.frame(spark, sf_dir))
+    matched = ops.output_match(_APPROVED.frame(spark, sf_dir), _RECOMPUTED.frame(spark, sf_dir))
+    return matched.withColumn("ticket_id", F.coalesce("ticket_id", F.lit(-1)))
 
 
 # --- actions and names --------------------------------------------------------------------

@@ -22,7 +22,7 @@ _CANDIDATES = Fixture(
         "ELSE concat('c', CAST(event_id % 400 AS STRING)) END AS second_name",
         "CASE WHEN event_id % 37 = 0 THEN 'nonsense' ELSE 'float64' END AS second_dtype",
         "CASE WHEN event_id % 47 = 0 THEN '  ' ELSE 'ops' END AS created_by",
-        "ts AS submitted_at",
+        "CASE WHEN event_id % 53 = 0 THEN NULL ELSE ts END AS submitted_at",
     ],
 )
 _EXISTING = Fixture(
@@ -73,7 +73,7 @@ def _existing(spark, sf_dir):
         "WHEN NOT regexp_full_match(schema_name, '[a-z][a-z0-9_]*') THEN 'INVALID_NAME' "
         "WHEN format_version <> 1 THEN 'UNSUPPORTED_FORMAT_VERSION' WHEN second_name = '' THEN 'EMPTY_COLUMN_NAME' "
         "WHEN second_name = 'id' THEN 'DUPLICATE_COLUMN_NAME' WHEN second_dtype = 'nonsense' THEN 'UNSUPPORTED_DTYPE' "
-        "WHEN trim(created_by) = '' THEN 'NO_AUTHOR' END AS error FROM c",
+        "WHEN trim(created_by) = '' THEN 'NO_AUTHOR' WHEN submitted_at IS NULL THEN 'NO_SUBMISSION_TIME' END AS error FROM c",
         x="SELECT schema_name, version_number, " + _definition_sql("'float64'") + " AS fingerprint FROM e",
         fresh="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY schema_name, fingerprint "
         "ORDER BY submitted_at, candidate_id) AS rn FROM k WHERE error IS NULL) f WHERE rn = 1 AND NOT EXISTS "
@@ -688,7 +688,7 @@ _STEPS = Fixture(
     [
         "CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS execution_id",
         "event_id",
-        "ts AS recorded_at",
+        "CASE WHEN event_id % 61 = 0 THEN NULL ELSE ts END AS recorded_at",
         "CASE event_type WHEN 'click' THEN 'RUNNING' WHEN 'view' THEN 'COMPLETED' WHEN 'purchase' THEN 'ROLLING_BACK' "
         "WHEN 'signup' THEN 'ROLLED_BACK' ELSE 'FAILED' END AS status",
     ],
@@ -698,10 +698,12 @@ _STEPS = Fixture(
 @register(
     "execution_transitions",
     with_sql(
-        "SELECT execution_id, event_id, status, coalesce(p, 'none') AS previous_status, CASE WHEN p IS NULL THEN "
+        "SELECT execution_id, event_id, status, coalesce(p, 'none') AS previous_status, CASE "
+        "WHEN recorded_at IS NULL THEN false WHEN p IS NULL THEN "
         "status IN ('PENDING','RUNNING') ELSE (p, status) IN (('PENDING','RUNNING'), ('PENDING','FAILED'), "
         "('RUNNING','COMPLETED'), ('RUNNING','FAILED'), ('COMPLETED','ROLLING_BACK'), ('ROLLING_BACK','ROLLED_BACK')) END AS legal "
-        "FROM (SELECT *, lag(status) OVER (PARTITION BY execution_id ORDER BY recorded_at, event_id) AS p FROM s)",
+        "FROM (SELECT *, lag(status) OVER (PARTITION BY execution_id ORDER BY recorded_at, event_id) AS p FROM s "
+        "WHERE recorded_at IS NOT NULL UNION ALL SELECT *, NULL FROM s WHERE recorded_at IS NULL)",
         s=_STEPS,
     ),
 )
@@ -713,8 +715,8 @@ def execution_transitions(spark, sf_dir):
 @register(
     "execution_state",
     with_sql(
-        "SELECT execution_id, status, CAST(recorded_at AS VARCHAR) AS recorded_at FROM s QUALIFY row_number() OVER "
-        "(PARTITION BY execution_id ORDER BY recorded_at DESC, event_id DESC) = 1",
+        "SELECT execution_id, status, CAST(recorded_at AS VARCHAR) AS recorded_at FROM s WHERE recorded_at IS NOT NULL "
+        "QUALIFY row_number() OVER (PARTITION BY execution_id ORDER BY recorded_at DESC, event_id DESC) = 1",
         s=_STEPS,
     ),
 )

@@ -214,7 +214,7 @@ _MIXED = Fixture(
         "CASE WHEN user_id % 7 = 6 THEN 'null' WHEN event_id % 4 = 0 THEN 'null' "
         "WHEN user_id % 7 = 0 THEN CAST(event_id AS STRING) "
         "WHEN user_id % 7 = 1 THEN 'true' WHEN user_id % 7 = 2 THEN '\"text\"' "
-        "WHEN user_id % 7 = 3 THEN '1.5e0' WHEN user_id % 7 = 4 THEN props "
+        "WHEN user_id % 7 = 3 THEN CASE WHEN event_id % 2 = 0 THEN '1.5' ELSE '1.5e0' END WHEN user_id % 7 = 4 THEN props "
         "WHEN event_id % 2 = 1 THEN '7' ELSE 'false' END AS v",
     ],
 )
@@ -225,7 +225,7 @@ _MIXED = Fixture(
     with_sql(
         "SELECT dataset, coalesce(arg_min(CASE WHEN v = 'null' THEN NULL "
         "WHEN v IN ('true','false') THEN 'bool' WHEN v LIKE '\"%' THEN 'object' "
-        "WHEN v LIKE '%e0' THEN 'float64' WHEN starts_with(v, chr(123)) THEN 'json' ELSE 'int64' END, "
+        "WHEN v LIKE '1.5%' THEN 'float64' WHEN starts_with(v, chr(123)) THEN 'json' ELSE 'int64' END, "
         "CASE WHEN v = 'null' THEN NULL ELSE event_id END), 'object') AS dtype FROM f GROUP BY dataset",
         f=_MIXED,
     ),

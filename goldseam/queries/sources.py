@@ -95,11 +95,17 @@ def column_metadata(spark, sf_dir):
     )
 
 
-@register("fetch_table", "SELECT event_id, user_id, event_type, value, props FROM events")
+# Times as text, as the comparison of results prefers it; all columns are read.
+_AS_TEXT = "* REPLACE (CAST(o_orderdate AS VARCHAR) AS o_orderdate)"
+
+
+def _dates_as_text(df):
+    return df.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
+@register("fetch_table", f"SELECT {_AS_TEXT} FROM orders")
 def fetch_table(spark, sf_dir):
-    return read_table(spark, "events", path=sf_dir).select(
-        "event_id", "user_id", "event_type", "value", "props"
-    )
+    return _dates_as_text(read_table(spark, "orders", path=sf_dir))
 
 
 # --- snapshots ---------------------------------------------------------------------------
@@ -219,9 +225,13 @@ def manifest_lineage(spark, sf_dir):
 
 
 # --- publication -----------------------------------------------------------------------------
-_GOLD = [("o_orderkey", "int64"), ("o_custkey", "int64"), ("o_orderstatus", "object")]
-_FIRST = Fixture("orders", ["o_orderkey", "o_custkey", "o_orderstatus"])
-_SECOND = Fixture("orders", ["o_orderkey", "o_custkey + 1 AS o_custkey", "o_orderstatus"])
+_GOLD = [
+    ("o_orderkey", "int64"), ("o_custkey", "int64"), ("o_orderstatus", "object"),
+    ("o_totalprice", "float64"), ("o_orderdate", "datetime"), ("o_orderpriority", "object"),
+]
+_REST = ["o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+_FIRST = Fixture("orders", ["o_orderkey", "o_custkey", *_REST])
+_SECOND = Fixture("orders", ["o_orderkey", "o_custkey + 1 AS o_custkey", *_REST])
 
 
 def _publisher(spark):
@@ -235,16 +245,16 @@ def _publish(publisher, target, df, number):
     return execution
 
 
-@register("publish_version", with_sql("SELECT * FROM s", s=_SECOND))
+@register("publish_version", with_sql(f"SELECT {_AS_TEXT} FROM s", s=_SECOND))
 def publish_version(spark, sf_dir):
     """What the view shows after two versions were published."""
     publisher, target = _publisher(spark)
     _publish(publisher, target, _FIRST.frame(spark, sf_dir), 1)
     _publish(publisher, target, _SECOND.frame(spark, sf_dir), 2)
-    return spark.table(target)
+    return _dates_as_text(spark.table(target))
 
 
-@register("rollback_version", with_sql("SELECT * FROM f", f=_FIRST))
+@register("rollback_version", with_sql(f"SELECT {_AS_TEXT} FROM f", f=_FIRST))
 def rollback_version(spark, sf_dir):
     """What the view shows after the second of two versions was rolled back."""
     publisher, target = _publisher(spark)
@@ -252,7 +262,7 @@ def rollback_version(spark, sf_dir):
     second = _publish(publisher, target, _SECOND.frame(spark, sf_dir), 2)
     previous = publish.version_table(target, f"{1:016x}")
     publisher.rollback(target, second, previous, "2024-01-03 00:00:00", "t1")
-    return spark.table(target)
+    return _dates_as_text(spark.table(target))
 
 
 @register(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from goldseam.operators.joining import left_join_known
+
 
 def check_manifest_lineage(manifests: DataFrame, tickets: DataFrame) -> DataFrame:
     """``manifests`` with the rule each one breaks, or null.
@@ -19,7 +21,7 @@ def check_manifest_lineage(manifests: DataFrame, tickets: DataFrame) -> DataFram
         .when(sourced & F.col("ticket_known").isNull(), "UNKNOWN_TICKET")
         .when(sourced & ~F.col("ticket_run").eqNullSafe(F.col("run_id")), "RUN_DIFFERS_FROM_TICKET")
     )
-    return manifests.join(ticket, "ticket_id", "left").select(
+    return left_join_known(manifests, ticket, "ticket_id").select(
         *[F.col(c) for c in manifests.columns], violation.alias("violation")
     )
 

@@ -12,14 +12,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from goldseam.constants import DTYPE_TO_DATABASE_TYPE, MAX_IDENTIFIER_LENGTH, VERSION_SUFFIX_HEX
-from goldseam.functions.dtypes import canonical_spark_type, logical_dtype
+from goldseam.functions.dtypes import as_published, logical_dtype
 from goldseam.functions.encoding import quoted
 from goldseam.operators.fingerprint import measure
 from goldseam.operators.ledger import latest_marker
-from goldseam.session import exact_names
+from goldseam.session import case_sensitive, exact_names
 from goldseam.sources.tables import require_identifier
 
 MARKER_SCHEMA = (
@@ -42,17 +42,23 @@ def version_table(target: str, execution_id: str) -> str:
 
 
 def signature(df: DataFrame) -> list[tuple[str, str]]:
-    """(name, published type) of each column, in order."""
-    return [(f.name, DTYPE_TO_DATABASE_TYPE[logical_dtype(f)]) for f in df.schema.fields]
+    """(name, published type) of each column, in order; of decimals with precision and scale."""
+    listed = []
+    for f in df.schema.fields:
+        published = DTYPE_TO_DATABASE_TYPE[logical_dtype(f)]
+        if isinstance(f.dataType, T.DecimalType):
+            published += f"({f.dataType.precision},{f.dataType.scale})"
+        elif published == "text" and isinstance(f.dataType, T.VariantType):
+            published += " of mixed types"
+        listed.append((f.name, published))
+    return listed
 
 
 @exact_names
 def _canonical(df: DataFrame) -> DataFrame:
     return df.select(
         *[
-            quoted(f.name)
-            .cast(canonical_spark_type(f))
-            .alias(f.name, metadata={"logical": logical_dtype(f)})
+            as_published(quoted(f.name), f).alias(f.name, metadata={"logical": logical_dtype(f)})
             for f in df.schema.fields
         ]
     )
@@ -120,6 +126,9 @@ class Publisher:
         require_identifier(target, "logical target")
         for name in df.columns:
             require_identifier(name, "column")
+        if len({name.lower() for name in df.columns}) < len(df.columns):
+            # a view names columns whatever their case
+            raise PublicationRefused("Two columns differ only by case.")
         if [(f.name, logical_dtype(f)) for f in df.schema.fields] != list(gold_columns):
             raise PublicationRefused("The data does not have exactly the Gold columns and types.")
         latest = self._latest(target)
@@ -131,14 +140,15 @@ class Publisher:
                 raise PublicationRefused("Not the names, order and types published before.")
         physical_table = version_table(target, execution_id)
         folder = self.version_folder(physical_table)
-        canonical.write.mode("errorifexists").parquet(folder)
-        stored = self.spark.read.parquet(folder)
-        if expected_fingerprint is None:
-            written = stored.count()
-        else:
-            written, fingerprint = measure(stored).first()
-            if fingerprint != expected_fingerprint:
-                raise PublicationRefused("The stored rows are not the approved ones.")
+        with case_sensitive(self.spark):
+            canonical.write.mode("errorifexists").parquet(folder)
+            stored = self.spark.read.parquet(folder)
+            if expected_fingerprint is None:
+                written = stored.count()
+            else:
+                written, fingerprint = measure(stored).first()
+                if fingerprint != expected_fingerprint:
+                    raise PublicationRefused("The stored rows are not the approved ones.")
         if written != expected_rows:
             raise PublicationRefused(f"{written} rows written, {expected_rows} expected.")
         self._repoint(target, physical_table, df.columns)
@@ -164,7 +174,8 @@ class Publisher:
     ) -> None:
         """Point the view at the version before, or drop it if there was none.
 
-        Refused unless the newest marker is this execution's own publish. Versions stay.
+        Refused unless the newest marker is this execution's own publish, and ``previous`` is the
+        version that the marker says came before. Versions stay.
         """
         require_identifier(target, "logical target")
         latest = self._latest(target)
@@ -175,6 +186,8 @@ class Publisher:
             or latest.target_id != target_id
         ):
             raise StaleRollback(f"{target}: not the current publish.")
+        if previous != latest.previous_physical_table:
+            raise StaleRollback(f"{target}: not the version before this publish.")
         if previous is None:
             self.spark.sql(f"DROP VIEW IF EXISTS `{target}`")
         else:

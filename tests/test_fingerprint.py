@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F, types as T
 
 from goldseam.functions.encoding import row_text
@@ -17,7 +18,7 @@ def sample(spark):
 def prints(df):
     return (
         ops.dataset_fingerprint(df, "d").first().data_fingerprint,
-        ops.merkle_fingerprint(df, "d", 300, 20).first().data_fingerprint,
+        ops.merkle_fingerprint(df, "d").first().data_fingerprint,
     )
 
 
@@ -69,14 +70,15 @@ def test_empty_table_has_a_print(spark):
     empty = spark.createDataFrame([], "id bigint")
     got = ops.dataset_fingerprint(empty, "d").first()
     assert got.row_count == 0 and len(got.data_fingerprint) == 64
-    assert ops.merkle_fingerprint(empty, "d", 0).first().row_count == 0
+    assert ops.merkle_fingerprint(empty, "d").first().row_count == 0
 
 
-def test_merkle_tree_of_any_depth_counts_all_rows(spark):
+def test_merkle_tree_depends_on_the_rows_alone(spark):
     df = sample(spark)
-    for leaf in (1000, 50, 2):
-        assert ops.merkle_fingerprint(df, "d", 300, leaf).first().row_count == 300
-    assert ops.merkle_depth(10**12) == 6 and ops.merkle_depth(100_000) == 0
+    first = ops.merkle_fingerprint(df, "d").first()
+    again = ops.merkle_fingerprint(df.repartition(7), "d").first()
+    assert first.row_count == 300 and first.data_fingerprint == again.data_fingerprint
+    assert ops.merkle_fingerprint(df.limit(299), "d").first().data_fingerprint != first.data_fingerprint
 
 
 def test_timestamps_do_not_depend_on_the_session_zone(spark):
@@ -172,3 +174,75 @@ def test_uuid_columns_are_tagged_by_metadata(spark):
     df = spark.createDataFrame([("00000000-0000-0000-0000-00000000000a",)], schema)
     plain = spark.createDataFrame([("00000000-0000-0000-0000-00000000000a",)], "u string")
     assert prints(df) != prints(plain)
+
+
+def test_variants_differ_by_type_and_publish_as_they_are(spark, tmp_path):
+    from goldseam.operators.cast import Cast, cast_decision, with_cast
+    from goldseam.sources.publish import PublicationRefused, Publisher
+
+    day = spark.sql("SELECT 1 AS id, cast(date'2024-01-01' AS variant) AS v, 'x' AS w")
+    text = spark.sql("SELECT 1 AS id, cast('2024-01-01' AS variant) AS v, 'x' AS w")
+    assert prints(day) != prints(text)
+    same = "SELECT 1 AS id, cast({} AS variant) AS v"
+    one = {x: prints(spark.sql(same.format(x))) for x in ("1", "1.0BD", "1D", "true", "'1'", "date'1970-01-02'")}
+    assert len(set(one.values())) == len(one)
+    publisher = Publisher(spark, str(tmp_path / "versions"))
+    mixed = spark.sql("SELECT id, v FROM VALUES (1, cast(2 AS variant)), (2, cast('2' AS variant)) AS t(id, v)")
+    mixed = mixed.select("id", mixed.v.alias("v", metadata={"logical": "object"}))
+    print_ = ops.measure(mixed).first().data_fingerprint
+    gold = [("id", "int64"), ("v", "object")]
+    publisher.publish("typed_view", mixed, "a" * 16, 2, gold, "2024-01-01 00:00:00", None, print_)
+    shown = spark.sql("SELECT schema_of_variant(v) AS s FROM typed_view ORDER BY id").collect()
+    assert [r.s for r in shown] == ["BIGINT", "STRING"]
+    texts = mixed.select("id", mixed.v.cast("string").alias("v"))
+    with pytest.raises(PublicationRefused):
+        publisher.publish("typed_view", texts, "b" * 16, 2, gold, "2024-01-02 00:00:00")
+    nested = spark.sql(
+        "SELECT 1 AS id, named_struct('a', 1, 'b', array('x')) AS s, map('k', 1.5D) AS m, "
+        "array(map('k', named_struct('z', true))) AS n, map(1, 2) AS odd"
+    )
+    decisions = cast_decision(nested, [Cast(c, "object") for c in ("s", "m", "n")], ["id"]).collect()
+    assert {d.status for d in decisions} == {"SAFE"}
+    assert cast_decision(nested, [Cast("odd", "object")], ["id"]).first().status == "UNSAFE"
+    assert with_cast(nested, Cast("s", "object")).selectExpr("s:a::int").first()[0] == 1
+    json = [("id", "int64"), ("s", "json"), ("m", "json"), ("n", "json"), ("odd", "json")]
+    publisher.publish("nested_view", nested, "c" * 16, 1, json, "2024-01-01 00:00:00")
+    assert spark.table("nested_view").selectExpr("s:b[0]::string").first()[0] == "x"
+
+
+def test_decimals_and_case_in_publication(spark, tmp_path):
+    from goldseam.sources.publish import PublicationRefused, Publisher, StaleRollback, version_table
+
+    publisher = Publisher(spark, str(tmp_path / "versions"))
+    gold = [("a", "decimal")]
+
+    def frame(kind):
+        return spark.sql(f"SELECT cast(1 AS {kind}) AS a")
+
+    publisher.publish("dec_view", frame("decimal(10,2)"), "1" * 16, 1, gold, "2024-01-01 00:00:00")
+    with pytest.raises(PublicationRefused):
+        publisher.publish("dec_view", frame("decimal(30,9)"), "2" * 16, 1, gold, "2024-01-02 00:00:00")
+    for i in "34":
+        publisher.publish("dec_view", frame("decimal(10,2)"), i * 16, 1, gold, f"2024-01-0{i} 00:00:00")
+    with pytest.raises(StaleRollback):
+        publisher.rollback("dec_view", "4" * 16, version_table("dec_view", "1" * 16), "2024-01-05 00:00:00")
+    publisher.rollback("dec_view", "4" * 16, version_table("dec_view", "3" * 16), "2024-01-05 00:00:00")
+    twice = spark.createDataFrame([(1, 2)], "Id long, x long").withColumnRenamed("x", "id2")
+    with pytest.raises(PublicationRefused):
+        spark.conf.set("spark.sql.caseSensitive", "true")
+        try:
+            two = twice.withColumnRenamed("id2", "id")
+            publisher.publish("c_view", two, "5" * 16, 1, [("Id", "int64"), ("id", "int64")], "2024-01-01 00:00:00")
+        finally:
+            spark.conf.set("spark.sql.caseSensitive", "false")
+
+
+def test_payload_decimals_have_no_limit(spark):
+    big = "123456789012345678901234567890"
+    payload = (
+        '{"format_version":2,"column_order":["a"],"dtypes":{"a":"object"},"data":{"a":['
+        + ",".join('{"__type__":"decimal","value":"%s"}' % v for v in (big, "1E+400", "-0.5", "x", "1.2.3"))
+        + "]}}"
+    )
+    got = ops.decode_payloads(spark.createDataFrame([("p", payload)], "payload_id string, payload string"))
+    assert [r.intact for r in got.orderBy("row").collect()] == [True, True, True, False, False]
