@@ -244,7 +244,15 @@ class Execution:
     previous_physical_table: str | None = None
 
 
-def _gate(ticket, approval, target, confirmed, executions, spark) -> str | None:
+def publication_gate(
+    ticket: Ticket,
+    approval: Approval,
+    target: str,
+    confirmed: bool,
+    executions: DataFrame | None,
+    spark: SparkSession,
+) -> str | None:
+    """The first gate that a live execution does not pass, or None."""
     manifest = approval.manifest
     facts = spark.createDataFrame(
         [
@@ -282,7 +290,7 @@ def execute_live(
 ) -> Execution:
     """Repair a fresh read and publish it, if it is provably what was approved."""
     spark = fresh.sparkSession
-    gate = _gate(ticket, approval, target, confirmed, executions, spark)
+    gate = publication_gate(ticket, approval, target, confirmed, executions, spark)
     if gate is not None:
         return Execution(False, gate)
     if ticket.decision is not None:

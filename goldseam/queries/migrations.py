@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from goldseam.functions.dtypes import logical_dtype
+from goldseam.operators.ledger import latest_marker, ticket_states
 from goldseam.plans.evidence import gather
+from goldseam.plans.lifecycle import Lifecycle, LifecycleRefused
 from goldseam.plans.migration import Table, simulate
 from goldseam.queries import register
 from goldseam.queries.casts import int64_case
 from goldseam.queries.fingerprints import fingerprint_sql
 from goldseam.queries.fixtures import INT_TEXT, SAFE_TEXTS, table, with_sql
+from goldseam.session import shared_folder
+from goldseam.sources.publish import StaleRollback
 
 
 def _tables(spark, sf_dir):
@@ -94,3 +104,79 @@ def evidence_one_scan(spark, sf_dir):
         "outcome string, row_count bigint, source_fingerprint string, output_fingerprint string, "
         "converted_count bigint",
     )
+
+
+_LIFE = """SELECT step, outcome, CAST(CASE WHEN counted THEN n ELSE 0 END AS BIGINT) AS row_count FROM
+(SELECT count(*) AS n FROM orders), (VALUES
+('snapshot', 'NEW', true), ('run s1', 'CAPTURED', true),
+('run e1-revalidation', 'MATCHED', true), ('run e2-revalidation', 'MATCHED', true),
+('ticket t1', 'APPROVED', true), ('ticket t2', 'APPROVED', true),
+('execution e1', 'COMPLETED', false), ('execution e2', 'ROLLED_BACK', false),
+('refused e1 again', 'ALREADY_EXECUTED', false), ('refused rollback e1', 'SUPERSEDED', false),
+('published', 'e1', true)) v(step, outcome, counted)"""
+
+
+@register("lifecycle_ledgers", _LIFE)
+def lifecycle_ledgers(spark, sf_dir):
+    """Simulate, approve, publish, roll back and refuse on all orders; what the ledgers show in the end."""
+    kept = [c for c in table(spark, sf_dir, "orders").columns if c != "o_custkey"]
+
+    text = F.col("o_custkey").cast("string").alias("o_custkey")
+    data = table(spark, sf_dir, "orders").select(text, *kept)
+    gold = [(f.name, "int64" if f.name == "o_custkey" else logical_dtype(f)) for f in data.schema.fields]
+    plain = Table(data, ["o_orderkey"], gold, source_backed=True)
+    life = Lifecycle(spark, shared_folder(spark, "lifecycle"), "t")
+    target, pairs, action = f"orders_{uuid.uuid4().hex[:12]}", [("object", "int64")], "CAST_COLUMN o_custkey TO int64"
+    refused = []
+
+    def refusal(step: str, call) -> None:
+        try:
+            outcome = call()
+            refused.append((step, outcome.outcome))
+        except (LifecycleRefused, StaleRollback) as error:
+            refused.append((step, str(error)))
+
+    read = life.capture(plain, "orders", "s1", "2024-01-01 00:00:00")
+    tickets = {name: life.open(plain, read, action, 0.85, name, "v1", pairs) for name in ("t1", "t2")}
+    for ticket in tickets.values():
+        life.approve(ticket, read, "ops", "2024-01-02 00:00:00")
+
+    def execute(ticket: str, execution: str, hour: int):
+        return life.execute(
+            tickets[ticket], read, plain, target, execution, f"2024-01-03 0{hour}:00:00", confirmed=True,
+            allowed_pairs=pairs,
+        )
+
+    execute("t1", "e1", 1)
+    refusal("refused e1 again", lambda: execute("t1", "e9", 2))
+    execute("t2", "e2", 4)
+    refusal("refused rollback e1", lambda: life.rollback("e1", "2024-01-04 00:00:00"))
+    life.rollback("e2", "2024-01-04 01:00:00")
+    nothing = F.lit(0).cast("bigint").alias("row_count")
+    runs, stored = life.read("runs"), life.read("snapshots")
+    states = ticket_states(life.read("tickets"), life.read("decisions"))
+    manifests = life.read("manifests").select("ticket_id", "final_row_count")
+    shown = latest_marker(life.publisher.markers()).where(F.col("logical_target") == target)
+    parts = [
+        stored.select(
+            F.lit("snapshot").alias("step"),
+            F.when(F.col("snapshot_id") == "orders-s1", "NEW").otherwise("other").alias("outcome"),
+            F.col("source_row_count").alias("row_count"),
+        ),
+        runs.select(F.concat(F.lit("run "), "run_id").alias("step"), "outcome", F.col("source_row_count").alias("row_count")),
+        states.join(manifests, "ticket_id", "left").select(
+            F.concat(F.lit("ticket "), "ticket_id").alias("step"),
+            F.col("status").alias("outcome"),
+            F.coalesce("final_row_count", F.lit(0)).alias("row_count"),
+        ),
+        life.executions().select(
+            F.concat(F.lit("execution "), "execution_id").alias("step"), F.col("status").alias("outcome"), nothing
+        ),
+        spark.createDataFrame(refused, "step string, outcome string").select("step", "outcome", nothing),
+        spark.table(target).agg(F.count("*").alias("row_count")).select(
+            F.lit("published").alias("step"),
+            F.lit("e1" if shown.first().physical_table.endswith("__e1") else "other").alias("outcome"),
+            "row_count",
+        ),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import wraps
+from functools import lru_cache, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,11 +34,16 @@ def build_session(app: str = "goldseam", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="goldseam-")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for one run, below the shared folder the cluster names.
 
-    Only where no folder is configured and the session is local (tests, a laptop) is a
-    temporary one used: on a cluster executors could not see it.
+    Only where no folder is configured and the session is local (a laptop) is a temporary one
+    used: on a cluster executors could not see it. The session's settings are not touched.
     """
     root = spark.conf.get(CHECKPOINT_SETTING, None)
     if root is None:
@@ -48,8 +53,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError(
                 f"Set {CHECKPOINT_SETTING} to a folder that every executor can reach."
             )
-        root = tempfile.mkdtemp(prefix="goldseam-")
-        spark.conf.set(CHECKPOINT_SETTING, root)
+        root = _local_folder()
     return f"{root.rstrip('/')}/goldseam/{purpose}/{uuid.uuid4().hex}"
 
 

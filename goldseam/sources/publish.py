@@ -78,13 +78,13 @@ class Publisher:
     def version_folder(self, physical_table: str) -> str:
         return f"{self.folder}/{physical_table}"
 
-    def _exists(self, folder: str) -> bool:
+    def exists(self, folder: str) -> bool:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(folder)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def markers(self) -> DataFrame:
-        if not self._exists(self._marker_folder):
+        if not self.exists(self._marker_folder):
             return self.spark.createDataFrame([], MARKER_SCHEMA)
         return self.spark.read.schema(MARKER_SCHEMA).parquet(self._marker_folder)
 

@@ -104,15 +104,20 @@ def trusted_read(df: DataFrame, dataset: str, key: Sequence[str]) -> DataFrame:
     """The evidence of one complete read, one row: key, proof, count and both fingerprints.
 
     Count and data fingerprint come from one aggregate over the scan. Only the key proof shuffles,
-    and it reads the key columns alone.
+    and it reads the key columns alone. If the two scans do not count the same rows, the table changed
+    in between, and the read fails.
     """
     parts = [
         key_proof(df, dataset, key).select(
-            "dataset", "primary_key", F.col("proved").alias("key_proved"), "row_count"
+            "dataset", "primary_key", F.col("proved").alias("key_proved"), F.col("row_count").alias("key_rows")
         ),
         schema_fingerprint(column_metadata(df, dataset)),
-        dataset_fingerprint(df, dataset).drop("row_count"),
+        dataset_fingerprint(df, dataset),
     ]
-    facts = ("primary_key", "key_proved", "row_count", "schema_fingerprint", "data_fingerprint")
+    facts = ("primary_key", "key_proved", "key_rows", "row_count", "schema_fingerprint", "data_fingerprint")
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return rows.groupBy("dataset").agg(*[F.first(f, ignorenulls=True).alias(f) for f in facts])
+    read = rows.groupBy("dataset").agg(*[F.first(f, ignorenulls=True).alias(f) for f in facts])
+    counted = F.when(F.col("key_rows") == F.col("row_count"), F.col("row_count")).otherwise(
+        F.raise_error(F.lit("SOURCE_CHANGED_DURING_READ"))
+    )
+    return read.withColumn("row_count", counted).drop("key_rows")
