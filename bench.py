@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from goldseam.queries import load_all
@@ -41,6 +42,7 @@ def main() -> None:
             "spark.driver.memory": "12g",
             "spark.sql.shuffle.partitions": cpus,
             "spark.sql.files.maxPartitionBytes": str(4 * 1024 * 1024),
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="goldseam-bench-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import math
+import tempfile
 import time
 
 import duckdb
@@ -48,6 +49,7 @@ def main() -> None:
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "8g",
             "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="goldseam-check-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
