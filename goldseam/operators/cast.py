@@ -101,6 +101,94 @@ def verdicts(df: DataFrame, casts: Sequence[Cast], keep: Sequence[str] = ()) ->
     return result
 
 
+# The codes that a proof for each target can give.
+REASONS = {
+    "int64": (
+        C.PARSE_ERROR, C.FRACTIONAL_VALUE, C.OUT_OF_RANGE, C.NON_FINITE_NUMBER,
+        C.NULL_TARGET_INCOMPATIBLE, C.UNSUPPORTED_SOURCE_VALUE,
+    ),
+    "float64": (C.PARSE_ERROR, C.PRECISION_LOSS, C.NON_FINITE_NUMBER, C.UNSUPPORTED_SOURCE_VALUE),
+    "bool": (C.AMBIGUOUS_BOOLEAN, C.NULL_TARGET_INCOMPATIBLE, C.UNSUPPORTED_SOURCE_VALUE),
+    "object": (C.ROUND_TRIP_MISMATCH,),
+}
+
+
+def _counted_reasons(df: DataFrame, casts: Sequence[Cast], key: Sequence[str]) -> DataFrame:
+    """(cast_id, reason, n, nulls, first_key) of all casts from one scan, as plain aggregates.
+
+    A task sends one row, however many casts there are. Decimal texts that need Python are counted by
+    a second scan, again one for all casts, which is there only if text is cast to float64.
+    """
+    first = _first_key(key).alias("_key")
+    verdict, null, long = {}, {}, {}
+    for i, cast in enumerate(casts):
+        data_type = _field(df, cast.column).dataType
+        value = quoted(cast.column)
+        null[i] = rules.is_null(value, rules.source_kind(data_type))
+        if cast.supported:
+            verdict[i] = rules.reason(value, data_type, cast.normalized)
+        if _needs_long_text_branch(data_type, cast):
+            long[i] = F.coalesce(rules.is_long_decimal_text(value), F.lit(False))
+
+    def tallies(ids: Sequence[int]) -> list[Column]:
+        listed = []
+        for i in ids:
+            for r, code in enumerate(REASONS[casts[i].normalized]):
+                hit = F.col(f"_r{i}") == code
+                listed.append(F.count_if(hit).alias(f"n{i}_{r}"))
+                listed.append(F.min(F.when(hit, F.col("_key"))).alias(f"k{i}_{r}"))
+        return listed
+
+    scanned = df.select(
+        first,
+        *[v.alias(f"_r{i}") for i, v in verdict.items()],
+        *[v.alias(f"_n{i}") for i, v in null.items()],
+    ).agg(
+        F.count(F.lit(1)).alias("total"),
+        *[F.count_if(F.col(f"_n{i}")).alias(f"nulls{i}") for i in null],
+        *tallies(list(verdict)),
+    )
+    if long:
+        any_long = F.lit(False)
+        for test in long.values():
+            any_long = any_long | test
+        by_python = df.where(any_long).select(
+            first,
+            *[
+                F.when(test, rules.long_decimal_reason(F.when(test, quoted(casts[i].column)))).alias(f"_r{i}")
+                for i, test in long.items()
+            ],
+        ).agg(*tallies(list(long)))
+        both = scanned.unionByName(by_python, allowMissingColumns=True)
+        scanned = both.agg(
+            *[(F.min(c) if c.startswith("k") else F.sum(c)).alias(c) for c in scanned.columns]
+        )
+    rows = []
+    for i, cast in enumerate(casts):
+        codes = REASONS[cast.normalized] if i in verdict else ()
+        failed = sum((F.col(f"n{i}_{r}") for r in range(len(codes))), F.lit(0).cast("bigint"))
+        nulls, none = F.col(f"nulls{i}"), F.lit(0).cast("bigint")
+        rejected = C.NULL_TARGET_INCOMPATIBLE if C.NULL_TARGET_INCOMPATIBLE in codes else None
+        rows.append((i, None, F.col("total") - failed, none if rejected else nulls, None))
+        for r, code in enumerate(codes):
+            own = nulls if code == rejected else none
+            rows.append((i, code, F.col(f"n{i}_{r}"), own, F.col(f"k{i}_{r}")))
+    key_type = df.select(first).schema["_key"].dataType
+    listed = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("cast_id"),
+                F.lit(code).cast("string").alias("reason"),
+                n.alias("n"),
+                nulls.alias("nulls"),
+                (F.lit(None).cast(key_type) if at is None else at).alias("first_key"),
+            )
+            for i, code, n, nulls, at in rows
+        ]
+    )
+    return scanned.select(F.inline(listed)).where("reason IS NULL OR n > 0")
+
+
 def _first_key(keys: Sequence[str]) -> Column:
     return quoted(keys[0]) if len(keys) == 1 else F.struct(*[quoted(k) for k in keys])
 
@@ -115,23 +203,16 @@ def cast_decision(
     has each of them. Without ``by`` an empty table still gives its (SAFE) decision rows.
     """
     groups = list(by)
-    found = verdicts(df, casts, keep=[*groups, *[k for k in key if k not in groups]])
     failing = F.col("reason").isNotNull()
-    per_reason = found.groupBy(*groups, "cast_id", "reason").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("is_null")).alias("nulls"),
-        F.min(F.when(failing, _first_key(key))).alias("first_key"),
-    )
-    if not groups:
-        # A row of zeros per cast, so that an empty table has decisions too.
-        zeros = df.sparkSession.range(len(casts)).select(
-            F.col("id").cast("int").alias("cast_id"),
-            F.lit(None).cast("string").alias("reason"),
-            F.lit(0).cast("bigint").alias("n"),
-            F.lit(0).cast("bigint").alias("nulls"),
-            F.lit(None).cast(per_reason.schema["first_key"].dataType).alias("first_key"),
+    if groups:
+        found = verdicts(df, casts, keep=[*groups, *[k for k in key if k not in groups]])
+        per_reason = found.groupBy(*groups, "cast_id", "reason").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("is_null")).alias("nulls"),
+            F.min(F.when(failing, _first_key(key))).alias("first_key"),
         )
-        per_reason = per_reason.unionByName(zeros)
+    else:
+        per_reason = _counted_reasons(df, casts, key)
     joined = per_reason.groupBy(*groups, "cast_id").agg(
         F.sum("n").alias("total"),
         F.sum("nulls").alias("nulls"),

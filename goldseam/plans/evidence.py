@@ -17,7 +17,7 @@ from goldseam.functions import cast_rules as rules
 from goldseam.functions.actions import parse_action
 from goldseam.functions.dtypes import logical_dtype
 from goldseam.functions.encoding import quoted, schema_header
-from goldseam.operators.cast import Cast, cast_decision, with_cast
+from goldseam.operators.cast import REASONS, Cast, cast_decision, with_cast
 from goldseam.operators.fingerprint import (
     fingerprint_aggregates,
     fingerprint_digest,
@@ -26,16 +26,6 @@ from goldseam.operators.fingerprint import (
 from goldseam.operators.repair import RepairRefused, rename_column, reorder_columns
 from goldseam.session import exact_names
 
-_REASONS = {
-    "int64": (
-        C.PARSE_ERROR, C.FRACTIONAL_VALUE, C.OUT_OF_RANGE, C.NON_FINITE_NUMBER,
-        C.NULL_TARGET_INCOMPATIBLE, C.UNSUPPORTED_SOURCE_VALUE,
-    ),
-    "float64": (C.PARSE_ERROR, C.PRECISION_LOSS, C.NON_FINITE_NUMBER, C.UNSUPPORTED_SOURCE_VALUE),
-    "bool": (C.AMBIGUOUS_BOOLEAN, C.NULL_TARGET_INCOMPATIBLE, C.UNSUPPORTED_SOURCE_VALUE),
-}
-
-
 @dataclass(frozen=True)
 class Evidence:
     """What one scan showed. ``corrected`` is None where the action cannot be applied."""
@@ -152,9 +142,9 @@ def _cast_aggregates(df, cast, value, key, places):
         F.count_if(F.col("_moved")).alias("moved"),
         F.count_if(F.col("_changed")).alias("changed"),
     ]
-    if cast.normalized in _REASONS:
+    if cast.normalized != "object":
         parts += [rules.reason(value, data_type, cast.normalized).alias("_reason"), first.alias("_key")]
-        for i, code in enumerate(_REASONS[cast.normalized]):
+        for i, code in enumerate(REASONS[cast.normalized]):
             hit = F.col("_reason") == code
             aggregates.append(F.count_if(hit).alias(f"n_{i}"))
             aggregates.append(F.min(F.when(hit, F.col("_key"))).alias(f"k_{i}"))
@@ -167,9 +157,9 @@ def _cast_aggregates(df, cast, value, key, places):
 def _decision(df: DataFrame, cast: Cast, key: Sequence[str], row: Row | None) -> Row:
     """The decision from the scan's aggregates, or a proof of its own where they cannot tell."""
     told = {} if row is None else row.asDict()
-    if row is None or cast.normalized not in _REASONS or told.get("long_texts"):
+    if row is None or cast.normalized == "object" or told.get("long_texts"):
         return cast_decision(df, [cast], key).first()
-    codes = _REASONS[cast.normalized]
+    codes = REASONS[cast.normalized]
     seen = sorted(
         (told[f"k_{i}"], code) for i, code in enumerate(codes) if told[f"n_{i}"]
     )

@@ -16,7 +16,16 @@ def test_every_check_belongs_to_a_query():
 
 
 @pytest.mark.skipif(not SF.exists(), reason="test tables not here")
-@pytest.mark.parametrize("name", ["cast_decision", "schema_delta", "dataset_fingerprint", "ticket_lineage"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "cast_decision", "cast_allowlist", "cast_materialize_failures", "cast_materialize_long_texts",
+        "cast_object_nested", "dataset_fingerprint", "dataset_fingerprint_merkle", "decision_field_errors",
+        "execution_transitions", "infer_logical_type", "output_match", "plan_route", "publish_version",
+        "register_versions", "run_violations", "schema_delta", "ticket_lineage", "trusted_read_summary",
+        "variant_kinds",
+    ],
+)
 def test_queries_agree_with_their_sql(spark, name):
     con = duckdb.connect()
     for path in SF.glob("*.parquet"):
