@@ -253,12 +253,13 @@ _DECIMAL = r"(?i)^\s*[+-]?(([0-9]+([.][0-9]*)?|[.][0-9]+)(e[+-]?[0-9]+)?|inf(ini
 
 
 def decode_payloads(payloads: DataFrame, tag_key: str = "__type__") -> DataFrame:
-    """Stored payload texts as typed cells: payload_id, column, row, dtype, kind, text, intact.
+    """Stored payload texts as typed cells: payload_id, column, row, dtype, kind, text, intact, value.
 
     ``kind`` is the tag of a tagged cell, else the JSON type of a plain one. A version 1 payload
     has no uuid and raw_json tags, so such cells are plain JSON objects there. ``intact`` says
     whether the cell reads back as its kind and as the declared dtype. Payloads of other versions
-    give one row with kind ``UNSUPPORTED_VERSION`` and no cell.
+    give one row with kind ``UNSUPPORTED_VERSION`` and no cell. ``value`` is the cell as a variant of
+    its own type, null where it is not intact; a decimal of more than 38 digits stays text there.
     """
     parsed = payloads.select("payload_id", F.from_json("payload", _PAYLOAD).alias("p"))
     supported = F.col("p.format_version").isin(1, 2)
@@ -323,19 +324,63 @@ def decode_payloads(payloads: DataFrame, tag_key: str = "__type__") -> DataFrame
         .when(F.col("dtype") == "bool", F.col("kind") == "boolean")
         .otherwise(F.lit(True))
     )
+    intact = F.coalesce(as_kind, F.lit(False)) & F.coalesce(as_dtype, F.lit(False))
     return (
         cells.withColumn("kind", kind)
         .withColumn("text", text)
+        .withColumn("intact", intact)
         .select(
-            "payload_id",
-            "column",
-            "row",
-            "dtype",
-            "kind",
-            "text",
-            (F.coalesce(as_kind, F.lit(False)) & F.coalesce(as_dtype, F.lit(False))).alias("intact"),
+            "payload_id", "column", "row", "dtype", "kind", "text", "intact", _cell_value().alias("value")
+        )
+    )
+
+
+def _cell_value() -> Column:
+    """A decoded cell (cell, kind, dtype, text, intact) as a variant of its own type."""
+    content = F.col("text")
+    short = content.rlike(r"^-?(0|[1-9][0-9]*)([.][0-9]+)?$") & (F.length(content) <= 38)
+    zoned = content.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$")
+    number = F.when(F.col("dtype") == "float64", content.try_cast("double").cast("variant")).otherwise(F.col("cell"))
+    value = (
+        F.when(F.col("kind") == "decimal", F.coalesce(F.when(short, F.try_parse_json(content)), content.cast("variant")))
+        .when(F.col("kind") == "date", content.try_cast("date").cast("variant"))
+        .when(
+            F.col("kind").isin("pandas_timestamp", "python_datetime"),
+            F.when(zoned, content.try_cast("timestamp").cast("variant")).otherwise(
+                content.try_cast("timestamp_ntz").cast("variant")
+            ),
         )
+        .when(F.col("kind").isin("positive_infinity", "negative_infinity"), content.try_cast("double").cast("variant"))
+        .when(F.col("kind") == "uuid", content.cast("variant"))
+        .when(F.col("kind") == "raw_json", F.try_parse_json(content))
+        .when(F.col("kind").isin("integer", "number"), number)
+        .when(~F.col("kind").isin("null", "UNSUPPORTED_VERSION"), F.col("cell"))
     )
+    return F.when(F.col("intact"), value)
+
+
+_RESTORED = {
+    "int64": "bigint", "float64": "double", "bool": "boolean", "date": "date", "datetime": "timestamp_ntz",
+    "datetime_tz": "timestamp", "uuid": "string", "decimal": "decimal(38,18)",
+}
+
+
+def restore_rows(cells: DataFrame, columns: Sequence[tuple[str, str]]) -> DataFrame:
+    """Decoded cells as rows again: payload_id, row, and each of ``columns`` (name, dtype) in its type.
+
+    ``cells`` comes from ``decode_payloads``. Columns of other dtypes (object, json) are variants. Cells
+    meet by payload and row, so a payload of any length is spread over all tasks.
+    """
+    restored = []
+    for name, dtype in columns:
+        kind = _RESTORED.get(dtype)
+        here = F.col("column") == name
+        if kind is None:
+            restored.append(F.first(F.when(here, F.col("value")), ignorenulls=True).alias(name))
+        else:
+            text = F.first(F.when(here & F.col("intact"), F.col("text")), ignorenulls=True)
+            restored.append(text.try_cast(kind).alias(name))
+    return cells.where(F.col("row").isNotNull()).groupBy("payload_id", "row").agg(*restored)
 
 
 @exact_names

@@ -322,6 +322,26 @@ def decode_payloads(spark, sf_dir):
     )
 
 
+@register(
+    "restore_payload_rows",
+    with_sql(
+        "SELECT payload_id, 0 AS \"row\", payload_id AS a, CASE WHEN k = 0 THEN 'DECIMAL' WHEN k = 1 THEN 'none' "
+        "WHEN k = 2 THEN CASE WHEN version = 1 THEN 'OBJECT' ELSE 'STRING' END WHEN k IN (3, 7) THEN 'OBJECT' "
+        "WHEN k = 4 THEN 'DOUBLE' WHEN k = 5 THEN 'TIMESTAMP_NTZ' ELSE 'STRING' END AS b_type FROM f WHERE version < 3 "
+        "UNION ALL SELECT payload_id, 1, -1, 'none' FROM f WHERE version < 3",
+        f=_PAYLOADS,
+    ),
+)
+def restore_payload_rows(spark, sf_dir):
+    """Stored payloads as rows again: a as a number, b as a variant of whatever type each cell had."""
+    cells = ops.decode_payloads(_PAYLOADS.frame(spark, sf_dir).select("payload_id", "payload"))
+    rows = ops.restore_rows(cells, [("a", "int64"), ("b", "object")])
+    shape = F.regexp_extract(F.schema_of_variant("b"), "^[A-Z_]+", 0)
+    return rows.select(
+        "payload_id", "row", F.coalesce("a", F.lit(-1)).alias("a"), F.coalesce(shape, F.lit("none")).alias("b_type")
+    )
+
+
 @register(
     "encode_payload_cells",
     "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CAST(to_json(c_name) AS VARCHAR) AS c_name, "
