@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from goldseam.session import shared_folder
 
 #: Rows of at most this many bytes in all are broadcast; beyond it the join shuffles.
-BROADCAST_BYTES = 16 * 1024 * 1024
+BROADCAST_BYTES = 24 * 1024 * 1024
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Collects the folders that ``staged`` writes meanwhile, for ``dropped`` once nothing reads them."""
+    paths: list[str] = []
+    _recording.append(paths)
+    try:
+        yield paths
+    finally:
+        _recording.remove(paths)
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written intermediate tables; the caller knows that no DataFrame reads them any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written once to the shared folder and read back: a cut of the lineage that survives executors."""
     path = shared_folder(df.sparkSession, purpose)
+    for paths in _recording:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -273,13 +273,14 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     place = fresh(names, "_place")
     copy = staged(docs.withColumn(place, F.monotonically_increasing_id()), "line-dedup-input")
     gone, lines, held = (fresh([*names, place], x) for x in ("_gone", "_lines", "_held"))
-    dropped = (
+    taken_out = staged(
         line_classes(copy, place)
         .where("NOT kept")
         .groupBy(F.col("place").alias(place))
-        .agg(F.collect_set("line_no").alias(gone))
+        .agg(F.collect_set("line_no").alias(gone)),
+        "line-dedup-gone",
     )
-    cut = copy.join(dropped, place, "left").withColumn(
+    cut = copy.join(if_small(taken_out, 100), place, "left").withColumn(
         lines, F.when(F.col(gone).isNotNull(), F.split("text", "\n"))
     )
     cut = cut.withColumn(

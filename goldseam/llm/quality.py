@@ -173,16 +173,22 @@ def learn_cutoffs(features: DataFrame, labels: DataFrame) -> DataFrame:
     return staged(first_failure.groupBy("stratum").agg(*chosen), "quality-cutoffs")
 
 
-def with_verdicts(features: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """``features`` with kept: the base rules and every rule with a cutoff let the document pass."""
+def _with_rejections(features: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """``features`` with rejections: how many rules (the base rules count as one) reject the document."""
     key = fresh(features.columns, "_stratum")
     own = cutoffs.select(F.col("stratum").alias(key), *[F.col(r.name).alias(f"_cut_{r.name}") for r in RULES])
     joined = features.withColumn(key, stratum()).join(if_small(own, 80), key, "left")
-    kept = ~F.col("base_failed")
+    rejections = F.col("base_failed").cast("int")
     for rule in RULES:
         above = F.when(~F.col("base_failed"), F.expr(rule.score) > F.col(f"_cut_{rule.name}"))
-        kept = kept & ~F.coalesce(above, F.lit(False))
-    return joined.withColumn("kept", kept).drop(key, *[f"_cut_{r.name}" for r in RULES])
+        rejections = rejections + F.coalesce(above, F.lit(False)).cast("int")
+    return joined.withColumn("rejections", rejections).drop(key, *[f"_cut_{r.name}" for r in RULES])
+
+
+def with_verdicts(features: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """``features`` with kept: the base rules and every rule with a cutoff let the document pass."""
+    judged = _with_rejections(features, cutoffs)
+    return judged.withColumn("kept", F.col("rejections") == 0).drop("rejections")
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -201,11 +207,14 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that the rules keep; cutoffs are learnt from ``docs`` itself.
 
-    The rows are written once with their features, so that each text is looked at once.
+    Features are written once to learn from and computed once more to judge, so that no text is stored.
+    The verdict is one sum over both, as the optimizer would move a condition on the features alone
+    below them and so compute them several times.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     features = staged(
-        with_features(docs.select(row, "doc_id", "text", "lang")).drop("text"), "quality-rows"
+        with_features(docs.select("doc_id", "text", "lang")).drop("text"), "quality-features"
     )
-    cutoffs = learn_cutoffs(features.drop("_row"), labels)
-    return with_verdicts(features, cutoffs).where("kept").select("_row.*")
+    cutoffs = learn_cutoffs(features, labels)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    judged = _with_rejections(with_features(docs.select(row, "text", "lang")), cutoffs)
+    return judged.where("rejections = 0").select("_row.*")
