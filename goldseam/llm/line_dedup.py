@@ -207,8 +207,7 @@ def line_links(lines: DataFrame) -> DataFrame:
     roots = components(links, "line-components")
     # what the pivots did not connect: pairs of a bucket that are still in different components
     placed = (
-        shared.where("members > 2")
-        .join(roots, F.col("id") == F.col("node"), "left")
+        shared.join(roots, F.col("id") == F.col("node"), "left")
         .select("band", "id", F.coalesce("root", "id").alias("root"))
     )
     split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))

@@ -1,11 +1,13 @@
 """SimHash components, line classes, benchmark search and union-find against brute force."""
 
 import collections
+import random
 
 import numpy as np
 import pytest
 import xxhash
 from helpers import Components, awkward, empty, words
+from pyspark.sql import functions as F
 
 from goldseam.llm import decontaminate, line_dedup, simhash
 from goldseam.llm.components import components
@@ -154,6 +156,51 @@ def test_line_classes(spark):
     assert line_dedup.line_classes(empty(spark)).collect() == []
 
 
+def family(seed, size, shared, own, changes):
+    """Lines of one template with a part of their own, each with a near copy that has a few changed characters."""
+    random.seed(seed)
+
+    def text(n):
+        return "".join(random.choice("abcdefghijklmnopqrstuvwxyz      ") for _ in range(n)).replace("  ", "q ")
+
+    template, lines = "t" + text(shared - 1), []
+    for _ in range(size):
+        line = f"{template}{text(own - 1)}y"
+        copy = list(line)
+        for i in random.sample(range(shared, len(line) - 1), changes):
+            copy[i] = random.choice("0123456789")
+        lines += [line, "".join(copy)]
+    return lines
+
+
+def missed_links(spark, lines):
+    """How many links there are that agree in two bands, and those of them whose lines line_links keeps apart."""
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("id"), "line")
+    ids = {r.line: r.id for r in df.collect()}
+    bands = collections.defaultdict(set)
+    for r in line_dedup.band_keys(line_dedup._signature_sets(df.withColumn("copies", F.lit(1)))).collect():
+        bands[r.id].add(r.band)
+    root = {r.node: r.root for r in line_dedup.line_links(df).collect()}
+    sets = {x: shingle_set(x) for x in ids}
+    posted = collections.defaultdict(list)
+    for x, s in sets.items():
+        for g in s:
+            posted[g].append(x)
+    # what half of the lines share links none of them
+    near = {(a, b) for p in posted.values() if len(p) < len(ids) // 2 for a in p for b in p if a < b}
+    links = [
+        (a, b) for a, b in near
+        if len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b]) and len(bands[ids[a]] & bands[ids[b]]) > 1
+    ]
+    return len(links), [(a, b) for a, b in links if ids[a] not in root or root[ids[a]] != root.get(ids[b])]
+
+
+def test_template_lines_with_one_near_copy(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", 1_000_000)  # so that buckets alone decide
+    found, missed = missed_links(spark, family(1, 400, 120, 30, 3))
+    assert found > 200 and missed == []
+
+
 def test_lines_are_taken_out(spark):
     docs, rows = awkward(spark, line_texts())
     got = line_dedup.without_repeated_lines(docs)
