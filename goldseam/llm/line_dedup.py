@@ -23,9 +23,9 @@ shingles of one band are. First every line is compared with a pivot that it meet
 pivot being its line with the most copies: in a group of near copies that is the original, and one
 comparison per line connects the group. Then lines that agree in two bands and are still in different
 components are compared with each other. Where more than CROWD such lines agree in the same two bands (a
-crowd of copies with many changes), agreement in three bands is asked for, which at similarity 0.8 is missed
-once in twenty times; and where even there is a crowd, a line is compared with one line per bucket, drawn by
-hash, of each of its hundred or more buckets. So no bucket costs the square of its size.
+crowd of copies with many changes), all lines of such crowds are put under their rarest shingles, as many as
+two similar lines must share one of (prefix filter), and those that meet there are compared. This loses no
+similar pair, and lines with nothing but a template in common do not meet.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ SHINGLE = 7
 SIMILARITY = 80
 #: (bands, bins of a band) of the signatures by word and in full.
 BY_WORD, IN_FULL = (10, 3), (14, 4)
-#: Lines of a bucket that are all compared with each other.
+#: Lines of a bucket that are all compared with each other; lines of larger ones meet by their rarest shingles.
 CROWD = 16
 #: Lines up to FULL characters are signed in full, lines from SAMPLED on by words; SAMPLED / FULL < 0.8.
 FULL, SAMPLED = 200, 156
@@ -160,22 +160,15 @@ def _buckets(lines: DataFrame) -> DataFrame:
 
 
 _TWICE = "flatten(transform(bands, (x, i) -> transform(slice(bands, i + 2, size(bands)), y -> xxhash64(x, y))))"
-_THRICE = (
-    "flatten(flatten(transform(bands, (x, i) -> transform(slice(bands, i + 2, size(bands)), (y, j) ->"
-    " transform(slice(bands, i + j + 3, size(bands)), z -> xxhash64(x, y, z))))))"
-)
 
 
-def _agreeing(listed: DataFrame, combined: str) -> DataFrame:
-    """(key, id, root, members, pivot, pivot_root): lines by combinations of their bands; each key has a pivot."""
-    keyed = listed.select(F.explode(F.expr(combined)).alias("key"), "id", "root")
-    whole, mixed = Window.partitionBy("key"), Window.partitionBy("key").orderBy(F.xxhash64("key", "id"))
-    return (
-        keyed.withColumn("members", F.count("*").over(whole))
-        .withColumn("pivot", F.first("id").over(mixed))
-        .withColumn("pivot_root", F.first("root").over(mixed))
-        .where("members > 1")
+def _agreeing(listed: DataFrame) -> DataFrame:
+    """(key, id, root, members): lines by pairs of their bands, of keys that lines of several components share."""
+    keyed = listed.select(F.explode(F.expr(_TWICE)).alias("key"), "id", "root")
+    met = keyed.groupBy("key").agg(
+        F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")
     )
+    return keyed.join(met.where("low != high").select("key", "members"), "key")
 
 
 def _all_pairs(buckets: DataFrame) -> DataFrame:
@@ -185,6 +178,49 @@ def _all_pairs(buckets: DataFrame) -> DataFrame:
     return small.join(other, "key").where("id < other AND root != other_root").select("id", "other")
 
 
+def _prefix_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, other) of lines of ``crowd`` (id, root) in different components: every similar pair, and few others.
+
+    Shingles are ordered by how many lines of the crowd have them. Lines of x and y shingles, x <= y, are
+    similar only if they share 4/9 (x + y) of them, so the first shingle they share is among the first
+    x - 8/9 x + 1 of the one and the first y - 4/5 y + 1 of the other, and enough shingles follow it in
+    both. A shingle's lines in its largest component do not meet each other.
+    """
+    cut = F.array_distinct(F.transform(shingles("line"), lambda x: F.xxhash64(x)))
+    sets = staged(crowd.join(texts, "id").select("id", "root", cut.alias("cut")), "line-crowd")
+    posted = sets.select("id", "root", F.explode("cut").alias("shingle"))
+    parts = posted.groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    common = (
+        parts.groupBy("shingle")
+        .agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"))
+        .where("n > 1")
+    )
+    ordered = posted.join(common, "shingle").groupBy("id", "root").agg(
+        F.sort_array(F.collect_list(F.struct("n", "shingle", "main"))).alias("all")
+    )
+    # those that no other line has come first and are left out
+    sized = ordered.join(sets.select("id", F.size("cut").alias("size")), "id").withColumn(
+        "skipped", F.col("size") - F.size("all")
+    )
+    prefix = "filter(all, (x, i) -> i + skipped <= size - (4 * size + 4) div 5)"
+    first = staged(
+        sized.select("id", "root", "size", "skipped", F.posexplode(F.expr(prefix)).alias("i", "x")).select(
+            "id", "root", "size", (F.col("size") - F.col("skipped") - F.col("i")).alias("left"), "x.shingle", "x.main"
+        ),
+        "line-prefixes",
+    )
+    mixed = first.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    first = first.join(mixed.where("low != high").select("shingle"), "shingle", "left_semi")
+    a, b = first.where("root != main").alias("a"), first.alias("b")
+    enough = (
+        "a.shingle = b.shingle AND a.root != b.root AND (b.root = b.main OR a.id < b.id)"
+        " AND 5 * least(a.size, b.size) >= 4 * greatest(a.size, b.size)"
+        " AND if(a.size <= b.size, 9 * a.left >= 8 * a.size, 9 * b.left >= 8 * b.size)"
+        " AND 9 * least(a.left, b.left) >= 4 * (a.size + b.size)"
+    )
+    return a.join(b, F.expr(enough)).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))
+
+
 def line_links(lines: DataFrame) -> DataFrame:
     """(node, root) of the ids of all lines that are linked to another; ``lines`` is a written table."""
     shared = staged(_buckets(lines), "line-buckets")
@@ -215,14 +251,11 @@ def line_links(lines: DataFrame) -> DataFrame:
     listed = staged(
         rest.groupBy("id", "root").agg(F.sort_array(F.collect_set("band")).alias("bands")), "line-rest"
     )
-    double = staged(_agreeing(listed, _TWICE), "line-two-bands")
-    crowded = listed.join(double.where(f"members > {CROWD}").select("id").distinct(), "id", "left_semi")
-    triple = staged(_agreeing(crowded, _THRICE), "line-three-bands")
-    pivots = triple.where(f"members > {CROWD} AND root != pivot_root").select("id", F.col("pivot").alias("other"))
+    double = staged(_agreeing(listed), "line-two-bands")
+    crowd = double.where(f"members > {CROWD}").select("id", "root").distinct()
     second = (
         _all_pairs(double)
-        .union(_all_pairs(triple))
-        .union(pivots)
+        .union(_prefix_pairs(crowd, texts))
         .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")

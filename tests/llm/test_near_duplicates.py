@@ -201,6 +201,11 @@ def test_template_lines_with_one_near_copy(spark, monkeypatch):
     assert found > 200 and missed == []
 
 
+def test_near_copies_in_a_crowd(spark):
+    found, missed = missed_links(spark, family(1, 1000, 120, 30, 3))
+    assert found > 500 and missed == []
+
+
 def test_lines_are_taken_out(spark):
     docs, rows = awkward(spark, line_texts())
     got = line_dedup.without_repeated_lines(docs)
