@@ -6,14 +6,9 @@ and of each component the first line stays, by (doc_id, line number). Everything
 
 Signature. One hash per shingle; the hash range is cut into bins, the least hash of a bin is its MinHash
 value, and an empty bin takes that of the next filled one. A few bins make a band; lines that agree in a
-band are candidates. At similarity 0.8 two lines agree in one of fourteen bands of four, or of ten bands of
-three, all but once in a thousand times, in two of them all but about seven times; above it, more surely.
-
-Long lines are signed by a part of their character shingles: those that reach from the beginning of one
-word to the end of the next. That choice follows the content, so the sampled sets of two lines are about as
-similar as the lines, at a sixth of the work; and such shingles are longer and so rarer, so three per band
-do. Lines near the boundary get both signatures, and a long line with few spaces is signed in full.
-What is linked is decided by the 7-character shingles alone.
+band are candidates. At similarity 0.8 two lines agree in one of fourteen bands of four all but once in a
+thousand times, in two of them all but about seven times; above it, more surely. All shingles of a line are
+signed, whatever its length and words, so that the signature estimates the similarity that is decided.
 
 A line's id is 64 bits of hash of its text. Two different lines share one with a chance of 1 in 37
 for a corpus of 10^9 different lines; they would count as copies.
@@ -39,14 +34,10 @@ from goldseam.llm.components import components
 SHINGLE = 7
 #: Linked from this similarity on, in percent.
 SIMILARITY = 80
-#: (bands, bins of a band) of the signatures by word and in full.
-BY_WORD, IN_FULL = (10, 3), (14, 4)
+#: Bands of a signature, and bins of a band.
+BANDS, ROWS = 14, 4
 #: Lines of a bucket that are all compared with each other; lines of larger ones meet by their rarest shingles.
 CROWD = 16
-#: Lines up to FULL characters are signed in full, lines from SAMPLED on by words; SAMPLED / FULL < 0.8.
-FULL, SAMPLED = 200, 156
-#: A long line is signed by words only if it has one per so many characters.
-WORD_EVERY = 24
 
 _BLANKS = " \t\x0b\f\r"
 _MARK = "\x01"
@@ -63,9 +54,8 @@ def document_lines(docs: DataFrame, place: str) -> DataFrame:
 
 
 def shingles(line: str) -> Column:
-    """All shingles of a line in order, as text: one regular-expression pass marks them, one split cuts them."""
-    marked = F.regexp_replace(line, f"(?s)(.)(?=(.{{{SHINGLE - 1}}}))", f"$1$2{_MARK}")
-    cut = F.filter(F.split(marked, _MARK), lambda x: F.length(x) == SHINGLE)
+    """All shingles of a line in order, as text: one regular-expression pass looks ahead from every character."""
+    cut = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
     return F.when(F.length(line) <= SHINGLE, F.array(F.col(line))).otherwise(cut)
 
 
@@ -75,49 +65,29 @@ def _hash(*parts) -> Column:
 
 
 def _signature_sets(lines: DataFrame) -> DataFrame:
-    """(id, copies, kind, hashes): of every line the hashes by word (kind 0), in full (1), or both."""
-    length = F.length("line")
-    split = lines.withColumn("words", F.when(length >= SAMPLED, F.split("line", " ")))
-    rich = F.size("words") * WORD_EVERY >= length
-    pairs = F.transform("words", lambda x, i: _hash(x, F.get("words", i + 1)))
-    signed = split.select("id", "copies", "line", F.when(rich, pairs).alias("by_word"))
-    in_full = (F.length("line") <= FULL) | F.col("by_word").isNull()
-    whole = F.when(in_full, F.transform(shingles("line"), lambda x: _hash(x)))
-    kinds = F.array(
-        F.struct(F.lit(0).alias("kind"), F.col("by_word").alias("hashes")),
-        F.struct(F.lit(1).alias("kind"), whole.alias("hashes")),
-    )
-    return signed.select("id", "copies", F.inline(kinds)).where("hashes IS NOT NULL AND size(hashes) > 0")
+    """(id, copies, hashes): of every line the hashes of all its shingles."""
+    return lines.select("id", "copies", F.transform(shingles("line"), lambda x: _hash(x)).alias("hashes"))
 
 
 def band_keys(sets: DataFrame) -> DataFrame:
     """(id, copies, band): the keys under which the lines of ``sets`` meet their candidates."""
-    bits = [(bands * rows - 1).bit_length() for bands, rows in (BY_WORD, IN_FULL)]
-    rows = sets.select(
-        "id", "copies", "kind",
-        F.when(F.col("kind") == 0, 63 - bits[0]).otherwise(63 - bits[1]).alias("shift"),
-        F.sort_array("hashes").alias("ordered"),
-    )
-    here, earlier = "shiftright(x, shift)", "shiftright(ordered[i - 1], shift)"
+    shift = 63 - (BANDS * ROWS - 1).bit_length()
+    rows = sets.select("id", "copies", F.sort_array("hashes").alias("ordered"))
+    here, earlier = f"shiftright(x, {shift})", f"shiftright(ordered[i - 1], {shift})"
     rows = rows.select(
-        "id", "copies", "kind", "shift",
-        F.expr(f"filter(ordered, (x, i) -> i = 0 OR {here} != {earlier})").alias("least"),
+        "id", "copies", F.expr(f"filter(ordered, (x, i) -> i = 0 OR {here} != {earlier})").alias("least")
     )
     # a value fills its own bin and the empty ones before it, the first also those behind the last
-    prior = "shiftright(least[i - 1], shift)"
-    behind = "shiftleft(1L, 63 - shift) - 1 - shiftright(least[size(least) - 1], shift)"
+    prior = f"shiftright(least[i - 1], {shift})"
+    behind = f"{(1 << (63 - shift)) - 1} - shiftright(least[size(least) - 1], {shift})"
     filled = (
         f"concat(flatten(transform(least, (x, i) -> array_repeat(x, cast({here} - if(i = 0, -1L, {prior}) as int)))),"
         f" array_repeat(least[0], cast({behind} as int)))"
     )
-    rows = rows.select("id", "copies", "kind", F.expr(filled).alias("full"))
-
-    def keys(kind: int, shape: tuple[int, int]) -> str:
-        values = ", ".join(f"full[b * {shape[1]} + {r}]" for r in range(shape[1]))
-        return f"transform(sequence(0, {shape[0] - 1}), b -> xxhash64({kind}, b, {values}))"
-
-    both = f"if(kind = 0, {keys(0, BY_WORD)}, {keys(1, IN_FULL)})"
-    return rows.select("id", "copies", F.explode(F.expr(both)).alias("band"))
+    rows = rows.select("id", "copies", F.expr(filled).alias("full"))
+    values = ", ".join(f"full[b * {ROWS} + {r}]" for r in range(ROWS))
+    keys = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, {values}))")
+    return rows.select("id", "copies", F.explode(keys).alias("band"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -201,6 +201,39 @@ def test_template_lines_with_one_near_copy(spark, monkeypatch):
     assert found > 200 and missed == []
 
 
+def long_word_lines(pairs, size, word, changes):
+    """Independent lines of long words, each followed by a copy with a few changed characters."""
+    random.seed(size * word)
+    lines = []
+    for _ in range(pairs):
+        line = " ".join(
+            "".join(random.choice("abcdefghijklmnop/._-") for _ in range(word)) for _ in range(size // (word + 1))
+        )
+        copy = list(line)
+        for i in random.sample([i for i, x in enumerate(line) if x != " "], changes):
+            copy[i] = "#"
+        lines += [line, "".join(copy)]
+    return lines
+
+
+def linked_pairs(spark, lines):
+    """Similar pairs of a line and its copy, and those of them that line_links connects."""
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("id"), "line")
+    ids = {r.line: r.id for r in df.collect()}
+    root = {r.node: r.root for r in line_dedup.line_links(df).collect()}
+    pairs = [
+        (a, b) for a, b in zip(lines[::2], lines[1::2], strict=True)
+        if len(shingle_set(a) & shingle_set(b)) * 100 >= 80 * len(shingle_set(a) | shingle_set(b))
+    ]
+    return len(pairs), sum(ids[a] in root and root[ids[a]] == root.get(ids[b]) for a, b in pairs)
+
+
+def test_long_lines_of_long_words(spark):
+    lines = [x for size, word, n in ((300, 20, 3), (400, 20, 4), (400, 12, 4)) for x in long_word_lines(100, size, word, n)]
+    found, linked = linked_pairs(spark, lines)
+    assert found > 250 and linked >= 0.99 * found
+
+
 def test_near_copies_in_a_crowd(spark):
     found, missed = missed_links(spark, family(1, 1000, 120, 30, 3))
     assert found > 500 and missed == []
