@@ -195,8 +195,7 @@ def missed_links(spark, lines):
     return len(links), [(a, b) for a, b in links if ids[a] not in root or root[ids[a]] != root.get(ids[b])]
 
 
-def test_template_lines_with_one_near_copy(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "CROWD", 1_000_000)  # so that buckets alone decide
+def test_template_lines_with_one_near_copy(spark):
     found, missed = missed_links(spark, family(1, 400, 120, 30, 3))
     assert found > 200 and missed == []
 
