@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from spark_rows import rows
 from goldseam import constants as C
 from goldseam.operators import cast as ops
 from goldseam.operators.cast import Cast

@@ -1,7 +1,7 @@
 import datetime
 import random
 
-from conftest import rows
+from spark_rows import rows
 from goldseam.operators import governance, ledger
 
 T0 = datetime.datetime(2024, 1, 1)

@@ -5,7 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from spark_rows import rows
 from goldseam.operators import profile, repair
 from goldseam.operators.fingerprint import measure
 from goldseam.plans import evidence

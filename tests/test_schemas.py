@@ -3,7 +3,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from conftest import rows
+from spark_rows import rows
 from goldseam.functions.dtypes import UnsupportedTypeError, canonical_spark_type, logical_dtype
 from goldseam.operators import delta, governance, profile
 from goldseam.plans.migration import schema_rows
