@@ -19,6 +19,7 @@ from goldseam.llm import (
     simhash,
     token_counts,
     url_filter,
+    whitening,
 )
 from goldseam.llm.common import table
 from goldseam.session import shared_folder
@@ -106,6 +107,11 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the leading components of all vectors, whitened."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quotation_linking": op1_quotation_linking,
     "op2_token_counts": op2_token_counts,
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_packed_ids": op9_packed_ids,
     "op10_shards": op10_shards,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
