@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from goldseam.llm import collocations as co
 from goldseam.llm import quality as q
 from goldseam.llm.url_filter import UrlRule
 
@@ -120,3 +121,35 @@ SELECT m.conv_id, m.turn, m.role, root.thread_turn, reply.reply_to,
   trim(coalesce(body.body, ''), chr(10) || chr(13) || chr(9) || ' ') AS body
 FROM msg m JOIN root ON root.conv_id IS NOT DISTINCT FROM m.conv_id AND root.tick = m.tick
 LEFT JOIN reply ON reply.place = m.place LEFT JOIN body ON body.place = m.place"""
+
+
+def collocations() -> str:
+    """Phrases of 1 to 4 words by plain counting, every cut, and any longer candidate around a shorter one."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH piece AS (SELECT coalesce(lang, '{co.NO_LANG}') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM piece),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+counted AS (
+  {" UNION ALL ".join(
+      f"SELECT lang, {k} AS k, p, count(*) AS a FROM (SELECT lang, unnest(list_transform(range(1, len(ws) - {k - 1} + 1),"
+      f" lambda i: array_to_string(ws[i:i + {k - 1}], ' '))) AS p FROM w) GROUP BY lang, p HAVING count(*) >= {co.LEAST}"
+      for k in range(1, co.LONGEST + 1))}),
+cut AS (SELECT lang, k, p, a, unnest(range(1, k)) AS j FROM counted WHERE k > 1),
+part AS (SELECT *, array_to_string(string_split(p, ' ')[1:j], ' ') AS x,
+    array_to_string(string_split(p, ' ')[j + 1:k], ' ') AS y FROM cut),
+scored AS (SELECT c.lang, c.k, c.p, c.a, c.j, l.a AS l, r.a AS r,
+    ({co.SCALE}::HUGEINT * c.a) // (l.a + r.a) AS score
+  FROM part c JOIN counted l ON l.lang = c.lang AND l.p = c.x AND l.k = c.j
+  JOIN counted r ON r.lang = c.lang AND r.p = c.y AND r.k = c.k - c.j),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+inside AS (SELECT lang, a, k, p, unnest(range(2, k)) AS len FROM counted WHERE k > 2),
+inner_phrase AS (SELECT lang, a, len, p, unnest(range(1, k - len + 2)) AS i FROM inside),
+around AS (SELECT lang, array_to_string(string_split(p, ' ')[i:i + len - 1], ' ') AS p, max(a) AS a
+  FROM inner_phrase GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.p = b.p
+  WHERE o.a IS NULL OR 100 * o.a::HUGEINT < {co.COVERED} * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, p AS phrase, a, l, r, n, score::BIGINT AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= {co.TOP}"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldseam.llm import (
+    collocations,
     decontaminate,
     line_dedup,
     oracles,
@@ -112,6 +113,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quotation_linking": op1_quotation_linking,
     "op2_token_counts": op2_token_counts,
@@ -124,10 +130,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packed_ids": op9_packed_ids,
     "op10_shards": op10_shards,
     "op11_whitening": op11_whitening,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quotation_linking": oracles.quotation_linking(),
     "op5_url_filter": oracles.url_filter(URL_RULES),
     "op6_quality": oracles.quality(),
+    "op12_collocations": oracles.collocations(),
 }
