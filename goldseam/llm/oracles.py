@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from goldseam.llm import collocations as co
+from goldseam.llm import nn_descent as nn
 from goldseam.llm import quality as q
 from goldseam.llm.url_filter import UrlRule
 
@@ -153,3 +154,22 @@ kept AS (SELECT b.* FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.p =
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM kept)
 SELECT lang, rank::BIGINT AS rank, p AS phrase, a, l, r, n, score::BIGINT AS score
 FROM ranked JOIN total USING (lang) WHERE rank <= {co.TOP}"""
+
+
+def embedding_links() -> str:
+    """All pairs of a label by plain comparison, and what links reach."""
+    return f"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS place, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+  AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+  AND len(list_filter(e, lambda c: c <> 0)) > 0),
+link AS (SELECT a.place AS a, b.place AS b, b.vec_id FROM good a JOIN good b
+  ON a.label = b.label AND a.place <> b.place AND len(a.e) = len(b.e)
+  AND list_cosine_similarity(a.e, b.e) >= {nn.THRESHOLD}),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+least AS (SELECT r.a, min(v.vec_id) AS id FROM reach r JOIN v ON v.place = r.b GROUP BY r.a),
+number AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(id, vec_id)) AS component_id,
+  vec_id IS NOT DISTINCT FROM least(vec_id, coalesce(id, vec_id)) AS kept
+FROM v LEFT JOIN number ON number.a = place LEFT JOIN least ON least.a = place"""

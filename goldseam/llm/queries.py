@@ -11,6 +11,7 @@ from goldseam.llm import (
     collocations,
     decontaminate,
     line_dedup,
+    nn_descent,
     oracles,
     packed_ids,
     prefix_bpe,
@@ -118,6 +119,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector among those of its label."""
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings")).drop("audited_recall")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quotation_linking": op1_quotation_linking,
     "op2_token_counts": op2_token_counts,
@@ -131,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shards": op10_shards,
     "op11_whitening": op11_whitening,
     "op12_collocations": op12_collocations,
+    "op13_nn_descent": op13_nn_descent,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -138,4 +145,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": oracles.url_filter(URL_RULES),
     "op6_quality": oracles.quality(),
     "op12_collocations": oracles.collocations(),
+    "op13_nn_descent": oracles.embedding_links(),
 }
