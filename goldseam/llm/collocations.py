@@ -7,12 +7,12 @@ written as distances from one to the next, which are small.
 
 A step from R_k to longer phrases has four parts. The relation is merged with itself one position on: where a
 frequent phrase begins at p and another at p + 1, a longer one begins at p (both parts of a frequent phrase
-are frequent, so none is lost). Each block folds its occurrences into its different candidates, and Spark
-counts those over all blocks. Candidates that are frequent get a number. A semi-join of the blocks'
-candidates with the frequent ones leaves R_(k+1), which is written, sorted as before.
+are frequent, so none is lost). Each block folds its occurrences into its different candidates. Those are
+shuffled once, to be counted over all blocks; what is not frequent goes, and the rest is numbered, all
+copies of a candidate by the first. This semi-join leaves R_(k+1), which is written, sorted as before.
 
 What is shuffled are different candidates of a block, never occurrences; a phrase that fills a third of a
-language is one row of each block.
+language is one row of each block. The plan is the same at every size, and nothing is broadcast by hint.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from goldseam.llm.common import dropped, if_measured_small, recorded, staged
+from goldseam.llm.common import dropped, recorded, staged
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 SCALE = 2_000_000
@@ -34,8 +34,8 @@ COVERED = 80
 NO_LANG = "und"
 #: A block ends with the document that brings it to so many words.
 BLOCK_WORDS = 1 << 20
-#: Bytes of a broadcast row: a number, two parts, and what a hash table adds; texts are counted.
-_ROW_BYTES = 96
+#: An entry of a block is numbered over all blocks: the block's number, then that many bits of its own.
+_ENTRY_BITS, _BLOCKS_BITS = 31, 12
 
 _BORDER = b"."
 #: A-Z to a-z, all that ends a piece to the border sign, tab to space.
@@ -94,7 +94,7 @@ def word_blocks(docs: DataFrame) -> DataFrame:
             made += 1
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([(task << 32) + made], pa.int64()),
+                    pa.array([(task << _BLOCKS_BITS) + made], pa.int64()),
                     pa.array([lang]),
                     _lists([row["ids"]], pa.int32()),
                     _lists([row["words"]], pa.string()),
@@ -110,8 +110,8 @@ def word_blocks(docs: DataFrame) -> DataFrame:
                 before = block.size
                 block.add(text.as_py())
                 held += block.size - before
-                # a full block goes; and the fullest, when many languages together hold as much as four
-                if block.size >= BLOCK_WORDS or held >= 4 * BLOCK_WORDS:
+                # a full block goes; and the fullest, when several languages together hold as much as two
+                if block.size >= BLOCK_WORDS or held >= 2 * BLOCK_WORDS:
                     fullest = max(open_blocks, key=lambda name: open_blocks[name].size)
                     held -= open_blocks[fullest].size
                     yield closed(fullest)
@@ -137,12 +137,14 @@ def _gaps(places: np.ndarray) -> np.ndarray:
 def _kept_occurrences(blocks: DataFrame, kept: DataFrame, purpose: str) -> DataFrame:
     """R_k: (block, lang, gaps, local, phrases) of the occurrences whose candidate is frequent.
 
-    ``kept`` has (block, id, phrase): the semi-join's rows. ``phrases`` numbers the block's phrases
+    ``kept`` has (entry, phrase) of the candidates that stay. ``phrases`` numbers the block's phrases
     for all blocks, ``local`` indexes it. ``blocks`` without gaps have an entry for every position.
     """
     dense = "gaps" not in blocks.columns
     own = ["block", "lang", "ids"] + ([] if dense else ["gaps"])
-    lists = kept.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "phrase"))).alias("kept"))
+    own_id = F.col("entry").bitwiseAND(F.lit((1 << _ENTRY_BITS) - 1)).cast("int").alias("id")
+    rows = kept.select(F.shiftright("entry", _ENTRY_BITS).alias("block"), own_id, "phrase")
+    lists = rows.groupBy("block").agg(F.collect_list(F.struct("id", "phrase")).alias("kept"))
     met = blocks.select(*own).join(lists, "block")
     met = met.select(*own, F.col("kept.id").alias("old"), F.col("kept.phrase").alias("phrases"))
 
@@ -207,12 +209,23 @@ def _extended(occurrences: DataFrame, purpose: str) -> DataFrame:
     return staged(occurrences.mapInArrow(run, schema), purpose)
 
 
-def _opened(blocks: DataFrame, *names: str) -> DataFrame:
-    """(block, id, names...): the different candidates of every block as rows."""
-    zipped = F.arrays_zip(*[F.col(n) for n in names])
-    return blocks.select("block", "lang", F.posexplode(zipped).alias("id", "c")).select(
-        "block", "lang", "id", *[F.col(f"c.{n}").alias(n) for n in names]
-    )
+def _entries(blocks: DataFrame, names: list[str], carried: list[str]) -> DataFrame:
+    """(carried..., names..., count, entry): the different candidates of every block as rows."""
+    zipped = F.arrays_zip(*[F.col(n) for n in (*names, "counts")])
+    rows = blocks.select("block", *carried, F.posexplode(zipped).alias("id", "c"))
+    entry = F.shiftleft(F.col("block"), _ENTRY_BITS) + F.col("id")
+    own = [F.col(f"c.{n}").alias(n) for n in names]
+    return rows.select(*carried, *own, F.col("c.counts").alias("count"), entry.alias("entry"))
+
+
+def _frequent(entries: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """(keys..., entry, a, phrase) of the entries of frequent candidates: how often in all, and their number.
+
+    A candidate's rows, one of each block that has it, meet once: they are sorted, not gathered.
+    """
+    whole = Window.partitionBy(*keys)
+    rows = entries.withColumn("a", F.sum("count").over(whole)).withColumn("phrase", F.min("entry").over(whole))
+    return staged(rows.where(F.col("a") >= least).drop("count"), "collocation-kept")
 
 
 def frequent_phrases(
@@ -226,37 +239,30 @@ def frequent_phrases(
     (f_first2, f_last2). A relation is deleted once the next one is written.
     """
     spark = docs.sparkSession
-    with recorded() as words_path:
+    with recorded() as before:
         blocks = staged(word_blocks(docs), "collocation-words")
-    words = _opened(blocks, "words", "counts").withColumnRenamed("words", "text")
     per_block = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)
     total = staged(blocks.groupBy("lang").agg(F.sum(per_block).alias("n")), "collocation-totals")
-    counted = words.groupBy("lang", "text").agg(F.sum("counts").alias("a")).where(F.col("a") >= least)
+    with recorded() as kept_path:
+        words = _entries(blocks, ["words"], ["lang"])
+        kept = _frequent(words.withColumnRenamed("words", "text"), ["lang", "text"], least)
     no = F.lit(None).cast("long")
-    found = staged(
-        counted.select(
-            F.monotonically_increasing_id().alias("phrase"), "lang", "a", "text", F.col("text").alias("last"),
-            *[no.alias(c) for c in ("head", "tail", "f_head", "f_tail")],
-            F.col("a").alias("f_first"), F.col("a").alias("f_last"), no.alias("f_first2"), no.alias("f_last2"),
-        ),
-        "collocation-frequent",
+    first = kept.where("entry = phrase").select(
+        "phrase", "lang", "a", "text", F.col("text").alias("last"),
+        *[no.alias(c) for c in ("head", "tail", "f_head", "f_tail")],
+        F.col("a").alias("f_first"), F.col("a").alias("f_last"), no.alias("f_first2"), no.alias("f_last2"),
     )
-    tables = [found]
-    kept = words.join(
-        if_measured_small(found.select("lang", "text", "phrase"), _ROW_BYTES), ["lang", "text"]
-    ).select("block", "id", "phrase")
-    before = words_path
+    tables = [staged(first, "collocation-frequent")]
     for length in range(2, longest + 1):
         with recorded() as occurrences_path:
             occurrences = _kept_occurrences(blocks, kept, "collocation-occurrences")
         dropped(spark, before)
+        dropped(spark, kept_path)
         with recorded() as before:
             blocks = _extended(occurrences, "collocation-candidates")
         dropped(spark, occurrences_path)
-        opened = _opened(blocks, "head", "tail", "counts")
-        counted = (
-            opened.groupBy("head", "tail").agg(F.sum("counts").alias("a")).where(F.col("a") >= least)
-        )
+        with recorded() as kept_path:
+            kept = _frequent(_entries(blocks, ["head", "tail"], []), ["head", "tail"], least)
         shorter = tables[-1]
         head = shorter.select(
             F.col("phrase").alias("head"), "lang", F.col("text").alias("begin"), F.col("a").alias("f_head"),
@@ -268,20 +274,14 @@ def frequent_phrases(
         )
         first2 = F.col("a") if length == 2 else F.col("f_head") if length == 3 else F.col("h")
         last2 = F.col("a") if length == 2 else F.col("f_tail") if length == 3 else F.col("t")
-        found = staged(
-            counted.join(head, "head").join(tail, "tail").select(
-                F.monotonically_increasing_id().alias("phrase"), "lang", "a",
-                F.concat_ws(" ", "begin", "last").alias("text"), "last", "head", "tail", "f_head", "f_tail",
-                "f_first", "f_last", first2.alias("f_first2"), last2.alias("f_last2"),
-            ),
-            "collocation-frequent",
+        different = kept.where("entry = phrase").select("head", "tail", "a", "phrase")
+        found = different.join(head, "head").join(tail, "tail").select(
+            "phrase", "lang", "a", F.concat_ws(" ", "begin", "last").alias("text"), "last", "head", "tail",
+            "f_head", "f_tail", "f_first", "f_last", first2.alias("f_first2"), last2.alias("f_last2"),
         )
-        tables.append(found)
-        if length < longest:
-            kept = opened.join(
-                if_measured_small(found.select("head", "tail", "phrase"), _ROW_BYTES), ["head", "tail"]
-            ).select("block", "id", "phrase")
+        tables.append(staged(found, "collocation-frequent"))
     dropped(spark, before)
+    dropped(spark, kept_path)
     return tables, total
 
 

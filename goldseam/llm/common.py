@@ -54,13 +54,6 @@ def if_small(small: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
 
 
-def if_measured_small(small: DataFrame, row_bytes: int) -> DataFrame:
-    """As ``if_small``, with the bytes of all its texts counted on top of ``row_bytes`` a row."""
-    texts = [F.coalesce(F.octet_length(n), F.lit(0)) for n, t in small.dtypes if t == "string"]
-    size = F.sum(sum(texts, F.lit(row_bytes).cast("long")))
-    return F.broadcast(small) if (small.agg(size).first()[0] or 0) <= BROADCAST_BYTES else small
-
-
 def fresh(taken: list[str], name: str) -> str:
     """``name``, or with underscores appended until no column has it, whatever the case."""
     used = {c.lower() for c in taken}

@@ -79,15 +79,6 @@ def test_phrases(spark, monkeypatch, block):
     assert few == brute(docs, 8, 3)
 
 
-def test_every_join_as_shuffle(spark, monkeypatch):
-    from goldseam.llm import common
-
-    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
-    docs = [("en", prose(i, 50)) for i in range(9)]
-    df = spark.createDataFrame([(t, g) for g, t in docs], "text string, lang string")
-    assert found(co.collocations(df, least=5)) == brute(docs, 5)
-
-
 def test_one_long_text_and_one_phrase(spark):
     docs = [("en", "x y " * 50_000), ("en", "x y " * 40), ("fr", "seul " * 29)]
     df = spark.createDataFrame([(t, g) for g, t in docs], "text string, lang string")
