@@ -1,25 +1,27 @@
 """Publishing immutable versions behind a stable view, and rolling back.
 
-A version is a Parquet folder that is written once. The view is repointed after the version was
-read back and counted, and the marker, which is the evidence, is appended last. A crash in between
-leaves a version without a marker, which ``ledger.reconcile`` finds. Plain Parquet has no lock:
-``errorifexists`` and ``ledger.execution_conflicts`` detect concurrent publishers but do not
-prevent them.
+A version is a Parquet folder that is written once, read back and checked. Then its marker is committed:
+the next number of the target's log, which only one writer can take. That is the moment of publication;
+the view is computed from the log afterwards. A writer that dies before the commit leaves files that
+nobody refers to and changes nothing; one that dies after it leaves a view that lags, which ``repair`` brings up to
+date. So does every later publish or rollback.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from goldseam.constants import DTYPE_TO_DATABASE_TYPE, MAX_IDENTIFIER_LENGTH, VERSION_SUFFIX_HEX
 from goldseam.functions.dtypes import as_published, logical_dtype
 from goldseam.functions.encoding import quoted
 from goldseam.operators.fingerprint import measure
-from goldseam.operators.ledger import latest_marker
 from goldseam.session import case_sensitive, exact_names
+from goldseam.sources.commit_log import CommitLog, NumberTaken, Record
 from goldseam.sources.tables import require_identifier
 
 MARKER_SCHEMA = (
@@ -28,6 +30,13 @@ MARKER_SCHEMA = (
 )
 
 
+# What a record holds on top of its marker: where the version's rows are, and what to go back to.
+RECORD_SCHEMA = (
+    f"{MARKER_SCHEMA}, folder string, columns array<string>, previous_folder string, "
+    "previous_columns array<string>, commit_number bigint"
+)
+
+
 class PublicationRefused(RuntimeError):
     """The version does not meet a publication rule; the view was not touched."""
 
@@ -36,6 +45,10 @@ class StaleRollback(RuntimeError):
     """Another operation came after this execution's publish."""
 
 
+class ConcurrentPublication(RuntimeError):
+    """Another writer committed to the target meanwhile; nothing of this one is public."""
+
+
 def version_table(target: str, execution_id: str) -> str:
     suffix = f"__{execution_id.replace('-', '')[:VERSION_SUFFIX_HEX]}"
     return target[: MAX_IDENTIFIER_LENGTH - len(suffix)] + suffix
@@ -66,17 +79,17 @@ def _canonical(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Publisher:
-    """Versions and markers below one folder; views in the session's current database."""
+    """Versions and logs below one folder; views in the session's current database.
+
+    The steps that a writer may die in are methods of their own: write, check, commit, show.
+    """
 
     spark: SparkSession
     folder: str
 
     @property
-    def _marker_folder(self) -> str:
-        return f"{self.folder}/_markers"
-
-    def version_folder(self, physical_table: str) -> str:
-        return f"{self.folder}/{physical_table}"
+    def log(self) -> CommitLog:
+        return CommitLog(self.spark, f"{self.folder}/_log")
 
     def exists(self, folder: str) -> bool:
         jvm = self.spark._jvm
@@ -84,28 +97,95 @@ class Publisher:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def markers(self) -> DataFrame:
-        if not self.exists(self._marker_folder):
-            return self.spark.createDataFrame([], MARKER_SCHEMA)
-        return self.spark.read.schema(MARKER_SCHEMA).parquet(self._marker_folder)
-
-    def _latest(self, target: str) -> Row | None:
-        return latest_marker(self.markers().where(F.col("logical_target") == target)).first()
-
-    def _mark(self, **marker: str | None) -> None:
-        names = [part.split()[0] for part in MARKER_SCHEMA.split(", ")]
-        row = self.spark.createDataFrame(
-            [tuple(marker.get(n) for n in names)],
-            MARKER_SCHEMA.replace("timestamp_ntz", "string"),
-        ).withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz"))
-        row.coalesce(1).write.mode("append").parquet(self._marker_folder)
-
-    def _repoint(self, target: str, physical_table: str, columns: Sequence[str]) -> None:
-        listed = ", ".join(f"`{c}`" for c in columns)
-        self.spark.sql(
-            f"CREATE OR REPLACE VIEW `{target}` AS "
-            f"SELECT {listed} FROM parquet.`{self.version_folder(physical_table)}`"
+        """The markers of all commits; among equal times their ids follow the log."""
+        return self.log.records(MARKER_SCHEMA)
+
+    def version_folder(self, physical_table: str) -> str:
+        """Where the rows of a published version are."""
+        named = self.log.records(RECORD_SCHEMA).where(F.col("physical_table") == physical_table)
+        row = named.where("operation = 'PUBLISH'").first()
+        if row is None:
+            raise LookupError(f"{physical_table} was never published.")
+        return row.folder
+
+    def committed(self, target: str, execution_id: str, operation: str) -> Record | None:
+        """The record of an execution's publish or rollback, if there is one."""
+        own = self.log.records(RECORD_SCHEMA, target).where(
+            (F.col("execution_id") == execution_id) & (F.col("operation") == operation)
         )
+        row = own.orderBy("commit_number").first()
+        return None if row is None else Record(row.commit_number, row.asDict())
+
+    # --- steps ---------------------------------------------------------------------------
+    def _write(self, df: DataFrame, folder: str) -> None:
+        with case_sensitive(self.spark):
+            df.write.mode("errorifexists").parquet(folder)
+
+    def _check(self, folder: str, expected_rows: int, expected_fingerprint: str | None) -> None:
+        with case_sensitive(self.spark):
+            stored = self.spark.read.parquet(folder)
+            if expected_fingerprint is None:
+                written = stored.count()
+            else:
+                written, fingerprint = measure(stored).first()
+                if fingerprint != expected_fingerprint:
+                    raise PublicationRefused("The stored rows are not the approved ones.")
+        if written != expected_rows:
+            raise PublicationRefused(f"{written} rows written, {expected_rows} expected.")
+
+    def _commit(self, target: str, after: Record | None, as_of: str, **fields: object) -> Record:
+        """The next record of the target, if ``after`` is still its newest."""
+        number = 1 if after is None else after.number + 1
+        moment = datetime.fromisoformat(as_of)
+        if after is not None:  # times never run backwards along the log
+            moment = max(moment, datetime.fromisoformat(after["recorded_at"]))
+        marker_id = f"{number:020}-{fields['execution_id']}-{fields['operation'].lower()}"
+        try:
+            return self.log.commit(
+                target, number,
+                {**fields, "logical_target": target, "marker_id": marker_id, "recorded_at": moment.isoformat()},
+            )
+        except NumberTaken as error:
+            raise ConcurrentPublication(str(error)) from error
+
+    def _show(self, target: str, record: Record) -> None:
+        if record["physical_table"] is None:
+            self.spark.sql(f"DROP VIEW IF EXISTS `{target}`")
+        else:
+            self.spark.sql(f"CREATE OR REPLACE VIEW `{target}` AS {_view_text(record)}")
+
+    # --- the view ------------------------------------------------------------------------
+    def repair(self, target: str) -> str:
+        """Computes the view from the log: AGREES, REPOINTED, DROPPED, or NEVER_PUBLISHED.
+
+        The log is looked at again after the view moved, so of several writers at once the newest
+        record is what the view shows in the end.
+        """
+        require_identifier(target, "logical target")
+        outcome, record = "AGREES", self.log.head(target)
+        if record is None:
+            return "NEVER_PUBLISHED"
+        while True:
+            wanted = None if record["physical_table"] is None else _view_text(record)
+            if wanted != self._view(target):
+                self._show(target, record)
+                outcome = "DROPPED" if wanted is None else "REPOINTED"
+            newest = self.log.head(target)
+            if newest.number == record.number:
+                return outcome
+            record = newest
+
+    def _view(self, target: str) -> str | None:
+        if not self.spark.catalog.tableExists(target):
+            return None
+        described = self.spark.sql(f"DESCRIBE TABLE EXTENDED `{target}`").where("col_name = 'View Text'").first()
+        return None if described is None else described.data_type
 
+    def repair_all(self) -> dict[str, str]:
+        """``repair`` of every target that has a log."""
+        return {target: self.repair(target) for target in self.log.targets()}
+
+    # --- operations --------------------------------------------------------------------------
     def publish(
         self,
         target: str,
@@ -117,11 +197,13 @@ class Publisher:
         target_id: str | None = None,
         expected_fingerprint: str | None = None,
     ) -> tuple[str, str | None]:
-        """Write a version, check it, repoint the view, append the marker.
+        """Write a version, check it, commit its marker, show it. Returns the new and the previous version.
 
-        Returns the new and the previous version. Types come from Gold, never from the values.
-        With ``expected_fingerprint`` the stored rows themselves must be the approved ones, so a
-        source that changed between proof and write is caught before the view moves.
+        Types come from Gold, never from the values. With ``expected_fingerprint`` the stored rows
+        themselves must be the approved ones, so a source that changed between proof and write is
+        caught before anything is public. A publish that was committed already is not made again: what
+        it committed is returned, and the view repaired. If another writer commits first, this one is
+        refused; its files stay, unreferenced.
         """
         require_identifier(target, "logical target")
         for name in df.columns:
@@ -131,38 +213,37 @@ class Publisher:
             raise PublicationRefused("Two columns differ only by case.")
         if [(f.name, logical_dtype(f)) for f in df.schema.fields] != list(gold_columns):
             raise PublicationRefused("The data does not have exactly the Gold columns and types.")
-        latest = self._latest(target)
-        previous = latest.physical_table if latest else None
+        before = self.committed(target, execution_id, "PUBLISH")
+        if before is not None:
+            self.repair(target)
+            return before["physical_table"], before["previous_physical_table"]
+        head = self.log.head(target)
+        shown = head if head is not None and head["physical_table"] is not None else None
         canonical = _canonical(df)
-        if previous is not None:
-            published = self.spark.read.parquet(self.version_folder(previous))
+        if shown is not None:
+            published = self.spark.read.parquet(shown["folder"])
             if signature(published) != signature(canonical):
                 raise PublicationRefused("Not the names, order and types published before.")
         physical_table = version_table(target, execution_id)
-        folder = self.version_folder(physical_table)
-        with case_sensitive(self.spark):
-            canonical.write.mode("errorifexists").parquet(folder)
-            stored = self.spark.read.parquet(folder)
-            if expected_fingerprint is None:
-                written = stored.count()
-            else:
-                written, fingerprint = measure(stored).first()
-                if fingerprint != expected_fingerprint:
-                    raise PublicationRefused("The stored rows are not the approved ones.")
-        if written != expected_rows:
-            raise PublicationRefused(f"{written} rows written, {expected_rows} expected.")
-        self._repoint(target, physical_table, df.columns)
-        self._mark(
-            marker_id=f"{execution_id}-publish",
+        folder = f"{self.folder}/{physical_table}/attempt-{uuid.uuid4().hex}"
+        self._write(canonical, folder)
+        self._check(folder, expected_rows, expected_fingerprint)
+        record = self._commit(
+            target,
+            head,
+            as_of,
             execution_id=execution_id,
-            logical_target=target,
-            physical_table=physical_table,
-            previous_physical_table=previous,
             operation="PUBLISH",
-            recorded_at=as_of,
             target_id=target_id,
+            physical_table=physical_table,
+            folder=folder,
+            columns=df.columns,
+            previous_physical_table=shown and shown["physical_table"],
+            previous_folder=shown and shown["folder"],
+            previous_columns=shown and shown["columns"],
         )
-        return physical_table, previous
+        self.repair(target)
+        return record["physical_table"], record["previous_physical_table"]
 
     def rollback(
         self,
@@ -172,34 +253,39 @@ class Publisher:
         as_of: str,
         target_id: str | None = None,
     ) -> None:
-        """Point the view at the version before, or drop it if there was none.
+        """Commit that the version before is current again, and show it; without one the view goes.
 
-        Refused unless the newest marker is this execution's own publish, and ``previous`` is the
-        version that the marker says came before. Versions stay.
+        Refused unless the newest record is this execution's own publish, and ``previous`` is the
+        version that it says came before. Versions stay.
         """
         require_identifier(target, "logical target")
-        latest = self._latest(target)
+        head = self.log.head(target)
         if (
-            latest is None
-            or latest.execution_id != execution_id
-            or latest.operation != "PUBLISH"
-            or latest.target_id != target_id
+            head is None
+            or head["execution_id"] != execution_id
+            or head["operation"] != "PUBLISH"
+            or head["target_id"] != target_id
         ):
             raise StaleRollback(f"{target}: not the current publish.")
-        if previous != latest.previous_physical_table:
+        if previous != head["previous_physical_table"]:
             raise StaleRollback(f"{target}: not the version before this publish.")
-        if previous is None:
-            self.spark.sql(f"DROP VIEW IF EXISTS `{target}`")
-        else:
-            columns = self.spark.read.parquet(self.version_folder(previous)).columns
-            self._repoint(target, previous, columns)
-        self._mark(
-            marker_id=f"{execution_id}-rollback",
+        self._commit(
+            target,
+            head,
+            as_of,
             execution_id=execution_id,
-            logical_target=target,
-            physical_table=previous,
-            previous_physical_table=latest.physical_table,
             operation="ROLLBACK",
-            recorded_at=as_of,
             target_id=target_id,
+            physical_table=previous,
+            folder=head["previous_folder"],
+            columns=head["previous_columns"],
+            previous_physical_table=head["physical_table"],
+            previous_folder=head["folder"],
+            previous_columns=head["columns"],
         )
+        self.repair(target)
+
+
+def _view_text(record: Record) -> str:
+    listed = ", ".join(f"`{c}`" for c in record["columns"])
+    return f"SELECT {listed} FROM parquet.`{record['folder']}`"
