@@ -18,7 +18,7 @@ _LANES = 8
 @exact_names
 def row_encoding(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Key columns and the canonical text of each row."""
-    return df.select(*key, row_text(df).alias("row_text"))
+    return df.select(*[quoted(k) for k in key], row_text(df).alias("row_text"))
 
 
 def row_digest(

@@ -5,8 +5,9 @@ from __future__ import annotations
 import zlib
 from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
+from goldseam.functions.dtypes import as_published, has_odd_keys
 from goldseam.functions.encoding import cell_text
 from goldseam.operators import fingerprint as ops
 from goldseam.queries import register
@@ -35,7 +36,7 @@ def row_sql(columns) -> str:
 
 def header_sql(columns) -> str:
     listed = ",".join(f'["{n}","{d}"]' for n, d in columns)
-    return f'["cells-v2",[{listed}]]'
+    return f'["cells-v3",[{listed}]]'
 
 
 def _crc32_sql(bits: str) -> str:
@@ -166,6 +167,71 @@ def variant_kinds(spark, sf_dir):
     return counted.select(F.inline(F.array(*listed)))
 
 
+# Pairs of nested values that look alike in JSON and differ by type or by what they hold.
+_NESTED_PAIRS = {
+    "struct of date, of text": ("named_struct('a', day)", "named_struct('a', cast(day as string))"),
+    "array of integer, of decimal": ("array(n)", "array(cast(n as decimal(10,0)))"),
+    "array of integer, of double": ("array(n)", "array(cast(n as double))"),
+    "map with integer key, with text key": ("map(n, 1)", "map(cast(n as string), 1)"),
+    "struct with a null field, without it": ("named_struct('a', n, 'b', cast(null as bigint))", "named_struct('a', n)"),
+    "array of NaN, of the text": ("array(double('NaN'))", "array('NaN')"),
+    "array of one list, of two": ("array(array(n, n), array(n))", "array(array(n), array(n, n))"),
+    "mixed array with date, with text": (
+        "to_variant_object(named_struct('x', array(day::variant, n::variant)))",
+        "to_variant_object(named_struct('x', array(cast(day as string)::variant, n::variant)))",
+    ),
+    "mixed array with float, with decimal": (
+        "to_variant_object(array(float(n)::variant, 'a'::variant))",
+        "to_variant_object(array(cast(n as decimal(10,1))::variant, 'a'::variant))",
+    ),
+    "mixed array, deep": (
+        "to_variant_object(array(array(array(day::variant, 1::variant))))",
+        "to_variant_object(array(array(array(cast(day as string)::variant, 1::variant))))",
+    ),
+    "timestamp with zone, without": (
+        "to_variant_object(array(cast(day as timestamp)))", "to_variant_object(array(cast(day as timestamp_ntz)))",
+    ),
+}
+
+
+@register(
+    "nested_kinds",
+    " UNION ALL ".join(
+        f"SELECT '{pair}' AS pair, count(*) AS row_count, CAST(0 AS BIGINT) AS equal_rows, count(*) AS same_when_published FROM orders"
+        for pair in _NESTED_PAIRS
+    ),
+)
+def nested_kinds(spark, sf_dir):
+    """Row texts of nested cells that look alike: none are equal, and each is that of its published variant."""
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("n"), F.col("o_orderdate").cast("date").alias("day")
+    )
+    exprs = [e for pair in _NESTED_PAIRS.values() for e in pair]
+    df = rows.select(*[F.expr(e).alias(f"c{i}") for i, e in enumerate(exprs)])
+    texts = []
+    for field in df.schema.fields:
+        texts.append(cell_text(field).alias(field.name))
+        published = as_published(F.col(field.name), field)
+        stored = T.StructField(field.name, T.VariantType())
+        # keys that are no text become text when published
+        odd = has_odd_keys(field.dataType)
+        texts.append(F.lit(True).alias(f"{field.name}_p") if odd else (cell_text(field) == cell_text(stored, published)).alias(f"{field.name}_p"))
+    places = [(pair, f"c{2 * i}", f"c{2 * i + 1}") for i, pair in enumerate(_NESTED_PAIRS)]
+    counted = df.select(*texts).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col(a) == F.col(b)).alias(f"{a}_equal") for _, a, b in places],
+        *[F.count_if(F.col(f"{a}_p") & F.col(f"{b}_p")).alias(f"{a}_same") for _, a, b in places],
+    )
+    listed = [
+        F.struct(
+            F.lit(pair).alias("pair"), F.col("n").alias("row_count"), F.col(f"{a}_equal").alias("equal_rows"),
+            F.col(f"{a}_same").alias("same_when_published"),
+        )
+        for pair, a, _ in places
+    ]
+    return counted.select(F.inline(F.array(*listed)))
+
+
 @register(
     "gold_fingerprint",
     with_sql(
