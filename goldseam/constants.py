@@ -81,13 +81,12 @@ DTYPE_TO_DATABASE_TYPE = {
     "json": "jsonb",
 }
 
-# Dtype spellings a Gold schema may declare besides the logical ones: families of one width each,
-# and times with a unit and, for points in time, a zone.
-REGISTRABLE_FRAME_DTYPE = (
+# Frequent dtype spellings that a Gold schema may declare besides the logical ones. Whatever else pandas knows
+# as a dtype may be declared too; pandas itself is asked for the rest.
+FREQUENT_FRAME_DTYPE = (
     r"^(u?int(8|16|32|64)|U?Int(8|16|32|64)|float(16|32|64)|Float(32|64)"
-    r"|complex(64|128)|bool|boolean|object|str|string|string\[(python|pyarrow)\]|category"
-    r"|timedelta64\[(s|ms|us|ns)\]"
-    r"|datetime64\[(s|ms|us|ns)(, ?[A-Za-z][A-Za-z0-9_+/:-]*)?\])\z"
+    r"|complex(64|128)|bool|boolean|object|str|string|category"
+    r"|timedelta64\[(s|ms|us|ns)\]|datetime64\[(s|ms|us|ns)(, UTC)?\])\z"
 )
 
 # --- plans and governance ------------------------------------------------------

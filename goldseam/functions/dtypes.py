@@ -9,7 +9,7 @@ from goldseam.constants import (
     DATABASE_TYPE_TO_DTYPE,
     DTYPE_TO_DATABASE_TYPE,
     EXTENDED_DTYPES,
-    REGISTRABLE_FRAME_DTYPE,
+    FREQUENT_FRAME_DTYPE,
 )
 
 
@@ -114,6 +114,33 @@ def normalize_target_name(target: str) -> str:
     return trimmed if trimmed in BLOCKED_TARGET_SPELLINGS else trimmed.lower()
 
 
-def is_registrable(column: Column) -> Column:
-    """Whether a Gold schema may declare this dtype."""
-    return column.isin(*EXTENDED_DTYPES) | column.rlike(REGISTRABLE_FRAME_DTYPE)
+def all_registrable(dtypes: Column) -> Column:
+    """Whether a Gold schema may declare every one of an array of dtypes.
+
+    Allowed are the logical types and whatever pandas knows as a dtype, zones included. Frequent spellings are
+    told natively; only arrays with others reach the function that asks pandas.
+    """
+
+    def rare(dtype: Column) -> Column:
+        return ~F.coalesce(dtype.isin(*EXTENDED_DTYPES) | dtype.rlike(FREQUENT_FRAME_DTYPE), F.lit(False))
+
+    def known_to_pandas(lists):  # nested, so that it travels with the plan
+        import warnings
+
+        import pandas as pd
+
+        def known(dtype):
+            try:
+                pd.api.types.pandas_dtype(dtype)
+            except Exception:  # pandas and its time zones raise several kinds
+                return False
+            return dtype is not None
+
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            verdicts = {d: known(d) for listed in lists if listed is not None for d in listed}
+        return pd.Series([listed is None or all(verdicts[d] for d in listed) for listed in lists], dtype=bool)
+
+    unknown = F.filter(dtypes, rare)
+    asked = F.pandas_udf(known_to_pandas, T.BooleanType())
+    return asked(F.when(F.size(unknown) > 0, unknown))

@@ -361,19 +361,50 @@ def _cell_value() -> Column:
 
 _RESTORED = {
     "int64": "bigint", "float64": "double", "bool": "boolean", "date": "date", "datetime": "timestamp_ntz",
-    "datetime_tz": "timestamp", "uuid": "string", "decimal": "decimal(38,18)",
+    "datetime_tz": "timestamp", "uuid": "string",
 }
+_FINITE = r"^\s*[+-]?0*([0-9]*)(?:[.]([0-9]*))?(?:[eE]([+-]?[0-9]+))?\s*\z"
+_MOST_DIGITS = 38
+
+
+def decimal_types(cells: DataFrame, names: Sequence[str]) -> dict[str, str]:
+    """The type that holds every intact decimal of each column: one fold over the cells.
+
+    It has room for the most digits before and after the point that any cell has. Where those are more than
+    38 together, or a cell is infinite or not a number, it is text, so nothing is rounded or lost.
+    """
+    text, here = F.col("text"), F.col("intact") & (F.col("kind") != "null")
+    shift = F.coalesce(F.regexp_extract(text, _FINITE, 3).try_cast("int"), F.lit(0))
+    # an exponent out of range has room in no decimal either
+    odd = ~text.rlike(_FINITE) | (F.abs(shift) > 2 * _MOST_DIGITS) | (F.regexp_extract(text, _FINITE, 3).rlike("[0-9]{4}"))
+    before = F.length(F.regexp_extract(text, _FINITE, 1)) + F.greatest(shift, F.lit(0))
+    after = F.greatest(F.length(F.regexp_extract(text, _FINITE, 2)) - shift, F.lit(0))
+    folded = (
+        cells.where(F.col("column").isin(*names) & here)
+        .groupBy("column")
+        .agg(F.max(before).alias("before"), F.max(after).alias("after"), F.bool_or(odd).alias("odd"))
+        .collect()  # a row per column
+    )
+    found = dict.fromkeys(names, f"decimal({_MOST_DIGITS},0)")
+    for row in folded:
+        digits = max(row.before + row.after, 1)
+        fits = not row.odd and digits <= _MOST_DIGITS
+        found[row.column] = f"decimal({digits},{row.after})" if fits else "string"
+    return found
 
 
 def restore_rows(cells: DataFrame, columns: Sequence[tuple[str, str]]) -> DataFrame:
     """Decoded cells as rows again: payload_id, row, and each of ``columns`` (name, dtype) in its type.
 
-    ``cells`` comes from ``decode_payloads``. Columns of other dtypes (object, json) are variants. Cells
-    meet by payload and row, so a payload of any length is spread over all tasks.
+    ``cells`` comes from ``decode_payloads``. Columns of other dtypes (object, json) are variants. A decimal
+    column gets the type that holds all its cells exactly, see ``decimal_types``. Cells meet by payload and
+    row, so a payload of any length is spread over all tasks.
     """
     restored = []
+    decimals = [name for name, dtype in columns if dtype == "decimal"]
+    sized = decimal_types(cells, decimals) if decimals else {}
     for name, dtype in columns:
-        kind = _RESTORED.get(dtype)
+        kind = sized.get(name) if dtype == "decimal" else _RESTORED.get(dtype)
         here = F.col("column") == name
         if kind is None:
             restored.append(F.first(F.when(here, F.col("value")), ignorenulls=True).alias(name))

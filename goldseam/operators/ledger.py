@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from goldseam import constants as C
 from goldseam.functions.actions import is_identifier
-from goldseam.functions.dtypes import is_registrable
+from goldseam.functions.dtypes import all_registrable
 from goldseam.operators.fingerprint import gold_fingerprint
 from goldseam.operators.joining import left_join_known
 
@@ -41,7 +41,7 @@ def definition_error(candidate: DataFrame) -> Column:
         .when(F.exists(names, _blank), "EMPTY_COLUMN_NAME")
         .when(F.size(F.array_distinct(names)) != F.size(names), "DUPLICATE_COLUMN_NAME")
         .when(
-            F.exists(columns, lambda c: ~F.coalesce(is_registrable(c["dtype"]), F.lit(False))),
+            ~F.coalesce(all_registrable(F.transform(columns, lambda c: c["dtype"])), F.lit(False)),
             "UNSUPPORTED_DTYPE",
         )
         .when(_blank(F.col("created_by")), "NO_AUTHOR")

@@ -408,6 +408,23 @@ def restore_payload_rows(spark, sf_dir):
     )
 
 
+@register(
+    "restore_payload_decimals",
+    "SELECT o_orderkey AS payload_id, concat('7', o_orderkey, '12345678901234567890123456.25') AS v FROM orders",
+)
+def restore_payload_decimals(spark, sf_dir):
+    """Stored decimals of about thirty digits as a typed column, in full."""
+    cell = F.concat(F.lit('{"__type__":"decimal","value":"7'), "o_orderkey", F.lit('12345678901234567890123456.25"}'))
+    payload = F.concat(
+        F.lit('{"format_version":2,"column_order":["v"],"dtypes":{"v":"decimal"},"data":{"v":['), cell, F.lit("]}}")
+    )
+    stored = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("payload_id"), payload.alias("payload"))
+    rows = ops.restore_rows(ops.decode_payloads(stored), [("v", "decimal")])
+    if not isinstance(rows.schema["v"].dataType, T.DecimalType):
+        raise TypeError("The decimals did not come back as decimals.")
+    return rows.select("payload_id", F.col("v").cast("string").alias("v"))
+
+
 @register(
     "encode_payload_cells",
     "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CAST(to_json(c_name) AS VARCHAR) AS c_name, "

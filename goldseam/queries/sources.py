@@ -284,3 +284,77 @@ def publication_markers(spark, sf_dir):
         for n in names
     )
     return publisher.markers().join(sizes, "physical_table").select("operation", "version_rows")
+
+
+class _Death(Exception):
+    """Ends a publisher in the middle of its work."""
+
+
+_DEATHS = [(step, when) for step in ("write", "check", "commit", "show") for when in ("before", "after")]
+_PUBLIC = [("commit", "after"), ("show", "before"), ("show", "after")]
+
+
+@register(
+    "publication_steps",
+    "SELECT died, CAST(found AS BIGINT) AS markers, CAST(n * (1 + found) AS BIGINT) AS shown, repaired FROM "
+    "(SELECT count(*) AS n FROM orders), (VALUES "
+    + ", ".join(
+        f"('{when} {step}', {int((step, when) in _PUBLIC)}, "
+        f"'{'REPOINTED' if (step, when) in _PUBLIC and (step, when) != ('show', 'after') else 'AGREES'}')"
+        for step, when in _DEATHS
+    )
+    + ") v(died, found, repaired)",
+)
+def publication_steps(spark, sf_dir):
+    """A publisher dies before and after each step of a second version of twice the rows; then a repair.
+
+    Before the commit nothing is public and the view stays; after it the view is brought up to date. So marker and
+    view agree in every case.
+    """
+    first = _FIRST.frame(spark, sf_dir)
+    double = first.union(first)
+    rows = first.count()
+    publisher, base = _publisher(spark)
+
+    class Dying(publish.Publisher):
+        def _until(self, step, call):
+            if (step, "before") == self.death:
+                raise _Death
+            result = call()
+            if (step, "after") == self.death:
+                raise _Death
+            return result
+
+        def _write(self, *args):
+            return self._until("write", lambda: super(Dying, self)._write(*args))
+
+        def _check(self, *args):
+            return self._until("check", lambda: super(Dying, self)._check(*args))
+
+        def _commit(self, *args, **fields):
+            return self._until("commit", lambda: super(Dying, self)._commit(*args, **fields))
+
+        def _show(self, *args):
+            return self._until("show", lambda: super(Dying, self)._show(*args))
+
+    found = []
+    for number, death in enumerate(_DEATHS):
+        target = f"{base}_{number}"
+        _publish(publisher, target, first, 1)
+        dying = Dying(spark, publisher.folder)
+        object.__setattr__(dying, "death", death)
+        try:
+            dying.publish(target, double, f"{2:016x}", 2 * rows, _GOLD, "2024-01-02 00:00:00", "t1")
+        except _Death:
+            pass
+        repaired = publisher.repair(target)
+        marked = publisher.committed(target, f"{2:016x}", "PUBLISH")
+        shown = spark.table(target).agg(F.count("*").alias("shown"))
+        name = " ".join(reversed(death))
+        found.append(
+            shown.select(
+                F.lit(name).alias("died"), F.lit(int(marked is not None)).cast("bigint").alias("markers"), "shown",
+                F.lit(repaired).alias("repaired"),
+            )
+        )
+    return _union(found)
