@@ -201,9 +201,9 @@ class Publisher:
 
         Types come from Gold, never from the values. With ``expected_fingerprint`` the stored rows
         themselves must be the approved ones, so a source that changed between proof and write is
-        caught before anything is public. A publish that was committed already is not made again: what
-        it committed is returned, and the view repaired. If another writer commits first, this one is
-        refused; its files stay, unreferenced.
+        caught before anything is public. A publish that was committed is not made again; one that died
+        before its commit may be. If another writer commits first, this one is refused; its files stay,
+        unreferenced.
         """
         require_identifier(target, "logical target")
         for name in df.columns:
@@ -213,10 +213,8 @@ class Publisher:
             raise PublicationRefused("Two columns differ only by case.")
         if [(f.name, logical_dtype(f)) for f in df.schema.fields] != list(gold_columns):
             raise PublicationRefused("The data does not have exactly the Gold columns and types.")
-        before = self.committed(target, execution_id, "PUBLISH")
-        if before is not None:
-            self.repair(target)
-            return before["physical_table"], before["previous_physical_table"]
+        if self.committed(target, execution_id, "PUBLISH") is not None:
+            raise PublicationRefused("PUBLICATION_ALREADY_EXISTS: this execution's publish was committed.")
         head = self.log.head(target)
         shown = head if head is not None and head["physical_table"] is not None else None
         canonical = _canonical(df)
