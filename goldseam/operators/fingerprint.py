@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from goldseam import constants as C
@@ -34,8 +36,8 @@ def fingerprint_aggregates(digest: str, prefix: str = "") -> list[Column]:
     ``digest`` names a column holding ``row_digest``, selected first so that it is computed once.
     Each row is hashed with SHA-256 over its typed cells, and the eight 32-bit parts of the hash
     are summed. A sum needs no order and folds in every task, so no row is shuffled, whatever the
-    size of the table, and repeated rows still count. ``merkle_fingerprint`` is the form for input
-    that somebody may have crafted.
+    size of the table, and repeated rows still count. Eight sums withstand accidents; for input that
+    somebody may have crafted there are ``measure_set``, as cheap to move, and ``merkle_fingerprint``.
 
     CRC-32 of four bytes maps them one to one onto 32 bits, and is by far the cheapest native way
     from bytes to a number. Halves of 16 bits keep the sums exact in bigint for 2^47 rows.
@@ -79,6 +81,106 @@ def measure(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     )
 
 
+# Lanes of 16 bits that a row's digest is stretched to.
+SET_LANES = 1024
+_DIGEST_BYTES = 32
+
+
+def _lane_sums(digests: Column) -> Column:
+    """Per Arrow batch the sums of all lanes of its rows, at its last row; null at the others.
+
+    ``digests`` holds one or more row digests behind one another. Each is stretched with SHAKE-128.
+    The function travels with the plan, so workers need no copy of this package.
+    """
+    lanes, width = SET_LANES, _DIGEST_BYTES
+
+    def fold(batch: pd.Series) -> pd.Series:
+        from hashlib import shake_128
+
+        sums = [None] * len(batch)
+        if sums:
+            values = batch.tolist()
+            total = np.zeros((len(values[0]) // width, lanes), np.int64)
+            for place in range(len(total)):
+                own = slice(place * width, (place + 1) * width)
+                for start in range(0, len(values), 256):
+                    part = b"".join(shake_128(v[own]).digest(2 * lanes) for v in values[start : start + 256])
+                    total[place] += np.frombuffer(part, "<u2").reshape(-1, lanes).sum(axis=0, dtype=np.int64)
+            sums[-1] = total.ravel()
+        return pd.Series(sums, dtype=object)
+
+    return F.pandas_udf(fold, T.ArrayType(T.LongType()))(digests)
+
+
+def aggregated_with_sets(rows: DataFrame, digests: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
+    """One row: ``aggregates`` over ``rows``, and per digest column d the text ``d_lanes`` of its lane sums.
+
+    All of it comes from one pass. A batch of rows leaves the worker as one array of sums; these are
+    folded per lane in the task, so a task sends one row per lane, whatever its number of rows.
+    A row counts at place 0, a lane at its own place.
+    """
+    batches = rows.withColumn("_batch", _lane_sums(F.concat(*digests)))
+    places = F.concat(F.array(F.lit(None).cast("bigint")), "_batch")
+    spread = batches.select(*rows.columns, F.posexplode_outer(places).alias("_at", "_sum"))
+    folded = spread.groupBy(F.coalesce("_at", F.lit(0)).alias("_place")).agg(
+        F.sum("_sum").alias("_lane"), *aggregates
+    )
+    own = [f for f in folded.schema.fields if f.name not in ("_place", "_lane")]
+    lane = F.when(F.col("_place") > 0, F.struct("_place", "_lane"))
+    whole = folded.agg(
+        F.first(F.when(F.col("_place") == 0, F.struct(*[f.name for f in own])), True).alias("_own"),
+        F.array_sort(F.collect_list(lane)).alias("_lanes"),
+    )
+    # A table without rows has no place 0; its counts are zero, as in an aggregate without groups.
+    results = [
+        (F.col(f"_own.{f.name}") if f.nullable else F.coalesce(F.col(f"_own.{f.name}"), F.lit(0))).alias(f.name)
+        for f in own
+    ]
+    texts = [
+        F.array_join(
+            F.transform(
+                F.slice("_lanes", 1 + i * SET_LANES, SET_LANES), lambda lane: lane["_lane"].cast("string")
+            ),
+            ",",
+        ).alias(f"{digest}_lanes")
+        for i, digest in enumerate(digests)
+    ]
+    return whole.select(*results, *texts)
+
+
+def set_digest(header: str, row_count: str, lanes: str) -> Column:
+    """The set fingerprint from what ``aggregated_with_sets`` produced."""
+    return F.sha2(F.concat_ws("|", F.lit(header), F.lit(f"{SET_LANES}x16"), F.col(row_count), F.col(lanes)), 256)
+
+
+@exact_names
+def measure_set(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row: row_count, data_fingerprint as ``measure`` has it, and set_fingerprint, from one pass.
+
+    For the set fingerprint a row's SHA-256 is stretched to 1024 lanes of 16 bits and the lanes are
+    summed over all rows. To find other rows with equal sums is a short-vector problem in 1024
+    dimensions, not the eight of ``measure``. The sums are kept whole (64 bits hold 2^47 rows)
+    instead of modulo 2^16, so 65,536 copies of one row are not worth the same as those of another.
+    Like ``measure`` it needs no order and shuffles no row. Repeated rows count each time; a table
+    without rows has a fingerprint of its own per schema.
+    """
+    header = schema_header(df, columns)
+    rows = df.select(row_digest(df, columns).alias("_digest"))
+    found = aggregated_with_sets(rows, ["_digest"], fingerprint_aggregates("_digest"))
+    return found.select(
+        "row_count",
+        fingerprint_digest(header).alias("data_fingerprint"),
+        set_digest(header, "row_count", "_digest_lanes").alias("set_fingerprint"),
+    )
+
+
+def set_fingerprint(df: DataFrame, dataset: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Row count and set fingerprint: the form of ``dataset_fingerprint`` for rows that may be crafted."""
+    return measure_set(df, columns).select(
+        F.lit(dataset).alias("dataset"), "row_count", F.col("set_fingerprint").alias("data_fingerprint")
+    )
+
+
 # Hex digits of a leaf's prefix: 16.7 million leaves, whatever the table, so equal rows have equal trees.
 MERKLE_DEPTH = 6
 

@@ -19,9 +19,11 @@ from goldseam.functions.dtypes import logical_dtype
 from goldseam.functions.encoding import quoted, schema_header
 from goldseam.operators.cast import REASONS, Cast, cast_decision, with_cast
 from goldseam.operators.fingerprint import (
+    aggregated_with_sets,
     fingerprint_aggregates,
     fingerprint_digest,
     row_digest,
+    set_digest,
 )
 from goldseam.operators.repair import RepairRefused, rename_column, reorder_columns
 from goldseam.session import exact_names
@@ -37,6 +39,9 @@ class Evidence:
     corrected: DataFrame | None
     output_row_count: int | None
     output_fingerprint: str | None
+    # Only where the sets were asked for.
+    source_set: str | None = None
+    output_set: str | None = None
 
 
 def typed_action(df: DataFrame, action: str) -> Row:
@@ -67,9 +72,12 @@ def corrected_frame(df: DataFrame, plan: Row) -> tuple[DataFrame | None, Cast |
 
 @exact_names
 def gather(
-    df: DataFrame, action: str, key: Sequence[str], refusal: str | None = None
+    df: DataFrame, action: str, key: Sequence[str], refusal: str | None = None, sets: bool = False
 ) -> Evidence:
-    """Prove one action on one table, in one scan. A refused action is measured, not proved."""
+    """Prove one action on one table, in one scan. A refused action is measured, not proved.
+
+    With ``sets`` the same scan also yields the set fingerprints, which withstand crafted rows.
+    """
     plan = typed_action(df, action)
     corrected, cast, outcome = (
         (None, None, refusal) if refusal is not None else corrected_frame(df, plan)
@@ -94,7 +102,16 @@ def gather(
         proof, counts = _cast_aggregates(df, cast, F.col(places[cast.column]), key, places)
         parts += proof
         aggregates += counts
-    row = rows.select(*parts).agg(*aggregates).select("*", *prints).first()
+    digests = ["_source"] if corrected is None else ["_source", "_output"]
+    found = rows.select(*parts)
+    if sets:
+        found = aggregated_with_sets(found, digests, aggregates)
+        prints.append(set_digest(schema_header(df), "s_row_count", "_source_lanes").alias("source_set"))
+        if corrected is not None:
+            prints.append(set_digest(schema_header(corrected), "o_row_count", "_output_lanes").alias("output_set"))
+    else:
+        found = found.agg(*aggregates)
+    row = found.select("*", *prints).first()
     decision = None
     if cast is not None:
         decision = _decision(df, cast, key, row if corrected is not None else None)
@@ -112,6 +129,8 @@ def gather(
         corrected,
         row.o_row_count if corrected is not None else None,
         row.output if corrected is not None else None,
+        row.source_set if sets else None,
+        row.output_set if sets and corrected is not None else None,
     )
 
 

@@ -51,7 +51,8 @@ SCHEMAS = {
     "manifests": "manifest_id string, ticket_id string, run_id string, recorded_at timestamp_ntz, "
     "execution_mode string, action string, confidence double, schema_version_id string, decision string, "
     "decision_valid boolean, original_row_count bigint, final_row_count bigint, integrity_status string, "
-    "risk_level string, output_fingerprint string, outcome string",
+    "risk_level string, output_fingerprint string, output_set_fingerprint string, "
+    "outcome string",
     "events": "event_id string, execution_id string, ticket_id string, logical_target string, target_id string, "
     "status string, recorded_at timestamp_ntz, detail string",
     "links": "execution_id string, revalidation_run_id string, attached_at timestamp_ntz",
@@ -284,6 +285,7 @@ class Lifecycle:
             "recorded_at": as_of, "confidence": ticket.confidence, "schema_version_id": ticket.schema_version_id,
             "decision": decision_json(ticket.decision), "decision_valid": True,
             "output_fingerprint": approval.output_fingerprint,
+            "output_set_fingerprint": approval.output_set_fingerprint,
         }
         append_manifests(
             self._rows("manifests", [manifest]), self.read("tickets"), f"{self.folder}/ledgers/manifests"
@@ -324,7 +326,9 @@ class Lifecycle:
         if audit.outcome != "CONSISTENT":
             raise LifecycleRefused(audit.outcome)
         row = manifests.where(F.col("manifest_id") == audit.manifest_id).first()
-        return Approval(True, row.outcome, row.final_row_count, row.output_fingerprint, row.asDict())
+        return Approval(
+            True, row.outcome, row.final_row_count, row.output_fingerprint, row.output_set_fingerprint, row.asDict()
+        )
 
     # --- publication ---------------------------------------------------------------------
     def execute(

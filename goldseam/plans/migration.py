@@ -119,6 +119,7 @@ class Ticket:
     row_count: int
     schema_fingerprint: str
     data_fingerprint: str
+    set_fingerprint: str
     decision: Row | None
     schema_version_id: str | None = None
     live_eligible: bool = True
@@ -133,6 +134,7 @@ class Approval:
     outcome: str
     row_count: int = 0
     output_fingerprint: str | None = None
+    output_set_fingerprint: str | None = None
     manifest: Mapping[str, object] = field(default_factory=dict)
 
 
@@ -166,7 +168,7 @@ def open_ticket(
             raise TicketRefused("CAST_SOURCE_MISSING")
         if (source, Cast(plan.column, plan.target).normalized) not in set(allowed_pairs):
             raise TicketRefused("CAST_PAIR_NOT_ALLOWED")
-    evidence = gather(table.data, action, table.key)
+    evidence = gather(table.data, action, table.key, sets=True)
     if evidence.corrected is None:
         raise TicketRefused(evidence.outcome)
     return Ticket(
@@ -180,6 +182,7 @@ def open_ticket(
         evidence.row_count,
         _schema_print(table.data, dataset),
         evidence.source_fingerprint,
+        evidence.source_set,
         evidence.decision,
         schema_version_id,
     )
@@ -191,7 +194,11 @@ def _source_drift(ticket: Ticket, df: DataFrame, evidence: Evidence) -> list[str
         ("PRIMARY_KEY", set(ticket.key) <= set(df.columns), True),
         ("ROW_COUNT", ticket.row_count, evidence.row_count),
         ("SCHEMA_FINGERPRINT", ticket.schema_fingerprint, _schema_print(df, ticket.dataset)),
-        ("DATASET_FINGERPRINT", ticket.data_fingerprint, evidence.source_fingerprint),
+        (
+            "DATASET_FINGERPRINT",
+            (ticket.data_fingerprint, ticket.set_fingerprint),
+            (evidence.source_fingerprint, evidence.source_set),
+        ),
     )
     return [name for name, recorded, fresh in facts if recorded != fresh]
 
@@ -204,7 +211,7 @@ def approve(ticket: Ticket, snapshot: DataFrame, operator: str) -> Approval:
     """Run the plan on the snapshot the ticket names; anything unexpected keeps it pending."""
     if not operator.strip():
         return Approval(False, "NO_OPERATOR")
-    evidence = gather(snapshot, ticket.action, ticket.key)
+    evidence = gather(snapshot, ticket.action, ticket.key, sets=True)
     drift = _source_drift(ticket, snapshot, evidence)
     if drift:
         return Approval(False, f"REPLAY_DIFFERS:{','.join(drift)}")
@@ -230,7 +237,7 @@ def approve(ticket: Ticket, snapshot: DataFrame, operator: str) -> Approval:
         "risk_level": counts.risk,
     }
     return Approval(
-        True, evidence.outcome, evidence.row_count, evidence.output_fingerprint, manifest
+        True, evidence.outcome, evidence.row_count, evidence.output_fingerprint, evidence.output_set, manifest
     )
 
 
@@ -297,7 +304,7 @@ def execute_live(
         pair = (ticket.decision.source_dtype, ticket.decision.target_dtype)
         if pair not in set(allowed_pairs):
             return Execution(False, "CAST_PAIR_NOT_ALLOWED")
-    evidence = gather(fresh, ticket.action, ticket.key)
+    evidence = gather(fresh, ticket.action, ticket.key, sets=True)
     drift = _source_drift(ticket, fresh, evidence)
     if drift:
         return Execution(False, f"DRIFTED:{','.join(drift)}")
@@ -307,12 +314,13 @@ def execute_live(
         return Execution(False, "DECISION_DIFFERS")
     if not _matches_gold(ticket, evidence.corrected):
         return Execution(False, "INCOMPLETE_MATCH")
-    if not approval.output_fingerprint:
+    approved = (approval.output_fingerprint, approval.output_set_fingerprint)
+    if not all(approved):
         return Execution(False, "NO_APPROVED_FINGERPRINT")
-    if approval.output_fingerprint != evidence.output_fingerprint:
+    if approved != (evidence.output_fingerprint, evidence.output_set):
         return Execution(False, "OUTPUT_MISMATCH")
     version, previous = publisher.publish(
         target, evidence.corrected, execution_id, approval.row_count, ticket.gold, as_of, target_id,
-        approval.output_fingerprint,
+        approval.output_fingerprint, approval.output_set_fingerprint,
     )
     return Execution(True, "PUBLISHED", version, previous)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from goldseam.constants import DTYPE_TO_DATABASE_TYPE, MAX_IDENTIFIER_LENGTH, VERSION_SUFFIX_HEX
 from goldseam.functions.dtypes import as_published, logical_dtype
 from goldseam.functions.encoding import quoted
-from goldseam.operators.fingerprint import measure
+from goldseam.operators.fingerprint import measure, measure_set
 from goldseam.session import case_sensitive, exact_names
 from goldseam.sources.commit_log import CommitLog, NumberTaken, Record
 from goldseam.sources.tables import require_identifier
@@ -121,14 +121,17 @@ class Publisher:
         with case_sensitive(self.spark):
             df.write.mode("errorifexists").parquet(folder)
 
-    def _check(self, folder: str, expected_rows: int, expected_fingerprint: str | None) -> None:
+    def _check(
+        self, folder: str, expected_rows: int, expected_fingerprint: str | None, expected_set: str | None
+    ) -> None:
         with case_sensitive(self.spark):
             stored = self.spark.read.parquet(folder)
-            if expected_fingerprint is None:
+            expected = [p for p in (expected_fingerprint, expected_set) if p is not None]
+            if not expected:
                 written = stored.count()
             else:
-                written, fingerprint = measure(stored).first()
-                if fingerprint != expected_fingerprint:
+                written, *found = (measure if expected_set is None else measure_set)(stored).first()
+                if found[-len(expected):] != expected:
                     raise PublicationRefused("The stored rows are not the approved ones.")
         if written != expected_rows:
             raise PublicationRefused(f"{written} rows written, {expected_rows} expected.")
@@ -196,11 +199,12 @@ class Publisher:
         as_of: str,
         target_id: str | None = None,
         expected_fingerprint: str | None = None,
+        expected_set: str | None = None,
     ) -> tuple[str, str | None]:
         """Write a version, check it, commit its marker, show it. Returns the new and the previous version.
 
-        Types come from Gold, never from the values. With ``expected_fingerprint`` the stored rows
-        themselves must be the approved ones, so a source that changed between proof and write is
+        Types come from Gold, never from the values. With ``expected_fingerprint`` or, where rows may be
+        crafted, ``expected_set`` the stored rows themselves must be the approved ones, so a source that changed between proof and write is
         caught before anything is public. A publish that was committed is not made again; one that died
         before its commit may be. If another writer commits first, this one is refused; its files stay,
         unreferenced.
@@ -225,7 +229,7 @@ class Publisher:
         physical_table = version_table(target, execution_id)
         folder = f"{self.folder}/{physical_table}/attempt-{uuid.uuid4().hex}"
         self._write(canonical, folder)
-        self._check(folder, expected_rows, expected_fingerprint)
+        self._check(folder, expected_rows, expected_fingerprint, expected_set)
         record = self._commit(
             target,
             head,
