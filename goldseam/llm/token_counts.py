@@ -15,6 +15,9 @@ from goldseam.llm.pretokens import PreTokenizer, byte_symbols, tokenizer
 REMEMBERED = 1_000_000
 #: Bytes of new pre-tokens that are merged together.
 MERGED_TOGETHER = 4 * 1024 * 1024
+#: A pre-token of more bytes is counted from pieces of PIECE bytes.
+LONG_WORD = 512
+PIECE = 64
 
 
 class RankMerger:
@@ -33,6 +36,10 @@ class RankMerger:
         self.keys, self.ranks, self.made = key[order], order, made[order]
         self.none = len(pairs)
         self.byte_ids = np.array([vocab[s] for s in byte_symbols()], np.int64)
+        # what a symbol stands for: a merge joins the bytes of its two sides
+        self.spelled: dict[int, bytes] = {int(i): bytes([b]) for b, i in enumerate(self.byte_ids)}
+        for a, b, joined in zip(left.tolist(), right.tolist(), made.tolist(), strict=True):
+            self.spelled[joined] = self.spelled[a] + self.spelled[b]
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left * self.size + right
@@ -40,10 +47,10 @@ class RankMerger:
         found = self.keys[at] == key
         return np.where(found, self.ranks[at], self.none), self.made[at]
 
-    def count(self, words: list[bytes]) -> np.ndarray:
+    def count(self, words: list[bytes], left: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
         """Symbols that are left of each word once no pair of it has a rank.
 
-        All words lie behind one another in one array. A round looks up the rank of every adjacent
+        ``left``, if given, receives the symbols themselves, each with the number of its word. All words lie behind one another in one array. A round looks up the rank of every adjacent
         pair, takes each word's lowest, and merges that pair wherever the word has it, from the
         left where pairs overlap. Words without a ranked pair are done and leave the array.
         """
@@ -60,6 +67,9 @@ class RankMerger:
             lowest = np.minimum.reduceat(rank, starts)
             result[word[starts]] = sizes
             live = lowest < self.none
+            if left is not None:
+                done = np.repeat(~live, sizes)
+                left.append((word[done], ids[done]))
             if not live.any():
                 break
             hit = (rank == np.repeat(lowest, sizes)) & (rank < self.none)
@@ -74,6 +84,54 @@ class RankMerger:
             ids, word = ids[keep], word[keep]
         return result
 
+    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all words behind one another, and how many each word has."""
+        left: list[tuple[np.ndarray, np.ndarray]] = []
+        sizes = self.count(words, left)
+        word, ids = (np.concatenate(parts) for parts in zip(*left, strict=True))
+        return ids[np.argsort(word, kind="stable")], sizes
+
+    def count_long(self, word: bytes) -> int:
+        """``count`` of one long word, in rounds that do not grow with its length.
+
+        The word is cut into pieces that are merged side by side. Symbols are those of the whole word
+        if any two neighbours, merged by themselves, stay these two: the first merge across a border
+        would also happen between its two neighbours alone. Where a border of pieces fails this, some
+        symbols around it are merged anew, and their outer borders are tested next, with twice as
+        many symbols each time; at worst this ends with the whole word in one piece.
+        """
+        pieces = [word[i : i + PIECE] for i in range(0, len(word), PIECE)]
+        step = MERGED_TOGETHER // PIECE
+        merged = [self.symbols(pieces[i : i + step]) for i in range(0, len(pieces), step)]
+        ids = np.concatenate([m[0] for m in merged])
+        border = np.cumsum(np.concatenate([m[1] for m in merged]))[:-1]
+        reach = 4
+        while len(border):
+            pairs = [self.spelled[a] + self.spelled[b] for a, b in zip(ids[border - 1].tolist(), ids[border].tolist())]
+            got, sizes = self.symbols(pairs)
+            ends = np.cumsum(sizes)
+            stays = (sizes == 2) & (got[ends - sizes] == ids[border - 1]) & (got[ends - 1] == ids[border])
+            failed = border[~stays]
+            if not len(failed):
+                break
+            low, high = np.maximum(failed - reach, 0), np.minimum(failed + reach, len(ids))
+            apart = np.append(True, low[1:] > high[:-1])
+            low, high = low[apart], np.maximum.reduceat(high, np.flatnonzero(apart))
+            around = [
+                b"".join(map(self.spelled.__getitem__, ids[a:b].tolist())) for a, b in zip(low.tolist(), high.tolist())
+            ]
+            got, sizes = self.symbols(around)
+            parts, outer, at, length = [], [], 0, 0
+            for a, b, new in zip(low.tolist(), high.tolist(), np.split(got, np.cumsum(sizes)[:-1]), strict=True):
+                parts += [ids[at:a], new]
+                outer += [length + a - at, length + a - at + len(new)]
+                length, at = outer[-1], b
+            ids = np.concatenate([*parts, ids[at:]])
+            border = np.unique(outer)
+            border = border[(border > 0) & (border < len(ids))]
+            reach *= 2
+        return len(ids)
+
 
 @lru_cache(maxsize=2)
 def _tools(name: str) -> tuple[PreTokenizer, RankMerger, dict[str, int]]:
@@ -87,6 +145,9 @@ def _learn(words: list[str], merger: RankMerger, known: dict[str, int]) -> None:
     total = 0
     for word in words:
         raw = word.encode("utf-8", "surrogatepass")
+        if len(raw) > LONG_WORD:
+            known[word] = merger.count_long(raw)
+            continue
         part.append(word)
         coded.append(raw)
         total += len(raw)
@@ -125,6 +186,7 @@ def with_token_counts(docs: DataFrame, name: str, limit: int) -> DataFrame:
     results, null ids stay null, other columns are not read, an empty table gives an empty table.
     Special tokens inside a text count as one token, as is the library's default. Nothing is
     shuffled; a worker holds one Arrow batch and the counts of at most ``REMEMBERED`` pre-tokens.
+    A very long text costs in proportion to its length, also where it is a single pre-token.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,6 +68,36 @@ def test_merging_many_words_at_once_equals_one_by_one():
     assert together == [int(merger.count([w.encode()])[0]) for w in some]
 
 
+def _long_words():
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    yield "".join(r.choices(letters, k=40_000))
+    yield "".join(r.choices("ab", k=20_000))
+    yield "".join(r.choices("\u00e9\u00fc\u00df\u00f1", k=5_000))
+    yield "".join(r.choices("-=_*", k=20_000))
+    yield "".join(r.choices(["the", "ing", "aaa", "xyz", "tion"], k=9_000))
+    for run in ("x", "ab", "aab", "="):
+        yield run * 5_001
+    for length in (511, 512, 513, 576, 577):
+        yield "".join(r.choices(letters, k=length))
+
+
+@pytest.mark.parametrize("word", list(_long_words()), ids=lambda w: f"{w[:4]}-{len(w)}")
+def test_long_words_are_counted_from_pieces(word):
+    for text in (word, f"a {word} b", word + word):
+        assert token_counts.count_tokens([text], BYTE) == [len(library_ids(text, BYTE))]
+    assert prefix_bpe.encode_text(word, WORD) == library_ids(word, WORD)
+
+
+def test_pieces_of_any_length_give_the_same_count(monkeypatch):
+    word = b"".join(random.Random(6).choices([b"th", b"e", b"in", b"g", b"qz", b"aa"], k=700))
+    merger = token_counts.RankMerger(BYTE)
+    whole = merger.count([word])[0]
+    for piece in (1, 2, 3, 7, 64, 5000):
+        monkeypatch.setattr(token_counts, "PIECE", piece)
+        assert merger.count_long(word) == whole
+
+
 def test_count_rows(spark):
     docs, rows = awkward(spark, TEXTS)
     got = sorted(token_counts.with_token_counts(docs, BYTE, 1024).collect(), key=repr)
