@@ -127,6 +127,46 @@ def dataset_fingerprint_merkle(spark, sf_dir):
     return _union(ops.merkle_fingerprint(df, t) for t, df in frames)
 
 
+@register("set_fingerprint")
+def set_fingerprint(spark, sf_dir):
+    """SQL has no SHAKE-128; tests hold the rows against hashlib."""
+    return _union(ops.set_fingerprint(table(spark, sf_dir, t), t) for t in _MERKLE)
+
+
+#: Orders as they are, and what may have happened to them, in Spark's and DuckDB's words alike.
+_TAMPERED = {
+    "OTHER_ORDER": "SELECT * FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL "
+    "SELECT * FROM orders WHERE o_orderkey % 5 = 0",
+    "ONE_REPLACED_BY_A_COPY": "SELECT * FROM orders WHERE o_orderkey <> (SELECT max(o_orderkey) FROM orders) "
+    "UNION ALL SELECT * FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)",
+    "ONE_LEFT_OUT": "SELECT * FROM orders WHERE o_orderkey <> (SELECT max(o_orderkey) FROM orders)",
+    "TWO_TIMES_ALL": "SELECT * FROM orders UNION ALL SELECT * FROM orders",
+}
+
+
+@register(
+    "set_fingerprint_changes",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS change, (SELECT count(*) FROM ({sql})) AS row_count, "
+        f"(SELECT count(*) FROM (({sql}) EXCEPT ALL SELECT * FROM orders)) + (SELECT count(*) FROM "
+        f"(SELECT * FROM orders EXCEPT ALL ({sql}))) = 0 AS same"
+        for name, sql in _TAMPERED.items()
+    ),
+)
+def set_fingerprint_changes(spark, sf_dir):
+    """Whether the set fingerprint tells changed rows from the same rows in another order."""
+    orders = table(spark, sf_dir, "orders")
+    base = ops.set_fingerprint(orders, "orders").select(F.col("data_fingerprint").alias("base"))
+
+    def judged(name, sql):
+        changed = spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=orders)
+        return ops.set_fingerprint(changed, name).join(base).select(
+            F.col("dataset").alias("change"), "row_count", (F.col("data_fingerprint") == F.col("base")).alias("same")
+        )
+
+    return _union(judged(name, sql) for name, sql in _TAMPERED.items())
+
+
 _KINDS = ("date", "text", "timestamp", "timestamp_ntz", "decimal", "integer", "double", "boolean")
 _PAIRS = [(a, b) for i, a in enumerate(_KINDS) for b in _KINDS[i + 1 :]]
 

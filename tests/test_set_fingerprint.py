@@ -2,10 +2,12 @@
 
 import hashlib
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_module
 from goldseam.functions.encoding import row_text, schema_header
 from goldseam.operators import fingerprint as ops
 from goldseam.plans import evidence
@@ -54,6 +56,15 @@ def test_the_sum_beside_it_is_that_of_measure(spark):
         assert (row.row_count, row.data_fingerprint) == tuple(ops.measure(df).first())
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="test tables not here")
+def test_query_equals_its_definition(spark):
+    found = entry_module.queries()["set_fingerprint"](spark, "/root/testdata/sf0.001").collect()
+    for row in found:
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{row.dataset}.parquet")
+        assert (row.row_count, row.data_fingerprint) == by_hand(df)
+    assert len(found) == 3
+
+
 def test_batches_and_order_make_no_difference(spark):
     df = sample(spark)
     base = measured(df)
