@@ -33,7 +33,7 @@ from goldseam.plans.migration import (
 from goldseam.sources import snapshots
 from goldseam.sources.manifests import append_manifests
 from goldseam.sources.publish import Publisher, StaleRollback
-from goldseam.sources.tables import trusted_read
+from goldseam.sources.tables import consistent_read
 
 _FACTS = (
     "source_primary_key array<string>, source_row_count bigint, source_schema_fingerprint string, "
@@ -202,7 +202,7 @@ class Lifecycle:
         if self.read("datasets").where(F.col("dataset_id") == dataset_id).isEmpty():
             self._append("datasets", [{"dataset_id": dataset_id}])
         try:
-            read = trusted_read(table.data, dataset_id, table.key).first()
+            read = consistent_read(table.data, dataset_id, table.key)
         except Exception as error:
             self.fail_run(dataset_id, run_id, as_of, "SOURCE_READ_FAILED", baseline)
             raise LifecycleRefused("SOURCE_READ_FAILED") from error

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from goldseam.constants import DTYPE_TO_DATABASE_TYPE, IDENTIFIER
 from goldseam.functions.dtypes import logical_dtype
@@ -100,6 +101,51 @@ def column_metadata(df: DataFrame, dataset: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, _METADATA_SCHEMA)
 
 
+class SourceChanged(RuntimeError):
+    """A file of the source was replaced, changed or removed while it was read."""
+
+
+def file_states(df: DataFrame) -> DataFrame | None:
+    """(path, modificationTime, length) of the files behind ``df`` as they are now; None if it has none.
+
+    Spark lists them, as tasks if they are many; no content is read. The list of files is the one
+    that ``df`` fixed when it was made.
+    """
+    files = df.inputFiles()
+    if not files:
+        return None
+    # paths are names here, not patterns
+    paths = [re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(f)) for f in files]
+    states = df.sparkSession.read.format("binaryFile").load(paths)
+    return states.select("path", "modificationTime", "length")
+
+
+def file_list_print(df: DataFrame) -> tuple[int, str] | None:
+    """Number and fingerprint of ``file_states``, folded in the tasks; None if ``df`` has no files.
+
+    A file that is gone makes the listing fail, which is a change as well.
+    """
+    try:
+        states = file_states(df)
+        return None if states is None else tuple(dataset_fingerprint(states, "files").first()[1:])
+    except Exception as error:
+        raise SourceChanged("SOURCE_CHANGED_DURING_READ") from error
+
+
+def consistent_read(df: DataFrame, dataset: str, key: Sequence[str]) -> Row:
+    """The row of ``trusted_read``, if no file changed from before its first scan until after its last.
+
+    Both scans read the file list that ``df`` fixed. Lengths and times of these files are taken before
+    and after; a file that was replaced in between, even by one with as many rows, refuses the read.
+    Sources without files (a database, rows in memory) are held to equal counts alone, as in ``trusted_read``.
+    """
+    before = file_list_print(df)
+    read = trusted_read(df, dataset, key).first()
+    if before != file_list_print(df):
+        raise SourceChanged("SOURCE_CHANGED_DURING_READ")
+    return read
+
+
 def trusted_read(df: DataFrame, dataset: str, key: Sequence[str]) -> DataFrame:
     """The evidence of one complete read, one row: key, proof, count and both fingerprints.
 
