@@ -15,7 +15,8 @@ from goldseam.queries.fixtures import Fixture, table, with_sql
 from goldseam.queries.profiling import TABLE_COLUMNS
 from goldseam.session import shared_folder
 from goldseam.sources import manifests, publish, snapshots
-from goldseam.sources.tables import column_metadata as read_metadata, fetch_table as read_table, trusted_read
+from goldseam.sources.tables import column_metadata as read_metadata, consistent_read as read_unchanged
+from goldseam.sources.tables import fetch_table as read_table, trusted_read
 
 _READS = {
     "orders": ["o_orderkey"],
@@ -51,20 +52,32 @@ def _union(frames):
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-@register(
-    "trusted_read_summary",
-    " UNION ALL ".join(
+def _summary_sql(tables):
+    return " UNION ALL ".join(
         f"SELECT f.dataset, '{','.join(key)}' AS primary_key, (SELECT count(*) = count(DISTINCT ({', '.join(key)})) "
         f"FROM {t}) AS key_proved, f.row_count, sha256('{_schema_json(TABLE_COLUMNS[t])}') AS schema_fingerprint, "
         f"f.data_fingerprint FROM ({fingerprint_sql(t, t, TABLE_COLUMNS[t])}) f"
-        for t, key in _READS.items()
-    ),
-)
+        for t, key in tables.items()
+    )
+
+
+@register("trusted_read_summary", _summary_sql(_READS))
 def trusted_read_summary(spark, sf_dir):
     reads = _union(trusted_read(table(spark, sf_dir, t), t, key) for t, key in _READS.items())
     return reads.withColumn("primary_key", F.array_join("primary_key", ","))
 
 
+_UNCHANGED = {t: _READS[t] for t in ("orders", "customer") if t in _READS}
+
+
+@register("consistent_read", _summary_sql(_UNCHANGED))
+def consistent_read(spark, sf_dir):
+    """The evidence of reads whose files were the same before and after both scans."""
+    reads = [read_unchanged(table(spark, sf_dir, t), t, key) for t, key in _UNCHANGED.items()]
+    schema = trusted_read(table(spark, sf_dir, "orders"), "orders", _READS["orders"]).schema
+    return spark.createDataFrame(reads, schema).withColumn("primary_key", F.array_join("primary_key", ","))
+
+
 _DESCRIBED = ("lineitem", "orders", "customer", "events")
 
 

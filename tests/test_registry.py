@@ -20,7 +20,7 @@ def test_every_check_belongs_to_a_query():
     "name",
     [
         "cast_decision", "cast_allowlist", "cast_materialize_failures", "cast_materialize_long_texts",
-        "cast_object_nested", "dataset_fingerprint", "dataset_fingerprint_merkle", "decision_field_errors",
+        "cast_object_nested", "consistent_read", "dataset_fingerprint", "dataset_fingerprint_merkle", "decision_field_errors",
         "execution_transitions", "infer_logical_type", "output_match", "plan_route", "publish_version",
         "register_versions", "run_violations", "schema_delta", "set_fingerprint_changes", "ticket_lineage", "trusted_read_summary",
         "variant_kinds",
