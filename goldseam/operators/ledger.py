@@ -3,7 +3,8 @@
 State is folded from rows, never updated. Folds are aggregates wherever order allows it, so a
 busy ticket, target or execution is reduced in every task before it is shuffled. The two places
 that need neighbours or numbers in sequence (``register_versions``, ``execution_transitions``)
-work per hour first and join the hours up afterwards, so one key's history is not one task's work.
+cut the sorted rows into pieces of about equal size and join the pieces up afterwards, so one key's
+history is not one task's work, even if all of it happened at one moment.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from goldseam.functions.actions import is_identifier
 from goldseam.functions.dtypes import all_registrable
 from goldseam.operators.fingerprint import gold_fingerprint
 from goldseam.operators.joining import left_join_known
+from goldseam.operators.ordering import in_pieces
 
 
 def _blank(column: Column) -> Column:
@@ -55,7 +57,7 @@ def register_versions(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     ``existing``: schema_name, version_number, fingerprint. Candidates count in order of
     (submitted_at, candidate_id); of equal definitions the first is registered. One that is valid but
     has no time cannot be ordered: NO_SUBMISSION_TIME. Numbers go on from the family's highest:
-    counted per family and hour, then offset by the hours before.
+    counted per family and piece of the sorted candidates, then offset by the pieces before.
     """
     error = F.coalesce(
         definition_error(candidates), F.when(F.col("submitted_at").isNull(), "NO_SUBMISSION_TIME")
@@ -72,27 +74,29 @@ def register_versions(candidates: DataFrame, existing: DataFrame) -> DataFrame:
         "fingerprint",
         F.col("moment.candidate_id").alias("candidate_id"),
         F.col("moment.submitted_at").alias("submitted_at"),
-        F.date_trunc("hour", "moment.submitted_at").alias("hour"),
+    )
+    fresh = in_pieces(
+        fresh, "schema_name", ["submitted_at", "candidate_id"], "piece", "version-candidates"
     )
     highest = existing.groupBy("schema_name").agg(F.max("version_number").alias("highest"))
-    earlier_hours = Window.partitionBy("schema_name").orderBy("hour").rowsBetween(
+    earlier_pieces = Window.partitionBy("schema_name").orderBy("piece").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = (
-        fresh.groupBy("schema_name", "hour")
+        fresh.groupBy("schema_name", "piece")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(earlier_hours), F.lit(0)))
+        .withColumn("before", F.coalesce(F.sum("n").over(earlier_pieces), F.lit(0)))
         .join(highest, "schema_name", "left")
         .select(
             "schema_name",
-            "hour",
+            "piece",
             (F.coalesce("highest", F.lit(0)) + F.col("before")).alias("offset"),
         )
     )
-    within_hour = Window.partitionBy("schema_name", "hour").orderBy("submitted_at", "candidate_id")
+    within_piece = Window.partitionBy("schema_name", "piece").orderBy("submitted_at", "candidate_id")
     numbered = (
-        fresh.withColumn("place", F.row_number().over(within_hour))
-        .join(offsets, ["schema_name", "hour"])
+        fresh.withColumn("place", F.row_number().over(within_piece))
+        .join(offsets, ["schema_name", "piece"])
         .select("candidate_id", (F.col("offset") + F.col("place")).alias("version_number"))
     )
     return checked.join(numbered, "candidate_id", "left").select(
@@ -594,9 +598,9 @@ def execution_transitions(events: DataFrame) -> DataFrame:
     """Each event with the status before it and whether the step is legal.
 
     ``events``: execution_id, event_id, recorded_at, status. The status before is the previous
-    event of the same hour, or else the last one of the nearest earlier hour; so a long history
-    is sorted hour by hour, not in one piece. An event without a time has no place in the history:
-    it is listed as illegal and precedes no other.
+    event of the same piece of the sorted events, or else the last one of the execution's nearest
+    earlier piece. Events without an execution are one history. An event without a time has no place
+    in the history: it is listed as illegal and precedes no other.
     """
     undated = events.where(F.col("recorded_at").isNull()).select(
         "execution_id",
@@ -605,25 +609,33 @@ def execution_transitions(events: DataFrame) -> DataFrame:
         "status",
         F.lit(False).alias("legal"),
     )
-    dated = events.where(F.col("recorded_at").isNotNull()).withColumn(
-        "hour", F.date_trunc("hour", "recorded_at")
+    dated = in_pieces(
+        events.where(F.col("recorded_at").isNotNull()).select(
+            "execution_id", "event_id", "recorded_at", "status"
+        ),
+        "execution_id", ["recorded_at", "event_id"], "piece", "execution-events",
     )
-    within_hour = Window.partitionBy("execution_id", "hour").orderBy("recorded_at", "event_id")
-    over_hours = Window.partitionBy("execution_id").orderBy("hour")
+    within_piece = Window.partitionBy("execution_id", "piece").orderBy("recorded_at", "event_id")
+    over_pieces = Window.partitionBy("execution_id").orderBy("piece")
     closing = (
-        dated.groupBy("execution_id", "hour")
+        dated.groupBy("execution_id", "piece")
         .agg(F.max_by("status", F.struct("recorded_at", "event_id")).alias("last_status"))
         .select(
-            "execution_id", "hour", F.lag("last_status").over(over_hours).alias("opening_status")
+            F.col("execution_id").alias("own_id"),
+            F.col("piece").alias("own_piece"),
+            F.lag("last_status").over(over_pieces).alias("opening_status"),
         )
     )
-    previous = F.coalesce("same_hour", "opening_status")
+    previous = F.coalesce("same_piece", "opening_status")
     legal = F.when(previous.isNull(), F.col("status").isin("PENDING", "RUNNING"))
     for before, after in _LEGAL.items():
         legal = legal.when(previous == before, F.col("status").isin(*after))
     return (
-        dated.withColumn("same_hour", F.lag("status").over(within_hour))
-        .join(closing, ["execution_id", "hour"])
+        dated.withColumn("same_piece", F.lag("status").over(within_piece))
+        .join(
+            closing,
+            F.col("execution_id").eqNullSafe(F.col("own_id")) & (F.col("piece") == F.col("own_piece")),
+        )
         .select(
             "execution_id",
             "event_id",

@@ -61,13 +61,12 @@ def _existing(spark, sf_dir):
     return gold_fingerprint(versions)
 
 
-@register(
-    "register_versions",
-    with_sql(
+def _registered_sql(candidates: Fixture) -> str:
+    return with_sql(
         "SELECT candidate_id, schema_name, CASE WHEN error IS NULL THEN fingerprint ELSE 'none' END AS fingerprint, "
         "coalesce(error, CASE WHEN v IS NULL THEN 'DUPLICATE_DEFINITION' ELSE 'REGISTERED' END) AS outcome, "
         "coalesce(v, -1) AS version_number FROM k LEFT JOIN n USING (candidate_id)",
-        c=_CANDIDATES,
+        c=candidates,
         e=_EXISTING,
         k="SELECT *, " + _definition_sql("second_dtype") + " AS fingerprint, CASE "
         "WHEN NOT regexp_full_match(schema_name, '[a-z][a-z0-9_]*') THEN 'INVALID_NAME' "
@@ -80,18 +79,42 @@ def _existing(spark, sf_dir):
         "(SELECT 1 FROM x WHERE x.schema_name = f.schema_name AND x.fingerprint = f.fingerprint)",
         n="SELECT candidate_id, row_number() OVER (PARTITION BY schema_name ORDER BY submitted_at, candidate_id) "
         "+ coalesce((SELECT max(version_number) FROM x WHERE x.schema_name = fresh.schema_name), 0) AS v FROM fresh",
-    ),
-)
-def register_versions(spark, sf_dir):
-    candidates = _CANDIDATES.frame(spark, sf_dir).withColumn(
-        "columns", _definition(F.col("second_dtype"))
     )
+
+
+def _registered(spark, sf_dir, fixture):
+    candidates = fixture.frame(spark, sf_dir).withColumn("columns", _definition(F.col("second_dtype")))
     registered = ops.register_versions(candidates, _existing(spark, sf_dir))
     return registered.withColumn(
         "fingerprint", F.coalesce("fingerprint", F.lit("none"))
     ).withColumn("version_number", F.coalesce("version_number", F.lit(-1)))
 
 
+@register("register_versions", _registered_sql(_CANDIDATES))
+def register_versions(spark, sf_dir):
+    return _registered(spark, sf_dir, _CANDIDATES)
+
+
+# A bulk load: one family, one moment, nearly every definition new.
+_BULK = Fixture(
+    "lineitem",
+    [
+        "l_orderkey * 10 + l_linenumber AS candidate_id",
+        "CASE WHEN l_orderkey % 50 = 0 THEN 'family_1' ELSE 'family_0' END AS schema_name",
+        "1 AS format_version",
+        "concat('b', CAST(l_orderkey AS STRING), '_', CAST(l_linenumber % 5 AS STRING)) AS second_name",
+        "'float64' AS second_dtype",
+        "'ops' AS created_by",
+        "CAST('2024-03-01 12:00:00' AS TIMESTAMP) AS submitted_at",
+    ],
+)
+
+
+@register("register_versions_bulk", _registered_sql(_BULK))
+def register_versions_bulk(spark, sf_dir):
+    return _registered(spark, sf_dir, _BULK)
+
+
 @register(
     "gold_latest",
     with_sql(
@@ -695,23 +718,47 @@ _STEPS = Fixture(
 )
 
 
-@register(
-    "execution_transitions",
-    with_sql(
+def _transitions_sql(steps: Fixture) -> str:
+    return with_sql(
         "SELECT execution_id, event_id, status, coalesce(p, 'none') AS previous_status, CASE "
         "WHEN recorded_at IS NULL THEN false WHEN p IS NULL THEN "
         "status IN ('PENDING','RUNNING') ELSE (p, status) IN (('PENDING','RUNNING'), ('PENDING','FAILED'), "
         "('RUNNING','COMPLETED'), ('RUNNING','FAILED'), ('COMPLETED','ROLLING_BACK'), ('ROLLING_BACK','ROLLED_BACK')) END AS legal "
         "FROM (SELECT *, lag(status) OVER (PARTITION BY execution_id ORDER BY recorded_at, event_id) AS p FROM s "
         "WHERE recorded_at IS NOT NULL UNION ALL SELECT *, NULL FROM s WHERE recorded_at IS NULL)",
-        s=_STEPS,
-    ),
-)
-def execution_transitions(spark, sf_dir):
-    steps = ops.execution_transitions(_STEPS.frame(spark, sf_dir))
+        s=steps,
+    )
+
+
+def _transitions(spark, sf_dir, fixture):
+    steps = ops.execution_transitions(fixture.frame(spark, sf_dir))
     return steps.withColumn("previous_status", F.coalesce("previous_status", F.lit("none")))
 
 
+@register("execution_transitions", _transitions_sql(_STEPS))
+def execution_transitions(spark, sf_dir):
+    return _transitions(spark, sf_dir, _STEPS)
+
+
+# A replayed log: all events of nearly all rows belong to one execution and carry one of two times.
+_REPLAYED = Fixture(
+    "lineitem",
+    [
+        "CASE WHEN l_orderkey % 50 = 0 THEN 1 ELSE 0 END AS execution_id",
+        "l_orderkey * 10 + l_linenumber AS event_id",
+        "CASE WHEN l_linenumber = 7 THEN NULL WHEN l_orderkey % 2 = 0 THEN CAST('2024-03-01 12:00:00' AS TIMESTAMP) "
+        "ELSE CAST('2024-03-01 12:00:01' AS TIMESTAMP) END AS recorded_at",
+        "CASE l_partkey % 6 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'COMPLETED' WHEN 2 THEN 'ROLLING_BACK' "
+        "WHEN 3 THEN 'ROLLED_BACK' WHEN 4 THEN 'PENDING' ELSE 'FAILED' END AS status",
+    ],
+)
+
+
+@register("execution_transitions_replayed", _transitions_sql(_REPLAYED))
+def execution_transitions_replayed(spark, sf_dir):
+    return _transitions(spark, sf_dir, _REPLAYED)
+
+
 @register(
     "execution_state",
     with_sql(

@@ -1,8 +1,11 @@
 import datetime
 import random
 
+from pyspark.sql import functions as F
+
 from spark_rows import rows
 from goldseam.operators import governance, ledger
+from goldseam.operators.ordering import in_pieces
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -192,3 +195,51 @@ def test_each_gate_in_turn(spark):
     for i, (_, _, gate) in enumerate(broken):
         want[str(i)] = (gate, "CONFLICT" if gate in ("ALREADY_EXECUTED", "TARGET_BUSY") else "NOT_ALLOWED")
     assert got == want
+
+
+def test_one_family_at_one_moment_is_numbered_in_pieces(spark):
+    names = [f"n{(i * 7919) % 5000}" for i in range(6000)]
+    candidates = spark.createDataFrame(
+        [(i, "hot", 1, [("id", "int64"), (names[i], "object")], "ops", T0) for i in range(6000)],
+        "candidate_id int, schema_name string, format_version int, "
+        "columns array<struct<name:string,dtype:string>>, created_by string, submitted_at timestamp_ntz",
+    )
+    existing = spark.createDataFrame([], "schema_name string, version_number int, fingerprint string")
+    got = {
+        r.candidate_id: r.version_number for r in ledger.register_versions(candidates, existing).collect()
+    }
+    assert [got[i] for i in range(5000)] == list(range(1, 5001))
+    assert {got[i] for i in range(5000, 6000)} == {None}
+
+
+def test_pieces_split_a_key_at_one_moment(spark):
+    df = spark.range(30_000).select(F.lit("hot").alias("k"), F.lit(T0).alias("t"), "id")
+    with_conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "6"}
+    before = {name: spark.conf.get(name) for name in with_conf}
+    try:
+        for name, value in with_conf.items():
+            spark.conf.set(name, value)
+        cut = in_pieces(df, "k", ["t", "id"], "piece", "test-pieces")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    pieces = cut.groupBy("piece").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    pieces = pieces.orderBy("piece").collect()
+    assert len(pieces) == 6 and max(p.n for p in pieces) < 10_000 and sum(p.n for p in pieces) == 30_000
+    assert all(a.hi < b.lo for a, b in zip(pieces, pieces[1:]))
+
+
+def test_transitions_at_one_moment_and_without_an_execution(spark):
+    rng = random.Random(5)
+    status = [rng.choice(["PENDING", "RUNNING", "COMPLETED", "ROLLING_BACK", "ROLLED_BACK", "FAILED"]) for _ in range(4000)]
+    events = spark.createDataFrame(
+        [("e" if i % 4 else None, i, T0, s) for i, s in enumerate(status)],
+        "execution_id string, event_id int, recorded_at timestamp_ntz, status string",
+    )
+    got = {r.event_id: r.previous_status for r in ledger.execution_transitions(events).collect()}
+    last, want = {}, {}
+    for i, s in enumerate(status):
+        own = i % 4 == 0
+        want[i], last[own] = last.get(own), s
+    assert got == want
+    assert ledger.execution_transitions(events.limit(0)).collect() == []
