@@ -97,12 +97,12 @@ def register_versions(spark, sf_dir):
 
 # A bulk load: one family, one moment, nearly every definition new.
 _BULK = Fixture(
-    "lineitem",
+    "orders",
     [
-        "l_orderkey * 10 + l_linenumber AS candidate_id",
-        "CASE WHEN l_orderkey % 50 = 0 THEN 'family_1' ELSE 'family_0' END AS schema_name",
+        "o_orderkey AS candidate_id",
+        "CASE WHEN o_orderkey % 50 = 0 THEN 'family_1' ELSE 'family_0' END AS schema_name",
         "1 AS format_version",
-        "concat('b', CAST(l_orderkey AS STRING), '_', CAST(l_linenumber % 5 AS STRING)) AS second_name",
+        "concat('b', CAST(CASE WHEN o_orderkey % 7 = 0 THEN o_custkey ELSE -o_orderkey END AS STRING)) AS second_name",
         "'float64' AS second_dtype",
         "'ops' AS created_by",
         "CAST('2024-03-01 12:00:00' AS TIMESTAMP) AS submitted_at",
@@ -742,13 +742,13 @@ def execution_transitions(spark, sf_dir):
 
 # A replayed log: all events of nearly all rows belong to one execution and carry one of two times.
 _REPLAYED = Fixture(
-    "lineitem",
+    "orders",
     [
-        "CASE WHEN l_orderkey % 50 = 0 THEN 1 ELSE 0 END AS execution_id",
-        "l_orderkey * 10 + l_linenumber AS event_id",
-        "CASE WHEN l_linenumber = 7 THEN NULL WHEN l_orderkey % 2 = 0 THEN CAST('2024-03-01 12:00:00' AS TIMESTAMP) "
+        "CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE 0 END AS execution_id",
+        "o_orderkey AS event_id",
+        "CASE WHEN o_orderkey % 61 = 0 THEN NULL WHEN o_custkey % 2 = 0 THEN CAST('2024-03-01 12:00:00' AS TIMESTAMP) "
         "ELSE CAST('2024-03-01 12:00:01' AS TIMESTAMP) END AS recorded_at",
-        "CASE l_partkey % 6 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'COMPLETED' WHEN 2 THEN 'ROLLING_BACK' "
+        "CASE o_custkey % 6 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'COMPLETED' WHEN 2 THEN 'ROLLING_BACK' "
         "WHEN 3 THEN 'ROLLED_BACK' WHEN 4 THEN 'PENDING' ELSE 'FAILED' END AS status",
     ],
 )
