@@ -1,23 +1,21 @@
 """Per-value proof that a cast keeps the value: a reason code, or null when it does.
 
-One rule set per (kind of source value, target). Everything is native expressions, so the
-proof stays inside whole-stage code generation. The one exception is decimal text too long
-for ``decimal(38,0)`` arithmetic; ``is_long_decimal_text`` marks those rows, and
-``long_decimal_reason`` (an Arrow UDF) is meant to see only them.
+One rule set per (kind of source value, target). Everything is native expressions, decimal text
+too long for ``decimal(38,0)`` arithmetic included (see ``decimals``): one scan, no Python worker.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from goldseam import constants as C
+from goldseam.functions.decimals import decimal_text_is_exact
 from goldseam.functions.dtypes import as_variant, has_odd_keys
 
 # What decimal(38,0) and bigint hold. Texts up to the second are decided by cheaper arithmetic with
-# the same verdict; texts beyond the first, without the zeros at the end of a fraction, by Python's.
+# the same verdict; texts beyond the first by arithmetic on arrays.
 MAX_NATIVE_TEXT = 38
 MAX_BIGINT_TEXT = 18
 _TWO_64 = float(2**64)
@@ -108,26 +106,11 @@ def _float64_from_integer(value: Column) -> Column:
     return F.when(~survives, _reject(C.PRECISION_LOSS))
 
 
-def _trimmed(text: Column) -> Column:
-    """Decimal text without zeros at the end of the fraction; short text is left as it is."""
-    zeros = r"^([+-]?[0-9]+)(?:[.]0+|([.][0-9]*[1-9])0*)?\z"
-    return F.when(
-        F.length(text) > MAX_NATIVE_TEXT, F.regexp_replace(text, zeros, "$1$2")
-    ).otherwise(text)
-
-
-def is_long_decimal_text(text: Column) -> Column:
-    """Decimal text that may have more digits than native decimals hold."""
-    return (
-        (F.length(text) > MAX_NATIVE_TEXT)
-        & text.rlike(C.DECIMAL_TEXT)
-        & (F.length(_trimmed(text)) > MAX_NATIVE_TEXT)
-    )
-
-
 def is_exact_text(text: Column) -> Column:
-    """Whether decimal text that is not long is exactly a binary64 value."""
-    return _short_text_is_exact(_trimmed(text))
+    """Whether decimal text is exactly a binary64 value."""
+    return F.when(F.length(text) <= MAX_NATIVE_TEXT, _short_text_is_exact(text)).otherwise(
+        decimal_text_is_exact(text)
+    )
 
 
 def _whole_double_as_decimal(x: Column) -> Column:
@@ -169,30 +152,15 @@ def _short_text_is_exact(text: Column) -> Column:
 
 
 def _float64_from_string(text: Column) -> Column:
-    """Long decimal text gets no verdict here; see ``long_decimal_reason``."""
+    infinite = (F.length(text) > MAX_NATIVE_TEXT) & _is_infinite(text.try_cast("double"))
     return F.when(
         text.rlike(C.DECIMAL_TEXT),
-        F.when(
-            (F.length(_trimmed(text)) <= MAX_NATIVE_TEXT) & ~is_exact_text(text),
-            _reject(C.PRECISION_LOSS),
+        F.when(infinite, _reject(C.NON_FINITE_NUMBER)).when(
+            ~is_exact_text(text), _reject(C.PRECISION_LOSS)
         ),
     ).otherwise(_non_finite_or_parse_error(text))
 
 
-def long_decimal_is_exact(text: Column) -> Column:
-    # Defined inside, so that workers get the function itself and need no copy of this package.
-    def exact(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda s: Decimal(float(s)) == Decimal(s), na_action="ignore")
-
-    return F.pandas_udf(exact, T.BooleanType())(text)
-
-
-def long_decimal_reason(text: Column) -> Column:
-    return F.when(
-        _is_infinite(text.try_cast("double")), _reject(C.NON_FINITE_NUMBER)
-    ).when(~long_decimal_is_exact(text), _reject(C.PRECISION_LOSS))
-
-
 def _float64_from_float(value: Column) -> Column:
     return F.when(_is_infinite(value), _reject(C.NON_FINITE_NUMBER))
 
@@ -329,8 +297,7 @@ def cast_back_equals(
     """Recheck after a SAFE verdict: whether the cast value, taken back, is the original.
 
     The inverse is not the cast itself: decimal text must be exactly the double it became, which is
-    shown without the cast (text too long for that is left to ``long_decimal_is_exact``), and a
-    value that saturates on the way back does not count as unchanged.
+    shown without the cast, and a value that saturates on the way back does not count as unchanged.
     """
     kind = source_kind(data_type)
     if target == "object":
@@ -357,9 +324,8 @@ def cast_back_equals(
         )
     if kind == "string":
         same = value.eqNullSafe(original.try_cast("double"))
-        exact = is_long_decimal_text(original) | is_exact_text(original)
         return F.when(original.isNull(), value.isNull()).otherwise(
-            same & original.rlike(C.DECIMAL_TEXT) & exact
+            same & original.rlike(C.DECIMAL_TEXT) & is_exact_text(original)
         )
     if kind == "integer" and target == "bool":
         return value.cast("int").cast("bigint").eqNullSafe(original.cast("bigint"))

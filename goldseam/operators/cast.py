@@ -46,19 +46,10 @@ def _field(df: DataFrame, name: str) -> T.StructField:
     raise MissingColumnError(f"Cast source column not found: {name}.")
 
 
-def _needs_long_text_branch(data_type: T.DataType, cast: Cast) -> bool:
-    return cast.normalized == "float64" and rules.source_kind(data_type) == "string"
-
-
 @exact_names
 def verdicts(df: DataFrame, casts: Sequence[Cast], keep: Sequence[str] = ()) -> DataFrame:
-    """One row per input row and cast: ``keep`` columns, cast_id, reason, is_null, value_type.
-
-    Decimal text with more than 38 characters bound for float64 is the only input that needs
-    Python. It is filtered out of the native branch and goes through its own one, so Python
-    workers see those rows and no others.
-    """
-    native, long_branches = [], []
+    """One row per input row and cast: ``keep`` columns, cast_id, reason, is_null, value_type."""
+    native = []
     for cast_id, cast in enumerate(casts):
         data_type = _field(df, cast.column).dataType
         value = quoted(cast.column)
@@ -72,33 +63,15 @@ def verdicts(df: DataFrame, casts: Sequence[Cast], keep: Sequence[str] = ()) ->
             "is_null": rules.is_null(value, rules.source_kind(data_type)),
             "value_type": rules.value_type_name(value, data_type),
         }
-        identity = F.lit(cast_id)
-        if _needs_long_text_branch(data_type, cast):
-            is_long = F.coalesce(rules.is_long_decimal_text(value), F.lit(False))
-            identity = F.when(~is_long, identity)
-            long_branches.append(
-                df.where(is_long).select(
-                    *[quoted(name) for name in keep],
-                    F.lit(cast_id).alias("cast_id"),
-                    rules.long_decimal_reason(value).alias("reason"),
-                    F.lit(False).alias("is_null"),
-                    fields["value_type"].alias("value_type"),
-                )
-            )
         native.append(
-            F.struct(identity.alias("cast_id"), *[c.alias(n) for n, c in fields.items()])
+            F.struct(F.lit(cast_id).alias("cast_id"), *[c.alias(n) for n, c in fields.items()])
         )
     kept = [quoted(name) for name in keep]
     if len(native) == 1:
         tall = df.select(*kept, native[0].alias("v"))
     else:
         tall = df.select(*kept, F.explode(F.array(*native)).alias("v"))
-    result = tall.select(*kept, "v.*")
-    if long_branches:
-        result = result.where(F.col("cast_id").isNotNull())
-    for branch in long_branches:
-        result = result.unionByName(branch)
-    return result
+    return tall.select(*kept, "v.*")
 
 
 # The codes that a proof for each target can give.
@@ -116,19 +89,16 @@ REASONS = {
 def _counted_reasons(df: DataFrame, casts: Sequence[Cast], key: Sequence[str]) -> DataFrame:
     """(cast_id, reason, n, nulls, first_key) of all casts from one scan, as plain aggregates.
 
-    A task sends one row, however many casts there are. Decimal texts that need Python are counted by
-    a second scan, again one for all casts, which is there only if text is cast to float64.
+    A task sends one row, however many casts there are.
     """
     first = _first_key(key).alias("_key")
-    verdict, null, long = {}, {}, {}
+    verdict, null = {}, {}
     for i, cast in enumerate(casts):
         data_type = _field(df, cast.column).dataType
         value = quoted(cast.column)
         null[i] = rules.is_null(value, rules.source_kind(data_type))
         if cast.supported:
             verdict[i] = rules.reason(value, data_type, cast.normalized)
-        if _needs_long_text_branch(data_type, cast):
-            long[i] = F.coalesce(rules.is_long_decimal_text(value), F.lit(False))
 
     def tallies(ids: Sequence[int]) -> list[Column]:
         listed = []
@@ -148,21 +118,6 @@ def _counted_reasons(df: DataFrame, casts: Sequence[Cast], key: Sequence[str]) -
         *[F.count_if(F.col(f"_n{i}")).alias(f"nulls{i}") for i in null],
         *tallies(list(verdict)),
     )
-    if long:
-        any_long = F.lit(False)
-        for test in long.values():
-            any_long = any_long | test
-        by_python = df.where(any_long).select(
-            first,
-            *[
-                F.when(test, rules.long_decimal_reason(F.when(test, quoted(casts[i].column)))).alias(f"_r{i}")
-                for i, test in long.items()
-            ],
-        ).agg(*tallies(list(long)))
-        both = scanned.unionByName(by_python, allowMissingColumns=True)
-        scanned = both.agg(
-            *[(F.min(c) if c.startswith("k") else F.sum(c)).alias(c) for c in scanned.columns]
-        )
     rows = []
     for i, cast in enumerate(casts):
         codes = REASONS[cast.normalized] if i in verdict else ()
@@ -347,26 +302,6 @@ def with_cast(df: DataFrame, cast: Cast) -> DataFrame:
     )
 
 
-def _with_long_texts(df: DataFrame, casts: Sequence[Cast], measured: DataFrame) -> DataFrame:
-    """``measured`` with the long decimal texts counted as changed that are no exact double.
-
-    Only casts of text to float64 need it; their long texts alone go through Python, in a scan of
-    their own per such cast.
-    """
-    for i, cast in enumerate(casts):
-        if not _needs_long_text_branch(_field(df, cast.column).dataType, cast):
-            continue
-        text, found = quoted(cast.column), f"changed_{i}"
-        inexact = (
-            df.where(rules.is_long_decimal_text(text))
-            .select(rules.long_decimal_is_exact(text).alias("exact"))
-            .agg(F.count_if(~F.col("exact")).alias(found))
-        )
-        both = measured.unionByName(inexact, allowMissingColumns=True)
-        measured = both.agg(*[F.sum(c).alias(c) for c in measured.columns])
-    return measured
-
-
 @exact_names
 def materialize_check(df: DataFrame, casts: Sequence[Cast]) -> DataFrame:
     """After SAFE, before the write: counts, null places and every value rechecked in one pass."""
@@ -386,7 +321,7 @@ def materialize_check(df: DataFrame, casts: Sequence[Cast]) -> DataFrame:
             F.count_if(was_null != now_null).alias(f"null_moves_{i}"),
             F.count_if(~was_null & ~F.coalesce(same, F.lit(False))).alias(f"changed_{i}"),
         ]
-    measured = _with_long_texts(df, casts, df.agg(*aggregates))
+    measured = df.agg(*aggregates)
     rows = F.array(
         *[
             F.struct(
@@ -505,13 +440,4 @@ def cast_values(df: DataFrame, cast: Cast, key: Sequence[str]) -> DataFrame:
     keys = [quoted(k) for k in key]
     result = rules.converted(value, data_type, cast.normalized).alias("value")
     native = rules.reason(value, data_type, cast.normalized).alias("reason")
-    if not _needs_long_text_branch(data_type, cast):
-        return df.select(*keys, native, result)
-    is_long = F.coalesce(rules.is_long_decimal_text(value), F.lit(False))
-    return (
-        df.where(~is_long)
-        .select(*keys, native, result)
-        .unionByName(
-            df.where(is_long).select(*keys, rules.long_decimal_reason(value).alias("reason"), result)
-        )
-    )
+    return df.select(*keys, native, result)

@@ -167,16 +167,13 @@ def _cast_aggregates(df, cast, value, key, places):
             hit = F.col("_reason") == code
             aggregates.append(F.count_if(hit).alias(f"n_{i}"))
             aggregates.append(F.min(F.when(hit, F.col("_key"))).alias(f"k_{i}"))
-    if cast.normalized == "float64" and rules.source_kind(data_type) == "string":
-        parts.append(rules.is_long_decimal_text(value).alias("_long"))
-        aggregates.append(F.count_if(F.col("_long")).alias("long_texts"))
     return parts, aggregates
 
 
 def _decision(df: DataFrame, cast: Cast, key: Sequence[str], row: Row | None) -> Row:
     """The decision from the scan's aggregates, or a proof of its own where they cannot tell."""
     told = {} if row is None else row.asDict()
-    if row is None or cast.normalized == "object" or told.get("long_texts"):
+    if row is None or cast.normalized == "object":
         return cast_decision(df, [cast], key).first()
     codes = REASONS[cast.normalized]
     seen = sorted(
