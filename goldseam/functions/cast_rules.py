@@ -107,9 +107,17 @@ def _float64_from_integer(value: Column) -> Column:
 
 
 def is_exact_text(text: Column) -> Column:
-    """Whether decimal text is exactly a binary64 value."""
-    return F.when(F.length(text) <= MAX_NATIVE_TEXT, _short_text_is_exact(text)).otherwise(
-        decimal_text_is_exact(text)
+    """Whether decimal text is exactly a binary64 value.
+
+    Text that is long only by the zeros at the end of its fraction is decided without them.
+    """
+    trimmed = F.when(
+        F.instr(text, ".") > 0, F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+    ).otherwise(text)
+    return (
+        F.when(F.length(text) <= MAX_NATIVE_TEXT, _short_text_is_exact(text))
+        .when(F.length(trimmed) <= MAX_NATIVE_TEXT, _short_text_is_exact(trimmed))
+        .otherwise(decimal_text_is_exact(text))
     )
 
 
@@ -152,7 +160,9 @@ def _short_text_is_exact(text: Column) -> Column:
 
 
 def _float64_from_string(text: Column) -> Column:
-    infinite = (F.length(text) > MAX_NATIVE_TEXT) & _is_infinite(text.try_cast("double"))
+    infinite = (F.length(text) > MAX_NATIVE_TEXT) & (
+        F.abs(text.try_cast("double")) == F.lit(float("inf"))
+    )
     return F.when(
         text.rlike(C.DECIMAL_TEXT),
         F.when(infinite, _reject(C.NON_FINITE_NUMBER)).when(

@@ -82,7 +82,7 @@ def decimal_text_is_exact(text: Column) -> Column:
     nearest double. For k > 0 only M / 2^k with a whole M below 2^53 ends at the k-th digit, so the
     text is exact iff M = x * 2^k is such a number and M * 5^k = N. For k = 0 it is exact iff N = x,
     which is M * 2^e. The nearest double is known to be close, so the product never has two digits
-    more than N. Text beyond the range of doubles is not for this function.
+    more than N. Text beyond the range of doubles is not exact.
     """
     unsigned = F.translate(text, "+-", "")
     point = F.instr(unsigned, ".")
@@ -114,6 +114,7 @@ def decimal_text_is_exact(text: Column) -> Column:
                 _power_times(_limbs((p["x"] / F.pow(F.lit(2.0), e)).try_cast("bigint"), size), 2, 27, e)
             ) == p["digits"],
         )
-        return F.when(p["k"] > _MAX_FRACTION, F.lit(False)).when(p["k"] > 0, fractional).otherwise(integral)
+        beyond = (p["k"] > _MAX_FRACTION) | (p["x"] == float("inf"))
+        return F.when(beyond, F.lit(False)).when(p["k"] > 0, fractional).otherwise(integral)
 
     return F.coalesce(_let(parts, test), F.lit(False))
