@@ -6,16 +6,19 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from goldseam import constants as C
+from goldseam.functions import cast_rules as rules
 from goldseam.functions.dtypes import logical_dtype
+from goldseam.functions.encoding import quoted
 from goldseam.operators import governance, ledger
 from goldseam.operators.cast import Cast, cast_decision
 from goldseam.operators.fingerprint import schema_fingerprint
 from goldseam.operators.profile import key_proof
 from goldseam.operators.repair import integrity_status, risk_level
 from goldseam.plans.evidence import Evidence, gather, typed_action
+from goldseam.session import exact_names
 from goldseam.sources.publish import Publisher
 from goldseam.sources.tables import column_metadata
 
@@ -105,6 +108,103 @@ def _blocked_casts(spark, tables, chosen, allowed) -> list[str]:
     ]
 
 
+def read_family(spark: SparkSession, folders: Sequence[str], dataset: str = "dataset") -> DataFrame:
+    """Tables of one schema, each in a folder of its own, as one read; ``dataset`` is the folder's name."""
+    found = spark.read.parquet(*folders)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return found.select("*", F.url_decode(name).alias(dataset))
+
+
+@exact_names
+def simulate_family(
+    data: DataFrame,
+    gold: DataFrame,
+    allowed_pairs: Sequence[tuple[str, str]] = (),
+    source_backed: DataFrame | None = None,
+    dataset: str = "dataset",
+) -> DataFrame:
+    """As ``simulate``, for any number of tables that share one schema: dataset, action, status, route.
+
+    ``data``: the rows of all tables, told apart by the column ``dataset``; ``gold``: dataset, ordinal,
+    column, dtype of every table to migrate; ``source_backed``: the datasets whose source is a database.
+    Rows of other datasets are not judged; a table in ``gold`` without rows is an empty one, whose casts
+    lose nothing.
+
+    Plans stay rows. All casts are proved by one scan of the columns to be cast: a row is held to the
+    cast its table asks for. The plan holds one proof per pair of column and type asked for, so it is
+    bounded by the schema and not by the number of tables; failures are folded in each task, so a
+    table with a third of all rows is no one task's work.
+    """
+    fields = [f for f in data.schema.fields if f.name != dataset]
+    columns = [(i, f.name, logical_dtype(f)) for i, f in enumerate(fields)]
+    tables = gold.select("dataset").distinct()
+    observed = tables.select("dataset", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("column"), F.lit(dtype).alias("dtype"))
+        for i, name, dtype in columns
+    ])))
+    selected = governance.select_plan(governance.propose_repairs(observed, gold))
+    backed = tables.withColumn("source_backed", F.lit(False))
+    if source_backed is not None:
+        listed = source_backed.select("dataset", F.lit(True).alias("listed")).distinct()
+        backed = tables.join(listed, "dataset", "left").select(
+            "dataset", F.coalesce("listed", F.lit(False)).alias("source_backed")
+        )
+    casts = selected.where("kind = 'CAST'").select(
+        "dataset", F.col("column").alias("column_name"),
+        governance.normalize_target(F.col("target")).alias("target_dtype"),
+    )
+    failures = _failures_by_table(data, fields, casts, dataset)
+    status = (
+        F.when(~F.col("target_dtype").isin(*C.CAST_TARGETS), "UNSUPPORTED")
+        .when(F.coalesce("unsupported", F.lit(False)), "UNSUPPORTED")
+        .when(F.coalesce("failed", F.lit(0)) > 0, "UNSAFE")
+        .otherwise("SAFE")
+    )
+    proofs = casts.join(failures, "dataset", "left").select(
+        "dataset", "column_name", "target_dtype", status.alias("status")
+    )
+    routed = governance.plan_route(selected.join(backed, "dataset"), proofs)
+    types = F.create_map(*[F.lit(x) for _, name, dtype in columns for x in (name, dtype)])
+    pair = F.concat(types[F.col("column")], F.lit(">"), F.col("target"))
+    known = [f"{a}>{b}" for a, b in allowed_pairs]
+    blocked = (F.col("kind") == "CAST") & F.col("source_backed") & ~(pair.isin(*known) if known else F.lit(False))
+    return tables.join(routed, "dataset", "left").select(
+        "dataset",
+        F.coalesce("action", F.lit("none")).alias("action"),
+        F.coalesce("status", F.lit("none")).alias("status"),
+        F.when(F.col("action").isNull(), "NO_VIABLE_PLAN")
+        .when(blocked, "CAST_PAIR_NOT_ALLOWED")
+        .otherwise(F.col("route"))
+        .alias("route"),
+    )
+
+
+def _failures_by_table(
+    data: DataFrame, fields: Sequence[T.StructField], casts: DataFrame, dataset: str
+) -> DataFrame:
+    """dataset, failed, unsupported: what the cast of each table (in ``casts``) would lose.
+
+    The pairs asked for come to the driver: at most four per column.
+    """
+    asked = casts.where(F.col("target_dtype").isin(*C.CAST_TARGETS)).select("column_name", "target_dtype")
+    pairs = sorted(tuple(r) for r in asked.distinct().collect())
+    kinds = {f.name: f.dataType for f in fields}
+    places = {name: f"_v{i}" for i, name in enumerate(dict.fromkeys(name for name, _ in pairs))}
+    reason = F.lit(None).cast("string")
+    for name, target in pairs:
+        wanted = (F.col("column_name") == name) & (F.col("target_dtype") == target)
+        reason = F.when(wanted, rules.reason(F.col(places[name]), kinds[name], target)).otherwise(reason)
+    values = [quoted(name).alias(place) for name, place in places.items()]
+    rows = data.select(quoted(dataset).alias("_dataset"), *values).join(
+        casts, F.col("_dataset") == F.col("dataset")
+    )
+    judged = rows.select("dataset", reason.alias("reason")).where("reason IS NOT NULL")
+    return judged.groupBy("dataset").agg(
+        F.count("*").alias("failed"),
+        F.bool_or(F.col("reason") == C.UNSUPPORTED_SOURCE_VALUE).alias("unsupported"),
+    )
+
+
 @dataclass(frozen=True)
 class Ticket:
     """A plan waiting for, or past, a human decision, with the evidence it was made on."""

@@ -11,11 +11,11 @@ from goldseam.functions.dtypes import logical_dtype
 from goldseam.operators.ledger import latest_marker, ticket_states
 from goldseam.plans.evidence import gather
 from goldseam.plans.lifecycle import Lifecycle, LifecycleRefused
-from goldseam.plans.migration import Table, simulate
+from goldseam.plans.migration import Table, simulate, simulate_family
 from goldseam.queries import register
 from goldseam.queries.casts import int64_case
 from goldseam.queries.fingerprints import fingerprint_sql
-from goldseam.queries.fixtures import INT_TEXT, SAFE_TEXTS, table, with_sql
+from goldseam.queries.fixtures import INT_TEXT, SAFE_TEXTS, Fixture, table, with_sql
 from goldseam.session import shared_folder
 from goldseam.sources.publish import StaleRollback
 
@@ -72,6 +72,57 @@ def simulate_migration(spark, sf_dir):
     return simulate(spark, _tables(spark, sf_dir), [("object", "int64")])
 
 
+# One table per customer, one of them with a third of all rows; what Gold wants differs by table.
+_FAMILY = Fixture(
+    "orders",
+    [
+        "CASE WHEN o_custkey % 3 = 0 THEN 't0' ELSE concat('t', CAST(o_custkey AS STRING)) END AS dataset",
+        "o_orderkey",
+        "o_orderstatus",
+        "CASE WHEN o_orderkey % 40 = 0 THEN '0.1' ELSE CAST(o_orderkey AS STRING) END AS v",
+    ],
+)
+_WISHES = {
+    0: [("o_orderkey", "int64"), ("o_orderstatus", "object"), ("v", "int64")],
+    1: [("o_orderkey", "int64"), ("o_orderstatus", "object"), ("v", "float64")],
+    2: [("o_orderkey", "int64"), ("v", "object"), ("o_orderstatus", "object")],
+    3: [("o_orderkey", "int64"), ("o_orderstatus", "object"), ("v", "object")],
+    4: [("o_orderkey", "int64"), ("o_orderstatus", "object"), ("amount", "object")],
+    5: [("o_orderkey", "float64"), ("o_orderstatus", "object"), ("v", "object")],
+}
+_WISH = "CAST(substr(dataset, 2) AS BIGINT) % 6"
+
+
+@register(
+    "simulate_family",
+    with_sql(
+        "SELECT dataset, CASE w WHEN 0 THEN 'CAST_COLUMN v TO int64' WHEN 1 THEN 'CAST_COLUMN v TO float64' "
+        "WHEN 2 THEN 'REORDER_COLUMNS TO [\"o_orderkey\",\"v\",\"o_orderstatus\"]' "
+        "WHEN 4 THEN 'RENAME_COLUMN v -> amount' WHEN 5 THEN 'CAST_COLUMN o_orderkey TO float64' "
+        "ELSE 'none' END AS action, "
+        "CASE WHEN w IN (0, 1) AND bad > 0 THEN 'UNSAFE' WHEN w IN (0, 1, 5) THEN 'SAFE' ELSE 'none' END AS status, "
+        "CASE WHEN w = 3 THEN 'NO_VIABLE_PLAN' WHEN w = 1 AND backed THEN 'CAST_PAIR_NOT_ALLOWED' "
+        "WHEN w IN (0, 1) AND bad > 0 THEN 'BLOCKED_BY_CONVERSION_SAFETY' ELSE 'REQUIRES_HUMAN_APPROVAL' END AS route "
+        f"FROM (SELECT dataset, {_WISH} AS w, CAST(substr(dataset, 2) AS BIGINT) % 4 = 1 AS backed, "
+        "count(*) FILTER (v = '0.1') AS bad FROM f GROUP BY ALL)",
+        f=_FAMILY,
+    ),
+)
+def simulate_family_query(spark, sf_dir):
+    rows = _FAMILY.frame(spark, sf_dir)
+    names = rows.select("dataset").distinct()
+    wish = F.expr(_WISH)
+    columns = F.lit(None).cast("array<struct<column:string,dtype:string>>")
+    for w, listed in _WISHES.items():
+        wanted = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(d).alias("dtype")) for n, d in listed])
+        columns = F.when(wish == w, wanted).otherwise(columns)
+    gold = names.select("dataset", F.posexplode(columns).alias("ordinal", "x")).select(
+        "dataset", "ordinal", "x.column", "x.dtype"
+    )
+    backed = names.where("CAST(substr(dataset, 2) AS BIGINT) % 4 = 1")
+    return simulate_family(rows, gold, [("object", "int64"), ("int64", "float64")], backed)
+
+
 _SOURCE = [("o_orderkey", "int64"), ("count_text", "object"), ("o_totalprice", "float64")]
 _OUTPUT = [("o_orderkey", "int64"), ("count_text", "int64"), ("o_totalprice", "float64")]
 
