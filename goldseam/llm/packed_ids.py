@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,9 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from goldseam.llm.pretokens import PreTokenizer, tokenizer
+from goldseam.llm.pretokens import PreTokenizer, byte_symbols, tokenizer
 
 BLOCK_IDS = 1 << 16
+#: Words of one of the two generations that a worker keeps.
 REMEMBERED_WORDS = 500_000
 _BLOCK_SCHEMA = (
     "shard int, block int, width int, first_id long, n_ids long,"
@@ -67,29 +69,60 @@ def unpack(payload: bytes, width: int, start: int, count: int) -> np.ndarray:
     return np.packbits(full, axis=1).view(">u4").reshape(-1).astype("<u4")
 
 
+class Words:
+    """Ids of pre-tokens, as bytes; each is made by the library once and kept while it recurs.
+
+    Two generations: when the newer is full it becomes the older, and a word found there moves up
+    again, so frequent words are never made anew.
+    """
+
+    def __init__(self, name: str) -> None:
+        self.pre = PreTokenizer(name)
+        self.library = tokenizer(name)[0]
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.symbols = dict(enumerate(byte_symbols()))
+
+    def made(self, words: list[str]) -> list[bytes]:
+        """Ids by the library: byte-level words go to its model, which takes printable symbols for bytes."""
+        if self.pre.by_word:
+            codes = ([*e.ids] for e in self.library.encode_batch_fast(words, add_special_tokens=False))
+        else:
+            tokenize, symbols = self.library.model.tokenize, self.symbols
+            codes = ([t.id for t in tokenize(w.encode().decode("latin-1").translate(symbols))] for w in words)
+        return [array("I", ids).tobytes() for ids in codes]
+
+    def codes(self, words: list[str]) -> Iterator[bytes]:
+        if len(self.newer) > REMEMBERED_WORDS:
+            self.older, self.newer = self.newer, {}
+        missing = set(words).difference(self.newer)
+        new = []
+        for word in missing:
+            code = self.older.get(word)
+            if code is None:
+                new.append(word)
+            else:
+                self.newer[word] = code
+        if new:
+            self.newer.update(zip(new, self.made(new), strict=True))
+        return map(self.newer.__getitem__, words)
+
+
 @lru_cache(maxsize=2)
-def _tools(name: str):
+def _words(name: str) -> Words:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return PreTokenizer(name), tokenizer(name)[0], {}
+    return Words(name)
 
 
 def encode_ids(text: str | None, name: str) -> np.ndarray:
-    """Ids of a whole text. Each different pre-token goes through the library once, its ids are kept."""
-    pre, library, known = _tools(name)
-    if len(known) > REMEMBERED_WORDS:
-        known.clear()
+    """Ids of a whole text, as little-endian unsigned 32-bit integers."""
+    words = _words(name)
     parts: list[bytes] = []
-    for segment in pre.segments(text or ""):
-        if segment in pre.special:
-            parts.append(np.uint32(pre.special[segment]).tobytes())
-            continue
-        words = pre.split(segment)
-        new = list({w for w in words if w not in known})
-        if new:
-            made = library.encode_batch_fast(new, add_special_tokens=False)
-            for word, code in zip(new, made, strict=True):
-                known[word] = np.array(code.ids, "<u4").tobytes()
-        parts.extend(map(known.__getitem__, words))
+    for segment in words.pre.segments(text or ""):
+        if segment in words.pre.special:
+            parts.append(np.uint32(words.pre.special[segment]).tobytes())
+        else:
+            parts.extend(words.codes(words.pre.split(segment)))
     return np.frombuffer(b"".join(parts), "<u4")
 
 

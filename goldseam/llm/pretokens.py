@@ -21,7 +21,7 @@ _APOSTROPHE = "'s|'t|'re|'ve|'m|'ll|'d"
 _OTHER_SCRIPT = re.compile("[^\u0000-ſ‐-‧‰-›€]")
 
 _BYTE_LEVEL = re.compile(
-    f"{_APOSTROPHE}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+"
+    f" ?[{_LETTER}]+|{_APOSTROPHE}| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+"
     f"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 _WORD_LEVEL = re.compile(f"{_APOSTROPHE}|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")

@@ -167,3 +167,17 @@ def test_packed_empty_table(spark, tmp_path):
     path = str(tmp_path / "none")
     packed_ids.write_packed(empty(spark), path, BYTE, 0)
     assert packed_ids.read_packed(spark, path).collect() == []
+
+
+def test_packed_ids_keep_frequent_words_when_their_memory_is_full(monkeypatch):
+    monkeypatch.setattr(packed_ids, "REMEMBERED_WORDS", 40)
+    packed_ids._words.cache_clear()
+    asked = []
+    make = packed_ids.Words.made
+    monkeypatch.setattr(packed_ids.Words, "made", lambda self, words: asked.extend(words) or make(self, words))
+    for i in range(200):
+        text = f" often again été {'x' * (i % 7)}q{i:x}z <|endoftext|> {i} 日本{chr(0x4E00 + i)}"
+        assert packed_ids.encode_ids(text, BYTE).tolist() == library_ids(text, BYTE)
+        assert packed_ids.encode_ids(text, WORD).tolist() == library_ids(text, WORD)
+    packed_ids._words.cache_clear()
+    assert asked.count(" often") == 1 and asked.count("often") == 1
