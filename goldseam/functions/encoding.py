@@ -50,10 +50,6 @@ def _closed(tag: str, text: Column) -> Column:
 
 
 _NOTHING = "VOID=null"
-_IN_VARIANTS = (
-    T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType,
-    T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType, T.VarcharType, T.CharType, T.BinaryType,
-)
 
 
 def _place(index: Column) -> Column:
@@ -75,31 +71,40 @@ def _part(key: Column, text: Column) -> Column:
 
 
 def _variant_sql(value: str, levels: int) -> str:
-    """SQL text of ``_variant_text``, which is built much faster than columns of as many parts."""
-    shape = f"schema_of_variant({value})"
+    """SQL text of ``_variant_text``, which is built much faster than columns of as many parts.
+
+    Functions inside lambdas are not compiled, so a node's type and its list of parts are found once and bound.
+    """
+    s = f"s{levels}"
     plain = (
-        f"concat(regexp_replace({shape}, '^DECIMAL.*', 'DECIMAL'), '=', CASE WHEN {shape} = 'TIMESTAMP' "
-        f"THEN cast(unix_micros(try_variant_get({value}, '$', 'timestamp')) AS string) ELSE to_json({value}) END)"
+        f"concat(if(startswith({s}, 'DECIMAL'), 'DECIMAL', {s}), '=', if({s} = 'TIMESTAMP', "
+        f"cast(unix_micros(try_variant_get({value}, '$', 'timestamp')) AS string), to_json({value})))"
     )
     if levels == 0:
-        return plain
+        return f"transform(array(schema_of_variant({value})), {s} -> {plain})[0]"
     x, i, e, p = (f"{letter}{levels}" for letter in ("x", "i", "e", "p"))
-    is_array, is_object = f"startswith({shape}, 'ARRAY')", f"startswith({shape}, 'OBJECT')"
     elements = (
         f"transform(try_variant_get({value}, '$', 'array<variant>'), ({x}, {i}) -> "
         f"named_struct('key', lpad(cast({i} AS string), 10, '0'), 'value', {x}))"
     )
+    # variants have no order, and the keys of an object are unique
     members = (
-        f"transform(map_entries(try_variant_get({value}, '$', 'map<string,variant>')), {x} -> "
-        f"named_struct('key', {x}.key, 'value', {x}.value))"
+        f"array_sort(map_entries(try_variant_get({value}, '$', 'map<string,variant>')), ({x}, {i}) -> "
+        f"CASE WHEN {x}.key < {i}.key THEN -1 WHEN {x}.key > {i}.key THEN 1 ELSE 0 END)"
     )
-    inner = f"CASE WHEN {is_array} THEN {elements} WHEN {is_object} THEN {members} END"
+    inner = f"if(startswith({s}, 'ARRAY'), {elements}, {members})"
     below = _variant_sql(f"{e}.value", levels - 1)
-    parts = f"array_sort(transform({inner}, {e} -> named_struct('key', {e}.key, 'text', {below})))"
-    written = f"transform({parts}, {p} -> concat(length({p}.key), ':', {p}.key, length({p}.text), ':', {p}.text))"
+    written = (
+        f"transform({p}, {e} -> concat(length({e}.key), ':', {e}.key, "
+        f"transform(array({below}), t{levels} -> concat(length(t{levels}), ':', t{levels}))[0]))"
+    )
+    listed = (
+        f"transform(array({inner}), {p} -> "
+        f"concat(if(startswith({s}, 'ARRAY'), '[', '{{'), size({p}), ':', array_join({written}, '')))[0]"
+    )
     return (
-        f"CASE WHEN {is_array} OR {is_object} THEN concat(if({is_array}, '[', '{{'), size({inner}), ':', "
-        f"array_join({written}, '')) ELSE {plain} END"
+        f"transform(array(schema_of_variant({value})), {s} -> "
+        f"if(startswith({s}, 'ARRAY') OR startswith({s}, 'OBJECT'), {listed}, {plain}))[0]"
     )
 
 
@@ -120,6 +125,27 @@ def _variant_text(value: Column, levels: int = LEVELS) -> Column:
     return F.transform(F.array(value), written)[0]
 
 
+# The type that ``schema_of_variant`` gives a value of these Spark types.
+_VARIANT_TYPES = {
+    T.ByteType: "BIGINT", T.ShortType: "BIGINT", T.IntegerType: "BIGINT", T.LongType: "BIGINT",
+    T.BooleanType: "BOOLEAN", T.FloatType: "FLOAT", T.DoubleType: "DOUBLE", T.DecimalType: "DECIMAL",
+    T.DateType: "DATE", T.TimestampType: "TIMESTAMP", T.TimestampNTZType: "TIMESTAMP_NTZ",
+    T.StringType: "STRING", T.VarcharType: "STRING", T.CharType: "STRING", T.BinaryType: "BINARY",
+}
+
+
+def _plain_text(value: Column, kind: T.DataType) -> Column:
+    """``_variant_text`` of a value whose type is known beforehand."""
+    name = _VARIANT_TYPES[type(kind)]
+    if name in ("BIGINT", "BOOLEAN"):
+        text = value.cast("string")
+    elif name == "TIMESTAMP":
+        text = F.unix_micros(value).cast("string")
+    else:
+        text = F.to_json(value.cast("variant"))
+    return F.concat(F.lit(f"{name}="), text)
+
+
 def nested_text(value: Column, kind: T.DataType, levels: int = LEVELS) -> Column:
     """The text of a typed value inside a column, compiled from its type; null has one too.
 
@@ -128,8 +154,8 @@ def nested_text(value: Column, kind: T.DataType, levels: int = LEVELS) -> Column
     """
     if isinstance(kind, T.VariantType):
         text = _variant_text(value, levels)
-    elif isinstance(kind, _IN_VARIANTS):
-        text = _variant_text(value.cast("variant"), 0)
+    elif type(kind) in _VARIANT_TYPES:
+        text = _plain_text(value, kind)
     elif levels == 0 and isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
         text = _variant_text(as_variant(value, kind), 0)
     elif isinstance(kind, T.ArrayType):
@@ -152,7 +178,7 @@ def nested_text(value: Column, kind: T.DataType, levels: int = LEVELS) -> Column
                 nested_text(e["value"], kind.valueType, levels - 1),
             ),
         )
-        text = _parts_text("{" if by_text else "<", F.size(value), F.array_sort(parts))
+        text = _parts_text("{" if by_text else "<", F.size(value), F.sort_array(parts))
     else:
         text = F.concat(F.lit(f"{kind.simpleString()}="), value.cast("string"))
     return F.coalesce(text, F.lit(_NOTHING))

@@ -246,3 +246,32 @@ def test_payload_decimals_have_no_limit(spark):
     )
     got = ops.decode_payloads(spark.createDataFrame([("p", payload)], "payload_id string, payload string"))
     assert [r.intact for r in got.orderBy("row").collect()] == [True, True, True, False, False]
+
+
+def test_type_of_a_variant_is_asked_once_on_each_level():
+    from goldseam.functions import encoding
+
+    sql = encoding._variant_sql("v", encoding.LEVELS)
+    assert sql.count("schema_of_variant(") == encoding.LEVELS + 1
+    assert sql.count("'map<string,variant>'") == sql.count("'array<variant>'") == encoding.LEVELS
+
+
+def test_texts_of_nested_cells(spark):
+    from goldseam.functions.encoding import cell_text
+
+    df = spark.sql(
+        "SELECT array(1Y, null) AS a, array(true) AS b, array(1.50BD) AS c, map('b', 1L, 'a', null) AS d,"
+        " array(timestamp'1970-01-01 00:00:01Z') AS e, array(date'2020-01-02') AS f,"
+        " parse_json('{\"b\": [1, \"x\"], \"a\": 1.5}') AS g, parse_json('[[]]') AS h"
+    )
+    row = df.select(*[cell_text(f).alias(f.name) for f in df.schema.fields]).first()
+    assert list(row) == [
+        "j50:[2:10:00000000008:BIGINT=110:00000000019:VOID=null",
+        "j31:[1:10:000000000012:BOOLEAN=true",
+        "j30:[1:10:000000000011:DECIMAL=1.5",
+        "j30:{2:1:a9:VOID=null1:b8:BIGINT=1",
+        "j36:[1:10:000000000017:TIMESTAMP=1000000",
+        'j36:[1:10:000000000017:DATE="2020-01-02"',
+        'j78:{2:1:a11:DECIMAL=1.51:b52:[2:10:00000000008:BIGINT=110:000000000110:STRING="x"',
+        "j21:[1:10:00000000003:[0:",
+    ]
