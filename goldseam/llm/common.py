@@ -29,7 +29,7 @@ def recorded() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _recording.remove(paths)
+        _recording[:] = [p for p in _recording if p is not paths]  # lists of equal content are not one list
 
 
 def dropped(spark: SparkSession, paths: list[str]) -> None:

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from goldseam.llm.common import fresh, if_small, staged
+from goldseam.llm.common import dropped, fresh, if_small, recorded, staged
 from goldseam.llm.components import components
 
 SHINGLE = 7
@@ -247,7 +247,10 @@ def line_classes(docs: DataFrame, place: str | None = None) -> DataFrame:
     lines = staged(
         document_lines(docs.select(number.alias("place"), "doc_id", "text"), "place"), "lines"
     )
-    roots = line_links(lines)
+    with recorded() as scratch:
+        found = line_links(lines)
+    roots = staged(found, "line-roots")
+    dropped(docs.sparkSession, scratch)
     known = (
         lines.select("place", "doc_id", "line_no", "id")
         .join(roots, F.col("id") == F.col("node"), "left")

@@ -306,3 +306,20 @@ def test_contained_items(spark):
 def test_signature_covers_what_may_be_missing(n):
     missing = n - -(-n * 80 // 100)
     assert missing < decontaminate.signature_size(n) <= n
+
+
+def test_line_classes_delete_their_scratch(spark):
+    import os
+
+    from goldseam.llm.common import recorded
+
+    texts = [f"line number {i % 7} of a text with some words\nanother line {i} of it, quite long as well" for i in range(30)]
+    docs, _ = awkward(spark, texts)
+    with recorded() as paths:
+        with recorded() as inner:
+            pass
+        classes = line_dedup.line_classes(docs)
+    assert inner == [] and paths
+    kept = [p for p in paths if os.path.exists(p.removeprefix("file:"))]
+    assert sorted(p.split("/")[-2] for p in kept) == ["line-roots", "lines"]
+    assert classes.count() == 2 * (len(texts) + 3)
