@@ -40,12 +40,27 @@ def dropped(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session's setting while the block runs; the caller's own is restored afterwards."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows written once to the shared folder and read back: a cut of the lineage that survives executors."""
+    """The rows written once to the shared folder and read back: a cut of the lineage that survives executors.
+
+    Shuffle files of the rows are not needed any more then, and do not wait for the driver's garbage collection.
+    """
     path = shared_folder(df.sparkSession, purpose)
     for paths in _recording:
         paths.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -25,17 +25,26 @@ similar pair, and lines with nothing but a template in common do not meet.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldseam.llm.common import dropped, fresh, if_small, recorded, staged
+from goldseam.llm.common import dropped, fresh, if_small, recorded, setting, staged
 from goldseam.llm.components import components
 
 SHINGLE = 7
+#: Bytes of a shingle in an encoded line.
+WIDTH = 4 * SHINGLE
 #: Linked from this similarity on, in percent.
 SIMILARITY = 80
 #: Bands of a signature, and bins of a band.
 BANDS, ROWS = 14, 4
+#: A line with at most that many bands of its own fills the others from them.
+FEW = 4
+#: A task folds shingles to some hundred thousand (line, band) groups; Spark's faster map holds 2^16 unless told more.
+GROUPS = ("spark.sql.codegen.aggregate.fastHashMap.capacityBit", "20")
 #: Lines of a bucket that are all compared with each other; lines of larger ones meet by their rarest shingles.
 CROWD = 16
 
@@ -49,45 +58,74 @@ def document_lines(docs: DataFrame, place: str) -> DataFrame:
     ``line`` is trimmed, and ``id`` a hash that stands for its text.
     """
     split = docs.select(place, "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    line = F.replace(F.btrim("line", F.lit(_BLANKS)), F.lit(_MARK), F.lit(" "))
+    # most lines are trimmed already, and to trim reads every character
+    line = F.col("line")
+    blank = reduce(or_, [edge(x) for x in _BLANKS for edge in (line.startswith, line.endswith)])
+    line = F.replace(F.when(blank, F.btrim("line", F.lit(_BLANKS))).otherwise(line), F.lit(_MARK), F.lit(" "))
     return split.withColumn("line", line).where("line != ''").withColumn("id", F.xxhash64("line"))
 
 
+def _of_shingles(line: str, value) -> Column:
+    """``value`` of every shingle of a line in order.
+
+    The line is encoded once with four bytes a character, so that cutting a shingle does not look for its start.
+    """
+    wide = F.array(F.encode(line, "UTF-32"))  # a variable of the outer transform is not encoded or copied again
+    return F.transform(wide, lambda b: F.transform(_starts(b), lambda at: value(F.substring(b, at, F.lit(WIDTH)))))[0]
+
+
+def _starts(wide: Column) -> Column:
+    """Where the shingles of an encoded line start; a line shorter than a shingle is one."""
+    return F.sequence(F.lit(1), F.greatest(F.length(wide) - (WIDTH - 1), F.lit(1)), F.lit(4))
+
+
 def shingles(line: str) -> Column:
-    """All shingles of a line in order, as text: one regular-expression pass looks ahead from every character."""
-    cut = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
-    return F.when(F.length(line) <= SHINGLE, F.array(F.col(line))).otherwise(cut)
+    """All shingles of a line in order, as text."""
+    return _of_shingles(line, lambda x: F.decode(x, "UTF-32"))
 
 
-def _hash(*parts) -> Column:
-    """63 bits of hash, so that the natural order of longs is the order of bins."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 1)
+def _distinct_shingles(line: str) -> Column:
+    """The shingles of a line as different 64-bit hashes."""
+    return F.array_distinct(_of_shingles(line, F.xxhash64))
 
 
 def _signature_sets(lines: DataFrame) -> DataFrame:
-    """(id, copies, hashes): of every line the hashes of all its shingles."""
-    return lines.select("id", "copies", F.transform(shingles("line"), lambda x: _hash(x)).alias("hashes"))
+    """(id, copies, hash): the hashes of all shingles of every line, a row each, which no shuffle sees."""
+    wide = lines.select("id", "copies", F.encode("line", "UTF-32").alias("wide"))
+    cut = wide.select("id", "copies", "wide", F.explode(_starts(F.col("wide"))).alias("at"))
+    return cut.select("id", "copies", F.xxhash64(F.substring("wide", F.col("at"), F.lit(WIDTH))).alias("hash"))
+
+
+def _signatures(sets: DataFrame) -> DataFrame:
+    """(id, copies, bands): the keys of every line of ``sets``, null for a band that has none."""
+    dealt = sets.select(
+        "id",
+        "copies",
+        F.expr(f"cast(shiftright((hash & 65535) * {BANDS}, 16) as int)").alias("b"),
+        F.shiftrightunsigned("hash", 1).alias("value"),
+    )
+    least = [F.min(F.col("value").bitwiseXOR(F.lit((r << 63) // ROWS))).alias(f"least_{r}") for r in range(ROWS)]
+    keys = dealt.groupBy("id", "copies", "b").agg(*least)
+    keys = keys.select("id", "copies", "b", F.xxhash64("b", *[f"least_{r}" for r in range(ROWS)]).alias("key"))
+    by_band = [F.max(F.when(F.col("b") == b, F.col("key"))) for b in range(BANDS)]
+    rows = keys.groupBy("id", "copies").agg(F.array(*by_band).alias("bands"), F.count("*").alias("filled"))
+    drawn = F.transform(
+        "bands",
+        lambda own, b: F.coalesce(
+            own, F.array_min(F.transform("bands", lambda x: F.when(x.isNotNull(), F.xxhash64(b, x))))
+        ),
+    )
+    spread = F.when(F.col("filled") <= FEW, drawn).otherwise(F.col("bands"))
+    return rows.select("id", "copies", spread.alias("bands"))
+
+
+def _listed(signed: DataFrame) -> DataFrame:
+    return signed.select("id", "copies", F.explode("bands").alias("band")).where("band IS NOT NULL")
 
 
 def band_keys(sets: DataFrame) -> DataFrame:
     """(id, copies, band): the keys under which the lines of ``sets`` meet their candidates."""
-    shift = 63 - (BANDS * ROWS - 1).bit_length()
-    rows = sets.select("id", "copies", F.sort_array("hashes").alias("ordered"))
-    here, earlier = f"shiftright(x, {shift})", f"shiftright(ordered[i - 1], {shift})"
-    rows = rows.select(
-        "id", "copies", F.expr(f"filter(ordered, (x, i) -> i = 0 OR {here} != {earlier})").alias("least")
-    )
-    # a value fills its own bin and the empty ones before it, the first also those behind the last
-    prior = f"shiftright(least[i - 1], {shift})"
-    behind = f"{(1 << (63 - shift)) - 1} - shiftright(least[size(least) - 1], {shift})"
-    filled = (
-        f"concat(flatten(transform(least, (x, i) -> array_repeat(x, cast({here} - if(i = 0, -1L, {prior}) as int)))),"
-        f" array_repeat(least[0], cast({behind} as int)))"
-    )
-    rows = rows.select("id", "copies", F.expr(filled).alias("full"))
-    values = ", ".join(f"full[b * {ROWS} + {r}]" for r in range(ROWS))
-    keys = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, {values}))")
-    return rows.select("id", "copies", F.explode(keys).alias("band"))
+    return _listed(_signatures(sets))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -102,8 +140,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         .join(two, "b")
         .select(
             "a", "b",
-            F.array_distinct(F.transform(shingles("line_a"), lambda x: F.xxhash64(x))).alias("sa"),
-            F.array_distinct(F.transform(shingles("line_b"), lambda x: F.xxhash64(x))).alias("sb"),
+            _distinct_shingles("line_a").alias("sa"),
+            _distinct_shingles("line_b").alias("sb"),
         )
     )
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -112,21 +150,25 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _buckets(lines: DataFrame) -> DataFrame:
-    """(band, id, pivot, members) of every line in a bucket with another one.
+    """(band, id, pivot) of every line in a bucket with another one.
 
     Copies of a line are folded first, so a line with a third of all rows is one member of its buckets.
-    The pivot is the line with the most copies. Rows of a band are sorted, not gathered.
+    The pivot is the line with the most copies. Lines that are alone in a bucket leave it before anything
+    is sorted; the one shuffle of all keys serves the count and the look-up.
     """
     distinct = lines.groupBy("id").agg(F.first("line").alias("line"), F.count("*").alias("copies"))
-    keyed = band_keys(_signature_sets(distinct))
-    by_copies = Window.partitionBy("band").orderBy(F.desc("copies"), "id")
-    whole = Window.partitionBy("band")
-    return (
-        keyed.withColumn("pivot", F.first("id").over(by_copies))
-        .withColumn("members", F.count("*").over(whole))
-        .where("members > 1")
-        .select("band", "id", "pivot", "members")
+    with setting(lines.sparkSession, *GROUPS):
+        # written a row a line, so that the shuffled texts are gone when the keys are shuffled
+        signed = staged(_signatures(_signature_sets(distinct)), "line-signatures")
+    keyed = _listed(signed).repartition("band")
+    met = keyed.groupBy("band").agg(
+        F.min("id").alias("low"), F.max("id").alias("high"), F.max("copies").alias("most")
     )
+    met = met.where("low != high").select("band", "most")
+    with setting(lines.sparkSession, *GROUPS):
+        shared = staged(keyed.join(met.hint("shuffle_hash"), "band"), "line-bands")
+    pivots = shared.where("copies = most").groupBy("band").agg(F.min("id").alias("pivot"))
+    return shared.join(pivots, "band").select("band", "id", "pivot")
 
 
 _TWICE = "flatten(transform(bands, (x, i) -> transform(slice(bands, i + 2, size(bands)), y -> xxhash64(x, y))))"
@@ -156,8 +198,8 @@ def _prefix_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
     x - 8/9 x + 1 of the one and the first y - 4/5 y + 1 of the other, and enough shingles follow it in
     both. A shingle's lines in its largest component do not meet each other.
     """
-    cut = F.array_distinct(F.transform(shingles("line"), lambda x: F.xxhash64(x)))
-    sets = staged(crowd.join(texts, "id").select("id", "root", cut.alias("cut")), "line-crowd")
+    cut = _distinct_shingles("line").alias("cut")
+    sets = staged(crowd.join(texts, "id").select("id", "root", cut), "line-crowd")
     posted = sets.select("id", "root", F.explode("cut").alias("shingle"))
     parts = posted.groupBy("shingle", "root").agg(F.count("*").alias("n"))
     common = (

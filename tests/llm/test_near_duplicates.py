@@ -323,3 +323,49 @@ def test_line_classes_delete_their_scratch(spark):
     kept = [p for p in paths if os.path.exists(p.removeprefix("file:"))]
     assert sorted(p.split("/")[-2] for p in kept) == ["line-roots", "lines"]
     assert classes.count() == 2 * (len(texts) + 3)
+
+
+def short_lines():
+    """Short lines, each with a copy of which one end is changed; and lines of a few shingles, many times each."""
+    random.seed(11)
+    lines = []
+    for i in range(400):
+        line = "".join(random.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(10 + i % 40)) + "."
+        lines += [line, line + "!" if i % 2 else "#" + line[1:]]
+    for i, unit in enumerate(("x", "-", "ab", "abc", "=+", "12345")):
+        lines += [unit * (16 + i), unit * 900]
+    return lines
+
+
+def test_short_lines_and_lines_of_few_shingles(spark):
+    found, linked = linked_pairs(spark, short_lines())
+    assert found > 300 and linked == found
+
+
+def test_signature_has_a_row_for_every_shingle(spark):
+    """Shingles are rows that the next aggregate folds, not arrays of texts that a regular expression cuts."""
+    lines = ["abc", "1234567", "aé日🙂 bcdefgh ijk", "x" * 300]
+    df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(lines)], "id long, line string, copies long")
+    rows = collections.Counter(r.id for r in line_dedup._signature_sets(df).collect())
+    assert rows == {i: max(len(x) - 6, 1) for i, x in enumerate(lines)}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from goldseam.llm.common import staged
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    env, before = spark._jvm.org.apache.spark.SparkEnv, spark.conf.get(key)
+
+    def files():
+        names = env.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {x for x in names if x.rsplit("/", 1)[-1].startswith("shuffle_")}
+
+    old = files()
+    table = staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    end = time.time() + 10
+    while files() - old and time.time() < end:
+        time.sleep(0.2)
+    assert files() - old == set()
+    assert table.count() == 7 and spark.conf.get(key) == before
