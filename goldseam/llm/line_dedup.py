@@ -35,16 +35,14 @@ from goldseam.llm.common import dropped, fresh, if_small, recorded, setting, sta
 from goldseam.llm.components import components
 
 SHINGLE = 7
-#: Bytes of a shingle in an encoded line.
-WIDTH = 4 * SHINGLE
 #: Linked from this similarity on, in percent.
 SIMILARITY = 80
 #: Bands of a signature, and bins of a band.
 BANDS, ROWS = 14, 4
-#: A line with at most that many bands of its own fills the others from them.
-FEW = 4
 #: A task folds shingles to some hundred thousand (line, band) groups; Spark's faster map holds 2^16 unless told more.
 GROUPS = ("spark.sql.codegen.aggregate.fastHashMap.capacityBit", "20")
+#: Shingles that are cut from one piece of a line.
+PIECE = 16
 #: Lines of a bucket that are all compared with each other; lines of larger ones meet by their rarest shingles.
 CROWD = 16
 
@@ -65,23 +63,35 @@ def document_lines(docs: DataFrame, place: str) -> DataFrame:
     return split.withColumn("line", line).where("line != ''").withColumn("id", F.xxhash64("line"))
 
 
+def _hash(*parts) -> Column:
+    """63 bits of hash, so that the natural order of longs is the order of bins."""
+    return F.shiftrightunsigned(F.xxhash64(*parts), 1)
+
+
+def _starts(wide: Column, step: int = 1) -> Column:
+    """Where every ``step``-th shingle of a line with four bytes a character starts; a short line is one shingle."""
+    return F.sequence(F.lit(1), F.greatest(F.length(wide) - (4 * SHINGLE - 1), F.lit(1)), F.lit(4 * step))
+
+
 def _of_shingles(line: str, value) -> Column:
     """``value`` of every shingle of a line in order.
 
     The line is encoded once with four bytes a character, so that cutting a shingle does not look for its start.
     """
     wide = F.array(F.encode(line, "UTF-32"))  # a variable of the outer transform is not encoded or copied again
-    return F.transform(wide, lambda b: F.transform(_starts(b), lambda at: value(F.substring(b, at, F.lit(WIDTH)))))[0]
+    return F.transform(
+        wide, lambda b: F.transform(_starts(b), lambda at: value(F.substring(b, at, F.lit(4 * SHINGLE))))
+    )[0]
 
 
-def _starts(wide: Column) -> Column:
-    """Where the shingles of an encoded line start; a line shorter than a shingle is one."""
-    return F.sequence(F.lit(1), F.greatest(F.length(wide) - (WIDTH - 1), F.lit(1)), F.lit(4))
+def _decoded(shingle: Column) -> Column:
+    """Text of four bytes a character; the mark before it is the one that the decoder takes off."""
+    return F.decode(F.concat(F.unhex(F.lit("0000FEFF")), shingle), "UTF-32")
 
 
 def shingles(line: str) -> Column:
     """All shingles of a line in order, as text."""
-    return _of_shingles(line, lambda x: F.decode(x, "UTF-32"))
+    return _of_shingles(line, _decoded)
 
 
 def _distinct_shingles(line: str) -> Column:
@@ -90,37 +100,49 @@ def _distinct_shingles(line: str) -> Column:
 
 
 def _signature_sets(lines: DataFrame) -> DataFrame:
-    """(id, copies, hash): the hashes of all shingles of every line, a row each, which no shuffle sees."""
+    """(id, copies, hash): the hashes of all shingles of every line, a row each, which no shuffle sees.
+
+    A line is cut into pieces of PIECE shingles, so that the cost does not grow with the square of its length.
+    """
     wide = lines.select("id", "copies", F.encode("line", "UTF-32").alias("wide"))
-    cut = wide.select("id", "copies", "wide", F.explode(_starts(F.col("wide"))).alias("at"))
-    return cut.select("id", "copies", F.xxhash64(F.substring("wide", F.col("at"), F.lit(WIDTH))).alias("hash"))
+    at = wide.select("id", "copies", "wide", F.explode(_starts(F.col("wide"), PIECE)).alias("at"))
+    piece = _decoded(F.substring("wide", F.col("at"), F.lit(4 * (PIECE + SHINGLE - 1))))
+    pieces = at.select("id", "copies", piece.alias("piece"))
+    cut = F.sequence(F.lit(1), F.greatest(F.length("piece") - (SHINGLE - 1), F.lit(1)))
+    rows = pieces.select("id", "copies", "piece", F.explode(cut).alias("at"))
+    return rows.select("id", "copies", _hash(F.substring("piece", F.col("at"), F.lit(SHINGLE))).alias("hash"))
 
 
 def _signatures(sets: DataFrame) -> DataFrame:
-    """(id, copies, bands): the keys of every line of ``sets``, null for a band that has none."""
-    dealt = sets.select(
-        "id",
-        "copies",
-        F.expr(f"cast(shiftright((hash & 65535) * {BANDS}, 16) as int)").alias("b"),
-        F.shiftrightunsigned("hash", 1).alias("value"),
+    """(id, copies, bands): the keys of every line of ``sets``."""
+    bits = (BANDS * ROWS - 1).bit_length()
+    shift = 63 - bits
+    at = f"cast(shiftright(hash, {shift}) as int)"
+    dealt = sets.selectExpr("id", "copies", "hash", f"cast({at} div {ROWS} as int) AS b", f"{at} % {ROWS} AS r")
+    least = [F.min(F.when(F.col("r") == r, F.col("hash"))).alias(f"least_{r}") for r in range(ROWS)]
+    rows = dealt.groupBy("id", "copies", "b").agg(*least)
+    # a value fills its own bin and the empty ones before it, the first of a line also those behind the last
+    own = F.array(*[F.coalesce(*[f"least_{i}" for i in range(r, ROWS)]) for r in range(ROWS)])
+    rows = rows.select("id", "copies", own.alias("own"), F.col(f"least_{ROWS - 1}").alias("end"))
+    rows = rows.groupBy("id", "copies").agg(
+        F.flatten(F.sort_array(F.collect_list("own"))).alias("flat"), F.count("end").alias("ends")
     )
-    least = [F.min(F.col("value").bitwiseXOR(F.lit((r << 63) // ROWS))).alias(f"least_{r}") for r in range(ROWS)]
-    keys = dealt.groupBy("id", "copies", "b").agg(*least)
-    keys = keys.select("id", "copies", "b", F.xxhash64("b", *[f"least_{r}" for r in range(ROWS)]).alias("key"))
-    by_band = [F.max(F.when(F.col("b") == b, F.col("key"))) for b in range(BANDS)]
-    rows = keys.groupBy("id", "copies").agg(F.array(*by_band).alias("bands"), F.count("*").alias("filled"))
-    drawn = F.transform(
-        "bands",
-        lambda own, b: F.coalesce(
-            own, F.array_min(F.transform("bands", lambda x: F.when(x.isNotNull(), F.xxhash64(b, x))))
-        ),
+    whole = F.when(F.col("ends") * ROWS == 1 << bits, F.col("flat"))
+    rows = rows.select("id", "copies", whole.otherwise(F.array_distinct(F.array_compact("flat"))).alias("least"))
+    here, prior = f"shiftright(x, {shift})", f"shiftright(least[i - 1], {shift})"
+    behind = f"{(1 << bits) - 1} - shiftright(least[size(least) - 1], {shift})"
+    filled = (
+        f"concat(flatten(transform(least, (x, i) -> array_repeat(x, cast({here} - if(i = 0, -1L, {prior}) as int)))),"
+        f" array_repeat(least[0], cast({behind} as int)))"
     )
-    spread = F.when(F.col("filled") <= FEW, drawn).otherwise(F.col("bands"))
-    return rows.select("id", "copies", spread.alias("bands"))
+    full = F.when(F.size("least") == 1 << bits, F.col("least")).otherwise(F.expr(filled))
+    rows = rows.select("id", "copies", full.alias("full"))
+    keys = [F.xxhash64(F.lit(b), *[F.col("full")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)]
+    return rows.select("id", "copies", F.array(*keys).alias("bands"))
 
 
 def _listed(signed: DataFrame) -> DataFrame:
-    return signed.select("id", "copies", F.explode("bands").alias("band")).where("band IS NOT NULL")
+    return signed.select("id", "copies", F.explode("bands").alias("band"))
 
 
 def band_keys(sets: DataFrame) -> DataFrame:
