@@ -13,11 +13,16 @@ copies of a candidate by the first. This semi-join leaves R_(k+1), which is writ
 
 What is shuffled are different candidates of a block, never occurrences; a phrase that fills a third of a
 language is one row of each block. The plan is the same at every size, and nothing is broadcast by hint.
+
+A block is a row of some MB, so what holds rows by the thousand elsewhere holds one block here, however many a
+task has: every block is written as a row group of its own, blocks are read and sent to Python one by one, and
+a block's candidates are rows, exploded without zipping lists and grouped by sorting, never lists of objects.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from goldseam.llm.common import dropped, recorded, staged
+from goldseam.llm.common import dropped, recorded, setting, staged
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 SCALE = 2_000_000
@@ -37,6 +42,12 @@ BLOCK_WORDS = 1 << 20
 #: An entry of a block is numbered over all blocks: the block's number, then that many bits of its own.
 _ENTRY_BITS, _BLOCKS_BITS = 31, 12
 
+#: Every written block is a row group: a reader holds the rows of a row group side by side, thousands at once.
+_BLOCK_FILES = {"parquet.block.row.count.limit": "1"}
+#: What goes to Python goes in batches that end with the row that brings them to so many bytes, so a block goes
+#: alone; and so many rows of a file, documents for one, are read at once.
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.parquet.columnarReaderBatchSize": "256"}
+
 _BORDER = b"."
 #: A-Z to a-z, all that ends a piece to the border sign, tab to space.
 _PLAIN = bytes.maketrans(
@@ -144,32 +155,45 @@ def _kept_occurrences(blocks: DataFrame, kept: DataFrame, purpose: str) -> DataF
     own = ["block", "lang", "ids"] + ([] if dense else ["gaps"])
     own_id = F.col("entry").bitwiseAND(F.lit((1 << _ENTRY_BITS) - 1)).cast("int").alias("id")
     rows = kept.select(F.shiftright("entry", _ENTRY_BITS).alias("block"), own_id, "phrase")
-    lists = rows.groupBy("block").agg(F.collect_list(F.struct("id", "phrase")).alias("kept"))
-    met = blocks.select(*own).join(lists, "block")
-    met = met.select(*own, F.col("kept.id").alias("old"), F.col("kept.phrase").alias("phrases"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, old = _numpy(batch.column("ids"), i), _numpy(batch.column("old"), i)
-                new = np.full(int(ids.max()) + 2, -1, np.int32)  # the last entry is for borders
-                new[old] = np.arange(len(old), dtype=np.int32)
-                local = new[ids]
-                frequent = np.flatnonzero(local >= 0)
-                places = frequent if dense else np.cumsum(_numpy(batch.column("gaps"), i))[frequent]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("block").slice(i, 1),
-                        batch.column("lang").slice(i, 1),
-                        _lists([_gaps(places)], pa.int32()),
-                        _lists([local[frequent]], pa.int32()),
-                        batch.column("phrases").slice(i, 1),
-                    ],
-                    names=["block", "lang", "gaps", "local", "phrases"],
-                )
+    columns = {
+        "block": pa.int64(),
+        "lang": pa.string(),
+        "gaps": pa.list_(pa.int32()),
+        "local": pa.list_(pa.int32()),
+        "phrases": pa.list_(pa.int64()),
+    }
+
+    def run(block: pa.Table, entries: pa.Table) -> pa.Table:
+        made = []
+        if entries.num_rows:
+            old, phrases = entries.column("id").to_numpy(), entries.column("phrase").to_numpy()
+            order = np.argsort(old)
+            old, phrases = old[order], phrases[order]
+            for batch in block.to_batches():
+                for i in range(batch.num_rows):
+                    ids = _numpy(batch.column("ids"), i)
+                    new = np.full(int(ids.max()) + 2, -1, np.int32)  # the last entry is for borders
+                    new[old] = np.arange(len(old), dtype=np.int32)
+                    local = new[ids]
+                    frequent = np.flatnonzero(local >= 0)
+                    places = frequent if dense else np.cumsum(_numpy(batch.column("gaps"), i))[frequent]
+                    made.append(
+                        pa.RecordBatch.from_arrays(
+                            [
+                                batch.column("block").slice(i, 1),
+                                batch.column("lang").slice(i, 1),
+                                _lists([_gaps(places)], pa.int32()),
+                                _lists([local[frequent]], pa.int32()),
+                                _lists([phrases], pa.int64()),
+                            ],
+                            names=list(columns),
+                        )
+                    )
+        return pa.Table.from_batches(made, pa.schema(columns))
 
     schema = "block long, lang string, gaps array<int>, local array<int>, phrases array<long>"
-    return staged(met.mapInArrow(run, schema), purpose)
+    met = blocks.select(*own).groupBy("block").cogroup(rows.groupBy("block"))
+    return staged(met.applyInArrow(run, schema), purpose, _BLOCK_FILES)
 
 
 def _extended(occurrences: DataFrame, purpose: str) -> DataFrame:
@@ -206,16 +230,19 @@ def _extended(occurrences: DataFrame, purpose: str) -> DataFrame:
         "block long, lang string, gaps array<int>, ids array<int>,"
         " head array<long>, tail array<long>, counts array<long>"
     )
-    return staged(occurrences.mapInArrow(run, schema), purpose)
+    return staged(occurrences.mapInArrow(run, schema), purpose, _BLOCK_FILES)
 
 
 def _entries(blocks: DataFrame, names: list[str], carried: list[str]) -> DataFrame:
-    """(carried..., names..., count, entry): the different candidates of every block as rows."""
-    zipped = F.arrays_zip(*[F.col(n) for n in (*names, "counts")])
-    rows = blocks.select("block", *carried, F.posexplode(zipped).alias("id", "c"))
+    """(carried..., names..., count, entry): the different candidates of every block as rows.
+
+    One list is exploded and the others are looked up in place; zipped they would be an object for every entry.
+    """
+    first, *others = names
+    rows = blocks.select("block", *carried, *others, "counts", F.posexplode(first).alias("id", first))
     entry = F.shiftleft(F.col("block"), _ENTRY_BITS) + F.col("id")
-    own = [F.col(f"c.{n}").alias(n) for n in names]
-    return rows.select(*carried, *own, F.col("c.counts").alias("count"), entry.alias("entry"))
+    own = [F.col(first), *[F.get(n, "id").alias(n) for n in others]]
+    return rows.select(*carried, *own, F.get("counts", "id").alias("count"), entry.alias("entry"))
 
 
 def _frequent(entries: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -238,9 +265,16 @@ def frequent_phrases(
     of those (f_head, f_tail), of its first and last word (f_first, f_last) and of its first and last two
     (f_first2, f_last2). A relation is deleted once the next one is written.
     """
+    with ExitStack() as batches:
+        for key, value in _BATCHES.items():
+            batches.enter_context(setting(docs.sparkSession, key, value))
+        return _frequent_phrases(docs, least, longest)
+
+
+def _frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[list[DataFrame], DataFrame]:
     spark = docs.sparkSession
     with recorded() as before:
-        blocks = staged(word_blocks(docs), "collocation-words")
+        blocks = staged(word_blocks(docs), "collocation-words", _BLOCK_FILES)
     per_block = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)
     total = staged(blocks.groupBy("lang").agg(F.sum(per_block).alias("n")), "collocation-totals")
     with recorded() as kept_path:

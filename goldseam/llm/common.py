@@ -51,16 +51,17 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def staged(df: DataFrame, purpose: str) -> DataFrame:
+def staged(df: DataFrame, purpose: str, options: dict[str, str] | None = None) -> DataFrame:
     """The rows written once to the shared folder and read back: a cut of the lineage that survives executors.
 
     Shuffle files of the rows are not needed any more then, and do not wait for the driver's garbage collection.
+    ``options`` are more options of the Parquet writer.
     """
     path = shared_folder(df.sparkSession, purpose)
     for paths in _recording:
         paths.append(path)
     with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**{"compression": "zstd", **(options or {})}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,8 +3,10 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 from goldseam.llm import collocations as co
 from goldseam.llm.queries import ORACLE_SQL, QUERIES
@@ -85,6 +87,31 @@ def test_one_long_text_and_one_phrase(spark):
     assert found(co.collocations(df)) == brute(docs, 30)
 
 
+def test_blocks_of_a_task_are_held_one_by_one(spark, monkeypatch):
+    """Many blocks of one task: each is a row group, and no plan gathers or zips entries into lists of objects."""
+    monkeypatch.setattr(co, "BLOCK_WORDS", 40)
+    batches = "spark.sql.execution.arrow.maxBytesPerBatch"
+    groups, plans, sizes, own, before = {}, [], set(), co.staged, spark.conf.get(batches)
+
+    def spied(df, purpose, *options):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        sizes.add(spark.conf.get(batches))
+        out = own(df, purpose, *options)
+        for file in out.inputFiles():
+            data = pq.ParquetFile(Path(file.removeprefix("file:"))).metadata
+            groups.setdefault(purpose, []).extend(data.row_group(i).num_rows for i in range(data.num_row_groups))
+        return out
+
+    monkeypatch.setattr(co, "staged", spied)
+    docs = [("en", prose(i, 60)) for i in range(20)]
+    df = spark.createDataFrame([(t, g) for g, t in docs], "text string, lang string").coalesce(1)
+    assert found(co.collocations(df, least=8)) == brute(docs, 8)
+    for purpose in ("collocation-words", "collocation-occurrences", "collocation-candidates"):
+        assert set(groups[purpose]) == {1} and len(groups[purpose]) >= 20, purpose
+    assert not [p for p in plans if "collect_list" in p or "arrays_zip" in p]
+    assert sizes == {"4m"} and spark.conf.get(batches) == before
+
+
 def test_awkward_and_empty(spark):
     df, rows = awkward(spark, ["a b, a b", "", "c " * 40, "A B"])
     assert found(co.collocations(df, least=2)) == brute([(r[2], r[1]) for r in rows], 2)
